@@ -11,6 +11,11 @@ from snapledger.functions.labels import result_letter
 from snapledger.functions.numbers import round_half_away
 from snapledger.operators.ordering import GROUP_ROWS, Key, down, ordered, over_rows, row_numbers, up
 
+def team_key(teams: DataFrame) -> list[str]:
+    """Join key of a team dimension: a snapshot series has one row per team and load date."""
+    return [c for c in ("load_date", "team_id") if c in teams.columns]
+
+
 RECORD_COUNTS = ("won", "drawn", "lost", "goals_for", "goals_against", "goal_difference", "points")
 
 
@@ -57,6 +62,7 @@ def next_n_run(
     open_rows: str = "not finished",
     number: str = "upcoming_fixture_number",
     out: str = "avg_difficulty_next_5",
+    split: bool | None = None,
     rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Number the open rows of a group and average `value` over each and the n - 1 after it.
@@ -71,6 +77,7 @@ def next_n_run(
         lambda w: {out: round_half_away(F.avg(value).over(w.rowsBetween(0, n - 1)), 2)},
         after=n - 1,
         number=number,
+        split=split,
         rows=rows,
     )
     rest = sides.filter(~is_open).withColumns(
@@ -88,15 +95,12 @@ def fixture_difficulty(fixtures: DataFrame, teams: DataFrame, rows: int = GROUP_
         "difficulty",
         rows=rows,
     )
-    own = teams.select("load_date", "team_id", "team_name")
-    opponent = teams.select(
-        "load_date",
-        F.col("team_id").alias("opponent_team_id"),
-        F.col("team_name").alias("opponent_name"),
-    )
+    key = team_key(teams)
+    own = teams.select(*key, "team_name")
+    opponent = own.withColumnsRenamed({"team_id": "opponent_team_id", "team_name": "opponent_name"})
     return (
-        run.join(own, ["load_date", "team_id"], "left")
-        .join(opponent, ["load_date", "opponent_team_id"], "left")
+        run.join(own, key, "left")
+        .join(opponent, [*key[:-1], "opponent_team_id"], "left")
         .select(
             "load_date",
             "season",
@@ -153,10 +157,11 @@ def standings(
     table: Sequence[str],
     order: Sequence[Key] = (down("points"), down("goal_difference"), down("goals_for"), up("team_name")),
     out: str = "position",
+    split: bool | None = None,
     rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Position of each record in its table; the order must end in a column unique per table."""
-    return row_numbers(records, table, order, out, rows)
+    return row_numbers(records, table, order, out, split, rows)
 
 
 def league_table(fixtures: DataFrame, teams: DataFrame, rows: int = GROUP_ROWS) -> DataFrame:
@@ -164,8 +169,9 @@ def league_table(fixtures: DataFrame, teams: DataFrame, rows: int = GROUP_ROWS)
     results = team_results(fixtures)
     key = ["load_date", "team_id"]
     form = form_guide(results, key, [down("kickoff_time"), down("fixture_id")])
-    names = teams.select(*key, "team_name", "team_short_name", "team_code")
-    named = season_records(results, ["load_date", "season", "team_id"]).join(names, key, "left")
+    names = teams.select(*team_key(teams), "team_name", "team_short_name", "team_code")
+    records = season_records(results, ["load_date", "season", "team_id"])
+    named = records.join(names, team_key(teams), "left")
     placed = standings(
         named,
         ["load_date"],

@@ -2,7 +2,7 @@
 
 A Spark window puts a whole group into one task. That is the right plan while every group fits
 a task, so each function measures the largest group first (one aggregate with map-side combine)
-and uses the plain window when it fits. Larger groups take an exact second way: rows are range
+and uses the plain window when it fits; a caller that knows the answer passes `split`. Larger groups take an exact second way: rows are range
 partitioned by (group, order), so a group is cut into ordered slices; each slice is numbered on
 its own and shifted by the size of the slices before it.
 """
@@ -49,11 +49,15 @@ def ordered(group: Sequence[str], order: Sequence[Key]) -> WindowSpec:
     return Window.partitionBy(*group).orderBy(*sorts(order))
 
 
-def groups_fit(df: DataFrame, group: Sequence[str], rows: int = GROUP_ROWS) -> bool:
-    """Whether every group has at most `rows` rows. Only one number reaches the driver."""
+def needs_split(df: DataFrame, group: Sequence[str], rows: int = GROUP_ROWS) -> bool:
+    """Whether any group has more than `rows` rows. Only one number reaches the driver.
+
+    A caller that ranks several subsets or left joins of one table measures that table once and
+    passes the answer on as `split`, so the measurement never repeats an expensive join.
+    """
     sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
     largest = sizes.agg(F.max("n")).first()[0]
-    return (largest or 0) <= rows
+    return (largest or 0) > rows
 
 
 def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
@@ -94,12 +98,17 @@ def _with_starts(sliced: DataFrame, group: Sequence[str], weight: Column) -> Dat
 
 
 def row_numbers(
-    df: DataFrame, group: Sequence[str], order: Sequence[Key], out: str, rows: int = GROUP_ROWS
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[Key],
+    out: str,
+    split: bool | None = None,
+    rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """1, 2, … inside each group. `order` must be unique within a group."""
-    if groups_fit(df, group, rows):
-        return df.withColumn(out, F.row_number().over(ordered(group, order)).cast("bigint"))
-    return _sliced_row_numbers(df, group, order, out)
+    if needs_split(df, group, rows) if split is None else split:
+        return _sliced_row_numbers(df, group, order, out)
+    return df.withColumn(out, F.row_number().over(ordered(group, order)).cast("bigint"))
 
 
 def _sliced_row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Key], out: str) -> DataFrame:
@@ -115,6 +124,7 @@ def ranks(
     group: Sequence[str],
     signals: dict[str, Key],
     kind: str = "percent_rank",
+    split: bool | None = None,
     rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add one rank column per entry of `signals` (output name -> order key).
@@ -122,11 +132,11 @@ def ranks(
     `kind` is "rank" (1 + rows that come strictly before) or "percent_rank" (that, minus 1,
     over the group size minus 1; 0 in a group of one).
     """
-    if groups_fit(df, group, rows):
-        return df.withColumns({out: _plain_rank(group, key, kind) for out, key in signals.items()})
-    for out, key in signals.items():
-        df = _sliced_rank(df, group, key, out, kind)
-    return df
+    if needs_split(df, group, rows) if split is None else split:
+        for out, key in signals.items():
+            df = _sliced_rank(df, group, key, out, kind)
+        return df
+    return df.withColumns({out: _plain_rank(group, key, kind) for out, key in signals.items()})
 
 
 def _plain_rank(group: Sequence[str], key: Key, kind: str) -> Column:
@@ -163,16 +173,17 @@ def over_rows(
     before: int = 0,
     after: int = 0,
     number: str | None = None,
-    rows: int | None = GROUP_ROWS,
+    split: bool | None = None,
+    rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add window columns that look at most `before` rows back and `after` rows ahead.
 
     `columns` receives the ordered window. A group too large for one task is cut into blocks of
     consecutive row numbers; each block also receives copies of the neighbouring rows its frames
-    reach, which are dropped afterwards. `rows=None` states that the grain already bounds the
+    reach, which are dropped afterwards. `split=False` states that the grain already bounds the
     group (one row per entity and date) and skips the measurement.
     """
-    if rows is None or groups_fit(df, group, rows):
+    if not (needs_split(df, group, rows) if split is None else split):
         window = ordered(group, order)
         added = dict(columns(window))
         if number:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from snapledger.functions import labels
 from snapledger.functions.numbers import per_90, price_in_millions, ratio, round_half_away
-from snapledger.operators.ordering import GROUP_ROWS, Key, down, ranks, up
+from snapledger.operators.fixtures import team_key
+from snapledger.operators.ordering import GROUP_ROWS, Key, down, needs_split, ranks, up
 from snapledger.operators.snapshots import snapshot_delta
 
 MIN_RATED_MINUTES = 450
@@ -22,14 +23,15 @@ def percentile_signal(
     partition: Sequence[str],
     signals: dict[str, Key],
     eligible: Column | None = None,
+    split: bool | None = None,
     rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Percent rank per partition; rows that are not eligible stay out of the population with NULL."""
     if eligible is None:
-        return ranks(df, partition, signals, rows=rows)
+        return ranks(df, partition, signals, split=split, rows=rows)
     # The eligible rows form their own partitions, so others cannot shift a rank.
     flagged = df.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
-    ranked = ranks(flagged.filter("_eligible"), partition, signals, rows=rows)
+    ranked = ranks(flagged.filter("_eligible"), partition, signals, split=split, rows=rows)
     rest = flagged.filter("not _eligible").withColumns({out: F.lit(None).cast("double") for out in signals})
     return ranked.unionByName(rest).drop("_eligible")
 
@@ -48,12 +50,12 @@ def ordinal_trend(
     previous: dict[str, str],
     ranking: dict[str, int] | None = None,
     out: str = "trend",
-    rows: int | None = None,
+    split: bool | None = False,
 ) -> DataFrame:
     """Previous bucket (and other `previous` columns) and whether the bucket moved up or down."""
     ranked = df.withColumn("_rank", labels.ordinal(F.col(bucket), ranking))
     columns = {**previous, "_rank": "_prev_rank"}
-    with_prev = snapshot_delta(ranked, key, order, columns, rows)
+    with_prev = snapshot_delta(ranked, key, order, columns, split)
     moved = labels.direction(F.col("_rank"), F.col("_prev_rank"), "upgraded", "downgraded", "unchanged")
     return with_prev.withColumn(out, moved).drop("_rank", "_prev_rank")
 
@@ -65,12 +67,16 @@ def underlying_threat(
     season_stats: DataFrame,
     keeper: str = "GKP",
     min_minutes: int = MIN_RATED_MINUTES,
+    split: bool | None = None,
     rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Expected involvement per 90 of mapped outfield players and its percentile by position.
 
     The stable code bridges the sources; the season of the snapshot picks the season's stats.
     """
+    group = ["load_date", "position_id"]
+    if split is None:
+        split = needs_split(players, group, rows)
     rate = per_90(F.col("npxg") + F.col("xa"), F.col("rated_minutes"))
     stats = season_stats.filter(F.col("minutes") >= min_minutes).select(
         "player_ud_id", F.col("season").alias("stats_season"), "npxg", "xa", F.col("minutes").alias("rated_minutes")
@@ -85,28 +91,28 @@ def underlying_threat(
         .join(stats, ["player_ud_id", "stats_season"])
         .select("load_date", "player_id", "position_id", rate.alias("_rate"))
     )
-    ranked = ranks(rated, ["load_date", "position_id"], {"underlying_pctl": up("_rate")}, rows=rows)
+    ranked = ranks(rated, group, {"underlying_pctl": up("_rate")}, split=split)
     return ranked.select(
         "load_date", "player_id", round_half_away(F.col("_rate"), 2).alias("npxg_xa_per90"), "underlying_pctl"
     )
 
 
-def fixture_ease(difficulty: DataFrame, rows: int = GROUP_ROWS) -> DataFrame:
+def fixture_ease(difficulty: DataFrame, split: bool | None = None, rows: int = GROUP_ROWS) -> DataFrame:
     """Each team's run from its next fixture and the percentile of its ease (hardest = 0)."""
     upcoming = difficulty.filter(F.col("upcoming_fixture_number") == 1).select(
         "load_date", "team_id", "avg_difficulty_next_5"
     )
-    return ranks(upcoming, ["load_date"], {"fixture_pctl": down("avg_difficulty_next_5")}, rows=rows)
+    return ranks(upcoming, ["load_date"], {"fixture_pctl": down("avg_difficulty_next_5")}, split=split, rows=rows)
 
 
-def score_players(df: DataFrame, rows: int = GROUP_ROWS) -> DataFrame:
+def score_players(df: DataFrame, split: bool | None = None, rows: int = GROUP_ROWS) -> DataFrame:
     """Percentiles by position, score and recommendation for rows that hold all raw signals."""
     signals = {
         "value_pctl": up("points_per_million"),
         "form_pctl": up("form"),
         "momentum_pctl": up("net_transfers_event"),
     }
-    scored = percentile_signal(df, ["load_date", "position_id"], signals, rows=rows)
+    scored = percentile_signal(df, ["load_date", "position_id"], signals, split=split, rows=rows)
     return scored.withColumn("transfer_score", weighted_score(labels.WEIGHTS)).withColumn(
         "recommendation", labels.recommendation(F.col("transfer_score"), F.col("availability_risk"))
     )
@@ -121,10 +127,16 @@ def transfer_decision(
     teams: DataFrame,
     positions: DataFrame,
     key: str = "player_id",
+    split: bool | None = None,
     rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """The decision table: signals, score, recommendation and its change per player and snapshot."""
-    player_key, team_key = ["load_date", "player_id"], ["load_date", "team_id"]
+    """The decision table: signals, score, recommendation and its change per player and snapshot.
+
+    The joins keep the rows of `value`, so its groups tell whether the percentiles must split.
+    """
+    if split is None:
+        split = needs_split(value, ["load_date", "position_id"], rows)
+    player_key = ["load_date", "player_id"]
     joined = (
         value.join(
             momentum.select(*player_key, "price_trend", "net_transfers_event", "selected_by_percent"),
@@ -133,12 +145,12 @@ def transfer_decision(
         )
         .join(risk.select(*player_key, "availability_risk", "news"), player_key, "left")
         .join(threat, player_key, "left")
-        .join(ease, team_key, "left")
-        .join(teams.select(*team_key, "team_name"), team_key, "left")
+        .join(ease, ["load_date", "team_id"], "left")
+        .join(teams.select(*team_key(teams), "team_name"), team_key(teams), "left")
         .join(positions.select("position_id", "position_short_name"), "position_id", "left")
     )
     trended = ordinal_trend(
-        score_players(joined, rows),
+        score_players(joined, split),
         [key],
         [up("load_date")],
         "recommendation",
@@ -177,13 +189,15 @@ def transfer_decision(
 
 
 def defensive_outlook(
-    players: DataFrame, table: DataFrame, ease: DataFrame, rows: int = GROUP_ROWS
+    players: DataFrame, table: DataFrame, ease: DataFrame, split: bool | None = None, rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Clean-sheet record of each team blended with the ease of its next fixtures.
 
     A team's clean sheets are the most any kept player of it has; teams that have not played
     are not ranked and count as neutral.
     """
+    if split is None:
+        split = needs_split(table, ["load_date"], rows)
     key = ["load_date", "team_id"]
     sheets = (
         players.filter(~F.col("removed"))
@@ -197,7 +211,7 @@ def defensive_outlook(
         ["load_date"],
         {"clean_sheet_pctl": up("_rate")},
         eligible=played,
-        rows=rows,
+        split=split,
     )
     return rated.join(ease, key, "left").select(
         *key,

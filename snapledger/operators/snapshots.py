@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from snapledger.functions import labels
 from snapledger.functions.fields import Field, typed
 from snapledger.functions.numbers import ratio, round_half_away
-from snapledger.operators.ordering import GROUP_ROWS, Key, down, over_rows, ranks, up
+from snapledger.operators.ordering import GROUP_ROWS, Key, down, needs_split, over_rows, ranks, up
 
 
 def unnest_snapshot(
@@ -58,12 +58,12 @@ def latest_load_per_group(raw: DataFrame, group: Sequence[str], load_col: str =
 
 
 def snapshot_delta(
-    df: DataFrame, key: Sequence[str], order: Sequence[Key], previous: dict[str, str], rows: int | None = None
+    df: DataFrame, key: Sequence[str], order: Sequence[Key], previous: dict[str, str], split: bool | None = False
 ) -> DataFrame:
     """Add the previous snapshot's values: `previous` maps a column to its output name.
 
     A key has one row per load date, so a key's history is as long as the calendar and the
-    window needs no size check. Pass `rows` for tables without that grain.
+    window needs no size check. Pass `split=None` to measure tables without that grain.
     """
     return over_rows(
         df,
@@ -71,7 +71,7 @@ def snapshot_delta(
         order,
         lambda w: {out: F.lag(column).over(w) for column, out in previous.items()},
         before=1,
-        rows=rows,
+        split=split,
     )
 
 
@@ -143,8 +143,11 @@ def availability_risk(players: DataFrame) -> DataFrame:
     )
 
 
-def value_rank(players: DataFrame, rows: int = GROUP_ROWS) -> DataFrame:
+def value_rank(players: DataFrame, split: bool | None = None, rows: int = GROUP_ROWS) -> DataFrame:
     """Points per million and its rank inside (load_date, position). The rounded ratio is ranked."""
+    group = ["load_date", "position_id"]
+    if split is None:
+        split = needs_split(players, group, rows)
     millions = F.col("now_cost").cast("double") / F.lit(10.0)
     valued = players.filter(~F.col("removed")).select(
         "load_date",
@@ -161,8 +164,9 @@ def value_rank(players: DataFrame, rows: int = GROUP_ROWS) -> DataFrame:
     )
     return ranks(
         valued,
-        ["load_date", "position_id"],
+        group,
         {"value_rank_in_position": down("points_per_million")},
         kind="rank",
+        split=split,
         rows=rows,
     )

@@ -11,6 +11,7 @@ from snapledger.functions import labels
 from snapledger.functions.fields import fields, pick, typed
 from snapledger.functions.numbers import round_half_away
 from snapledger.functions.text import contains_pattern, link, season_label
+from snapledger.operators.fixtures import team_key
 from snapledger.operators.ordering import down, top, top_per_group, up
 from snapledger.operators.replacement import best_affordable
 from snapledger.operators.snapshots import latest_snapshot, latest_value
@@ -46,11 +47,11 @@ def latest_decisions(
 ) -> DataFrame:
     """Newest decisions with display codes, verdict texts and optional image links."""
     codes = players.select("load_date", "player_id", "player_code")
-    badges = teams.select("load_date", "team_id", "team_code")
+    badges = teams.select(*team_key(teams), "team_code")
     shown = (
         latest_snapshot(decision)
         .join(codes, ["load_date", "player_id"], "left")
-        .join(badges, ["load_date", "team_id"], "left")
+        .join(badges, team_key(teams), "left")
         .withColumns(
             {
                 "verdict": labels.lookup(F.col("recommendation"), VERDICTS),
@@ -151,8 +152,8 @@ def goal_gap(season_players: DataFrame, min_minutes: int = MIN_MINUTES) -> DataF
 
 def best_defence(outlook: DataFrame, teams: DataFrame) -> DataFrame:
     best = top(latest_snapshot(outlook), [down("defensive_outlook_score"), up("team_id")])
-    codes = teams.select("load_date", "team_id", "team_code")
-    return best.join(codes, ["load_date", "team_id"], "left").select(
+    codes = teams.select(*team_key(teams), "team_code")
+    return best.join(codes, team_key(teams), "left").select(
         "team_name", "defensive_outlook_score", "played", "team_code"
     )
 
@@ -192,7 +193,7 @@ def season_stats(players: DataFrame, teams: DataFrame, positions: DataFrame) ->
     """Newest player statistics with team and position names."""
     return (
         latest_snapshot(players)
-        .join(teams.select("load_date", "team_id", "team_name", "team_code"), ["load_date", "team_id"], "left")
+        .join(teams.select(*team_key(teams), "team_name", "team_code"), team_key(teams), "left")
         .join(positions.select("position_id", "position_short_name"), "position_id", "left")
         .select(
             "load_date",
@@ -306,12 +307,12 @@ def unresolved(squad: DataFrame) -> DataFrame:
 def captain_suggestion(squad: DataFrame) -> DataFrame:
     """Best fit starter of each manager against the captain they chose."""
     starters = squad.filter((F.col("squad_slot") == "starting") & F.col("player_id").isNotNull())
-    fit = F.col("availability_risk") != "high_risk"
+    fit, named = F.col("availability_risk") != "high_risk", F.col("is_captain")
     entry = F.struct("player_id", "web_name", "transfer_score")
     best_first = F.struct((-F.col("transfer_score")).alias("s"), F.col("player_id").alias("p"))
     advice = starters.groupBy("manager_id").agg(
         F.min_by(F.when(fit, entry), F.when(fit, best_first)).alias("best"),
-        F.min_by(F.when(F.col("is_captain"), entry), F.when(F.col("is_captain"), F.col("position"))).alias("captain"),
+        F.min_by(F.when(named, entry), F.when(named, F.struct("position", "player_id"))).alias("captain"),
     )
     outcome = (
         F.when(F.col("best").isNull(), "no_fit_starter")
@@ -416,7 +417,11 @@ def private_leagues(entries: DataFrame) -> DataFrame:
     return listed.filter(F.col("league_type") == PRIVATE_LEAGUE).drop("league_type")
 
 
+def league_view(standings: DataFrame, league_id: int, entry: int) -> DataFrame:
+    """One league's standings as one member sees them, own row flagged."""
+    return standings.filter(F.col("league_id") == league_id).withColumn("you", F.col("entry") == entry)
+
+
 def own_standings(leagues: DataFrame, standings: DataFrame) -> DataFrame:
-    """Standings of every private league as each member sees them, own row flagged."""
-    mine = leagues.select(F.col("entry").alias("viewer"), "league_id", "league_name")
-    return standings.join(mine, "league_id").withColumn("you", F.col("entry") == F.col("viewer"))
+    """Every member's own row in each of their private leagues."""
+    return leagues.join(standings, ["league_id", "entry"])

@@ -125,11 +125,10 @@ def fixtures(ctx: Context) -> DataFrame:
     return raw.select(*SNAPSHOT, *[pick(F.col(f.path), "$", f.type).alias(f.name) for f in FIXTURE_FIELDS])
 
 
-@model("silver", stored=False)
-def matches(ctx: Context) -> DataFrame:
-    """One row per match payload; the season follows from the match date."""
+def match_headers(payloads: DataFrame) -> DataFrame:
+    """Match facts of payloads: id from the file name, split score, season from the date."""
     date = F.to_date("startDate")
-    return ctx.source("match_payloads").select(
+    return payloads.select(
         id_from_file(F.col("filename")).try_cast("int").alias("match_id"),
         date.alias("match_date"),
         season_start_year(date).alias("season_start_year"),
@@ -145,10 +144,9 @@ def matches(ctx: Context) -> DataFrame:
     )
 
 
-@model("silver", stored=False)
-def match_events(ctx: Context) -> DataFrame:
-    """One row per exported event element; ids may repeat. Qualifiers stay VARIANT."""
-    exploded = ctx.source("match_payloads").select(
+def exported_events(payloads: DataFrame) -> DataFrame:
+    """Event elements of payloads; the qualifiers stay VARIANT."""
+    exploded = payloads.select(
         id_from_file(F.col("filename")).try_cast("int").alias("match_id"),
         "load_date",
         F.explode("events").alias("e"),
@@ -164,6 +162,18 @@ def match_events(ctx: Context) -> DataFrame:
     )
 
 
+@model("silver", stored=False)
+def matches(ctx: Context) -> DataFrame:
+    """One row per match payload."""
+    return match_headers(ctx.source("match_payloads"))
+
+
+@model("silver", stored=False)
+def match_events(ctx: Context) -> DataFrame:
+    """One row per exported event element; ids may repeat."""
+    return exported_events(ctx.source("match_payloads"))
+
+
 @model("silver", stored=False)
 def match_players(ctx: Context) -> DataFrame:
     """One row per player id of the match payloads: usual spelling and squad appearances."""

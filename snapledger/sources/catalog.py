@@ -64,8 +64,8 @@ SOURCES = {
     "season_teams": Source("seasonstats", "teams.json", "id string, title string, history array<variant>"),
 }
 
-# Sources whose whole record is kept as one VARIANT column.
-WHOLE_RECORD = {"match_calendar": "payload"}
+# Sources whose whole file is kept as one VARIANT.
+WHOLE_FILE = ("match_calendar",)
 
 
 def source(name: str) -> Source:
@@ -73,34 +73,33 @@ def source(name: str) -> Source:
     return SOURCES[name]
 
 
-def read_schema(name: str) -> str:
-    """Read schema with the partition columns of the folder tree."""
-    if name in WHOLE_RECORD:
-        return PARTITIONS
-    return f"{source(name).schema}, {PARTITIONS}"
+def configured(reader, name: str):
+    """Reader (batch or streaming) with a source's format, options and schema.
+
+    One JSON file holds one object or one top-level array; an array yields one row per element.
+    """
+    if name in WHOLE_FILE:
+        return reader.format("text").option("wholetext", True).schema(f"value string, {PARTITIONS}")
+    return reader.format("json").option("multiLine", True).schema(f"{source(name).schema}, {PARTITIONS}")
 
 
-def json_options(name: str) -> dict[str, str]:
-    """One file holds one object or one top-level array; an array yields one row per element."""
-    options = {"multiLine": "true"}
-    if name in WHOLE_RECORD:
-        options["singleVariantColumn"] = WHOLE_RECORD[name]
-    return options
+def finished(df: DataFrame, name: str) -> DataFrame:
+    """Columns every source has besides its own: the partitions and `filename`."""
+    df = df.withColumn("filename", F.col("_metadata.file_path"))
+    if name in WHOLE_FILE:
+        df = df.withColumn("payload", F.parse_json("value")).drop("value")
+    return df
 
 
-def read_source(
-    spark: SparkSession, root: str, name: str, feeds: dict[str, str] | None = None
-) -> DataFrame:
+def read_source(spark: SparkSession, root: str, name: str, feeds: dict[str, str] | None = None) -> DataFrame:
     """All landed snapshots of a source, with `filename`, `season` and `load_date`.
 
     Missing keys read as NULL, so files of different age merge by name. `feeds` renames feed
     folders of an existing tree.
     """
     entry = source(name)
-    reader = spark.read.options(**json_options(name)).option("basePath", entry.base(root, feeds))
-    if name not in WHOLE_RECORD:
-        reader = reader.schema(read_schema(name))
-    return reader.json(entry.glob(root, feeds)).withColumn("filename", F.col("_metadata.file_path"))
+    reader = configured(spark.read, name).option("basePath", entry.base(root, feeds))
+    return finished(reader.load(entry.glob(root, feeds)), name)
 
 
 def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from snapledger.functions.fields import pick
 from snapledger.functions.text import required, season_from_deadline
-from snapledger.sources.catalog import json_options, read_source, source
+from snapledger.sources.catalog import read_source, source
 
 PARTITION_COLUMNS = ("season", "load_date")
 
@@ -41,7 +42,7 @@ def split_league_payload(payloads: DataFrame, keep: tuple[str, ...] = PARTITION_
 
 def typed_records(records: DataFrame, name: str, keep: tuple[str, ...] = PARTITION_COLUMNS) -> DataFrame:
     """Columns of a source's read schema from `record` VARIANT rows."""
-    spec = records.sparkSession.createDataFrame([], source(name).schema).schema
+    spec = StructType.fromDDL(source(name).schema)
     columns = [
         F.try_variant_get("record", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in spec
     ]
@@ -70,7 +71,7 @@ def load_raw(
     spark: SparkSession, root: str, name: str, warehouse: str, feeds: dict[str, str] | None = None
 ) -> str:
     """Full refresh of one raw table from everything landed for it. Returns the table's path."""
-    path = f"{warehouse}/raw/{source(name) and name}"
+    path = f"{warehouse}/raw/{name}"
     read_source(spark, root, name, feeds).write.mode("overwrite").option(
         "partitionOverwriteMode", "static"
     ).partitionBy(*PARTITION_COLUMNS).parquet(path)
@@ -90,7 +91,7 @@ def land_folder(
     The season is the override, else it is read from the payload (snapshots that list events).
     """
     entry = source(name)
-    payloads = spark.read.options(**json_options(name)).schema(entry.schema).json(folder)
+    payloads = spark.read.option("multiLine", True).schema(entry.schema).json(folder)
     if season is None and "elements" not in payloads.columns:
         raise ValueError(f"{name} names no season; pass one")
     label = payload_season(F.col("events"), season) if season is None else F.lit(season)

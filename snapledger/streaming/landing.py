@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from snapledger.sources.catalog import json_options, read_schema, source
+from snapledger.sources.catalog import configured, finished, source
 from snapledger.sources.landing import PARTITION_COLUMNS
 
 
@@ -14,13 +13,8 @@ def stream_source(
 ) -> DataFrame:
     """Streaming counterpart of `read_source`: the same columns, fed by files as they arrive."""
     entry = source(name)
-    return (
-        spark.readStream.options(**json_options(name))
-        .schema(read_schema(name))
-        .option("basePath", entry.base(root, feeds))
-        .json(entry.glob(root, feeds))
-        .withColumn("filename", F.col("_metadata.file_path"))
-    )
+    reader = configured(spark.readStream, name).option("basePath", entry.base(root, feeds))
+    return finished(reader.load(entry.glob(root, feeds)), name)
 
 
 def land_new_files(stream: DataFrame, path: str, checkpoint: str) -> None:

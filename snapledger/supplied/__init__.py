@@ -1,0 +1,4 @@
+from snapledger.supplied import fixture_queries, snapshot_queries  # noqa: F401
+from snapledger.supplied.registry import QUERIES, run
+
+__all__ = ["QUERIES", "run"]

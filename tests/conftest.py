@@ -13,13 +13,14 @@ from tests import tree  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "snapledger-tests",
         "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("tables")),
             "spark.driver.memory": "4g",
             "spark.driver.bindAddress": "127.0.0.1",
             "spark.driver.host": "127.0.0.1",
