@@ -24,7 +24,9 @@ def fields(type_name: str, *pairs: str | tuple[str, str]) -> list[Field]:
 
 def pick(value: Column, path: str, type_name: str = "string") -> Column:
     """Value at a path, NULL where it is missing or does not convert."""
-    return F.try_variant_get(value, "$" if path in ("", "$") else f"$.{path}", type_name)
+    if path == "$":
+        return F.try_variant_get(value, path, type_name)
+    return F.try_variant_get(value, f"${path}" if path.startswith("[") else f"$.{path}", type_name)
 
 
 def typed(value: Column, spec: Iterable[Field]) -> list[Column]:

@@ -417,9 +417,10 @@ def private_leagues(entries: DataFrame) -> DataFrame:
     return listed.filter(F.col("league_type") == PRIVATE_LEAGUE).drop("league_type")
 
 
-def league_view(standings: DataFrame, league_id: int, entry: int) -> DataFrame:
-    """One league's standings as one member sees them, own row flagged."""
-    return standings.filter(F.col("league_id") == league_id).withColumn("you", F.col("entry") == entry)
+def league_views(standings: DataFrame, viewers: DataFrame) -> DataFrame:
+    """Each league's standings with the row of its viewer flagged; one viewer per league."""
+    flagged = standings.join(viewers, "league_id").withColumn("you", F.col("entry") == F.col("viewer"))
+    return flagged.drop("viewer")
 
 
 def own_standings(leagues: DataFrame, standings: DataFrame) -> DataFrame:
