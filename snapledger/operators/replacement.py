@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from snapledger.operators.ordering import down, top_per_group, up
 from snapledger.session import settle
 
-# One more than a full squad, so that a whole squad can be passed over in the first round.
-FIRST_WIDTH = 16
+# Candidates looked at per budget in the first round, and the factor of each further round.
+FIRST_WIDTH = 4
 WIDEN = 8
 
 
@@ -21,13 +21,17 @@ def _node_tops(candidates: DataFrame, group: str, levels: int, width: int) -> Da
     nodes = F.array(
         *[F.struct(F.lit(level).alias("level"), F.shiftright("price", level).alias("node")) for level in range(levels)]
     )
-    placed = candidates.select("*", F.explode(nodes).alias("_at")).select(*candidates.columns, "_at.*")
-    return top_per_group(placed, [group, "level", "node"], [down("score"), up("item")], width)
+    placed = candidates.select(group, "item", "score", F.explode(nodes).alias("_at"))
+    flat = placed.select(group, "item", "score", "_at.level", "_at.node")
+    return top_per_group(flat, [group, "level", "node"], [down("score"), up("item")], width)
 
 
-def _probes(wanted: DataFrame, levels: int, highest: int) -> DataFrame:
-    """Each budget as the few intervals that make up all prices up to it, one per set bit."""
-    end = F.least(F.col("budget"), F.lit(highest)) + 1
+def _budget_tops(budgets: DataFrame, tops: DataFrame, group: str, levels: int, width: int) -> DataFrame:
+    """The best `width` candidates each budget affords.
+
+    All prices up to a budget are the union of one interval per set bit of budget + 1.
+    """
+    end = F.col("budget") + 1
     parts = [
         F.when(
             F.shiftright(end, level).bitwiseAND(F.lit(1)) == 1,
@@ -35,8 +39,11 @@ def _probes(wanted: DataFrame, levels: int, highest: int) -> DataFrame:
         )
         for level in range(levels)
     ]
-    exploded = F.explode(F.array_compact(F.array(*parts))).alias("_at")
-    return wanted.filter("budget >= 0").select("*", exploded).select(*wanted.columns, "_at.*")
+    probes = budgets.select(group, "budget", F.explode(F.array_compact(F.array(*parts))).alias("_at")).select(
+        group, "budget", "_at.level", "_at.node"
+    )
+    hits = probes.join(tops, [group, "level", "node"]).drop("level", "node")
+    return top_per_group(hits, [group, "budget"], [down("score"), up("item")], width)
 
 
 def best_affordable(
@@ -48,35 +55,28 @@ def best_affordable(
     `price` (a whole number from 0 on) and `score`; `owned` has `owner` and `item`. Ties go to the
     lowest item. The result adds `item` and `score`, NULL where nothing is affordable.
 
-    Prices up to a budget split into at most log2(price) power-of-two intervals, and of each
-    interval only its best few candidates matter: one is enough unless the owner has all of
-    those. Rows for which that happens go through another round with a wider list, so the answer
-    is exact for any number of owned items, and no row meets a whole group.
+    No row meets a whole group: the best few candidates are found once per distinct budget, from
+    at most log2(price) precomputed price intervals. Rows whose owner holds all of those few go
+    through another round with a longer list, so the answer is exact for any number of owned
+    items.
     """
     highest = candidates.agg(F.max("price")).first()[0]
     if highest is None:
         return wanted.withColumns({"item": F.lit(None).cast("bigint"), "score": F.lit(None).cast("double")})
     levels = int(highest + 1).bit_length()
-    wanted = wanted.withColumn("budget", F.col("budget").cast("bigint"))
     candidates = candidates.select(group, "item", F.col("price").cast("bigint").alias("price"), "score")
     mine = owned.select(owner, "item").distinct().withColumn("_mine", F.lit(True))
-    pending, width, answers = wanted, FIRST_WIDTH, []
+    capped = F.least(F.col("budget").cast("bigint"), F.lit(int(highest)))
+    pending = wanted.filter("budget >= 0").select(*key, group, owner, capped.alias("budget"))
+    width, answers = FIRST_WIDTH, []
     while True:
-        tops = _node_tops(candidates, group, levels, width).drop("price")
-        hits = _probes(pending.select(*key, group, owner, "budget"), levels, highest).join(
-            tops, [group, "level", "node"]
-        )
+        tops = _node_tops(candidates, group, levels, width)
+        lists = _budget_tops(pending.select(group, "budget").distinct(), tops, group, levels, width)
+        hits = pending.join(lists, [group, "budget"]).join(mine, [owner, "item"], "left")
         free = F.col("_mine").isNull()
         best = F.min(F.when(free, F.struct((-F.col("score")).alias("rank"), F.col("item").alias("item"))))
-        per_node = (
-            hits.join(mine, [owner, "item"], "left")
-            .groupBy(*key, "level")
-            .agg(best.alias("best"), F.count("*").alias("hits"), F.count_if(free).alias("free"))
-        )
-        stuck = (F.col("free") == 0) & (F.col("hits") == width)
-        found = settle(
-            per_node.groupBy(*key).agg(F.min("best").alias("best"), F.bool_or(stuck).alias("stuck")), "replacement"
-        )
+        passed_over = (F.count_if(free) == 0) & (F.count("*") == width)
+        found = settle(hits.groupBy(*key).agg(best.alias("best"), passed_over.alias("stuck")), "replacement")
         answers.append(found.filter("not stuck").select(*key, "best"))
         open_rows = found.filter("stuck").select(*key)
         if open_rows.isEmpty():

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from snapledger.functions import labels
 from snapledger.functions.numbers import per_90, price_in_millions, ratio, round_half_away
 from snapledger.operators.fixtures import team_key
-from snapledger.operators.ordering import GROUP_ROWS, Key, down, needs_split, ranks, up
-from snapledger.operators.snapshots import snapshot_delta
+from snapledger.operators.ordering import GROUP_ROWS, Key, down, needs_split, ordered, ranks, up
+from snapledger.operators.snapshots import points_per_million, price_trend, snapshot_delta
 
 MIN_RATED_MINUTES = 450
 
@@ -27,11 +27,18 @@ def percentile_signal(
     rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Percent rank per partition; rows that are not eligible stay out of the population with NULL."""
+    if split is None:
+        split = needs_split(df, partition, rows)
     if eligible is None:
-        return ranks(df, partition, signals, split=split, rows=rows)
-    # The eligible rows form their own partitions, so others cannot shift a rank.
+        return ranks(df, partition, signals, split=split)
     flagged = df.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
-    ranked = ranks(flagged.filter("_eligible"), partition, signals, split=split, rows=rows)
+    if not split:
+        # The flag as one more window key keeps both kinds apart within the same shuffle.
+        keys = [*partition, "_eligible"]
+        ranked = {out: F.percent_rank().over(ordered(keys, [key])) for out, key in signals.items()}
+        chosen = {out: F.when(F.col("_eligible"), column) for out, column in ranked.items()}
+        return flagged.withColumns(chosen).drop("_eligible")
+    ranked = ranks(flagged.filter("_eligible"), partition, signals, split=split)
     rest = flagged.filter("not _eligible").withColumns({out: F.lit(None).cast("double") for out in signals})
     return ranked.unionByName(rest).drop("_eligible")
 
@@ -60,40 +67,42 @@ def ordinal_trend(
     return with_prev.withColumn(out, moved).drop("_rank", "_prev_rank")
 
 
-def underlying_threat(
-    players: DataFrame,
-    positions: DataFrame,
-    mapping: DataFrame,
-    season_stats: DataFrame,
-    keeper: str = "GKP",
-    min_minutes: int = MIN_RATED_MINUTES,
-    split: bool | None = None,
-    rows: int = GROUP_ROWS,
+def with_season_stats(
+    players: DataFrame, positions: DataFrame, mapping: DataFrame, season_stats: DataFrame
 ) -> DataFrame:
-    """Expected involvement per 90 of mapped outfield players and its percentile by position.
+    """Players with their position name and the other source's `npxg`, `xa` and `rated_minutes`.
 
-    The stable code bridges the sources; the season of the snapshot picks the season's stats.
+    The stable code bridges the sources, as ids restart every season, and the season of the
+    snapshot picks the season's stats. Codes, ids and seasons are unique on the joined sides, so
+    no row is lost or repeated.
     """
-    group = ["load_date", "position_id"]
-    if split is None:
-        split = needs_split(players, group, rows)
-    rate = per_90(F.col("npxg") + F.col("xa"), F.col("rated_minutes"))
-    stats = season_stats.filter(F.col("minutes") >= min_minutes).select(
-        "player_ud_id", F.col("season").alias("stats_season"), "npxg", "xa", F.col("minutes").alias("rated_minutes")
+    stats = season_stats.select(
+        "player_ud_id", F.col("season").alias("_season"), "npxg", "xa", F.col("minutes").alias("rated_minutes")
     )
-    outfield = positions.filter(F.col("position_short_name") != keeper).select("position_id")
-    codes = mapping.select("player_ud_id", "player_code")
-    rated = (
-        players.select("load_date", "player_id", "player_code", "position_id",
-                       F.col("season").try_cast("int").alias("stats_season"))
-        .join(outfield, "position_id", "left_semi")
-        .join(codes, "player_code")
-        .join(stats, ["player_ud_id", "stats_season"])
-        .select("load_date", "player_id", "position_id", rate.alias("_rate"))
+    return (
+        players.withColumn("_season", F.col("season").try_cast("int"))
+        .join(positions.select("position_id", "position_short_name"), "position_id", "left")
+        .join(mapping.select("player_code", "player_ud_id"), "player_code", "left")
+        .join(stats, ["player_ud_id", "_season"], "left")
+        .drop("_season", "player_ud_id")
     )
-    ranked = ranks(rated, group, {"underlying_pctl": up("_rate")}, split=split)
-    return ranked.select(
-        "load_date", "player_id", round_half_away(F.col("_rate"), 2).alias("npxg_xa_per90"), "underlying_pctl"
+
+
+def with_threat(
+    df: DataFrame, keeper: str = "GKP", min_minutes: int = MIN_RATED_MINUTES, split: bool | None = None
+) -> DataFrame:
+    """Expected involvement per 90 and its percentile by position, of outfield players who played enough."""
+    rated = (F.col("position_short_name") != keeper) & (F.col("rated_minutes") >= min_minutes)
+    rate = per_90(F.col("npxg") + F.col("xa"), F.col("rated_minutes"))
+    ranked = percentile_signal(
+        df.withColumn("_rate", F.when(rated, rate)),
+        ["load_date", "position_id"],
+        {"underlying_pctl": up("_rate")},
+        eligible=rated,
+        split=split,
+    )
+    return ranked.withColumn("npxg_xa_per90", round_half_away(F.col("_rate"), 2)).drop(
+        "_rate", "npxg", "xa", "rated_minutes"
     )
 
 
@@ -105,52 +114,61 @@ def fixture_ease(difficulty: DataFrame, split: bool | None = None, rows: int = G
     return ranks(upcoming, ["load_date"], {"fixture_pctl": down("avg_difficulty_next_5")}, split=split, rows=rows)
 
 
-def score_players(df: DataFrame, split: bool | None = None, rows: int = GROUP_ROWS) -> DataFrame:
-    """Percentiles by position, score and recommendation for rows that hold all raw signals."""
-    signals = {
-        "value_pctl": up("points_per_million"),
-        "form_pctl": up("form"),
-        "momentum_pctl": up("net_transfers_event"),
-    }
-    scored = percentile_signal(df, ["load_date", "position_id"], signals, split=split, rows=rows)
-    return scored.withColumn("transfer_score", weighted_score(labels.WEIGHTS)).withColumn(
-        "recommendation", labels.recommendation(F.col("transfer_score"), F.col("availability_risk"))
-    )
-
-
 def transfer_decision(
-    value: DataFrame,
-    momentum: DataFrame,
-    risk: DataFrame,
-    ease: DataFrame,
-    threat: DataFrame,
-    teams: DataFrame,
+    players: DataFrame,
     positions: DataFrame,
+    teams: DataFrame,
+    mapping: DataFrame,
+    season_stats: DataFrame,
+    ease: DataFrame,
     key: str = "player_id",
+    min_minutes: int = MIN_RATED_MINUTES,
     split: bool | None = None,
     rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The decision table: signals, score, recommendation and its change per player and snapshot.
 
-    The joins keep the rows of `value`, so its groups tell whether the percentiles must split.
+    All player signals come from one pass over the snapshots: change since the previous one by
+    key, then every percentile by (load_date, position), then the trend by key. Removed players
+    count for the underlying percentile and for the history, not for the other signals.
     """
+    group = ["load_date", "position_id"]
     if split is None:
-        split = needs_split(value, ["load_date", "position_id"], rows)
-    player_key = ["load_date", "player_id"]
-    joined = (
-        value.join(
-            momentum.select(*player_key, "price_trend", "net_transfers_event", "selected_by_percent"),
-            player_key,
-            "left",
-        )
-        .join(risk.select(*player_key, "availability_risk", "news"), player_key, "left")
-        .join(threat, player_key, "left")
-        .join(ease, ["load_date", "team_id"], "left")
+        split = needs_split(players, group, rows)
+    used = players.select(
+        "load_date", "season", "player_id", "player_code", "web_name", "team_id", "position_id", "now_cost",
+        "total_points", "form", "selected_by_percent", "transfers_in_event", "transfers_out_event", "status",
+        "chance_of_playing_next_round", "news", "removed",
+    )
+    moved = snapshot_delta(used, [key], [up("load_date")], {"now_cost": "_prev_cost"}).withColumns(
+        {
+            "price_trend": price_trend(F.col("now_cost"), F.col("_prev_cost")),
+            "net_transfers_event": F.col("transfers_in_event") - F.col("transfers_out_event"),
+            "points_per_million": points_per_million(F.col("total_points"), F.col("now_cost")),
+            "availability_risk": labels.availability_risk(
+                F.col("status"), F.col("chance_of_playing_next_round")
+            ),
+        }
+    )
+    bridged = with_season_stats(moved, positions, mapping, season_stats)
+    if not split:
+        # One shuffle for both percentile steps, whose window keys differ.
+        bridged = bridged.repartition(*group)
+    kept = with_threat(bridged, min_minutes=min_minutes, split=split).filter(~F.col("removed"))
+    signals = {
+        "value_pctl": up("points_per_million"),
+        "form_pctl": up("form"),
+        "momentum_pctl": up("net_transfers_event"),
+    }
+    ranked = percentile_signal(kept, group, signals, split=split)
+    scored = (
+        ranked.join(ease, ["load_date", "team_id"], "left")
         .join(teams.select(*team_key(teams), "team_name"), team_key(teams), "left")
-        .join(positions.select("position_id", "position_short_name"), "position_id", "left")
+        .withColumn("transfer_score", weighted_score(labels.WEIGHTS))
+        .withColumn("recommendation", labels.recommendation(F.col("transfer_score"), F.col("availability_risk")))
     )
     trended = ordinal_trend(
-        score_players(joined, split),
+        scored,
         [key],
         [up("load_date")],
         "recommendation",

@@ -75,6 +75,15 @@ def snapshot_delta(
     )
 
 
+def price_trend(cost: Column, previous: Column) -> Column:
+    return labels.direction(cost, previous, "rising", "falling", "stable")
+
+
+def points_per_million(points: Column, tenths: Column) -> Column:
+    """Points per million of price, two decimals; NULL for a price of 0."""
+    return round_half_away(ratio(points, tenths.cast("double") / F.lit(10.0)), 2)
+
+
 def form_trend(players: DataFrame, key: str = "player_id") -> DataFrame:
     """Form and points against the previous snapshot."""
     with_prev = snapshot_delta(
@@ -120,7 +129,7 @@ def price_momentum(players: DataFrame, key: str = "player_id") -> DataFrame:
         "transfers_in_event",
         "transfers_out_event",
         (F.col("transfers_in_event") - F.col("transfers_out_event")).alias("net_transfers_event"),
-        labels.direction(cost, prev_cost, "rising", "falling", "stable").alias("price_trend"),
+        price_trend(cost, prev_cost).alias("price_trend"),
     )
 
 
@@ -148,7 +157,6 @@ def value_rank(players: DataFrame, split: bool | None = None, rows: int = GROUP_
     group = ["load_date", "position_id"]
     if split is None:
         split = needs_split(players, group, rows)
-    millions = F.col("now_cost").cast("double") / F.lit(10.0)
     valued = players.filter(~F.col("removed")).select(
         "load_date",
         "player_id",
@@ -157,7 +165,7 @@ def value_rank(players: DataFrame, split: bool | None = None, rows: int = GROUP_
         "position_id",
         "now_cost",
         "total_points",
-        round_half_away(ratio(F.col("total_points"), millions), 2).alias("points_per_million"),
+        points_per_million(F.col("total_points"), F.col("now_cost")).alias("points_per_million"),
         "form",
         "points_per_game",
         "minutes",

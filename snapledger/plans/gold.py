@@ -77,17 +77,13 @@ def league_table(ctx: Context) -> DataFrame:
 
 @model("gold", stored=True)
 def transfer_decision(ctx: Context) -> DataFrame:
-    threat = scoring.underlying_threat(
-        ctx.ref("players"), ctx.ref("positions"), ctx.ref("season_player_map"), ctx.ref("season_players")
-    )
     return scoring.transfer_decision(
-        ctx.ref("player_value"),
-        ctx.ref("price_momentum"),
-        ctx.ref("availability_risk"),
-        scoring.fixture_ease(ctx.ref("fixture_difficulty")),
-        threat,
-        ctx.ref("teams"),
+        ctx.ref("players"),
         ctx.ref("positions"),
+        ctx.ref("teams"),
+        ctx.ref("season_player_map"),
+        ctx.ref("season_players"),
+        scoring.fixture_ease(ctx.ref("fixture_difficulty")),
     )
 
 

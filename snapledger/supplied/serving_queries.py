@@ -465,7 +465,7 @@ def own_standings(t):
 
 @query("""with viewers as (
   select c_nationkey, max(c_custkey) as viewer from customer where (c_nationkey, c_acctbal) in
-    (select (c_nationkey, max(c_acctbal)) from customer group by 1) group by 1)
+    (select (c_nationkey, max(c_acctbal)) from customer group by c_nationkey) group by c_nationkey)
 select cast(c_nationkey as bigint) as league_id, c_custkey as entry, c_acctbal, c_custkey = viewer as you
 from customer join viewers using (c_nationkey)""")
 def league_views(t):

@@ -19,7 +19,9 @@ def test_every_model_builds(ctx):
     built = ctx.build()
     assert set(built) == set(MODELS)
     assert all(df.count() > 0 for df in built.values())
-    assert set(ctx.edges["transfer_decision"]) >= {"player_value", "price_momentum", "season_player_map"}
+    assert set(ctx.edges["transfer_decision"]) == {
+        "players", "positions", "teams", "season_player_map", "season_players", "fixture_difficulty"
+    }
 
 
 def test_players_are_typed(ctx):
@@ -173,3 +175,15 @@ def test_publish(ctx, spark):
     ctx.publish("players", "league_table")
     assert spark.table("silver_players").count() == 25
     assert spark.table("gold.league_table").count() == 6
+
+
+def test_split_groups_give_the_same_decisions(ctx):
+    from snapledger.operators import scoring
+
+    parts = [ctx.ref(n) for n in ("players", "positions", "teams", "season_player_map", "season_players")]
+    ease = scoring.fixture_ease(ctx.ref("fixture_difficulty"), split=True)
+    split = scoring.transfer_decision(*parts, ease, split=True)
+    assert sorted(map(str, split.collect())) == sorted(map(str, ctx.ref("transfer_decision").collect()))
+    args = ctx.ref("players"), ctx.ref("league_table"), ease
+    outlook = scoring.defensive_outlook(*args, split=True)
+    assert sorted(map(str, outlook.collect())) == sorted(map(str, ctx.ref("defensive_outlook").collect()))
