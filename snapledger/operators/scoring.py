@@ -63,7 +63,7 @@ def ordinal_trend(
     ranked = df.withColumn("_rank", labels.ordinal(F.col(bucket), ranking))
     columns = {**previous, "_rank": "_prev_rank"}
     with_prev = snapshot_delta(ranked, key, order, columns, split)
-    moved = labels.direction(F.col("_rank"), F.col("_prev_rank"), "upgraded", "downgraded", "unchanged")
+    moved = labels.direction(F.col("_rank"), F.col("_prev_rank"), labels.BUCKET_TRENDS)
     return with_prev.withColumn(out, moved).drop("_rank", "_prev_rank")
 
 

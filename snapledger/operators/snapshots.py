@@ -76,7 +76,7 @@ def snapshot_delta(
 
 
 def price_trend(cost: Column, previous: Column) -> Column:
-    return labels.direction(cost, previous, "rising", "falling", "stable")
+    return labels.direction(cost, previous, labels.PRICE_TRENDS)
 
 
 def points_per_million(points: Column, tenths: Column) -> Column:
