@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Model(NamedTuple):
+    """A named table. `kind` is how it is published; a `stored` one is written when built."""
+
     name: str
     layer: str
+    kind: str
     stored: bool
     build: Callable[[Context], DataFrame]
 
@@ -18,16 +21,34 @@ class Model(NamedTuple):
 MODELS: dict[str, Model] = {}
 
 
-def model(layer: str, stored: bool):
-    """Register a function as a model of a layer; stored models are written, others stay lazy."""
+def model(layer: str, kind: str, stored: bool | None = None):
+    """Register a function as a "view" or "table" of a layer.
+
+    Tables are stored. A view that many models read can be stored too, so that its typing work
+    is done once.
+    """
 
     def register(build):
-        MODELS[build.__name__] = Model(build.__name__, layer, stored, build)
+        keep = kind == "table" if stored is None else stored
+        MODELS[build.__name__] = Model(build.__name__, layer, kind, keep, build)
         return build
 
     return register
 
 
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Replace the table at `path` and read it back, one folder per load date where it has one.
+
+    Queries on the newest snapshot then read one folder. The rebalance step merges small files
+    and cuts a large date into several.
+    """
+    writer = df.write
+    if "load_date" in df.columns:
+        writer = df.hint("rebalance", "load_date").write.partitionBy("load_date")
+    writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+
+
 class Context:
     """Resolves references. A model is built once per context, after the models it asks for.
 
@@ -70,9 +91,7 @@ class Context:
             finally:
                 self._stack.pop()
             if entry.stored and self.warehouse:
-                path = f"{self.warehouse}/{entry.layer}/{name}"
-                df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-                df = self.spark.read.parquet(path)
+                df = store(df, f"{self.warehouse}/{entry.layer}/{name}")
             self._built[name] = df
         return self._built[name]
 
@@ -81,10 +100,10 @@ class Context:
         return {name: self.ref(name) for name in names or MODELS}
 
     def publish(self, *names: str) -> None:
-        """Register models in the catalog: stored ones as tables of their layer, others as views."""
+        """Register models in the catalog: tables in the database of their layer, others as views."""
         for name, df in self.build(*names).items():
             entry = MODELS[name]
-            if entry.stored:
+            if entry.kind == "table":
                 self.spark.sql(f"create database if not exists {entry.layer}")
                 df.write.mode("overwrite").saveAsTable(f"{entry.layer}.{name}")
             else:

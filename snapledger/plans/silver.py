@@ -98,27 +98,27 @@ TEAM_MATCH_FIELDS = [
 ]
 
 
-@model("silver", stored=False)
+@model("silver", "view", stored=True)
 def players(ctx: Context) -> DataFrame:
     """One row per player and snapshot."""
     typed_rows = unnest_snapshot(ctx.source("bootstrap"), "elements", PLAYER_FIELDS, SNAPSHOT)
     return typed_rows.withColumn("news", blank_to_null(F.col("news")))
 
 
-@model("silver", stored=False)
+@model("silver", "view", stored=True)
 def teams(ctx: Context) -> DataFrame:
     """One row per team and snapshot."""
     return unnest_snapshot(ctx.source("bootstrap"), "teams", TEAM_FIELDS, SNAPSHOT)
 
 
-@model("silver", stored=False)
+@model("silver", "view")
 def positions(ctx: Context) -> DataFrame:
     """One row per position, from the newest snapshot that lists it."""
     newest = latest_dimension(ctx.source("bootstrap"), "element_types", POSITION_FIELDS, ["position_id"])
     return newest.drop("load_date")
 
 
-@model("silver", stored=False)
+@model("silver", "view", stored=True)
 def fixtures(ctx: Context) -> DataFrame:
     """One row per fixture and snapshot."""
     raw = ctx.source("fixtures")
@@ -162,19 +162,19 @@ def exported_events(payloads: DataFrame) -> DataFrame:
     )
 
 
-@model("silver", stored=False)
+@model("silver", "view")
 def matches(ctx: Context) -> DataFrame:
     """One row per match payload."""
     return match_headers(ctx.source("match_payloads"))
 
 
-@model("silver", stored=False)
+@model("silver", "view")
 def match_events(ctx: Context) -> DataFrame:
     """One row per exported event element; ids may repeat."""
     return exported_events(ctx.source("match_payloads"))
 
 
-@model("silver", stored=False)
+@model("silver", "view")
 def match_players(ctx: Context) -> DataFrame:
     """One row per player id of the match payloads: usual spelling and squad appearances."""
     payloads = ctx.source("match_payloads").withColumn("match_id", id_from_file(F.col("filename")))
@@ -186,7 +186,7 @@ def match_players(ctx: Context) -> DataFrame:
     )
 
 
-@model("silver", stored=False)
+@model("silver", "view")
 def season_players(ctx: Context) -> DataFrame:
     """One row per season and player, newest load of the season only."""
     newest = latest_load_per_group(ctx.source("season_players"), ["season"])
@@ -195,14 +195,14 @@ def season_players(ctx: Context) -> DataFrame:
     )
 
 
-@model("silver", stored=False)
+@model("silver", "view")
 def season_matches(ctx: Context) -> DataFrame:
     """One row per season and match, newest load only; goals and xG are NULL until played."""
     newest = latest_load_per_group(ctx.source("season_matches"), ["season"])
     return flat_snapshot(newest, SEASON_MATCH_FIELDS, SNAPSHOT)
 
 
-@model("silver", stored=False)
+@model("silver", "view")
 def season_team_matches(ctx: Context) -> DataFrame:
     """One row per season, team and match date, newest load only."""
     newest = latest_load_per_group(ctx.source("season_teams"), ["season"])

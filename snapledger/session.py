@@ -12,7 +12,7 @@ _local_scratch: dict[str, str] = {}
 
 
 def build_session(app_name: str = "snapledger", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with the settings the library relies on; `conf` keys use `_` for `.`-free names only."""
+    """Session with the settings the library relies on; `conf` adds to them or replaces them."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -57,3 +57,11 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application settled. Call it once its results are written elsewhere."""
+    folder = os.path.join(scratch_dir(spark), "snapledger", spark.sparkContext.applicationId)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from snapledger.functions.fields import pick
 from snapledger.functions.text import required, season_from_deadline
+from snapledger.session import settle
 from snapledger.sources.catalog import read_source, source
 
 PARTITION_COLUMNS = ("season", "load_date")
@@ -57,10 +58,12 @@ def payload_season(events: Column, override: str | None = None) -> Column:
 def write_raw(df: DataFrame, path: str) -> None:
     """Write or replace the partitions present in `df`; other partitions stay.
 
-    Landing the same day twice gives the same table.
+    Landing the same day twice gives the same table. The rebalance step merges small files and
+    cuts a large partition into several.
     """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *PARTITION_COLUMNS)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITION_COLUMNS)
         .parquet(path)
@@ -107,12 +110,13 @@ def land_folder(
     return path
 
 
-def land_league_payloads(
-    payloads: DataFrame, warehouse: str
-) -> dict[str, str]:
-    """Land split payloads of any number of seasons in one call. Returns the tables' paths."""
+def land_league_payloads(payloads: DataFrame, warehouse: str) -> dict[str, str]:
+    """Land split payloads of any number of seasons in one call. Returns the tables' paths.
+
+    The parsed payloads are stored first, as each of the three tables reads them.
+    """
     paths = {}
-    for name, records in split_league_payload(payloads).items():
+    for name, records in split_league_payload(settle(payloads, "payloads")).items():
         paths[name] = f"{warehouse}/raw/{name}"
         write_raw(typed_records(records, name), paths[name])
     return paths

@@ -89,11 +89,9 @@ def payload_split(t):
             F.struct(F.month(date).alias("id"), F.lit("month").alias("label")).alias("87"),
         ).alias("teams"),
     )
-    payloads = t.orders.select(
-        F.year(date).alias("season"),
-        pick(payload, "players", "array<variant>").alias("players"),
-        pick(payload, "dates", "array<variant>").alias("dates"),
-        pick(payload, "teams", "map<string,variant>").alias("teams"),
+    blocks = {"players": "array<variant>", "dates": "array<variant>", "teams": "map<string,variant>"}
+    payloads = t.orders.select(F.year(date).alias("season"), payload.alias("payload")).select(
+        "season", *[pick(F.col("payload"), block, kind).alias(block) for block, kind in blocks.items()]
     )
     spec = [*fields("bigint", ("id", "entity_id")), *fields("string", "label")]
     whole = None

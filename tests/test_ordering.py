@@ -93,3 +93,15 @@ def test_form_guide(spark):
 
 def test_needs_split(skewed):
     assert not ordering.needs_split(skewed, ["g"], 400) and ordering.needs_split(skewed, ["g"], 399)
+
+
+def test_hot_group_spreads_over_slices(skewed):
+    sliced = ordering._sliced(skewed, ["g"], [up("v"), up("id")])
+    shares = [r["count"] for r in sliced.filter("g = 'hot'").groupBy("_slice").count().collect()]
+    assert len(shares) >= 3 and max(shares) < 300
+
+
+def test_form_guide_limits_before_the_shuffle(spark):
+    df = spark.createDataFrame([(1, 1, 1, 0)], "g int, d int, goals_for int, goals_against int")
+    plan = form_guide(df, ["g"], [down("d")])._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
