@@ -28,9 +28,13 @@ def _fold_table() -> tuple[str, str]:
 
 
 def strip_accents(text: Column) -> Column:
-    """Drop combining marks. Letters that do not decompose (ø, đ, ı) stay as they are."""
+    """Drop combining marks. Letters that do not decompose (ø, đ, ı) stay as they are.
+
+    Plain ASCII, whose length in bytes equals its length in characters, has nothing to fold.
+    """
     accented, base = _fold_table()
-    return F.regexp_replace(F.translate(text, accented, base), r"\p{M}", "")
+    folded = F.regexp_replace(F.translate(text, accented, base), r"\p{M}", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def name_key(text: Column) -> Column:

@@ -24,8 +24,8 @@ LINES = """lines as (
 
 
 def _payload(*columns: Column) -> Column:
-    """The columns as one parsed JSON payload, as a source would deliver it."""
-    return F.parse_json(F.to_json(F.struct(*columns)))
+    """The columns as one VARIANT payload, as the JSON reader would deliver it."""
+    return F.to_variant_object(F.struct(*columns))
 
 
 def _line_elements(element) -> Column:

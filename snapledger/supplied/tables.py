@@ -28,7 +28,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)  # opened once per query
+        return table
 
     # Snapshot series: one row per user and day.
 
@@ -93,29 +95,28 @@ class Tables:
             (F.col("n_nationkey") + 900).alias("team_code"),
         )
 
-    def season_players(self) -> DataFrame:
+    def season_players(self, players: DataFrame | None = None) -> DataFrame:
         """Season totals of the other source: one row per user and year."""
-        return (
-            self.daily()
-            .groupBy(F.year("load_date").alias("season"), "user_id")
-            .agg(
-                F.sum("k").alias("minutes"),
-                F.sum("purchases").alias("goals"),
-                (F.sum("clicks") / F.lit(2.0)).alias("npxg"),
-                (F.sum("clicks") / F.lit(2.0) + F.sum("errors") / F.lit(4.0)).alias("xg"),
-                (F.sum("signups") / F.lit(4.0)).alias("xa"),
-            )
-            .select(
-                "season",
-                (F.col("user_id") + 500000).alias("player_ud_id"),
-                F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("player_name"),
-                F.concat(F.lit("Team "), (F.col("user_id") % 25).cast("string")).alias("team_name"),
-                "minutes",
-                "goals",
-                "npxg",
-                "xg",
-                "xa",
-            )
+        players = self.players() if players is None else players
+        clicks, errors, signups = F.sum("event_points"), F.sum("transfers_out_event"), F.sum("clean_sheets")
+        totals = players.groupBy("season", "player_id").agg(
+            F.sum("minutes").alias("minutes"),
+            F.sum("goals_scored").alias("goals"),
+            (clicks / F.lit(2.0)).alias("npxg"),
+            (clicks / F.lit(2.0) + errors / F.lit(4.0)).alias("xg"),
+            (signups / F.lit(4.0)).alias("xa"),
+        )
+        user = F.col("player_id")
+        return totals.select(
+            "season",
+            (user + 500000).alias("player_ud_id"),
+            F.concat(F.lit("User "), user.cast("string")).alias("player_name"),
+            F.concat(F.lit("Team "), (user % 25).cast("string")).alias("team_name"),
+            "minutes",
+            "goals",
+            "npxg",
+            "xg",
+            "xa",
         )
 
     def player_map(self, players: DataFrame) -> DataFrame:
