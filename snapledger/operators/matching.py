@@ -75,9 +75,12 @@ def match_ladder(
     """Pairs (left id, right id, match_rule) from an ordered list of exact rules.
 
     Each rung sees only ids the rungs above left unmatched, and pairs a key only when exactly
-    one remaining id holds it on either side. Both sides must have one row per id. Each rung's
-    pairs are written out before the next, so the plan of a rung does not contain the others.
+    one remaining id holds it on either side. Both sides must have one row per id. The keys are
+    computed once and stored, as every rung reads them; each rung's pairs are stored before the
+    next, so the plan of a rung does not contain the others.
     """
+    left = settle(left.select(left_id, *dict.fromkeys(r.left_key for r in rungs)), "ladder-left")
+    right = settle(right.select(right_id, *dict.fromkeys(r.right_key for r in rungs)), "ladder-right")
     pairs: list[DataFrame] = []
     for position, rung in enumerate(rungs):
         met = _meet(left, right, left_id, right_id, rung)

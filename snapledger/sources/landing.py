@@ -81,6 +81,11 @@ def load_raw(
     return path
 
 
+def read_raw(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
+    """A landed raw table; its VARIANT columns are already parsed."""
+    return spark.read.parquet(f"{warehouse}/raw/{name}")
+
+
 def land_folder(
     spark: SparkSession,
     folder: str,

@@ -11,9 +11,8 @@ from snapledger.operators import fixtures as fixture_ops
 from snapledger.operators.replacement import best_affordable
 from snapledger.plans import serving
 from snapledger.session import settle
-from snapledger.supplied.fixture_queries import stored_fixtures
 from snapledger.supplied.registry import query
-from snapledger.supplied.snapshot_queries import DECISION, OUTLOOK, RUNS, decision, outlook, snapshot_ease, stored_players
+from snapledger.supplied.snapshot_queries import DECISION, OUTLOOK, Stored, stored_players
 from snapledger.supplied.tables import DAILY, FIXTURES, PLAYERS, TEAMS, Tables
 
 LATEST = f"""{DECISION},
@@ -25,16 +24,10 @@ LATEST_OUTLOOK = LATEST + OUTLOOK[len(DECISION):] + """,
 newest_outlook as (select * from outlook where load_date = (select max(load_date) from outlook))"""
 
 
-def _latest(t: Tables, players: DataFrame | None = None, fixtures: DataFrame | None = None) -> DataFrame:
+def _latest(stored: Tables | Stored) -> DataFrame:
     """Newest decisions, stored: the serving queries read a finished table."""
-    players = stored_players(t) if players is None else players
-    whole = decision(t, players, fixtures)
-    return serving.latest_decisions(settle(whole, "decision"), players, t.teams())
-
-
-def _latest_with_outlook(t: Tables) -> tuple[DataFrame, DataFrame]:
-    players, fixtures = stored_players(t), stored_fixtures(t)
-    return _latest(t, players, fixtures), settle(outlook(t, players, fixtures), "outlook")
+    stored = Stored(stored) if isinstance(stored, Tables) else stored
+    return serving.latest_decisions(settle(stored.decision(), "decision"), stored.players, stored.t.teams())
 
 
 PICK = ("player_id", "web_name", "team_name", "team_code", "player_code", "price_m", "transfer_score")
@@ -88,8 +81,8 @@ select {PICK_SQL}, team_id, position_short_name, defensive_outlook_score from (
   from latest join leaders using (team_id) where position_short_name in ('GKP', 'DEF'))
 where rn = 1""")
 def clean_sheet_picks(t):
-    latest, table = _latest_with_outlook(t)
-    return serving.clean_sheet_picks(latest, table).select(
+    stored = Stored(t)
+    return serving.clean_sheet_picks(_latest(stored), settle(stored.outlook(), "outlook")).select(
         *PICK, "team_id", "position_short_name", "defensive_outlook_score"
     )
 
@@ -98,13 +91,13 @@ def clean_sheet_picks(t):
 select newest_outlook.team_name, defensive_outlook_score, played, team_code
 from newest_outlook join teams using (team_id) order by defensive_outlook_score desc, team_id limit 1""")
 def best_defence(t):
-    return serving.best_defence(settle(outlook(t), "outlook"), t.teams())
+    return serving.best_defence(settle(Stored(t).outlook(), "outlook"), t.teams())
 
 
 @query(f"""with {LATEST_OUTLOOK}
 select coalesce(bool_or(fixture_pctl is not null), false) as published from newest_outlook""")
 def ease_published(t):
-    return serving.ease_published(settle(outlook(t), "outlook"))
+    return serving.ease_published(settle(Stored(t).outlook(), "outlook"))
 
 
 @query(f"""with {LATEST},
@@ -115,9 +108,9 @@ following as (
 select {PICK_SQL}, opponent_name, is_home, difficulty
 from (select * from latest order by transfer_score desc, player_id limit 5) left join following using (team_id)""")
 def captain_picks(t):
-    fixtures = stored_fixtures(t)
-    difficulty = settle(fixture_ops.fixture_difficulty(fixtures, t.teams()), "difficulty")
-    return serving.captain_picks(_latest(t, fixtures=fixtures), difficulty).select(
+    stored = Stored(t)
+    difficulty = settle(fixture_ops.fixture_difficulty(stored.fixtures, t.teams()), "difficulty")
+    return serving.captain_picks(_latest(stored), difficulty).select(
         *PICK, "opponent_name", "is_home", "difficulty"
     )
 

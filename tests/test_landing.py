@@ -37,7 +37,8 @@ def test_partition_filter_prunes_files(spark, landed):
 def test_load_raw_round_trip(spark, landed, tmp_path):
     path = landing.load_raw(spark, landed, "bootstrap", str(tmp_path))
     landing.load_raw(spark, landed, "bootstrap", str(tmp_path))
-    stored = spark.read.parquet(path)
+    stored = landing.read_raw(spark, str(tmp_path), "bootstrap")
+    assert stored.inputFiles()[0].startswith("file://" + path)
     assert stored.count() == 2
     assert stored.select(F.explode("elements")).count() == 25
 

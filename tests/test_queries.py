@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from snapledger.operators import ordering, scoring, snapshots
 from tests import oracle
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,3 +33,13 @@ def test_every_query_has_sql():
 def test_query(spark, con, name):
     problem, _ = oracle.differences(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name])
     assert not problem
+
+
+@pytest.mark.parametrize("name", ["value_rank", "percentile_signals", "next_n_run", "standings", "transfer_decision"])
+def test_split_groups(spark, con, monkeypatch, name):
+    """The same queries when every group counts as too large for one task."""
+    for module in (ordering, scoring, snapshots):
+        monkeypatch.setattr(module, "needs_split", lambda *_: True)
+    monkeypatch.setattr(ordering.over_rows, "__defaults__", (*ordering.over_rows.__defaults__[:-1], 9))
+    problem, _ = oracle.differences(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name])
+    assert not problem
