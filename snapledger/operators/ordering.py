@@ -2,9 +2,10 @@
 
 A Spark window puts a whole group into one task. That is the right plan while every group fits
 a task, so each function measures the largest group first (one aggregate with map-side combine)
-and uses the plain window when it fits; a caller that knows the answer passes `split`. Larger groups take an exact second way: rows are range
-partitioned by (group, order), so a group is cut into ordered slices; each slice is numbered on
-its own and shifted by the size of the slices before it.
+and uses the plain window when it fits; a caller that knows the answer passes `split`. Larger
+groups take an exact second way: rows are range partitioned by (group, order), so a group is cut
+into ordered slices; each slice is numbered on its own and shifted by the size of the slices
+before it.
 """
 
 from __future__ import annotations

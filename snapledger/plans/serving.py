@@ -98,7 +98,8 @@ def clean_sheet_picks(latest: DataFrame, outlook: DataFrame, k: int = 4) -> Data
 
 def ease_published(outlook: DataFrame) -> DataFrame:
     """Whether any team of the newest snapshot has a fixture signal."""
-    return latest_snapshot(outlook).agg(F.coalesce(F.bool_or(F.col("fixture_pctl").isNotNull()), F.lit(False)).alias("published"))
+    published = F.coalesce(F.bool_or(F.col("fixture_pctl").isNotNull()), F.lit(False))
+    return latest_snapshot(outlook).agg(published.alias("published"))
 
 
 def captain_picks(latest: DataFrame, difficulty: DataFrame, k: int = 5) -> DataFrame:
@@ -182,9 +183,14 @@ def best_attack_defence(table: DataFrame) -> DataFrame:
         F.max_by(row, F.struct("goals_for", -F.col("position"))).alias("attack"),
         F.min_by(row, F.struct("goals_against", "position")).alias("defence"),
     )
+
+    def card(name: str, side: str, goals: str) -> Column:
+        return F.struct(
+            F.lit(name).alias("card"), F.col(f"{side}.team_name").alias("team_name"), F.col(f"{side}.{goals}").alias("goals")
+        )
+
     cards = F.array(
-        F.struct(F.lit("best_attack").alias("card"), F.col("attack.team_name").alias("team_name"), F.col("attack.goals_for").alias("goals")),
-        F.struct(F.lit("best_defence").alias("card"), F.col("defence.team_name").alias("team_name"), F.col("defence.goals_against").alias("goals")),
+        card("best_attack", "attack", "goals_for"), card("best_defence", "defence", "goals_against")
     )
     return first.select(F.inline(cards))
 

@@ -77,10 +77,12 @@ def configured(reader, name: str):
     """Reader (batch or streaming) with a source's format, options and schema.
 
     One JSON file holds one object or one top-level array; an array yields one row per element.
+    A malformed file fails the read instead of turning into NULLs.
     """
     if name in WHOLE_FILE:
         return reader.format("text").option("wholetext", True).schema(f"value string, {PARTITIONS}")
-    return reader.format("json").option("multiLine", True).schema(f"{source(name).schema}, {PARTITIONS}")
+    options = {"multiLine": "true", "mode": "FAILFAST"}
+    return reader.format("json").options(**options).schema(f"{source(name).schema}, {PARTITIONS}")
 
 
 def finished(df: DataFrame, name: str) -> DataFrame:

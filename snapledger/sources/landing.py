@@ -99,7 +99,7 @@ def land_folder(
     The season is the override, else it is read from the payload (snapshots that list events).
     """
     entry = source(name)
-    payloads = spark.read.option("multiLine", True).schema(entry.schema).json(folder)
+    payloads = spark.read.option("multiLine", True).schema(entry.schema).json(folder, mode="FAILFAST")
     if season is None and "elements" not in payloads.columns:
         raise ValueError(f"{name} names no season; pass one")
     label = payload_season(F.col("events"), season) if season is None else F.lit(season)

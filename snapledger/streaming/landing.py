@@ -8,12 +8,21 @@ from snapledger.sources.catalog import configured, finished, source
 from snapledger.sources.landing import PARTITION_COLUMNS
 
 
+# Files per micro-batch: a long backlog is worked off in bounded steps.
+FILES_PER_BATCH = 10_000
+
+
 def stream_source(
-    spark: SparkSession, root: str, name: str, feeds: dict[str, str] | None = None
+    spark: SparkSession,
+    root: str,
+    name: str,
+    feeds: dict[str, str] | None = None,
+    files_per_batch: int = FILES_PER_BATCH,
 ) -> DataFrame:
     """Streaming counterpart of `read_source`: the same columns, fed by files as they arrive."""
     entry = source(name)
     reader = configured(spark.readStream, name).option("basePath", entry.base(root, feeds))
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return finished(reader.load(entry.glob(root, feeds)), name)
 
 

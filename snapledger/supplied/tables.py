@@ -199,8 +199,7 @@ players as (
     clicks as event_points, round(cast(cents as double) / n, 2) as points_per_game, k as minutes,
     signups as clean_sheets, purchases as goals_scored, views as assists,
     clicks / cast(2.0 as double) as expected_goals, signups / cast(4.0 as double) as expected_assists,
-    case (user_id + day(load_date)) % 5 when 0 then 'a' when 1 then 'd' when 2 then 'i' when 3 then 's' else 'n' end
-      as status,
+    ['a', 'd', 'i', 's', 'n'][(user_id + day(load_date)) % 5 + 1] as status,
     nullif(n % 6 * 25, 125) as chance_of_playing_next_round, n as chance_of_playing_this_round,
     case when errors > 0 then 'errors: ' || errors end as news, errors >= 3 as removed
   from daily),

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from snapledger.plans.registry import Context
 from snapledger.sources import catalog, landing
 from snapledger.streaming.landing import land_new_files, stream_source
 from tests import tree
@@ -102,8 +103,32 @@ def test_incremental_landing_equals_batch(spark, tmp_path):
         base = root / "game" / "season=2025" / f"load_date={day}"
         tree.dump(base / "bootstrap_static.json", tree.bootstrap(day))
         land_new_files(stream_source(spark, str(root), "bootstrap"), table, mark)
-    land_new_files(stream_source(spark, str(root), "bootstrap"), table, mark)
+    land_new_files(stream_source(spark, str(root), "bootstrap", files_per_batch=1), table, mark)
     flat = [F.col("load_date"), F.col("season"), F.to_json("elements").alias("e"), "filename"]
     stored = spark.read.parquet(table).select(*flat).collect()
     batch = catalog.read_source(spark, str(root), "bootstrap").select(*flat).collect()
     assert sorted(stored) == sorted(batch) and len(stored) == 2
+
+
+def test_malformed_file_fails(spark, tmp_path):
+    tree.dump(tmp_path / "game/season=2025/load_date=2025-09-01/fixtures.json", tree.fixture_list())
+    broken = tmp_path / "game/season=2025/load_date=2025-09-02/fixtures.json"
+    broken.parent.mkdir(parents=True)
+    broken.write_text('[{"id": 1, "cod', encoding="utf-8")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        catalog.read_source(spark, str(tmp_path), "fixtures").collect()
+
+
+def test_models_read_raw_tables(spark, ctx, landed, tmp_path):
+    warehouse = str(tmp_path)
+    for name in ("bootstrap", "fixtures", "match_payloads", "season_players", "season_teams"):
+        landing.load_raw(spark, landed, name, warehouse)
+    raw = Context(spark, lambda name: landing.read_raw(spark, warehouse, name))
+    for name in ("players", "league_table", "matches", "match_players", "season_players", "season_team_matches"):
+        assert sorted(map(str, raw.ref(name).collect())) == sorted(map(str, ctx.ref(name).collect()))
+    assert raw.ref("match_events").count() == ctx.ref("match_events").count()
+
+
+def test_feeds_rename_folders(spark, tmp_path):
+    tree.dump(tmp_path / "other/season=2025/load_date=2025-09-01/fixtures.json", tree.fixture_list())
+    assert catalog.read_source(spark, str(tmp_path), "fixtures", {"game": "other"}).count() == 10
