@@ -12,7 +12,7 @@ from snapledger.functions.fields import fields, pick, typed
 from snapledger.functions.numbers import round_half_away
 from snapledger.functions.text import contains_pattern, link, season_label
 from snapledger.operators.fixtures import team_key
-from snapledger.operators.ordering import down, top, top_per_group, up
+from snapledger.operators.ordering import down, sorts, top, top_per_group, up
 from snapledger.operators.replacement import best_affordable
 from snapledger.operators.snapshots import latest_snapshot, latest_value
 
@@ -66,6 +66,11 @@ def latest_decisions(
     return shown
 
 
+def by_score(latest: DataFrame) -> DataFrame:
+    """The whole table in page order. Stored tables have no order; pages sort what they show."""
+    return latest.orderBy(*sorts(_best()))
+
+
 def top_pick(latest: DataFrame) -> DataFrame:
     return top(latest, _best())
 
@@ -160,10 +165,11 @@ def best_defence(outlook: DataFrame, teams: DataFrame) -> DataFrame:
 
 
 def latest_table(table: DataFrame) -> DataFrame:
-    """Newest standings with the zone of each position and the season's display label."""
-    return latest_snapshot(table).withColumns(
+    """Newest standings in table order, with zones and the season's display label."""
+    shown = latest_snapshot(table).withColumns(
         {"zone": labels.zone(F.col("position")), "season_label": season_label(F.col("season"))}
     )
+    return shown.orderBy("position")
 
 
 def league_leader(table: DataFrame, games: int = SEASON_GAMES) -> DataFrame:
@@ -269,6 +275,11 @@ def team_xg_table(team_matches: DataFrame, season: int | None = None) -> DataFra
     )
 
 
+def xg_table_by_points(team_matches: DataFrame, season: int | None = None) -> DataFrame:
+    """`team_xg_table` in page order."""
+    return team_xg_table(team_matches, season).orderBy(*sorts([down("points"), down("npxgd"), up("team_name")]))
+
+
 def points_range(xg_table: DataFrame, margin: float = 4.0) -> DataFrame:
     """Smallest and largest of actual and expected points, widened by a margin."""
     return xg_table.agg(
@@ -288,8 +299,9 @@ def finishing_extremes(season_players: DataFrame, min_minutes: int = MIN_MINUTES
 
 
 def defence_delta(xg_table: DataFrame) -> DataFrame:
-    """Expected minus actual goals conceded."""
-    return xg_table.withColumn("defensive_delta", round_half_away(F.col("xga") - F.col("goals_conceded"), 1))
+    """Expected minus actual goals conceded, best first."""
+    delta = round_half_away(F.col("xga") - F.col("goals_conceded"), 1)
+    return xg_table.withColumn("defensive_delta", delta).orderBy(F.col("defensive_delta").desc(), "season", "team_name")
 
 
 # Squads: for all managers at once
@@ -313,7 +325,7 @@ def unresolved(squad: DataFrame) -> DataFrame:
 def captain_suggestion(squad: DataFrame) -> DataFrame:
     """Best fit starter of each manager against the captain they chose."""
     starters = squad.filter((F.col("squad_slot") == "starting") & F.col("player_id").isNotNull())
-    fit, named = F.col("availability_risk") != "high_risk", F.col("is_captain")
+    fit, named = ~F.col("availability_risk").eqNullSafe("high_risk"), F.col("is_captain")
     entry = F.struct("player_id", "web_name", "transfer_score")
     best_first = F.struct((-F.col("transfer_score")).alias("s"), F.col("player_id").alias("p"))
     advice = starters.groupBy("manager_id").agg(
@@ -359,7 +371,7 @@ def weak_links(squad: DataFrame, banks: DataFrame, latest: DataFrame) -> DataFra
         "recommendation",
         (tenths("price_m") + F.col("bank")).alias("budget"),
     )
-    pool = latest.filter(F.col("availability_risk") != "high_risk").select(
+    pool = latest.filter(~F.col("availability_risk").eqNullSafe("high_risk")).select(
         "position_short_name", F.col("player_id").alias("item"), tenths("price_m").alias("price"),
         F.col("transfer_score").alias("score"),
     )

@@ -91,12 +91,13 @@ def land_folder(
     folder: str,
     name: str,
     warehouse: str,
-    load_date: str,
+    load_date: str | None = None,
     season: str | None = None,
 ) -> str:
     """Land a folder of payload files as one partition of a raw table.
 
-    The season is the override, else it is read from the payload (snapshots that list events).
+    The season is the override, else it is read from the payload (snapshots that list events);
+    the load date is the override, else today.
     """
     entry = source(name)
     payloads = spark.read.option("multiLine", True).schema(entry.schema).json(folder, mode="FAILFAST")
@@ -107,7 +108,7 @@ def land_folder(
         {
             "filename": F.col("_metadata.file_path"),
             "season": required(label, "no season").cast("int"),
-            "load_date": F.to_date(F.lit(load_date)),
+            "load_date": F.to_date(F.lit(load_date)) if load_date else F.current_date(),
         }
     )
     path = f"{warehouse}/raw/{name}"

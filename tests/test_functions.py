@@ -102,6 +102,15 @@ def test_recommendation(spark, score, risk, expected):
     assert one(spark, labels.recommendation(F.lit(score), F.lit(risk).cast("string"))) == expected
 
 
+@pytest.mark.parametrize(
+    "now, before, expected",
+    [(5, 4, "rising"), (4, 5, "falling"), (4, 4, "stable"), (4, None, "no_prior_snapshot"), (None, 4, "stable")],
+)
+def test_direction(spark, now, before, expected):
+    trend = labels.direction(F.lit(now).cast("int"), F.lit(before).cast("int"), labels.PRICE_TRENDS)
+    assert one(spark, trend) == expected
+
+
 def test_small_labels(spark):
     assert [one(spark, labels.zone(F.lit(p))) for p in (4, 5, 6, 17, 18)] == ["top", "next", "middle", "middle", "bottom"]
     assert one(spark, labels.squad_slot(F.lit(12))) == "bench"

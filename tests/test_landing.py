@@ -53,6 +53,8 @@ def test_land_folder_is_idempotent(spark, tmp_path):
     assert stored.count() == 2 and {r.season for r in stored.select("season").collect()} == {2025}
     path = landing.land_folder(spark, str(folder), "bootstrap", str(tmp_path / "w"), tree.DAY1, season="2030")
     assert {r.season for r in spark.read.parquet(path).select("season").collect()} == {2025, 2030}
+    path = landing.land_folder(spark, str(folder), "bootstrap", str(tmp_path / "today"))
+    assert spark.read.parquet(path).filter("load_date >= date '2025-01-01'").count() == 1
 
 
 def test_land_folder_without_a_season(spark, tmp_path):

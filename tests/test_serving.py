@@ -45,6 +45,8 @@ def test_stored_tables_are_rebalanced(ctx):
 def test_picks(ctx, latest):
     best = latest.orderBy(F.col("transfer_score").desc(), "player_id").first()
     assert ids(serving.top_pick(latest)) == [best.player_id]
+    scores = [r.transfer_score for r in serving.by_score(latest).collect()]
+    assert scores == sorted(scores, reverse=True)
     per_position = serving.top_by_position(latest).collect()
     assert len(per_position) == len({r.position_short_name for r in per_position}) == 4
     cheap = serving.budget_picks(latest, cap=5.5, k=1).collect()
@@ -73,7 +75,8 @@ def test_signal_breakdown(latest):
 
 def test_table_queries(ctx):
     table = ctx.ref("league_table")
-    shown = serving.latest_table(table).orderBy("position").collect()
+    shown = serving.latest_table(table).collect()
+    assert [r.position for r in shown] == [1, 2, 3]
     assert [r.zone for r in shown] == ["top"] * 3 and shown[0].season_label == "2025/26"
     leader = serving.league_leader(table).first()
     assert leader.team_name == "Chelsea" and leader.season_complete is False
@@ -96,6 +99,7 @@ def test_season_queries(ctx):
     assert serving.team_xg_table(matches, 2024).count() == 0
     delta = {r.team_name: r.defensive_delta for r in serving.defence_delta(serving.team_xg_table(matches)).collect()}
     assert delta == {"Arsenal": -0.1, "Chelsea": 0.5}
+    assert ids(serving.xg_table_by_points(matches), "team_name") == ["Arsenal", "Chelsea"]
     assert ids(serving.seasons(matches), "season") == [2025]
     bounds = serving.points_range(serving.team_xg_table(matches)).first()
     assert bounds.axis_min == pytest.approx(-3.1) and bounds.axis_max == pytest.approx(5.8)
