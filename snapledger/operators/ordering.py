@@ -20,6 +20,8 @@ from pyspark.sql.window import Window, WindowSpec
 from snapledger.session import settle
 
 GROUP_ROWS = 1_000_000
+# Up to this k Spark limits groups in every task (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 class Key(NamedTuple):
@@ -210,7 +212,13 @@ def over_rows(
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Key], k: int = 1) -> DataFrame:
-    """First `k` rows of each group. Spark keeps `k` rows per group in every task before the shuffle."""
+    """First `k` rows of each group; `order` must be unique within a group.
+
+    Every task keeps `k` rows per group before the shuffle. Spark does so only up to
+    `GROUP_LIMIT`; a longer list is numbered like any group that may not fit a task.
+    """
+    if k > GROUP_LIMIT:
+        return row_numbers(df, group, order, "_place").filter(F.col("_place") <= k).drop("_place")
     place = F.row_number().over(ordered(group, order))
     return df.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 

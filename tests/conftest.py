@@ -16,7 +16,7 @@ from tests import tree  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "snapledger-tests",
-        "local[4]",
+        "local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from snapledger import session
 from snapledger.plans.registry import Context
 from snapledger.sources import catalog, landing
 from snapledger.streaming.landing import land_new_files, stream_source
@@ -134,3 +135,17 @@ def test_models_read_raw_tables(spark, ctx, landed, tmp_path):
 def test_feeds_rename_folders(spark, tmp_path):
     tree.dump(tmp_path / "other/season=2025/load_date=2025-09-01/fixtures.json", tree.fixture_list())
     assert catalog.read_source(spark, str(tmp_path), "fixtures", {"game": "other"}).count() == 10
+
+
+def test_scratch_is_shared_and_clearable(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_dir", lambda _: str(tmp_path))
+    kept = session.settle(spark.range(5), "numbers")
+    assert kept.count() == 5 and kept.inputFiles()[0].startswith(f"file://{tmp_path}/snapledger/")
+    session.clear_scratch(spark)
+    assert list((tmp_path / "snapledger").iterdir()) == []
+
+
+def test_scratch_follows_the_cluster_setting(spark):
+    setting = spark.conf.get("spark.checkpoint.dir", None)
+    if setting:
+        assert session.scratch_dir(spark) == setting

@@ -84,6 +84,13 @@ def test_top_per_group_limits_before_the_shuffle(skewed):
     same(best, expected)
 
 
+def test_long_lists_per_group(skewed, monkeypatch):
+    order = [down("v"), up("id")]
+    expected = top_per_group(skewed, ["g"], order, 20)
+    monkeypatch.setattr(ordering, "GROUP_LIMIT", 10)
+    same(top_per_group(skewed, ["g"], order, 20), expected)
+
+
 def test_form_guide(spark):
     rows = [(1, d, d % 3, 1) for d in range(8)] + [(2, 0, 4, 0)]
     df = spark.createDataFrame(rows, "g int, d int, goals_for int, goals_against int")

@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from snapledger.operators import ordering, scoring, snapshots
+from snapledger.session import settle
+from snapledger.supplied.snapshot_queries import Stored
 from tests import oracle
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,6 +19,25 @@ def con():
     return oracle.connect(FOLDER)
 
 
+@pytest.fixture(scope="module")
+def built_once():
+    """Let the serving queries share one decision table and one outlook; both are tested on their own."""
+    kept, whole = {}, {name: getattr(Stored, name) for name in ("decision", "outlook")}
+
+    def once(name):
+        def build(self):
+            if name not in kept:
+                kept[name] = settle(whole[name](self), f"shared-{name}")
+            return kept[name]
+
+        return build
+
+    with pytest.MonkeyPatch.context() as patch:
+        for name in whole:
+            patch.setattr(Stored, name, once(name))
+        yield
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == [
@@ -30,12 +51,14 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", list(entry.queries()))
-def test_query(spark, con, name):
+def test_query(spark, con, built_once, name):
     problem, _ = oracle.differences(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name])
     assert not problem
 
 
-@pytest.mark.parametrize("name", ["value_rank", "percentile_signals", "next_n_run", "standings", "transfer_decision"])
+@pytest.mark.parametrize(
+    "name", ["value_rank", "percentile_signals", "next_n_run", "standings", "bridge_join", "fixture_difficulty"]
+)
 def test_split_groups(spark, con, monkeypatch, name):
     """The same queries when every group counts as too large for one task."""
     for module in (ordering, scoring, snapshots):
