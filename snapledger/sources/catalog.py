@@ -73,16 +73,17 @@ def source(name: str) -> Source:
     return SOURCES[name]
 
 
-def configured(reader, name: str):
+def configured(reader, name: str, partitioned: bool = True):
     """Reader (batch or streaming) with a source's format, options and schema.
 
     One JSON file holds one object or one top-level array; an array yields one row per element.
     A malformed file fails the read instead of turning into NULLs.
     """
+    columns = "value string" if name in WHOLE_FILE else source(name).schema
+    reader = reader.schema(f"{columns}, {PARTITIONS}" if partitioned else columns)
     if name in WHOLE_FILE:
-        return reader.format("text").option("wholetext", True).schema(f"value string, {PARTITIONS}")
-    options = {"multiLine": "true", "mode": "FAILFAST"}
-    return reader.format("json").options(**options).schema(f"{source(name).schema}, {PARTITIONS}")
+        return reader.format("text").options(wholetext="true")
+    return reader.format("json").options(multiLine="true", mode="FAILFAST")
 
 
 def finished(df: DataFrame, name: str) -> DataFrame:

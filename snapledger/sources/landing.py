@@ -9,9 +9,11 @@ from pyspark.sql.types import StructType
 from snapledger.functions.fields import pick
 from snapledger.functions.text import required, season_from_deadline
 from snapledger.session import settle
-from snapledger.sources.catalog import read_source, source
+from snapledger.sources.catalog import configured, finished, read_source, source
 
 PARTITION_COLUMNS = ("season", "load_date")
+# Blocks of a league payload.
+LEAGUE_BLOCKS = ("players", "dates", "teams")
 
 
 def require_blocks(payloads: DataFrame, *blocks: str) -> DataFrame:
@@ -33,7 +35,7 @@ def split_league_payload(payloads: DataFrame, keep: tuple[str, ...] = PARTITION_
 
     The map of team ids flattens to its values, so a new id never adds a column.
     """
-    whole = require_blocks(payloads, "players", "dates", "teams")
+    whole = require_blocks(payloads, *LEAGUE_BLOCKS)
     return {
         "season_players": whole.select(*keep, F.explode("players").alias("record")),
         "season_matches": whole.select(*keep, F.explode("dates").alias("record")),
@@ -55,8 +57,8 @@ def payload_season(events: Column, override: str | None = None) -> Column:
     return season_from_deadline(pick(F.get(events, F.lit(0)), "deadline_time"), override)
 
 
-def write_raw(df: DataFrame, path: str) -> None:
-    """Write or replace the partitions present in `df`; other partitions stay.
+def write_raw(df: DataFrame, path: str, overwrite: str = "dynamic") -> None:
+    """Write or replace the partitions present in `df`; "static" replaces the whole table.
 
     Landing the same day twice gives the same table. The rebalance step merges small files and
     cuts a large partition into several.
@@ -64,7 +66,7 @@ def write_raw(df: DataFrame, path: str) -> None:
     (
         df.hint("rebalance", *PARTITION_COLUMNS)
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", overwrite)
         .partitionBy(*PARTITION_COLUMNS)
         .parquet(path)
     )
@@ -75,9 +77,7 @@ def load_raw(
 ) -> str:
     """Full refresh of one raw table from everything landed for it. Returns the table's path."""
     path = f"{warehouse}/raw/{name}"
-    read_source(spark, root, name, feeds).write.mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).partitionBy(*PARTITION_COLUMNS).parquet(path)
+    write_raw(read_source(spark, root, name, feeds), path, "static")
     return path
 
 
@@ -99,14 +99,12 @@ def land_folder(
     The season is the override, else it is read from the payload (snapshots that list events);
     the load date is the override, else today.
     """
-    entry = source(name)
-    payloads = spark.read.option("multiLine", True).schema(entry.schema).json(folder, mode="FAILFAST")
+    payloads = finished(configured(spark.read, name, partitioned=False).load(folder), name)
     if season is None and "elements" not in payloads.columns:
         raise ValueError(f"{name} names no season; pass one")
     label = payload_season(F.col("events"), season) if season is None else F.lit(season)
     stamped = payloads.withColumns(
         {
-            "filename": F.col("_metadata.file_path"),
             "season": required(label, "no season").cast("int"),
             "load_date": F.to_date(F.lit(load_date)) if load_date else F.current_date(),
         }
@@ -119,10 +117,12 @@ def land_folder(
 def land_league_payloads(payloads: DataFrame, warehouse: str) -> dict[str, str]:
     """Land split payloads of any number of seasons in one call. Returns the tables' paths.
 
-    The parsed payloads are stored first, as each of the three tables reads them.
+    The parsed payloads are stored first, as each of the three tables reads them. That step sees
+    every block, so a missing one fails before any table changes.
     """
     paths = {}
-    for name, records in split_league_payload(settle(payloads, "payloads")).items():
+    whole = settle(require_blocks(payloads, *LEAGUE_BLOCKS), "payloads")
+    for name, records in split_league_payload(whole).items():
         paths[name] = f"{warehouse}/raw/{name}"
         write_raw(typed_records(records, name), paths[name])
     return paths

@@ -96,6 +96,9 @@ def test_missing_block_fails(spark, tmp_path):
     df = payloads(spark, tmp_path, {"players": [], "teams": {}, "season": 2025, "load_date": tree.DAY1})
     with pytest.raises(Exception, match="dates"):
         landing.split_league_payload(df)["season_matches"].collect()
+    with pytest.raises(Exception, match="dates"):
+        landing.land_league_payloads(df, str(tmp_path / "w"))
+    assert not (tmp_path / "w").exists()
     with pytest.raises(KeyError):
         landing.require_blocks(df.drop("dates"), "players", "dates")
 
@@ -149,3 +152,10 @@ def test_scratch_follows_the_cluster_setting(spark):
     setting = spark.conf.get("spark.checkpoint.dir", None)
     if setting:
         assert session.scratch_dir(spark) == setting
+
+
+def test_land_calendar_pages(spark, tmp_path):
+    tree.dump(tmp_path / "in" / "page.json", {"any": {"2025": [1, 2]}})
+    path = landing.land_folder(spark, str(tmp_path / "in"), "match_calendar", str(tmp_path), tree.DAY1, season="2025")
+    page = spark.read.parquet(path).select(F.try_variant_get("payload", "$.any.2025[1]", "int").alias("v"), "season")
+    assert [tuple(r) for r in page.collect()] == [(2, 2025)]
