@@ -47,18 +47,18 @@ def _budget_tops(budgets: DataFrame, tops: DataFrame, group: str, levels: int, w
 
 
 def best_affordable(
-    wanted: DataFrame, candidates: DataFrame, owned: DataFrame, key: Sequence[str], group: str, owner: str
+    wanted: DataFrame, candidates: DataFrame, owned: DataFrame, group: str, owner: str
 ) -> DataFrame:
     """For each wanted row the best candidate of its group within budget that its owner lacks.
 
-    `wanted` has `key` (unique), `group`, `owner` and `budget`; `candidates` has `group`, `item`,
-    `price` (a whole number from 0 on) and `score`; `owned` has `owner` and `item`. Ties go to the
-    lowest item. The result adds `item` and `score`, NULL where nothing is affordable.
+    `wanted` has `group`, `owner` and `budget`; `candidates` has `group`, `item`, `price` (a whole
+    number from 0 on) and `score`; `owned` has `owner` and `item`. Ties go to the lowest item. The
+    result adds `item` and `score`, NULL where nothing is affordable.
 
     No row meets a whole group: the best few candidates are found once per distinct budget, from
-    at most log2(price) precomputed price intervals. Rows whose owner holds all of those few go
-    through another round with a longer list, so the answer is exact for any number of owned
-    items.
+    at most log2(price) precomputed price intervals, and each distinct case of owner, group and
+    budget is answered once. Cases whose owner holds all of those few go through another round
+    with a longer list, so the answer is exact for any number of owned items.
     """
     highest = candidates.agg(F.max("price")).first()[0]
     if highest is None:
@@ -66,8 +66,9 @@ def best_affordable(
     levels = int(highest + 1).bit_length()
     candidates = candidates.select(group, "item", F.col("price").cast("bigint").alias("price"), "score")
     mine = owned.select(owner, "item").distinct().withColumn("_mine", F.lit(True))
-    capped = F.least(F.col("budget").cast("bigint"), F.lit(int(highest)))
-    pending = wanted.filter("budget >= 0").select(*key, group, owner, capped.alias("budget"))
+    asked = wanted.withColumn("_cap", F.least(F.col("budget").cast("bigint"), F.lit(int(highest))))
+    case = [owner, group, "budget"]
+    pending = asked.filter("_cap >= 0").select(owner, group, F.col("_cap").alias("budget")).distinct()
     width, answers = FIRST_WIDTH, []
     while True:
         tops = _node_tops(candidates, group, levels, width)
@@ -76,13 +77,18 @@ def best_affordable(
         free = F.col("_mine").isNull()
         best = F.min(F.when(free, F.struct((-F.col("score")).alias("rank"), F.col("item").alias("item"))))
         passed_over = (F.count_if(free) == 0) & (F.count("*") == width)
-        found = settle(hits.groupBy(*key).agg(best.alias("best"), passed_over.alias("stuck")), "replacement")
-        answers.append(found.filter("not stuck").select(*key, "best"))
-        open_rows = found.filter("stuck").select(*key)
-        if open_rows.isEmpty():
+        found = settle(hits.groupBy(*case).agg(best.alias("best"), passed_over.alias("stuck")), "replacement")
+        answers.append(found.filter("not stuck").select(*case, "best"))
+        open_cases = found.filter("stuck").select(*case)
+        if open_cases.isEmpty():
             break
-        pending, width = pending.join(open_rows, list(key), "left_semi"), width * WIDEN
+        pending, width = open_cases, width * WIDEN
     chosen = reduce(DataFrame.unionByName, answers).select(
-        *key, F.col("best.item").alias("item"), (-F.col("best.rank")).alias("score")
+        owner,
+        group,
+        F.col("budget").alias("_cap"),
+        F.col("best.item").alias("item"),
+        (-F.col("best.rank")).alias("score"),
     )
-    return wanted.join(chosen, list(key), "left")
+    joined = asked.join(chosen, [owner, group, "_cap"], "left")
+    return joined.select(*wanted.columns, "item", "score")

@@ -376,7 +376,7 @@ def weak_links(squad: DataFrame, banks: DataFrame, latest: DataFrame) -> DataFra
         F.col("transfer_score").alias("score"),
     )
     owned = squad.select("manager_id", F.col("element").alias("item"))
-    return best_affordable(wanted, pool, owned, ["manager_id", "player_id"], "position_short_name", "manager_id")
+    return best_affordable(wanted, pool, owned, "position_short_name", "manager_id")
 
 
 # Live payloads

@@ -245,7 +245,7 @@ def weak_link_replacement(t):
         .join(banks, "owner")
         .select("owner", F.col("item").alias("part"), "p_type", (F.col("price") + F.col("bank")).alias("budget"))
     )
-    return best_affordable(settle(wanted, "wanted"), parts, lines.drop("l_returnflag"), ["owner", "part"], "p_type", "owner")
+    return best_affordable(settle(wanted, "wanted"), parts, lines.drop("l_returnflag"), "p_type", "owner")
 
 
 # Season statistics

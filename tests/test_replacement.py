@@ -33,7 +33,7 @@ def test_matches_brute_force(spark, monkeypatch, seed, width):
         spark.createDataFrame(wanted, "row int, g string, owner int, budget int"),
         spark.createDataFrame(candidates, "g string, item int, price int, score double"),
         spark.createDataFrame(sorted(owned), "owner int, item int"),
-        ["row"], "g", "owner",
+        "g", "owner",
     )
     assert {r.row: (r.item, r.score) for r in got.collect()} == brute(wanted, candidates, owned)
 
@@ -43,6 +43,6 @@ def test_no_candidates(spark):
         spark.createDataFrame([(1, "a", 1, 5)], "row int, g string, owner int, budget int"),
         spark.createDataFrame([], "g string, item int, price int, score double"),
         spark.createDataFrame([], "owner int, item int"),
-        ["row"], "g", "owner",
+        "g", "owner",
     )
     assert [(r.row, r.item) for r in got.collect()] == [(1, None)]
