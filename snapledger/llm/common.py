@@ -10,18 +10,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapledger.session import settle
+from snapledger import session
 
-__all__ = ["settle", "WORD", "word_count", "documents", "running_total", "Words", "chunks", "mix", "held_out"]
+__all__ = ["settle", "release", "WORD", "word_count", "documents", "running_total", "Words", "chunks", "mix", "held_out"]
 
 #: One word, as a regular expression; the class is every character but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 2 << 20
 
 
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back; see `session.settle`."""
+    return session.settle(df, f"corpus-{label}")
+
+
+def release(docs: DataFrame) -> None:
+    """Delete what corpus operators have stored so far, but for what `docs` itself reads.
+
+    For use between steps whose results are written: anything still lazy besides `docs` loses its input.
+    """
+    spark = docs.sparkSession
+    needed = "\n".join(docs.inputFiles())
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(session.new_folder(spark, "x")).getParent()
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in store.listStatus(folder) if store.exists(folder) else []:
+        name = entry.getPath().getName()
+        if name.startswith("corpus-") and f"/{name}/" not in needed:
+            store.delete(entry.getPath(), True)
+
+
 def documents(spark, folder: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -144,7 +166,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size) // CHUNK_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

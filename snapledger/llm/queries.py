@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from snapledger.llm.common import documents
 from snapledger.llm.exact import exact_groups
+from snapledger.llm.fingerprint import fingerprint_digest
 from snapledger.llm.language import language_digest
+from snapledger.llm.minhash import near_components
 from snapledger.llm.mixing import mix
 from snapledger.llm.packing import pack
 from snapledger.llm.secrets import secret_digest
+from snapledger.llm.substrings import substring_digest
 from snapledger.llm.toxicity import toxicity_digest
+from snapledger.llm.warc import warc_round_trip
+
+
+def op1_imatch(spark, folder):
+    return fingerprint_digest(documents(spark, folder))
+
+
+def op2_warc(spark, folder):
+    return warc_round_trip(documents(spark, folder, "pages"))
 
 
 def op3_toxicity(spark, folder):
@@ -23,6 +35,14 @@ def op5_mixing(spark, folder):
     return mix(documents(spark, folder))
 
 
+def op6_near_dedup(spark, folder):
+    return near_components(documents(spark, folder))
+
+
+def op7_substring_dedup(spark, folder):
+    return substring_digest(documents(spark, folder))
+
+
 def op8_language(spark, folder):
     return language_digest(documents(spark, folder))
 
@@ -35,7 +55,7 @@ def op10_secret_scans(spark, folder):
     return secret_digest(documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_packing, op5_mixing, op8_language, op9_exact_dedup, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_imatch, op2_warc, op3_toxicity, op4_packing, op5_mixing, op6_near_dedup, op7_substring_dedup, op8_language, op9_exact_dedup, op10_secret_scans)}
 
 _SPACE = r"[\x20\x09-\x0D]"
 
