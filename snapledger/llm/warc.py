@@ -298,7 +298,9 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool =
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return pieces.repartition("path", "start").mapInArrow(read, RECORDS)
+    # a number given here keeps the ranges apart: their rows are tiny, but each stands for much reading
+    tasks = files.agg(F.coalesce(F.sum(F.ceil(F.col("size") / range_bytes)), F.lit(0)).alias("n")).first()["n"]
+    return pieces.repartition(max(1, tasks), "path", "start").mapInArrow(read, RECORDS)
 
 
 def archive_files(spark, folder: str) -> DataFrame:
