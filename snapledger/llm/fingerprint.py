@@ -106,7 +106,7 @@ def written(prints: Column) -> Column:
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """Each row of `keys` (doc_id, k1, k2, chars) with the row after it and the one before it, in a ring.
+    """Each row of `keys` (doc_id, k1, k2, chars, copies) with the row after it and the one before it, in a ring.
 
     The order is descending doc_id, null last, then k1, k2. Ids are range partitioned and stored; each slice is
     linked alone and the ends of slices, one row per slice, are linked apart.
@@ -128,7 +128,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
     )
     joined = linked.join(ends, "slice")
     return joined.select(
-        "k1", "k2", "copies", F.coalesce("after", "next_head").alias("after"), F.coalesce("before", "last_tail").alias("before")
+        "k1", "k2", "doc_id", "chars", "copies", F.coalesce("after", "next_head").alias("after"), F.coalesce("before", "last_tail").alias("before")
     )
 
 
@@ -148,7 +148,8 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     key = ["k1", "k2"]
     keys = rows.groupBy("doc_id", *key, "chars").agg(F.count(F.lit(1)).alias("copies"))
     ring = settle(neighbours(keys), "fingerprint-ring")
-    met = rows.join(ring, key)
+    # the texts travel once: both uses below ask for the same columns, so they share one exchange
+    met = rows.select(*key, "text").join(ring, key)
     third = F.floor(F.col("before.chars") / 3).cast("int")
     heads = met.select(F.col("before.k1").alias("k1"), F.col("before.k2").alias("k2"), F.left("text", third).alias("head"))
     heads = heads.groupBy(*key).agg(F.first("head").alias("head"))
