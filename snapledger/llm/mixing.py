@@ -24,7 +24,7 @@ BLOCK_WORDS = 2048
 #: A small corpus gets smaller blocks, so that there are at least about this many slots.
 LEAST_SLOTS = 1 << 16
 SLOTS_PER_SLICE = 1 << 18
-ROWS_PER_SLICE = 50_000
+ROWS_PER_SLICE = 4_096
 #: The sources are the components of the mix; more than this many are refused.
 MOST_SOURCES = 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # 2**64 / phi

@@ -17,7 +17,7 @@ from snapledger.llm.common import running_total, settle, word_count
 BUCKETS = 16
 TOKENS_PER_BATCH = 32_768
 FINE_BITS = 12
-ROWS_PER_SLICE = 50_000
+ROWS_PER_SLICE = 4_096
 
 
 def cell(length: Column) -> Column:
