@@ -13,7 +13,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
     linked = both.join(least, "a").filter("b > a")
-    return linked.select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    return linked.select(F.col("b").alias("a"), F.col("low").alias("b"))  # as many rows as there were links
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -24,24 +24,24 @@ def small_star(edges: DataFrame) -> DataFrame:
     return down.unionByName(least.select("a", F.col("low").alias("b"))).distinct()
 
 
-def state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def finished(edges: DataFrame) -> bool:
+    """Whether every node has one parent and no parent has a parent."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return roles.filter((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node, component for every node of the links (a, b); the component is its smallest node.
 
-    Links may be repeated, run either way, or be loops; nodes that only have loops are left out. Two counts per
-    round reach the driver; every round is stored, so a lost executor repeats at most one.
+    Links may be repeated, run either way, or be loops; nodes that only have loops are left out. One yes or no per
+    round reaches the driver; every round is stored, so a lost executor repeats at most one.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     edges = settle(edges, "components")
-    before = state(edges)
-    while before[0]:
+    while not finished(edges):
         edges = settle(small_star(large_star(edges)), "components")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -8,11 +8,10 @@ hash functions, in 32 bands of four. Two classes with similarity s agree on some
 Links are sought bucket by bucket (classes that agree on a band), never by listing a bucket's pairs:
 
 1. The centre of a bucket is the class that shares most buckets with others. Every other member is compared
-   with it: first by signature, then on full sets. Components of the confirmed links follow. This is done
-   for STAR_ROUNDS centres, each time among the members outside the largest component.
+   with it: first by signature, then on full sets. Components of the confirmed links follow.
 2. Buckets whose members then lie in one component are finished: more links cannot change the result. In the
-   others, members of different components are compared by signature, tile against tile of TILE members,
-   and the few pairs that pass are confirmed on full sets.
+   others, members of different components are compared, tile against tile of about TILE members: by signature
+   first, and pairs that pass on full sets, inside the task, which returns links only.
 
 So no link between different texts is lost other than by the band probability above.
 """
@@ -33,10 +32,10 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 SIMILAR = 75  # per cent
-#: Least number of equal minima for a pair to be confirmed on full sets: five standard deviations below 0.75.
-LEAST_EQUAL = 72
-STAR_ROUNDS = 2
-TILE = 512
+#: Least number of equal minima for a pair to be confirmed on full sets: four standard deviations below the 96
+#: expected at 0.75, so that one in 40,000 pairs at the very threshold is passed over, and fewer above it.
+LEAST_EQUAL = 76
+TILE = 256
 
 _random = np.random.Generator(np.random.PCG64(20240607))
 MULTIPLY = _random.integers(0, 1 << 64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -116,11 +115,11 @@ class Links:
     def __init__(self, docs: DataFrame, classes: DataFrame):
         self.classes = classes
         band = classes.select(F.col("node"), F.posexplode("bands").alias("band", "value"))
-        keyed = band.select("node", F.xxhash64("band", "value").alias("bucket"))
+        keyed = band.select("node", "band", F.xxhash64("band", "value").alias("bucket"))
         sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         members = settle(keyed.join(sizes, "bucket"), "minhash-buckets")
         degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-        self.members = settle(members.select("bucket", "node").join(degree, "node"), "minhash-members")
+        self.members = settle(members.select("bucket", "band", "node").join(degree, "node"), "minhash-members")
         texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text")
         self.texts = settle(texts.join(degree.select("node"), "node", "left_semi"), "minhash-texts")
 
@@ -143,24 +142,14 @@ class Links:
         mixed = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
         return settle(known.join(mixed.select("bucket"), "bucket", "left_semi"), "minhash-mixed")
 
-    def stars(self, members: DataFrame) -> DataFrame:
-        """Pairs of each bucket's centre with the members outside its component."""
-        # of each bucket's components the largest is passed over as a source of centres, since most was compared there
-        sizes = members.groupBy("bucket", "component").agg(
-            F.count(F.lit(1)).alias("n"), F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre")
-        )
-        ranked = sizes.groupBy("bucket").agg(
-            F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top"), F.max("n").alias("most")
-        )
-        rest = sizes.join(ranked, "bucket").filter((F.col("most") == 1) | (F.col("component") != -F.col("top.c")))
-        centre = rest.groupBy("bucket").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre"))
-        own = members.join(centre, "bucket")
-        at = own.filter("node = centre").select(F.col("bucket"), F.col("component").alias("home"))
-        pairs = own.join(at, "bucket").filter("component != home")
+    def stars(self) -> DataFrame:
+        """Pairs of each bucket's centre with its other members."""
+        centre = self.members.groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("centre"))
+        pairs = self.members.join(centre, "bucket").filter("node != centre")
         return pairs.select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")).distinct()
 
-    def tiles(self, members: DataFrame) -> DataFrame:
-        """Pairs from different components of one bucket whose signatures agree, tile against tile.
+    def across(self, members: DataFrame) -> DataFrame:
+        """Links between different components of one bucket, tile against tile.
 
         A component with many members in the bucket has tiles of its own, small ones share tiles, so no pair
         of tiles is met that holds one component only. Rows are dealt to tiles by hash, about TILE to each.
@@ -173,7 +162,7 @@ class Links:
         share = share.join(homes, (F.col("bucket") == F.col("_bucket")) & F.col("home").eqNullSafe(F.col("_home")))
         placed = members.join(share.select("bucket", "component", "home", "parts"), ["bucket", "component"])
         tile = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts")))
-        placed = settle(placed.select("bucket", "component", "node", tile.alias("tile")), "minhash-tiles")
+        placed = settle(placed.select("bucket", "band", "component", "node", tile.alias("tile")), "minhash-tiles")
         tiles = placed.groupBy("bucket", "tile").agg(F.min("component").alias("x"), F.max("component").alias("y"))
         left, right = tiles.alias("l"), tiles.alias("r")
         mixed = left.join(right, F.col("l.bucket") == F.col("r.bucket")).filter(
@@ -181,24 +170,45 @@ class Links:
         )
         pair = mixed.select(F.col("l.bucket").alias("bucket"), F.col("l.tile").alias("one"), F.col("r.tile").alias("two"))
         sides = pair.select("bucket", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
-        full = placed.join(self.classes.select("node", "bands"), "node")
-        rows = sides.join(full, ["bucket", "tile"]).select("bucket", "one", "two", "node", "component", "bands")
-        return rows.groupBy("bucket", "one", "two").applyInArrow(compared, "a bigint, b bigint").distinct()
+        full = placed.join(self.classes.select("node", "bands"), "node").join(self.texts, "node")
+        rows = sides.join(full, ["bucket", "tile"]).select("bucket", "one", "two", "band", "node", "component", "bands", "text")
+        links = rows.groupBy("bucket", "one", "two").applyInArrow(compared, "a bigint, b bigint")
+        return settle(links.distinct(), "minhash-links")
 
 
 def compared(table: pa.Table) -> pa.Table:
-    """Agreeing pairs across components among at most two tiles."""
-    node, component = table.column("node").to_numpy(), table.column("component").to_numpy()
-    sign = minima(table.column("bands").combine_chunks())
-    found = []
+    """Confirmed links across components among at most two tiles.
+
+    A pair that agrees on several bands meets in several buckets and is compared in that of the first such band.
+    """
+    table = table.combine_chunks()
+    node, component, band = (table.column(c).to_numpy() for c in ("node", "component", "band"))
+    lists = pa.concat_arrays(table.column("bands").chunks)
+    sign, bands = minima(lists), lists.flatten().to_numpy().reshape(-1, BANDS)
+    doc, value = distinct_shingles(pa.concat_arrays(table.column("text").chunks))
+    kinds, shingle = np.unique(value, return_inverse=True)
+    size = np.bincount(doc, minlength=len(node))
+    end = np.cumsum(size)
+    mark, found = np.zeros(len(kinds), bool), []
     for i in range(len(node)):
-        near = np.flatnonzero((component > component[i]) & ((sign == sign[i]).sum(1) >= LEAST_EQUAL))
-        found += [(max(node[i], node[j]), min(node[i], node[j])) for j in near]
+        same = bands == bands[i]
+        near = same.any(1) & (same.argmax(1) == band[i]) & (component > component[i])
+        near &= (100 * np.minimum(size, size[i]) >= SIMILAR * np.maximum(size, size[i])) & (size > 0)
+        near = np.flatnonzero(near)
+        near = near[(sign[near] == sign[i]).sum(1) >= LEAST_EQUAL]
+        if not len(near):
+            continue
+        own = shingle[end[i] - size[i] : end[i]]
+        mark[own] = True
+        shared = np.array([mark[shingle[end[j] - size[j] : end[j]]].sum() for j in near])
+        mark[own] = False
+        for j in near[100 * shared >= SIMILAR * (size[near] + size[i] - shared)]:
+            found.append((max(node[i], node[j]), min(node[i], node[j])))
     a, b = zip(*found) if found else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_components(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of `docs` (doc_id, text).
 
     Texts without words, and null texts, have no shingles and are linked with nothing; texts with fewer
@@ -213,19 +223,14 @@ def near_components(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFram
     classes = settle(classes, "minhash-classes")
     links = Links(docs, classes)
     # ids that stand in several classes (repeated ids) need no special care: they are one node
-    found = None
-    components = docs.sparkSession.createDataFrame([], "node bigint, component bigint")
-    for step in range(star_rounds + 1):
-        members = links.placed(components)
-        if members.isEmpty():
-            break
-        if step < star_rounds:
-            pairs = links.signed(links.stars(members))
-        else:
-            pairs = links.tiles(members)
-        new = links.confirmed(pairs)
-        found = new if found is None else found.unionByName(new)
-        components = settle(connected(found), "minhash-components")
+    found = links.confirmed(links.signed(links.stars()))
+    components = settle(connected(found), "minhash-components")
+    members = links.placed(components)
+    if not members.isEmpty():
+        more = links.across(members)
+        if not more.isEmpty():
+            stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = settle(connected(stars.unionByName(more)), "minhash-components")
     node = classes.select(*same, "node")
     joined = rows.filter("n_shingles > 0 and doc_id is not null").join(node, same)
     labelled = joined.join(components, "node", "left").select(
