@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Words of a query that are searched in one go.
+PIECE = 320
+
 
 class Bits:
     """A bit vector with constant-time rank: 64 bits to a word, and the ones before each word."""
@@ -94,10 +97,9 @@ class WordIndex:
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals after putting a word before what was matched; empty for unknown words."""
-        known = np.maximum(symbol, 0)
-        low = np.where(symbol >= 0, self.smaller[known] + self.matrix.rank(known, low), 0)
-        high = np.where(symbol >= 0, self.smaller[known] + self.matrix.rank(known, high), 0)
-        return low, high
+        known, n = np.maximum(symbol, 0), len(symbol)
+        both = self.smaller[np.tile(known, 2)] + self.matrix.rank(np.tile(known, 2), np.concatenate([low, high]))
+        return np.where(symbol >= 0, both[:n], 0), np.where(symbol >= 0, both[n:], 0)
 
     def matches(self, words: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, start, end) of stretches of at least `least` words that some passage holds.
@@ -108,9 +110,14 @@ class WordIndex:
         """
         symbol = self.symbols(words)
         start = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
-        query = np.flatnonzero(lengths >= least)
-        end = (start + lengths)[query].astype(np.int64)
-        begin, at = start[query], end.copy()
+        # long queries are searched in pieces that overlap by least - 1 words, so that all finish in few steps
+        step = PIECE - least + 1
+        pieces = np.maximum(0, -(-(lengths - least + 1) // step))
+        query = np.repeat(np.arange(len(lengths)), pieces)
+        nth = np.arange(len(query)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = start[query] + nth * step
+        end = np.minimum(begin + PIECE, (start + lengths)[query])
+        at = end.copy()
         low, high = np.zeros(len(query), np.int64), np.full(len(query), self.size, np.int64)
         found = []
         while len(query):
@@ -120,7 +127,7 @@ class WordIndex:
             stop = ~grown | (at == begin)
             hit = np.flatnonzero(stop & (end - at >= least))
             if len(hit):
-                found.append((query[hit], at[hit] - begin[hit], end[hit] - begin[hit]))
+                found.append((query[hit], at[hit] - start[query[hit]], end[hit] - start[query[hit]]))
             # a match that reached the start of its query is finished with it
             end = np.where(stop, np.where(grown, begin, np.minimum(end - 1, at + least - 1)), end)
             at = np.where(stop, end, at)

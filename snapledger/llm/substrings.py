@@ -1,16 +1,18 @@
 """Repeated passages: words inside a run of 50 that also stands in a document with a smaller id.
 
-1. Every window of 50 words has an anchor, its run of 16 words with the smallest hash. Anchors that only one
-   document has cannot lie in a shared window. The stretches of text whose windows have shared anchors are
+1. Documents whose words are all equal form a class; the smallest id stands for it from here on.
+2. Every window of 50 words has an anchor, its run of 16 words with the smallest hash. Anchors that only one
+   class has cannot lie in a shared window. The stretches of text whose windows have shared anchors are
    cut out as regions; all later steps work on these.
-2. A window's reference is the smallest document that holds its hash. Neighbouring windows of a document with the
-   same reference form a span. The spans of the reference documents themselves are the passages to index: each
-   passage stands there once, however many documents repeat it.
-3. Passages are put into shards of bounded size. For each shard a compressed index (`fmindex.WordIndex`) is
+3. A window's reference is the smallest document that holds its hash. Neighbouring windows of a region with the
+   same reference form a span, and a copy of a whole text is one span that refers to the smallest copy. The
+   spans of the reference documents themselves are the passages to index: each stands there once,
+   however many documents repeat it.
+4. Passages are put into shards of bounded size. For each shard a compressed index (`fmindex.WordIndex`) is
    built, and the spans that refer to it are streamed through: backward search gives their matching statistics,
    and stretches of at least 50 matched words are reported. Equal spans are searched once, and a passage to which very
    many spans refer is indexed in several shards, among which its spans are dealt.
-4. The reported stretches are taken out of the documents.
+5. The reported stretches are taken out of the documents.
 
 A document thus only meets the shards that hold its references, and work grows with the repeated text.
 """
@@ -67,68 +69,87 @@ class Windows:
         return mix(runs(self.prefix, self.at, self.at + WINDOW))
 
 
+HELD = "anchor bigint, key bigint, doc_id bigint, same bigint"
+REGIONS = "key bigint, doc_id bigint, whole boolean, first bigint, text string"
+
+
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, key, doc_id), each once per text."""
+    """(anchor, key, doc_id, same) once per anchor and text, and once with a null anchor per text of 50 words or more.
+
+    `same` is a hash of all words in order.
+    """
     for batch in chunks(batches, "text"):
-        windows = Windows(Words(batch.column("text")))
+        words = Words(batch.column("text"))
+        windows = Windows(words)
         order = np.lexsort((windows.anchor, windows.doc))
         doc, anchor = windows.doc[order], windows.anchor[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-        take = pa.array(doc[new])
+        doc, anchor = doc[new], anchor[new].view(np.int64)
+        same = mix(runs(windows.prefix, words.first[:-1], words.first[1:]) + words.count.astype(np.uint64)).view(np.int64)
+        once = np.unique(doc)
+        take = pa.array(np.concatenate([doc, once]))
+        anchor = pa.array(np.concatenate([anchor, np.zeros(len(once), np.int64)]), mask=np.arange(len(take)) >= len(anchor))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor[new].view(np.int64)), batch.column("key").take(take), batch.column("doc_id").take(take)],
-            ["anchor", "key", "doc_id"],
+            [anchor, batch.column("key").take(take), batch.column("doc_id").take(take), pa.array(same).take(take)],
+            ["anchor", "key", "doc_id", "same"],
         )
 
 
 def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of each text whose windows have an anchor of `shared`: key, doc_id, first word, words."""
+    """Stretches of each text whose windows have an anchor of `shared`, and the whole text if it has copies."""
     for batch in chunks(batches, "text"):
         words = Words(batch.column("text"))
         windows = Windows(words)
-        listed, owner = batch.column("shared").flatten().to_numpy().view(np.uint64), pa.array(batch.column("shared"))
-        lengths = owner.value_lengths().to_numpy(zero_copy_only=False)
+        shared = batch.column("shared")
+        listed = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        lengths = pc.list_value_length(shared).fill_null(0).to_numpy(zero_copy_only=False)
         # (text, anchor) pairs as one number each; a chance collision only makes a region longer
         mine = mix(windows.anchor ^ mix(windows.doc.astype(np.uint64)))
         wanted = mix(listed ^ mix(np.repeat(np.arange(len(lengths)), lengths).astype(np.uint64)))
         at = windows.at[np.isin(mine, wanted)]
-        if not len(at):
-            continue
-        # windows that overlap or touch belong to one region
-        cut = np.flatnonzero((np.diff(at) > WINDOW) | (np.diff(words.doc[at]) != 0)) + 1
-        first = at[np.concatenate([[0], cut])]
-        last = at[np.concatenate([cut - 1, [len(at) - 1]])] + WINDOW
+        if len(at):
+            # windows that overlap or touch belong to one region
+            cut = np.flatnonzero((np.diff(at) > WINDOW) | (np.diff(words.doc[at]) != 0)) + 1
+            first = at[np.concatenate([[0], cut])]
+            last = at[np.concatenate([cut - 1, [len(at) - 1]])] + WINDOW
+        else:
+            first = last = np.empty(0, np.int64)
+        copied = np.flatnonzero(batch.column("copied").to_numpy(zero_copy_only=False).astype(bool))
+        whole = np.arange(len(first) + len(copied)) >= len(first)
+        first = np.concatenate([first, words.first[:-1][copied]]).astype(np.int64)
+        last = np.concatenate([last, words.first[1:][copied]]).astype(np.int64)
         doc = words.doc[first]
         raw = words.bytes.tobytes()
         texts = [raw[words.start[a] : words.end[b - 1]].decode("utf-8") for a, b in zip(first, last)]
         take = pa.array(doc)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key").take(take), batch.column("doc_id").take(take), pa.array(first - words.first[doc]),
-             pa.array(texts, pa.string())], ["key", "doc_id", "first", "text"],
+            [batch.column("key").take(take), batch.column("doc_id").take(take), pa.array(whole),
+             pa.array(first - words.first[doc]), pa.array(texts, pa.string())], ["key", "doc_id", "whole", "first", "text"],
         )
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, key, doc_id, at) of every window of the regions."""
+    """(window, doc_id, region, at) of every window of the regions; `at` counts from the region's start."""
     for batch in chunks(batches, "text"):
         words = Words(batch.column("text"))
         windows = Windows(words)
         take = pa.array(windows.doc)
-        first = batch.column("first").to_numpy()[windows.doc]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(windows.hashes().view(np.int64)), batch.column("key").take(take), batch.column("doc_id").take(take),
-             pa.array(first + windows.at - words.first[windows.doc])], ["window", "key", "doc_id", "at"],
+            [pa.array(windows.hashes().view(np.int64)), batch.column("doc_id").take(take), batch.column("region").take(take),
+             pa.array((windows.at - words.first[windows.doc]).astype(np.int32))], ["window", "doc_id", "region", "at"],
         )
 
 
 def span_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the spans out of their region: from word `start` to word `stop` of the document."""
+    """Cut the spans out of their region: its words from `start` to `stop`."""
     for batch in batches:
-        rows = batch.to_pylist()
-        texts = [b" ".join(r["text"].encode().split()[r["start"] - r["first"] : r["stop"] - r["first"]]).decode() for r in rows]
-        yield pa.RecordBatch.from_arrays([*batch.select(["key", "doc_id", "ref", "start"]).columns, pa.array(texts, pa.string())],
-                                         ["key", "doc_id", "ref", "start", "text"])
+        rows = zip(*(batch.column(c).to_pylist() for c in ("text", "start", "stop")))
+        texts = [b" ".join(text.encode().split()[start:stop]).decode() for text, start, stop in rows]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key"), batch.column("doc_id"), batch.column("ref"), pc.add(batch.column("first"), batch.column("start")),
+             pa.array(texts, pa.string())], ["key", "doc_id", "ref", "start", "text"],
+        )
 
 
 def searched(shard: pa.Table) -> pa.Table:
@@ -149,30 +170,37 @@ def searched(shard: pa.Table) -> pa.Table:
 def repeated_stretches(docs: DataFrame) -> DataFrame:
     """key, low, high: words of the rows of `docs` (key, doc_id, text) that a smaller document holds in runs of 50."""
     named = docs.filter("doc_id is not null and text is not null")
-    held = settle(named.mapInArrow(anchors, "anchor bigint, key bigint, doc_id bigint"), "substring-anchors")
-    shared = held.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("anchor")
+    held = settle(named.mapInArrow(anchors, HELD), "substring-anchors")
+    listed = held.filter("anchor is null").select("key", "doc_id", "same")
+    classes = listed.groupBy("same").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.max("doc_id").alias("last"))
+    classes = settle(classes.select("same", F.col("rep.doc_id").alias("ref"), F.col("rep.key").alias("key"),
+                                    (F.col("rep.doc_id") < F.col("last")).alias("copied")), "substring-classes")
+    shared = held.filter("anchor is not null").groupBy("anchor").agg(F.min("same").alias("x"), F.max("same").alias("y"))
+    shared = shared.filter("x < y").select("anchor")
     lists = held.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("shared"))
-    wide = named.join(lists, "key")
-    found = wide.select("key", "doc_id", "text", "shared").mapInArrow(regions, "key bigint, doc_id bigint, first bigint, text string")
-    found = settle(found, "substring-regions")
-    windows = found.mapInArrow(window_rows, "window bigint, key bigint, doc_id bigint, at bigint")
+    wanted = classes.join(lists, "key", "left").filter("copied or shared is not null").select("key", "copied", "shared")
+    found = named.join(wanted, "key").select("key", "doc_id", "text", "copied", "shared").mapInArrow(regions, REGIONS)
+    found = settle(found.withColumn("region", F.monotonically_increasing_id()), "substring-regions")
+    parts = found.filter("not whole")
+    windows = parts.select("doc_id", "region", "text").mapInArrow(window_rows, "window bigint, doc_id bigint, region bigint, at int")
     least = windows.groupBy("window").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("y")).filter("ref < y").select("window", "ref")
-    met = windows.join(least, "window").select("key", "doc_id", "at", "ref").distinct()
+    # stored, so that the join below reads plain shuffles, of which Spark splits one with a hot window
+    least = settle(least, "substring-references")
+    met = windows.join(least, "window").select("region", "at", "ref")
     # neighbouring windows with one reference are one span; a partition is at most one document long
-    nth = F.row_number().over(Window.partitionBy("key", "doc_id", "ref").orderBy("at"))
-    spans = met.withColumn("island", F.col("at") - nth).groupBy("key", "doc_id", "ref", "island").agg(
+    nth = F.dense_rank().over(Window.partitionBy("region", "ref").orderBy("at"))
+    spans = met.withColumn("island", F.col("at") - nth).groupBy("region", "ref", "island").agg(
         F.min("at").alias("start"), (F.max("at") + WINDOW).alias("stop")
     )
-    region = found.select(F.col("key").alias("_key"), "first", "text").distinct()
-    length = F.size(F.split("text", r"[\x20\x09-\x0D]+"))
-    region = region.withColumn("last", F.col("first") + length)
-    texts = spans.join(region, (F.col("key") == F.col("_key")) & (F.col("start") >= F.col("first")) & (F.col("stop") <= F.col("last")))
+    texts = spans.join(parts.select("region", "key", "doc_id", "first", "text"), "region")
     texts = texts.select("key", "doc_id", "ref", "start", "stop", "first", "text").mapInArrow(
         span_texts, "key bigint, doc_id bigint, ref bigint, start bigint, text string"
     )
     texts = settle(texts.withColumn("span", F.xxhash64("text")), "substring-spans")
-    references = texts.filter("doc_id = ref").select("ref", "text").distinct()
-    queries = texts.filter("doc_id > ref").groupBy("ref", "span").agg(F.first("text").alias("text"))
+    whole = found.filter("whole").select(F.col("doc_id").alias("ref"), "text", F.xxhash64("text").alias("span"))
+    references = texts.filter("doc_id = ref").select("ref", "text").union(whole.select("ref", "text")).distinct()
+    queries = texts.filter("doc_id > ref").select("ref", "span", "text").union(whole.select("ref", "span", "text"))
+    queries = queries.groupBy("ref", "span").agg(F.first("text").alias("text"))
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     load = references.groupBy("ref").agg(F.sum(words).alias("held")).join(
         queries.groupBy("ref").agg(F.sum(words).alias("asked")), "ref"
@@ -187,7 +215,9 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     asked = dealt.select(shard.alias("shard"), F.lit(False).alias("indexed"), "ref", "span", "text")
     hits = passage.unionAll(asked).groupBy("shard").applyInArrow(searched, "ref bigint, span bigint, low bigint, high bigint")
     hits = settle(hits, "substring-hits")
-    back = texts.filter("doc_id > ref").select("key", "ref", "span", "start").join(hits, ["ref", "span"])
+    copies = listed.join(classes.filter("copied").select("same", "ref"), "same").filter("doc_id > ref")
+    copies = copies.join(whole.select("ref", "span").distinct(), "ref").select("key", "ref", "span", F.lit(0).cast("bigint").alias("start"))
+    back = texts.filter("doc_id > ref").select("key", "ref", "span", "start").union(copies).join(hits, ["ref", "span"])
     return back.select("key", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 
