@@ -17,15 +17,14 @@ from snapledger.llm.exact import drop_exact
 from snapledger.llm.minhash import keep_near
 from snapledger.llm.mixing import mixed_documents
 from snapledger.llm.packing import pack
-from snapledger.llm.toxicity import score_toxicity
+from snapledger.llm.toxicity import drop_toxic
 from snapledger.session import new_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents predicted toxic."""
     release(docs)
-    scored = score_toxicity(docs, documents(spark, sf_dir, "labels"), docs.columns)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    return drop_toxic(docs, documents(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,16 +232,20 @@ def balanced(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(x, repeat, axis=0), np.repeat(y, repeat)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """`keep` (by default doc_id) of every row of `docs`, with score, predicted and `passages`.
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score, predicted and `passages` of every row of `docs` (doc_id, text).
 
     passages lists (first token, end token, score) of the significant segments. Labels, languages,
     sources and ids are never inputs of a score. A null text is an empty one and is scored as such;
     rows with null or repeated ids are scored like others; an empty table gives no rows.
     """
+    found = scan(docs, labels, ["doc_id"])
+    return found.select("kept.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")
+
+
+def scan(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """`kept` (the columns of `keep` as one structure, so that no name can clash), score and passages of every row."""
     trained = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    keep = keep or ["doc_id"]
-    # the kept columns travel as one structure, so that their names cannot clash with the new ones
     frame = docs.select(F.struct(*keep).alias("kept"), F.col("text").alias("scan"))
     passages = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 
@@ -258,8 +262,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
             )
 
     kept = frame.schema["kept"].dataType.simpleString()
-    out = frame.mapInArrow(scored, f"kept {kept}, score double, passages array<struct<first bigint, stop bigint, score double>>")
-    return out.select("kept.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "passages")
+    return frame.mapInArrow(scored, f"kept {kept}, score double, passages array<struct<first bigint, stop bigint, score double>>")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that are not predicted toxic, with all their columns, whatever these are called."""
+    scored = scan(docs, labels, docs.columns)
+    return scored.filter(F.col("score") < THRESHOLD).select("kept.*")
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
