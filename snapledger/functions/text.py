@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -18,7 +19,7 @@ APOSTROPHE_ENTITY = "&#039;"
 def _fold_table() -> tuple[str, str]:
     """Characters that decompose into exactly one base character plus marks, and that base."""
     accented, base = [], []
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, sys.maxunicode + 1):
         letter = chr(code)
         kept = [c for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c)[0] != "M"]
         if len(kept) == 1 and kept[0] != letter:

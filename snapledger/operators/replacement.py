@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.operators.ordering import down, top_per_group, up
-from snapledger.session import settle
-
-# Candidates looked at per budget in the first round, and the factor of each further round.
-FIRST_WIDTH = 4
-WIDEN = 8
-
 
 def _node_tops(candidates: DataFrame, group: str, levels: int, width: int) -> DataFrame:
     """The best `width` candidates of every price interval [i * 2^level, (i + 1) * 2^level)."""
@@ -57,38 +48,30 @@ def best_affordable(
 
     No row meets a whole group: the best few candidates are found once per distinct budget, from
     at most log2(price) precomputed price intervals, and each distinct case of owner, group and
-    budget is answered once. Cases whose owner holds all of those few go through another round
-    with a longer list, so the answer is exact for any number of owned items.
+    budget is answered once. The lists are one longer than any owner's holdings of a group, so the
+    answer is exact.
     """
-    highest = candidates.agg(F.max("price")).first()[0]
+    lowest, highest = candidates.agg(F.min("price"), F.max("price")).first()
     if highest is None:
         return wanted.withColumns({"item": F.lit(None).cast("bigint"), "score": F.lit(None).cast("double")})
+    if lowest < 0:
+        raise ValueError(f"prices count from 0, found {lowest}")
     levels = int(highest + 1).bit_length()
     candidates = candidates.select(group, "item", F.col("price").cast("bigint").alias("price"), "score")
     mine = owned.select(owner, "item").distinct().withColumn("_mine", F.lit(True))
     asked = wanted.withColumn("_cap", F.least(F.col("budget").cast("bigint"), F.lit(int(highest))))
     case = [owner, group, "budget"]
-    pending = asked.filter("_cap >= 0").select(owner, group, F.col("_cap").alias("budget")).distinct()
-    width, answers = FIRST_WIDTH, []
-    while True:
-        tops = _node_tops(candidates, group, levels, width)
-        lists = _budget_tops(pending.select(group, "budget").distinct(), tops, group, levels, width)
-        hits = pending.join(lists, [group, "budget"]).join(mine, [owner, "item"], "left")
-        free = F.col("_mine").isNull()
-        best = F.min(F.when(free, F.struct((-F.col("score")).alias("rank"), F.col("item").alias("item"))))
-        passed_over = (F.count_if(free) == 0) & (F.count("*") == width)
-        found = settle(hits.groupBy(*case).agg(best.alias("best"), passed_over.alias("stuck")), "replacement")
-        answers.append(found.filter("not stuck").select(*case, "best"))
-        open_cases = found.filter("stuck").select(*case)
-        if open_cases.isEmpty():
-            break
-        pending, width = open_cases, width * WIDEN
-    chosen = reduce(DataFrame.unionByName, answers).select(
-        owner,
-        group,
-        F.col("budget").alias("_cap"),
-        F.col("best.item").alias("item"),
-        (-F.col("best.rank")).alias("score"),
+    cases = asked.filter("_cap >= 0").select(owner, group, F.col("_cap").alias("budget")).distinct()
+    # one more than an owner holds of any group is always enough
+    held = mine.join(candidates.select(group, "item").distinct(), "item").groupBy(owner, group).agg(F.count("*").alias("n"))
+    width = 1 + (held.agg(F.max("n")).first()[0] or 0)
+    tops = _node_tops(candidates, group, levels, width)
+    lists = _budget_tops(cases.select(group, "budget").distinct(), tops, group, levels, width)
+    hits = cases.join(lists, [group, "budget"]).join(mine, [owner, "item"], "left").filter("_mine is null")
+    # an unknown score comes after every known one
+    place = F.struct(F.col("score").isNull().alias("unknown"), (-F.col("score")).alias("less"), F.col("item").alias("item"))
+    chosen = hits.groupBy(*case).agg(F.min(place).alias("best")).select(
+        owner, group, F.col("budget").alias("_cap"), F.col("best.item").alias("item"), (-F.col("best.less")).alias("score")
     )
     joined = asked.join(chosen, [owner, group, "_cap"], "left")
     return joined.select(*wanted.columns, "item", "score")

@@ -38,9 +38,13 @@ def latest_snapshot(df: DataFrame, column: str = "load_date", source: DataFrame
     return df.filter(F.col(column) == latest_value(df if source is None else source, column))
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The row with the largest `order` value per key. Combined map-side, no window."""
-    row = F.max_by(F.struct(*[F.col(c) for c in df.columns]), F.col(order))
+def latest_per_key(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The row with the largest `order` value per key, NULL below all; then the largest `ties`.
+
+    A key that only has NULL order values keeps a row. Combined map-side, no window.
+    """
+    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("order"), *[F.col(t) for t in ties])
+    row = F.max_by(F.struct(*[F.col(c) for c in df.columns]), place)
     return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(row.alias("_row")).select("_row.*")
 
 

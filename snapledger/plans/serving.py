@@ -201,10 +201,12 @@ def best_attack_defence(table: DataFrame) -> DataFrame:
     return first.select(F.inline(cards))
 
 
-def season_stats(players: DataFrame, teams: DataFrame, positions: DataFrame) -> DataFrame:
-    """Newest player statistics with team and position names."""
+def season_stats(
+    players: DataFrame, teams: DataFrame, positions: DataFrame, dates: DataFrame | None = None
+) -> DataFrame:
+    """Newest player statistics with team and position names; `dates` may name a smaller table of load dates."""
     return (
-        latest_snapshot(players)
+        latest_snapshot(players, source=dates)
         .join(teams.select(*team_key(teams), "team_name", "team_code"), team_key(teams), "left")
         .join(positions.select("position_id", "position_short_name"), "position_id", "left")
         .select(
@@ -327,7 +329,9 @@ def captain_suggestion(squad: DataFrame) -> DataFrame:
     starters = squad.filter((F.col("squad_slot") == "starting") & F.col("player_id").isNotNull())
     fit, named = ~F.col("availability_risk").eqNullSafe("high_risk"), F.col("is_captain")
     entry = F.struct("player_id", "web_name", "transfer_score")
-    best_first = F.struct((-F.col("transfer_score")).alias("s"), F.col("player_id").alias("p"))
+    best_first = F.struct(
+        F.col("transfer_score").isNull().alias("u"), (-F.col("transfer_score")).alias("s"), F.col("player_id").alias("p")
+    )
     advice = starters.groupBy("manager_id").agg(
         F.min_by(F.when(fit, entry), F.when(fit, best_first)).alias("best"),
         F.min_by(F.when(named, entry), F.when(named, F.struct("position", "player_id"))).alias("captain"),
@@ -384,7 +388,7 @@ def weak_links(squad: DataFrame, banks: DataFrame, latest: DataFrame) -> DataFra
 
 def current_period(bootstrap: DataFrame) -> DataFrame:
     """Current period of each snapshot, the last finished one between seasons, and the gap flag."""
-    spec = [*fields("int", "id"), *fields("boolean", "is_current", "is_next", "finished")]
+    spec = [*fields("bigint", "id"), *fields("boolean", "is_current", "is_next", "finished")]
     spec += fields("int", "average_entry_score", "highest_score")
     listed = bootstrap.select("season", "load_date", F.explode("events").alias("e")).select(
         "season", "load_date", *typed(F.col("e"), spec)
@@ -416,7 +420,7 @@ def live_stats(payloads: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     exploded = payloads.select(*keep, F.explode("elements").alias("e"))
     element = F.col("e")
     stats = [pick(element, f"stats.{name}", "int").alias(name) for name in LIVE_STATS]
-    return exploded.select(*keep, pick(element, "id", "int").alias("player_id"), *stats)
+    return exploded.select(*keep, pick(element, "id", "bigint").alias("player_id"), *stats)
 
 
 def live_top(live: DataFrame, meta: DataFrame, k: int = 15, group: Sequence[str] = ()) -> DataFrame:

@@ -65,7 +65,8 @@ FIXTURE_FIELDS = [
 ]
 EVENT_FIELDS = [
     *fields("bigint", ("id", "event_ws_id")),
-    *fields("int", "minute", "second", ("teamId", "team_ws_id"), ("playerId", "player_ws_id")),
+    *fields("int", "minute", "second"),
+    *fields("bigint", ("teamId", "team_ws_id"), ("playerId", "player_ws_id")),
     Field("event_type", "type.displayName"),
 ]
 SEASON_PLAYER_FIELDS = [
@@ -129,12 +130,12 @@ def match_headers(payloads: DataFrame) -> DataFrame:
     """Match facts of payloads: id from the file name, split score, season from the date."""
     date = F.to_date("startDate")
     return payloads.select(
-        id_from_file(F.col("filename")).try_cast("int").alias("match_id"),
+        id_from_file(F.col("filename")).try_cast("bigint").alias("match_id"),
         date.alias("match_date"),
         season_start_year(date).alias("season_start_year"),
-        pick(F.col("home.teamId"), "$", "int").alias("home_team_ws_id"),
+        pick(F.col("home.teamId"), "$", "bigint").alias("home_team_ws_id"),
         F.col("home.name").alias("home_team_name"),
-        pick(F.col("away.teamId"), "$", "int").alias("away_team_ws_id"),
+        pick(F.col("away.teamId"), "$", "bigint").alias("away_team_ws_id"),
         F.col("away.name").alias("away_team_name"),
         score_side(F.col("ftScore"), 1).alias("home_goals"),
         score_side(F.col("ftScore"), 2).alias("away_goals"),
@@ -147,7 +148,7 @@ def match_headers(payloads: DataFrame) -> DataFrame:
 def exported_events(payloads: DataFrame) -> DataFrame:
     """Event elements of payloads; the qualifiers stay VARIANT."""
     exploded = payloads.select(
-        id_from_file(F.col("filename")).try_cast("int").alias("match_id"),
+        id_from_file(F.col("filename")).try_cast("bigint").alias("match_id"),
         "load_date",
         F.explode("events").alias("e"),
     )

@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+_stored: dict[tuple[str, ...], DataFrame] = {}
 
 
 def build_session(app_name: str = "snapledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -59,9 +61,22 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_once(spark: SparkSession, label: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The settled table `label` of an input folder, built when this application first asks for it.
+
+    The inputs of a folder count as unchanged until `clear_scratch`.
+    """
+    key = (spark.sparkContext.applicationId, label, source)
+    if key not in _stored:
+        _stored[key] = settle(build(), label)
+    return _stored[key]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application settled. Call it once its results are written elsewhere."""
     folder = os.path.join(scratch_dir(spark), "snapledger", spark.sparkContext.applicationId)
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        del _stored[key]
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,7 +12,7 @@ from snapledger.operators.replacement import best_affordable
 from snapledger.plans import serving
 from snapledger.session import settle
 from snapledger.supplied.registry import query
-from snapledger.supplied.snapshot_queries import DECISION, OUTLOOK, Stored, stored_players
+from snapledger.supplied.snapshot_queries import DECISION, OUTLOOK, Stored
 from snapledger.supplied.tables import DAILY, FIXTURES, PLAYERS, TEAMS, Tables
 
 LATEST = f"""{DECISION},
@@ -27,7 +27,7 @@ newest_outlook as (select * from outlook where load_date = (select max(load_date
 def _latest(stored: Tables | Stored) -> DataFrame:
     """Newest decisions, stored: the serving queries read a finished table."""
     stored = Stored(stored) if isinstance(stored, Tables) else stored
-    return serving.latest_decisions(settle(stored.decision(), "decision"), stored.players, stored.t.teams())
+    return serving.latest_decisions(stored.mart("decision"), stored.players, stored.t.teams())
 
 
 PICK = ("player_id", "web_name", "team_name", "team_code", "player_code", "price_m", "transfer_score")
@@ -82,7 +82,7 @@ select {PICK_SQL}, team_id, position_short_name, defensive_outlook_score from (
 where rn = 1""")
 def clean_sheet_picks(t):
     stored = Stored(t)
-    return serving.clean_sheet_picks(_latest(stored), settle(stored.outlook(), "outlook")).select(
+    return serving.clean_sheet_picks(_latest(stored), stored.mart("outlook")).select(
         *PICK, "team_id", "position_short_name", "defensive_outlook_score"
     )
 
@@ -91,13 +91,13 @@ def clean_sheet_picks(t):
 select newest_outlook.team_name, defensive_outlook_score, played, team_code
 from newest_outlook join teams using (team_id) order by defensive_outlook_score desc, team_id limit 1""")
 def best_defence(t):
-    return serving.best_defence(settle(Stored(t).outlook(), "outlook"), t.teams())
+    return serving.best_defence(Stored(t).mart("outlook"), t.teams())
 
 
 @query(f"""with {LATEST_OUTLOOK}
 select coalesce(bool_or(fixture_pctl is not null), false) as published from newest_outlook""")
 def ease_published(t):
-    return serving.ease_published(settle(Stored(t).outlook(), "outlook"))
+    return serving.ease_published(Stored(t).mart("outlook"))
 
 
 @query(f"""with {LATEST},
@@ -146,7 +146,7 @@ def signal_breakdown(t):
 
 SQUADS = f"""{LATEST},
 picks as (
-  select o_custkey as manager_id, o_orderkey % 200 as element, min(o_orderkey % 15 + 1) as position
+  select o_custkey as manager_id, o_orderkey % (select max(user_id) + 1 from events) as element, min(o_orderkey % 15 + 1) as position
   from orders group by 1, 2),
 squad as (
   select p.*, p.position = 1 as is_captain, l.* exclude (position_id),
@@ -156,8 +156,8 @@ squad as (
 
 
 def _squads(t: Tables, latest: DataFrame) -> DataFrame:
-    slot = F.col("o_orderkey") % 15 + 1
-    picks = t.orders.groupBy(F.col("o_custkey").alias("manager_id"), (F.col("o_orderkey") % 200).alias("element")).agg(
+    slot, users = F.col("o_orderkey") % 15 + 1, t.events.agg(F.max("user_id") + 1).scalar()
+    picks = t.orders.groupBy(F.col("o_custkey").alias("manager_id"), (F.col("o_orderkey") % users).alias("element")).agg(
         F.min(slot).alias("position")
     )
     flagged = picks.withColumns({"is_captain": F.col("position") == 1, "is_vice_captain": F.col("position") == 2})
@@ -349,8 +349,8 @@ stats as (
 
 
 def _stats(t: Tables) -> DataFrame:
-    players = stored_players(t)
-    return serving.season_stats(players, t.teams(), t.positions(players))
+    players = t.players()
+    return serving.season_stats(players, t.teams(), t.positions(players), t.snapshot_dates())
 
 
 @query(f"""with {STATS}

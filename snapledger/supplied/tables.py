@@ -82,6 +82,10 @@ class Tables:
             (F.col("errors") >= 3).alias("removed"),
         )
 
+    def snapshot_dates(self) -> DataFrame:
+        """The dates of the player snapshots, from a scan of one column."""
+        return self.events.select(F.to_date("ts").alias("load_date"))
+
     def positions(self, players: DataFrame) -> DataFrame:
         names = F.create_map(*[F.lit(x) for pair in POSITION_NAMES.items() for x in pair])
         return players.select("position_id").distinct().withColumn("position_short_name", names[F.col("position_id")])

@@ -117,3 +117,26 @@ def test_small_labels(spark):
     assert one(spark, labels.squad_role(F.lit(False), F.lit(True))) == "vice"
     assert one(spark, labels.ordinal(F.lit("hold"))) == 2
     assert one(spark, labels.lookup(F.lit("other"), {"a": 1})) is None
+
+
+def test_newest_row_of_a_key_without_order(spark):
+    from snapledger.operators.snapshots import latest_per_key
+
+    rows = spark.createDataFrame([("a", None, 1), ("b", 1, 1), ("b", None, 2), ("b", 3, 3)], "k string, at int, v int")
+    assert sorted(map(tuple, latest_per_key(rows, ["k"], "at").collect())) == [("a", None, 1), ("b", 3, 3)]
+
+
+def test_ids_beyond_four_bytes(spark):
+    from snapledger.plans.silver import match_headers
+
+    shape = "filename string, season string, load_date date, startDate string, ftScore string, attendance int, venueName string"
+    raw = spark.createDataFrame([("x/3000000000.json", "2025", None, "2025-08-15T00:00:00", "2 : 0", 1, "v")], shape)
+    side = "named_struct('teamId', parse_json('4000000000'), 'name', 't')"
+    raw = raw.selectExpr("*", f"{side} as home", f"{side} as away")
+    row = match_headers(raw).first()
+    assert (row["match_id"], row["home_team_ws_id"]) == (3_000_000_000, 4_000_000_000)
+
+
+def test_accents_beyond_the_basic_plane(spark):
+    found = spark.createDataFrame([("\U0001109A",)], "t string").select(text.strip_accents(F.col("t"))).first()[0]
+    assert found == "\U00011099"

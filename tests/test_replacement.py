@@ -2,7 +2,6 @@ import random
 
 import pytest
 
-from snapledger.operators import replacement
 from snapledger.operators.replacement import best_affordable
 
 
@@ -19,10 +18,7 @@ def brute(wanted, candidates, owned):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("width", [1, 16])
-def test_matches_brute_force(spark, monkeypatch, seed, width):
-    monkeypatch.setattr(replacement, "FIRST_WIDTH", width)
-    monkeypatch.setattr(replacement, "WIDEN", 3)
+def test_matches_brute_force(spark, seed):
     rng = random.Random(seed)
     candidates = [("abc"[i % 3], i, rng.randint(0, 140), float(rng.randint(0, 30))) for i in range(150)]
     owned = {(o, rng.randrange(150)) for o in range(12) for _ in range(10)}
@@ -46,3 +42,23 @@ def test_no_candidates(spark):
         "g", "owner",
     )
     assert [(r.row, r.item) for r in got.collect()] == [(1, None)]
+
+
+CASE = ("row int, g string, owner int, budget int", "g string, item int, price int, score double", "owner int, item int")
+
+
+def test_unknown_score_comes_last(spark):
+    wanted, candidates, owned = CASE
+    got = best_affordable(
+        spark.createDataFrame([(1, "a", 1, 5), (2, "a", 2, 5)], wanted),
+        spark.createDataFrame([("a", 1, 2, None), ("a", 2, 3, 9.0)], candidates),
+        spark.createDataFrame([(2, 2)], owned),
+        "g", "owner",
+    )
+    assert {r.row: r.item for r in got.collect()} == {1: 2, 2: 1}
+
+
+def test_negative_price_is_refused(spark):
+    wanted, candidates, owned = (spark.createDataFrame([], c) for c in CASE)
+    with pytest.raises(ValueError, match="prices"):
+        best_affordable(wanted, spark.createDataFrame([("a", 1, -1, 1.0)], CASE[1]), owned, "g", "owner")
