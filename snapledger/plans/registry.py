@@ -100,11 +100,21 @@ class Context:
         return {name: self.ref(name) for name in names or MODELS}
 
     def publish(self, *names: str) -> None:
-        """Register models in the catalog: tables in the database of their layer, others as views."""
+        """Register models in the catalog: tables in the database of their layer, others as views.
+
+        A stored model is registered where it lies, with its folders per load date, and not written again.
+        """
         for name, df in self.build(*names).items():
             entry = MODELS[name]
             if entry.kind == "table":
+                table = f"{entry.layer}.{name}"
                 self.spark.sql(f"create database if not exists {entry.layer}")
-                df.write.mode("overwrite").saveAsTable(f"{entry.layer}.{name}")
+                if entry.stored and self.warehouse:
+                    self.spark.sql(f"drop table if exists {table}")
+                    self.spark.catalog.createTable(table, path=f"{self.warehouse}/{entry.layer}/{name}", source="parquet")
+                    if "load_date" in df.columns:
+                        self.spark.catalog.recoverPartitions(table)
+                else:
+                    df.write.mode("overwrite").saveAsTable(table)
             else:
                 df.createOrReplaceTempView(f"{entry.layer}_{name}")

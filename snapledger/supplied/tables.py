@@ -15,7 +15,6 @@ from snapledger.functions.numbers import ratio, round_half_away
 # Fixed values of the bindings.
 STATUSES = ("a", "d", "i", "s", "n")
 POSITION_NAMES = {1: "GKP", 2: "DEF", 3: "MID", 4: "FWD"}
-FIRST_SEASON, SEASONS = 1995, 7
 
 
 class Tables:
@@ -165,7 +164,9 @@ class Tables:
 
     def ease_of_snapshots(self, players: DataFrame, ease: DataFrame) -> DataFrame:
         """Fixture signal of one of the fixture years for every snapshot date and team."""
-        year = F.dayofmonth("load_date") % SEASONS + FIRST_SEASON
+        ordered = F.year("o_orderdate")
+        first, count = (self.orders.agg(e).scalar() for e in (F.min(ordered), F.max(ordered) - F.min(ordered) + 1))
+        year = F.dayofmonth("load_date") % count + first
         wanted = players.select("load_date", "team_id").distinct().withColumn(
             "_year", F.make_date(year, F.lit(1), F.lit(1))
         )
@@ -174,6 +175,10 @@ class Tables:
 
 # The same derivations in SQL.
 
+#: First day of the fixture year that stands for a snapshot date.
+FIXTURE_YEAR = """make_date(cast((select min(year(o_orderdate)) from orders) + day(load_date) %
+    (select max(year(o_orderdate)) - min(year(o_orderdate)) + 1 from orders) as integer), 1, 1)"""
+
 TEAMS = """teams as (
   select cast(n_nationkey as bigint) as team_id, n_name as team_name, 'N' || n_nationkey as team_short_name,
     cast(n_nationkey + 900 as bigint) as team_code

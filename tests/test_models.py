@@ -177,6 +177,14 @@ def test_publish(ctx, spark):
     assert spark.table("gold.league_table").count() == 6
 
 
+def test_published_tables_keep_their_folders(ctx, spark):
+    ctx.publish("transfer_decision")
+    kept = spark.table("gold.transfer_decision")
+    assert kept.count() == ctx.ref("transfer_decision").count()
+    plan = kept.filter("load_date = date'2026-07-10'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(load_date" in plan
+
+
 def test_split_groups_give_the_same_decisions(ctx):
     from snapledger.operators import scoring
 
