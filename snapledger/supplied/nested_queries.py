@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.fields import fields, pick, typed
 from snapledger.functions.numbers import round_half_away
-from snapledger.functions.text import required, season_from_title
+from snapledger.functions.text import required, score_side, season_from_title
 from snapledger.operators import snapshots
 from snapledger.plans import serving
 from snapledger.plans.silver import exported_events, match_headers
 from snapledger.session import new_folder
 from snapledger.sources.catalog import read_seed
-from snapledger.sources.landing import payload_season, split_league_payload, write_raw
+from snapledger.sources.landing import load_raw, payload_season, read_raw, split_league_payload, write_raw
 from snapledger.streaming.landing import land_new_files
 from snapledger.supplied.registry import query
 from snapledger.supplied.tables import FIXTURES, Tables
@@ -298,6 +298,33 @@ def incremental_landing(t):
     return _landed_summary(t.spark.read.parquet(table))
 
 
+@query("""select year(o_orderdate) as season, cast(cast(date_trunc('month', o_orderdate) as date) as varchar) as load_date,
+  count(*) as events, cast(sum(o_orderkey) as bigint) as event_ids, cast(count(*) % 7 as bigint) as home_score,
+  cast(max(o_custkey) as bigint) as home_team, true as has_file
+from orders group by 1, 2""")
+def raw_payloads(t):
+    """One payload file per month, landed by a full refresh, replayed, and read back as the raw table."""
+    root, event = new_folder(t.spark, "payloads"), F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    month = F.to_date(F.date_trunc("month", "o_orderdate"))
+    payloads = t.orders.groupBy(F.year("o_orderdate").alias("season"), month.alias("load_date")).agg(
+        F.struct(F.max("o_custkey").alias("teamId"), F.lit("home").alias("name")).alias("home"),
+        F.concat((F.count("*") % 7).cast("string"), F.lit(" : 1")).alias("ftScore"),
+        F.collect_list(event).alias("events"),
+    )
+    # a month is one row, so every file holds one object
+    payloads.write.partitionBy("season", "load_date").json(f"{root}/matchcentre/events")
+    for _ in range(2):
+        load_raw(t.spark, root, "match_payloads", root)
+    raw = read_raw(t.spark, root, "match_payloads")
+    ids = F.transform("events", lambda e: pick(e, "id", "bigint"))
+    return raw.select(
+        "season", "load_date", F.size("events").alias("events"),
+        F.aggregate(ids, F.lit(0).cast("bigint"), lambda total, i: total + i).alias("event_ids"),
+        score_side(F.col("ftScore"), 1).cast("bigint").alias("home_score"),
+        pick(F.col("home.teamId"), "$", "bigint").alias("home_team"), F.col("filename").endswith(".json").alias("has_file"),
+    )
+
+
 @query("select c_custkey, cast(c_nationkey as bigint) as c_nationkey, c_name, c_acctbal from customer")
 def seed_scan(t):
     """Customers through a CSV file with declared types."""

@@ -317,6 +317,24 @@ def xg_team_table(t):
     return serving.team_xg_table(_team_matches(t))
 
 
+@query(f"with {XG_TABLE} select * from xg_table where season = (select max(year(o_orderdate)) - 1 from orders)")
+def xg_season_table(t):
+    """The table of one season, chosen by its parameter."""
+    season = t.orders.agg(F.max(F.year("o_orderdate")) - 1).first()[0]
+    return serving.team_xg_table(_team_matches(t), season)
+
+
+@query(f"""with {LATEST}
+select player_id, case when player_code is not null then 'https://img.example/p' || player_code || '.png' end as photo,
+  case when team_code is not null then 'https://img.example/t' || team_code || '.png' end as badge from latest""")
+def picture_links(t):
+    """Newest decisions with links filled in from templates."""
+    stored = Stored(t)
+    templates = {"photo_template": "https://img.example/p%d.png", "badge_template": "https://img.example/t%d.png"}
+    shown = serving.latest_decisions(stored.mart("decision"), stored.players, t.teams(), **templates)
+    return shown.select("player_id", "photo", "badge")
+
+
 @query(f"with {XG_TABLE} select *, round(xga - goals_conceded, 1) as defensive_delta from xg_table")
 def defence_delta(t):
     return serving.defence_delta(serving.team_xg_table(_team_matches(t)))
