@@ -32,9 +32,9 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 SIMILAR = 75  # per cent
-#: Least number of equal minima for a pair to be confirmed on full sets: four standard deviations below the 96
-#: expected at 0.75, so that one in 40,000 pairs at the very threshold is passed over, and fewer above it.
-LEAST_EQUAL = 76
+#: Least number of equal minima for a pair to be confirmed on full sets: five standard deviations below the 96
+#: expected at 0.75, so that about one in two million pairs at the very threshold is passed over, and fewer above it.
+LEAST_EQUAL = 72
 TILE = 256
 
 _random = np.random.Generator(np.random.PCG64(20240607))
