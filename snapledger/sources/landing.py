@@ -63,13 +63,13 @@ def write_raw(df: DataFrame, path: str, overwrite: str = "dynamic") -> None:
     Landing the same day twice gives the same table. The rebalance step merges small files and
     cuts a large partition into several.
     """
-    (
-        df.hint("rebalance", *PARTITION_COLUMNS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", overwrite)
-        .partitionBy(*PARTITION_COLUMNS)
-        .parquet(path)
-    )
+    write_partitions(df.hint("rebalance", *PARTITION_COLUMNS), path, overwrite)
+
+
+def write_partitions(df: DataFrame, path: str, overwrite: str = "dynamic") -> None:
+    """Replace the partitions present in `df`, or with "static" the whole table, by files as `df` deals them."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", overwrite)
+    writer.partitionBy(*PARTITION_COLUMNS).parquet(path)
 
 
 def load_raw(

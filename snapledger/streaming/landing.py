@@ -1,15 +1,20 @@
-"""Incremental landing of newly arrived snapshot files."""
+"""Incremental landing of newly arrived and rewritten snapshot files."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from snapledger.session import settle
 from snapledger.sources.catalog import configured, finished, source
-from snapledger.sources.landing import PARTITION_COLUMNS
-
+from snapledger.sources.landing import PARTITION_COLUMNS, write_partitions, write_raw
 
 # Files per micro-batch: a long backlog is worked off in bounded steps.
 FILES_PER_BATCH = 10_000
+# The record of landed files, beside the stream's own marks in its checkpoint folder.
+LANDED = "filename string, modified timestamp, season int, load_date date"
 
 
 def stream_source(
@@ -26,17 +31,43 @@ def stream_source(
     return finished(reader.load(entry.glob(root, feeds)), name)
 
 
-def land_new_files(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append every file not landed before to a partitioned table, then stop.
+def file_versions(rows: DataFrame) -> DataFrame:
+    """Files behind the rows of a source, each with the time it was last written."""
+    modified = F.col("_metadata.file_modification_time").alias("modified")
+    return rows.select("filename", modified, *PARTITION_COLUMNS).distinct()
+
+
+def land_new_files(
+    stream: DataFrame, read: Callable[[SparkSession], DataFrame], path: str, checkpoint: str
+) -> None:
+    """Land every partition that new or rewritten files have reached, then stop.
 
-    The checkpoint records the files already taken and the sink's log commits a batch once, so
-    a restart after a failure neither loses nor repeats a file.
+    `read` gives the same source as a batch. A partition is always replaced whole, so a repeated micro-batch gives
+    the same table, a day landed again under new names supersedes the old one, and `write_raw` may write to the
+    table too. The stream knows a file by its path alone; files rewritten in place are found afterwards by the
+    modification times recorded at their last landing.
     """
+    record = f"{checkpoint}/landed_files"
+
+    def replace(spark: SparkSession, touched: DataFrame) -> None:
+        touched = settle(touched.select(*PARTITION_COLUMNS).distinct(), "touched")
+        # recorded versions are read before the rows: a file written in between is landed again next time
+        versions = settle(file_versions(read(spark)).join(touched, [*PARTITION_COLUMNS], "left_semi"), "versions")
+        write_raw(read(spark).join(touched, [*PARTITION_COLUMNS], "left_semi"), path)
+        write_partitions(versions, record)
+
     query = (
-        stream.writeStream.format("parquet")
+        stream.writeStream.foreachBatch(lambda batch, _: replace(batch.sparkSession, batch))
         .option("checkpointLocation", checkpoint)
-        .partitionBy(*PARTITION_COLUMNS)
         .trigger(availableNow=True)
-        .start(path)
+        .start()
     )
     query.awaitTermination()
+
+    spark = stream.sparkSession
+    spark.createDataFrame([], LANDED).write.mode("ignore").partitionBy(*PARTITION_COLUMNS).parquet(record)
+    known = spark.read.schema(LANDED).parquet(record)
+    rewritten = file_versions(read(spark)).join(known, known.columns, "left_anti")
+    rewritten = settle(rewritten, "rewritten")
+    if not rewritten.isEmpty():
+        replace(spark, rewritten)

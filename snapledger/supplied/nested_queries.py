@@ -217,10 +217,9 @@ def current_period(t):
 # Landing: the payload files are written from the tables, then landed and read like a source.
 
 
-def _event_files(t: Tables) -> str:
+def _write_event_files(events: DataFrame, folder: str) -> None:
     """Events as JSON payload files under season=/load_date= folders; errors lack the `props` key."""
-    folder = new_folder(t.spark, "incoming")
-    stamped = t.events.select(
+    stamped = events.select(
         "event_id",
         "user_id",
         "event_type",
@@ -229,8 +228,7 @@ def _event_files(t: Tables) -> str:
         F.year("ts").alias("season"),
         F.to_date("ts").alias("load_date"),
     )
-    stamped.write.partitionBy("season", "load_date").json(f"{folder}/events")
-    return folder
+    stamped.write.mode("overwrite").partitionBy("season", "load_date").json(f"{folder}/events")
 
 
 EVENT_SCHEMA = (
@@ -262,7 +260,8 @@ def _landed_summary(df: DataFrame) -> DataFrame:
 @query(LANDED)
 def snapshot_landing(t):
     """Payload files to a typed raw table, landed twice: the second run replaces the first."""
-    folder = _event_files(t)
+    folder = new_folder(t.spark, "incoming")
+    _write_event_files(t.events, folder)
     read = t.spark.read.schema(EVENT_SCHEMA).option("basePath", f"{folder}/events")
     files = read.json(f"{folder}/events/season=*/load_date=*")
     raw = files.select(
@@ -279,11 +278,14 @@ def snapshot_landing(t):
 
 @query(LANDED)
 def incremental_landing(t):
-    """The same table from the file stream; a second run finds nothing new."""
-    folder = _event_files(t)
+    """The same table from the file stream: every day lands with wrong values, then again with the right ones.
 
-    def stream() -> DataFrame:
-        files = t.spark.readStream.schema(EVENT_SCHEMA).option("basePath", f"{folder}/events")
+    A third run finds nothing new.
+    """
+    folder = new_folder(t.spark, "incoming")
+
+    def opened(reader) -> DataFrame:
+        files = reader.schema(EVENT_SCHEMA).option("basePath", f"{folder}/events")
         loaded = files.json(f"{folder}/events/season=*/load_date=*")
         return loaded.select(
             *[pick(F.col(f.path), "$", f.type).alias(f.name) for f in EVENT_FIELDS],
@@ -293,8 +295,10 @@ def incremental_landing(t):
         )
 
     table = f"{folder}/raw"
-    for _ in range(2):
-        land_new_files(stream(), table, f"{folder}/checkpoint")
+    for events in (t.events.withColumn("value", F.col("value") + 1), t.events, None):
+        if events is not None:
+            _write_event_files(events, folder)
+        land_new_files(opened(t.spark.readStream), lambda spark: opened(spark.read), table, f"{folder}/checkpoint")
     return _landed_summary(t.spark.read.parquet(table))
 
 

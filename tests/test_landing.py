@@ -105,15 +105,37 @@ def test_missing_block_fails(spark, tmp_path):
 
 def test_incremental_landing_equals_batch(spark, tmp_path):
     root, table, mark = tmp_path / "tree", str(tmp_path / "table"), str(tmp_path / "mark")
-    for day in (tree.DAY1, tree.DAY2):
+
+    def read(session):
+        return catalog.read_source(session, str(root), "bootstrap")
+
+    def land(**options):
+        land_new_files(stream_source(spark, str(root), "bootstrap", **options), read, table, mark)
+
+    def dump(day, **changes):
         base = root / "game" / "season=2025" / f"load_date={day}"
-        tree.dump(base / "bootstrap_static.json", tree.bootstrap(day))
-        land_new_files(stream_source(spark, str(root), "bootstrap"), table, mark)
-    land_new_files(stream_source(spark, str(root), "bootstrap", files_per_batch=1), table, mark)
-    flat = [F.col("load_date"), F.col("season"), F.to_json("elements").alias("e"), "filename"]
-    stored = spark.read.parquet(table).select(*flat).collect()
-    batch = catalog.read_source(spark, str(root), "bootstrap").select(*flat).collect()
-    assert sorted(stored) == sorted(batch) and len(stored) == 2
+        tree.dump(base / "bootstrap_static.json", {**tree.bootstrap(day), **changes})
+
+    def same():
+        flat = [F.col("load_date"), F.col("season"), F.to_json("elements").alias("e"), "filename"]
+        stored = spark.read.parquet(table).select(*flat).collect()
+        assert sorted(stored) == sorted(read(spark).select(*flat).collect())
+        return stored
+
+    for day in (tree.DAY1, tree.DAY2):
+        dump(day)
+        land()
+    land(files_per_batch=1)
+    assert len(same()) == 2
+    dump(tree.DAY1, elements=[{"id": 1}])
+    land()
+    assert '[{"id":1}]' in [r.e for r in same()]
+    # a batch may write to the same table
+    landing.write_raw(read(spark).filter(F.col("load_date") == tree.DAY2), table)
+    assert len(same()) == 2
+    before = sorted(f for f in spark.read.parquet(table).inputFiles())
+    land()
+    assert sorted(spark.read.parquet(table).inputFiles()) == before
 
 
 def test_malformed_file_fails(spark, tmp_path):
