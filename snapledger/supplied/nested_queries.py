@@ -10,10 +10,19 @@ from snapledger.functions.numbers import round_half_away
 from snapledger.functions.text import required, score_side, season_from_title
 from snapledger.operators import snapshots
 from snapledger.plans import serving
+from snapledger.plans.registry import Context
 from snapledger.plans.silver import exported_events, match_headers
 from snapledger.session import new_folder
 from snapledger.sources.catalog import read_seed
-from snapledger.sources.landing import load_raw, payload_season, read_raw, split_league_payload, write_raw
+from snapledger.sources.landing import (
+    land_folder,
+    land_league_payloads,
+    load_raw,
+    payload_season,
+    read_raw,
+    split_league_payload,
+    write_raw,
+)
 from snapledger.streaming.landing import land_new_files
 from snapledger.supplied.registry import query
 from snapledger.supplied.tables import FIXTURES, Tables
@@ -329,6 +338,77 @@ def raw_payloads(t):
     )
 
 
+@query("""with months as (
+  select *, year(o_orderdate) as season, cast(date_trunc('month', o_orderdate) as date) as load_date from orders),
+kept as (
+  select * from months where (season, load_date) in (select (season, max(load_date)) from months group by season)),
+rows as (
+  select 'season_players' as block, season, load_date, o_orderkey as id, o_orderpriority || '''s' as label,
+    o_custkey / cast(2.0 as double) as value from kept
+  union all select 'season_matches', season, load_date, o_orderkey, o_orderstatus, o_custkey / cast(4.0 as double) from kept
+  union all select 'season_team_matches', season, load_date, o_custkey, 'T' || o_custkey,
+    case when o_orderkey % 3 <> 0 then o_custkey / cast(o_orderkey % 3 as double) end from kept)
+select block, season, cast(load_date as varchar) as load_date, id, label, value from rows""")
+def season_refresh(t):
+    """Every order as a league payload of its month, landed in one call; the refresh models keep each year's newest month."""
+    key, customer, date = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
+
+    def text(column: Column, name: str) -> Column:
+        return column.cast("string").alias(name)
+
+    name = F.concat("o_orderpriority", F.lit("&#039;s")).alias("player_name")
+    player = F.struct(text(key, "id"), name, text(customer / 2.0, "xG"))
+    home = F.struct(text(customer, "id"), F.col("o_orderstatus").alias("title"))
+    match = F.struct(text(key, "id"), home.alias("h"), F.struct(text(customer / 4.0, "h")).alias("xG"))
+    pressing = F.struct(customer.alias("att"), (key % 3).alias("def"))
+    team = F.struct(
+        text(customer, "id"),
+        F.concat(F.lit("T"), customer.cast("string")).alias("title"),
+        F.array(F.struct(text(F.to_date(date), "date"), pressing.alias("ppda"))).alias("history"),
+    )
+    payload = _payload(F.array(player).alias("players"), F.array(match).alias("dates"), F.struct(team.alias("1")).alias("teams"))
+    stamp = [F.year(date).alias("season"), F.to_date(F.date_trunc("month", date)).alias("load_date")]
+    blocks = {"players": "array<variant>", "dates": "array<variant>", "teams": "map<string,variant>"}
+    payloads = t.orders.select(*stamp, payload.alias("payload")).select(
+        "season", "load_date", *[pick(F.col("payload"), block, kind).alias(block) for block, kind in blocks.items()]
+    )
+    warehouse = new_folder(t.spark, "league")
+    land_league_payloads(payloads, warehouse)
+    ctx = Context(t.spark, lambda source: read_raw(t.spark, warehouse, source), warehouse)
+    columns = {
+        "season_players": ("player_ud_id", "player_name", "xg"),
+        "season_matches": ("match_ud_id", "home_team_name", "home_xg"),
+        "season_team_matches": ("team_ud_id", "team_name", "ppda"),
+    }
+    whole = None
+    for model, df in ctx.build(*columns).items():
+        named = [F.col(c).alias(out) for c, out in zip(columns[model], ("id", "label", "value"))]
+        rows = df.select(F.lit(model).alias("block"), "season", "load_date", *named)
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
+
+
+@query("""select year(o_orderdate) as season, '2025-09-01' as load_date, count(*) as elements,
+  cast(sum(o_orderkey) as bigint) as ids from orders group by 1
+union all select 2099, '2025-09-02', count(*), cast(sum(o_orderkey) as bigint) from orders""")
+def folder_landing(t):
+    """A folder of payload files, landed twice as one day with the payloads' own seasons, then as another under a given one."""
+    folder, warehouse = new_folder(t.spark, "folder"), new_folder(t.spark, "landed")
+    deadline = F.date_format(F.min("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("deadline_time")
+    payloads = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+        F.collect_list(F.struct(F.col("o_orderkey").alias("id"))).alias("elements"),
+        F.array(F.struct(deadline)).alias("events"),
+    )
+    # a month is one row, so every file holds one object
+    payloads.write.partitionBy("month").json(folder)
+    for day, season in (("2025-09-01", None), ("2025-09-01", None), ("2025-09-02", "2099")):
+        land_folder(t.spark, folder, "bootstrap", warehouse, day, season)
+    listed = read_raw(t.spark, warehouse, "bootstrap").select("season", "load_date", F.explode("elements").alias("e"))
+    return listed.groupBy("season", "load_date").agg(
+        F.count("*").alias("elements"), F.sum(pick(F.col("e"), "id", "bigint")).alias("ids")
+    )
+
+
 @query("select c_custkey, cast(c_nationkey as bigint) as c_nationkey, c_name, c_acctbal from customer")
 def seed_scan(t):
     """Customers through a CSV file with declared types."""
