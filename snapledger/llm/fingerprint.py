@@ -1,16 +1,16 @@
 """I-Match fingerprints with many randomised lexicon subsets. Only DataFrame operations.
 
 The lexicon holds the terms whose document frequency lies in a band, given as shares of all documents:
-very common terms say nothing and rare ones are typing errors and names that an edit removes. A
-term belongs to pseudo-random subsets of the lexicon: at level j the lexicon falls into CELLS * 4**j
-parts, of which CELLS are kept as subsets. A document uses the two levels at which its terms spread
-about evenly over these subsets, so that short and long texts both keep a handful of terms per
-subset. Its distinct terms are sorted, and those of each subset hashed together; the hashes are the
-fingerprint. The likeness of two fingerprints is the share of equal hashes among the subsets that
-either has, at the levels that both use.
-
-The lexicon is broadcast. Its size is bounded whatever the corpus: a term in at least LEAST_SHARE of
-all documents takes that share of all (document, term) pairs, so there are at most
+very common terms say nothing and rare ones are typing errors and names that an edit removes. At
+level j the lexicon falls into CELLS * 4**j pseudo-random subsets, and every term belongs to one of them. A
+document uses two levels, chosen by how many lexicon terms it has, so that short and long texts both
+have a handful of terms per subset. Its distinct lexicon terms are sorted, and those of each subset
+hashed together; the hashes are the fingerprint, and each lexicon term of the text is in one of them per level.
+The likeness of two fingerprints is the share of equal hashes among the subsets that either has, at
+the levels that both use.
+
+The lexicon travels to the tasks as one value. Its size is bounded whatever the corpus: a term in at least
+LEAST_SHARE of all documents takes that share of all (document, term) pairs, so there are at most
 (mean distinct terms per document) / LEAST_SHARE of them.
 """
 
@@ -25,8 +25,12 @@ CELL_BITS = 4
 CELLS = 1 << CELL_BITS
 LEAST_SHARE, MOST_SHARE = 0.001, 0.1
 SEED = 71
+#: Deepest first level; a text with more terms than fit it has more of them per subset.
+DEEPEST = 10
+#: A hash of a fingerprint holds the level, the subset and CODE_BITS of the subset's own hash.
+LEVEL_BIT, CODE_BITS = 58, 32
 #: Level of the one hash that stands for a text without lexicon terms.
-BARE = 60
+BARE = 31
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -44,58 +48,72 @@ def lexicon(texts: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHA
     return settle(seen.filter((F.col("rows") >= low) & (F.col("rows") <= max(high, low))).select("term"), "lexicon")
 
 
-def level(count: Column) -> Column:
-    """Level at which `count` terms put one half to two into each subset."""
-    raw = F.floor(F.log(4.0, F.greatest(F.lit(1.0), count / (CELLS / 2))))
-    return F.greatest(F.lit(0), raw).cast("int")
+def placed(lexicon: DataFrame) -> Column:
+    """The whole lexicon as one value: an array of lists, in which a term's hash names its list.
+
+    There are as many lists as terms, so that looking up a term takes a step or two.
+    """
+    lists = max(1, lexicon.count())
+    held = lexicon.groupBy(F.pmod("term", F.lit(lists)).alias("id")).agg(F.collect_list("term").alias("terms"))
+    every = lexicon.sparkSession.range(lists).join(held, "id", "left")
+    entry = F.struct("id", F.coalesce("terms", F.array().cast("array<bigint>")).alias("terms"))
+    return every.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["terms"]).alias("lexicon")).scalar()
 
 
-def mask(level: Column) -> Column:
-    """Bits of a term's hash that choose its part at a level."""
-    return (F.pow(F.lit(2.0), CELL_BITS + 2 * level) - 1).cast("bigint")
+def let(value: Column, use) -> Column:
+    """`use` of a value that is computed once, although `use` asks for it in loops."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def level(count: Column) -> Column:
+    """The first of the two levels: `count` terms put two to eight into each subset at it."""
+    raw = F.floor(F.log(4.0, F.greatest(F.lit(1.0), count / (CELLS * 2))))
+    return F.least(F.greatest(F.lit(0), raw), F.lit(DEEPEST)).cast("int")
 
 
 def hashes(kept: Column, level: Column) -> Column:
-    """One number per used subset at a level: level, subset and 32 bits of the hash of its sorted terms."""
-    def subset(cell):
-        inside = F.filter(kept, lambda t: t.bitwiseAND(mask(level)) == cell)
-        code = (level.cast("bigint") * (1 << 40)) + cell * (1 << 32) + F.xxhash64(inside).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-        return F.when(F.size(inside) > 0, code)
+    """One number per used subset at a level: level, subset and CODE_BITS of the hash of its sorted terms.
+
+    The first bits of a term's hash choose its subset, so the terms of one are neighbours in `kept`, which is sorted.
+    """
+    cell = lambda t: F.call_function("shiftrightunsigned", t, F.lit(64 - CELL_BITS) - 2 * level)
+    begins = F.transform(kept, lambda t, i: F.when(~cell(t).eqNullSafe(cell(F.get(kept, i - 1))), i))
+
+    def codes(starts):
+        def code(start, nth):
+            inside = F.slice(kept, start + 1, F.coalesce(F.get(starts, nth + 1), F.size(kept)) - start)
+            own = F.xxhash64(inside).bitwiseAND(F.lit((1 << CODE_BITS) - 1).cast("bigint"))
+            return level.cast("bigint") * (1 << LEVEL_BIT) + cell(F.get(kept, start)) * (1 << CODE_BITS) + own
 
-    return F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(CELLS - 1).cast("bigint")), subset), lambda h: h.isNotNull())
+        return F.transform(starts, code)
 
+    return let(F.filter(begins, lambda i: i.isNotNull()), codes)
 
-def fingerprints(variants: DataFrame, key: list[str], lexicon: DataFrame, carried: list[str] = ()) -> DataFrame:
-    """`key`, `carried`, `level` and `print` (an array) of every row of `variants` (key, carried, text).
 
-    Rows of one key must be equal. The terms that can matter are chosen by their hash inside the row; only
-    those meet the lexicon, which is broadcast, and come back together by key.
+def fingerprint(text: Column, lexicon: Column) -> Column:
+    """`level` and `print` (an array) of a text, given the lexicon as `placed`.
+
+    Every distinct term of the text meets the lexicon, and each one found there enters a subset at both levels.
     """
-    listed = variants.select(*key, *carried, terms(F.col("text")).alias("_terms"))
-    leveled = listed.withColumn("level", level(F.size("_terms")))
-    whole = F.xxhash64(F.sort_array("_terms"))
-    chosen = F.filter("_terms", lambda t: t.bitwiseAND(mask(F.col("level"))) < CELLS)
-    rows = leveled.select(*key, *carried, "level", whole.alias("_whole"), F.explode_outer(chosen).alias("term"))
-    known = F.broadcast(lexicon.withColumn("_known", F.lit(True)))
-    kept = rows.join(known, "term", "left").groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in carried],
-        F.first("level").alias("level"), F.first("_whole").alias("_whole"),
-        F.sort_array(F.collect_set(F.when(F.col("_known"), F.col("term")))).alias("_kept"),
-    )
-    deeper = F.concat(hashes(F.col("_kept"), F.col("level")), hashes(F.col("_kept"), F.col("level") + 1))
-    bare = F.size("_kept") == 0
-    alone = F.array(F.lit(BARE).cast("bigint") * (1 << 40) + F.col("_whole").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
-    return kept.select(
-        *key, *carried, F.when(bare, F.lit(BARE)).otherwise(F.col("level")).alias("level"),
-        F.when(bare, alone).otherwise(deeper).alias("print"),
-    )
+    def known(found):
+        held = lambda t: F.array_contains(F.get(lexicon, F.pmod(t, F.size(lexicon)).cast("int")), t)
+        return F.struct(F.sort_array(F.filter(found, held)).alias("kept"), F.xxhash64(F.sort_array(found)).alias("whole"))
+
+    def prints(kept, whole):
+        bare = F.array(F.lit(BARE).cast("bigint") * (1 << LEVEL_BIT) + whole.bitwiseAND(F.lit((1 << CODE_BITS) - 1).cast("bigint")))
+        both = lambda at: F.struct(at.alias("level"), F.concat(hashes(kept, at), hashes(kept, at + 1)).alias("print"))
+        return F.when(F.size(kept) == 0, F.struct(F.lit(BARE).alias("level"), bare.alias("print"))).otherwise(
+            let(level(F.size(kept)), both)
+        )
+
+    return let(let(terms(text), known), lambda k: let(k["kept"], lambda kept: prints(kept, k["whole"])))
 
 
 def likeness(one: Column, one_level: Column, two: Column, two_level: Column) -> Column:
     """Share of equal hashes among the subsets that either print has at the levels both use; 0 without any."""
     low, high = F.greatest(one_level, two_level), F.least(one_level, two_level) + 1
-    common = lambda p: F.filter(p, lambda h: F.shiftright(h, 40).between(low, high))
-    cells = lambda p: F.transform(common(p), lambda h: F.shiftright(h, 32))
+    common = lambda p: F.filter(p, lambda h: F.shiftright(h, LEVEL_BIT).between(low, high))
+    cells = lambda p: F.transform(common(p), lambda h: F.shiftright(h, CODE_BITS))
     equal = F.size(F.array_intersect(common(one), common(two)))
     either = F.size(F.array_union(cells(one), cells(two)))
     return F.when(one == two, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(equal.cast("double"), either), F.lit(0.0)))
@@ -156,15 +174,18 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     kept = F.col("chars") - F.floor(F.col("chars") / 3).cast("int")
     edited = F.concat(F.left(F.col("text"), kept), F.col("head"))
     both = met.join(heads, key).withColumn("edited", edited).withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
-    carried = ["doc_id", "chars", "copies", "edited_sha256", "after"]
-    variant = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text"))))
-    variants = both.select(*key, *carried, variant.alias("v")).select(*key, *carried, "v.*")
-    prints = fingerprints(variants, [*key, "which"], words, carried)
-    pick = lambda which, c: F.first(F.when(F.col("which") == which, F.col(c)), ignorenulls=True)
-    pairs = prints.groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in carried], pick(0, "level").alias("level"), pick(0, "print").alias("print"),
-        pick(1, "level").alias("edited_level"), pick(1, "print").alias("edited_print"),
+    # the lexicon is asked for once, so that rows refer to it and do not carry it
+    texts = F.array("text", "edited")
+    both = both.withColumn("_lexicon", placed(words))
+    both = both.withColumn("_prints", let(F.col("_lexicon"), lambda known: F.transform(texts, lambda t: fingerprint(t, known))))
+    one, two = F.get("_prints", F.lit(0)), F.get("_prints", F.lit(1))
+    rest = ["doc_id", "chars", "copies", "edited_sha256", "after"]
+    prints = both.select(
+        *key, *rest, one["level"].alias("level"), one["print"].alias("print"),
+        two["level"].alias("edited_level"), two["print"].alias("edited_print"),
     )
+    facts = [*rest, "level", "print", "edited_level", "edited_print"]
+    pairs = prints.groupBy(*key).agg(*[F.first(c).alias(c) for c in facts])
     pairs = settle(pairs, "fingerprint-pairs")
     following = pairs.select(
         F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("level").alias("next_level"), F.col("print").alias("next_print")

@@ -103,6 +103,30 @@ def test_fingerprints(spark, texts):
     assert np.mean([r["near_edited"] for r in found.values()]) > np.mean([r["near_next"] for r in found.values()]) + 0.2
 
 
+def test_few_lexicon_terms_of_a_long_text_decide(spark):
+    """Near copies that share 300 lexicon terms among thousands of rare ones are alike."""
+    shared = " ".join(f"s{i}" for i in range(300))
+    long = [(k, shared + " " + " ".join(f"r{k}x{i}" for i in range(5000))) for k in (50, 49)]
+    docs = spark.createDataFrame([*long, *((k, f"other{k}") for k in range(40))], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in fingerprint.fingerprint_digest(docs).collect()}
+    assert found[50]["near_next"] == 1 and found[50]["fingerprint"] == found[49]["fingerprint"]
+    assert found[39]["near_next"] == 0
+
+
+def test_every_lexicon_term_enters_the_fingerprint(spark):
+    words = [f"s{i}" for i in range(300)]
+    rows = [(-1, " ".join(words))] + [(k, " ".join(words[:k] + words[k + 1 :])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    known = docs.filter("doc_id = -1").select(fingerprint.F.explode(fingerprint.terms(fingerprint.F.col("text"))).alias("term"))
+    prints = docs.withColumn("known", fingerprint.placed(known)).select("doc_id", fingerprint.fingerprint("text", fingerprint.F.col("known")).alias("f"))
+    prints = {r["doc_id"]: r["f"] for r in prints.collect()}
+    whole = prints.pop(-1)
+    for r in prints.values():
+        assert r["level"] == whole["level"]
+        gone = set(whole["print"]) - set(r["print"])
+        assert sorted(h >> fingerprint.LEVEL_BIT for h in gone) == [r["level"], r["level"] + 1]
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame(
         [(3, "u", "same"), (1, "v", "same"), (2, None, None), (5, "w", ""), (None, "x", "same"), (7, "y", "long " * 90000)],
