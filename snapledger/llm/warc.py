@@ -27,8 +27,6 @@ from snapledger.session import new_folder
 
 MAGIC = b"\x1f\x8b\x08"
 READ_BYTES = 1 << 20
-#: Longest header block that is looked at while validating a candidate.
-HEADER_BYTES = 1 << 16
 FILE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
 LEAST_REVISIT_BYTES = 0
@@ -177,25 +175,24 @@ class Source:
 
     def member(self, at: int) -> tuple[bytes, int] | None:
         """Content and end of the WARC member at this offset, or None if there is none."""
-        unpack, parts, known, seen = zlib.decompressobj(31), [], False, 0
+        unpack, content, known, seen = zlib.decompressobj(31), bytearray(), False, 0
         for block in self.blocks(at):
             try:
                 data = unpack.decompress(block)
             except zlib.error:
                 return None
             seen += len(block)
-            parts.append(data)
+            fresh = max(0, len(content) - 3)  # the header's end may straddle two blocks
+            content += data
             if not known:
-                head = b"".join(parts)
-                if not head[:7] == b"WARC/1."[: len(head[:7])]:
+                if not content[:7] == b"WARC/1."[: len(content[:7])]:
                     return None
-                known = b"\r\n\r\n" in head
-                if not known and len(head) > HEADER_BYTES:
-                    return None
-                if known and header(head) is None:
+                # a header has no longest length: an address may be one line of any size
+                known = content.find(b"\r\n\r\n", fresh) >= 0
+                if known and header(content) is None:
                     return None
             if unpack.eof:  # checksum and length of the member were right
-                return (b"".join(parts), at + seen - len(unpack.unused_data)) if known else None
+                return (bytes(content), at + seen - len(unpack.unused_data)) if known else None
         return None
 
     def candidates(self, start: int, stop: int) -> Iterator[int]:
@@ -216,7 +213,7 @@ class Source:
                 at = jump if jump is not None else low + 1
 
 
-def header(data: bytes) -> dict[str, str] | None:
+def header(data: bytes | bytearray) -> dict[str, str] | None:
     """Fields of a WARC header by lower-case name, or None if it is not one."""
     lines = data.split(b"\r\n\r\n", 1)[0].decode("utf-8", "replace").split("\r\n")
     fields = {}

@@ -140,6 +140,17 @@ def test_warc_round_trip(spark):
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [1000, 1 << 20])
+def test_warc_long_addresses(spark, width):
+    """A header longer than any block of the reader: the record and the one that refers to it come back."""
+    url = "data:," + base64.b64encode(np.random.default_rng(9).bytes(300_000)).decode()
+    pages = spark.createDataFrame([(1, url, "same"), (2, "u", "same"), (3, "v", "else")], "page_id bigint, url string, html string")
+    files = warc.write_warc(pages.coalesce(1), new_folder(spark, "corpus-warc"))
+    found = {r["page_id"]: r for r in warc.read_warc(files, range_bytes=width).collect()}
+    assert len(found) == sum(r["records"] for r in files.collect()) == 3
+    assert found[1]["uri"] == url and bytes(found[1]["payload"]) == b"same" and found[2]["refers_to"] == 1
+
+
 @pytest.mark.parametrize("width", [97, 1000, 1 << 20])
 def test_warc_ranges_cut_anywhere(spark, width):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
