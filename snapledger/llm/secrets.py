@@ -2,7 +2,8 @@
 
 Patterns find candidate credentials in whole texts. Every candidate value is counted over the corpus
 by distinct owner (the `source`) and distinct repository (the document). A value that many owners
-share is a published example; one that few owners hold looks live. The base patterns are always
+share, or that stands in many repositories, is a published example; one that few owners hold in few
+repositories looks live. The base patterns are always
 reported; besides them the scan reports free-standing random-looking tokens, but only live ones,
 since without a keyword next to it a widely copied token is boilerplate.
 """
@@ -30,8 +31,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9_-]{20,}", re.ASCII)
 ASSIGN_VALUE = 6
 TOKEN_BITS = 3.5
-#: A value held by at most so many owners counts as live.
+#: A value held by at most so many owners, in at most so many repositories, counts as live.
 LIVE_OWNERS = 2
+LIVE_REPOSITORIES = 8
 
 FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("begin", pa.int64()), ("stop", pa.int64()), ("value", pa.int64())]))
 FOUND_SQL = "array<struct<kind int, begin bigint, stop bigint, value bigint>>"
@@ -80,19 +82,20 @@ def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, owners, repositories of every candidate value, from rows (doc_id, source, value).
+    """value, owners, repositories of every candidate value, from rows (row, doc_id, source, value).
 
-    Both counts aggregate before and after the shuffle on the value, so a value that a third of all
+    A row without a doc_id is a repository of its own. Both counts aggregate before and after the shuffle on the value, so a value that a third of all
     documents hold is one row per task and owner.
     """
     owners = found.groupBy("value", "source").agg(F.count(F.lit(1)).alias("rows"))
     owners = owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
-    repositories = found.select("value", "doc_id").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("repositories"))
+    own = F.when(F.col("doc_id").isNull(), F.col("row")).alias("own")
+    repositories = found.select("value", "doc_id", own).distinct().groupBy("value").agg(F.count(F.lit(1)).alias("repositories"))
     return owners.join(repositories, "value")
 
 
-def scan_secrets(docs: DataFrame, live_owners: int = LIVE_OWNERS) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, source) with `spans`: kind, begin, stop, owners, live.
+def scan_secrets(docs: DataFrame, live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, source) with `spans`: kind, begin, stop, owners, repositories, live.
 
     Nulls: a null text is empty and has no spans; a null source is an owner of its own; rows with a
     null or repeated doc_id are scanned like others. Spans are sorted by begin, then kind.
@@ -109,16 +112,16 @@ def scan_secrets(docs: DataFrame, live_owners: int = LIVE_OWNERS) -> DataFrame:
     # thousandth of all candidates, so at most a thousand exist and those are broadcast.
     total = scanned.agg(F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("n")).first()["n"]
     owned = settle(owned, "secret-owners")
-    wide = F.broadcast(owned.filter(F.col("repositories") * 1000 > total).select("value", F.col("owners").alias("wide")))
+    counts = ["owners", "repositories"]
+    wide = F.broadcast(owned.filter(F.col("repositories") * 1000 > total).select("value", F.struct(*counts).alias("wide")))
     each = each.join(wide, "value", "left").withColumn("key", F.when(F.col("wide").isNull(), F.col("value")))
-    rest = owned.select(F.col("value").alias("key"), "owners")
+    rest = owned.select(F.col("value").alias("key"), *counts)
     hot, cold = each.filter("wide is not null"), each.filter("wide is null").join(rest, "key")
-    judged = hot.withColumn("owners", F.col("wide")).select("row", "kind", "begin", "stop", "owners").unionByName(
-        cold.select("row", "kind", "begin", "stop", "owners")
-    )
-    judged = judged.withColumn("live", F.col("owners") <= live_owners).filter("kind < 3 or live")
+    judged = hot.select("row", "kind", "begin", "stop", "wide.*").unionByName(cold.select("row", "kind", "begin", "stop", *counts))
+    few = (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)
+    judged = judged.withColumn("live", few).filter("kind < 3 or live")
     spans = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("begin", "kind", "stop", "owners", "live"))).alias("spans")
+        F.sort_array(F.collect_list(F.struct("begin", "kind", "stop", *counts, "live"))).alias("spans")
     )
     empty = F.array().cast(dict(spans.dtypes)["spans"])
     return scanned.select("row", "doc_id").join(spans, "row", "left").select(
