@@ -4,8 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 again as the next stage's documents. Stages before the last return the columns of their documents.
 
 Nulls and empty texts: an empty text is scored for toxicity like others, survives the exact step as one row,
-is linked with nothing in the near step, has nothing to take in the mix, and so ends there. Rows without a doc_id end
-in the near step. Extra columns pass through.
+is linked with nothing in the near step, has nothing to take in the mix, and so ends there. Rows without a doc_id, or
+that repeat one, are rows like others in the near step and in the mix. Extra columns pass through.
 """
 
 from __future__ import annotations

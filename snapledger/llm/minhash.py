@@ -242,6 +242,14 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_near(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are the first of their component, with all their columns."""
-    kept = near_components(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
+    """The rows of `docs` that are the first of their component, with all their columns.
+
+    Components are of rows, whatever their ids: a stored row key stands for each. The first row is that of the
+    smallest doc_id, null last; rows without words are alone, and so stay.
+    """
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    found = near_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = found.groupBy("component_id").agg(F.min(place).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)

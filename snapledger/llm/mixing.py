@@ -116,15 +116,15 @@ def schedule(spark, sources: list[Source]) -> DataFrame:
                          F.floor(F.col("rank") / per_round).alias("round"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and word counts of every row of `docs` (doc_id, text, source).
+def mix(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, `carried`, size, source_size, target, taken and word counts of every row of `docs` (doc_id, text, source).
 
     Equal reruns: the shuffle follows hashes of (doc_id, size). A null text has size 0 and is never
     taken; a null source is a source of its own, last in order; null and repeated ids are rows like
     others. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", source_key(F.col("source")).alias("name"), word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", *carried, source_key(F.col("source")).alias("name"), word_count(F.col("text")).alias("size"))
     rows = settle(rows, "mix-sizes")
     sums = rows.groupBy("name").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
@@ -153,10 +153,10 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     taken = pieces.join(slots, ["name", "block"]).groupBy("name", "begin").agg(F.sum(words * F.col("times")).alias("taken"))
     counted = placed.join(taken, ["name", "begin"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        "doc_id", *carried, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
     )
     nothing = rows.filter("size = 0").join(facts, "name").select(
-        "doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")
+        "doc_id", *carried, "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken")
     )
     return counted.unionByName(nothing)
 
@@ -166,9 +166,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document is cut only where a source's last block ends in it; the cut copy keeps its first words,
     joined by single spaces, and its n_chars follows. Documents that the mix does not take are gone.
+    Rows meet their counts by a stored row key, so null and repeated ids are rows like others.
     """
-    counts = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["_id"]))
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    counts = mix(rows, ("_row",)).filter("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    joined = rows.join(counts, "_row")
     copies = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
     each = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     rest = (F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")

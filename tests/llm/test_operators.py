@@ -323,6 +323,34 @@ def test_copies_within_one_owner_are_examples(spark):
     assert sum(s["repositories"] == 80 for s in spans) == 80
 
 
+LONE = [f"{w} " * 3 + " ".join(f"{w}{i}" for i in range(40)) for w in ("ash", "birch", "cedar", "dill", "elm", "fir")]
+
+
+def test_near_keeps_rows_without_or_with_repeated_ids(spark):
+    near = lambda text: text + " end"
+    rows = [
+        (None, LONE[0]), (None, LONE[1]), (None, near(LONE[1])), (4, near(LONE[2])), (3, LONE[2]), (4, LONE[3]),
+        (5, LONE[4]), (None, near(LONE[4])), (None, None), (9, ""),
+    ]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id bigint, text string, place int").repartition(3)
+    kept = minhash.keep_near(docs)
+    assert kept.columns == docs.columns
+    places = sorted(r["place"] for r in kept.collect())
+    assert places in ([0, 1, 4, 5, 6, 8, 9], [0, 2, 4, 5, 6, 8, 9])
+
+
+def test_mix_returns_each_row_as_often_as_taken(spark):
+    sized = [t + " more" * k for k, t in enumerate(LONE)]  # rows of equal ids and sizes follow each other in any order
+    rows = list(zip((1, 1, None, None, None, 7), sized, "aabbbc"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    counts = mixing.mix(docs, ("text",)).collect()
+    copies = collections.Counter({r["text"]: -(-r["taken"] // r["size"]) for r in counts if r["taken"]})
+    found = collections.Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        found[next(t for t in sized if t.split()[:1] == r["text"].split()[:1])] += 1
+    assert found == copies
+
+
 def test_pipeline(spark):
     """Every stage's decision against its operator's verdict on the same input."""
     rows = entry.queries()["pipeline"](spark, FOLDER).collect()
