@@ -123,16 +123,16 @@ def runs(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of several texts: byte range, hash and text of each, in order."""
+    """The words of several texts: byte range, hash and text of each, in order. `apart` marks the bytes between words."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, apart: np.ndarray = SPACE):
         texts = texts.cast(pa.large_string()).fill_null("")
         buffers = texts.buffers()
         bounds = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = np.frombuffer(buffers[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
         self.bounds, self.bytes = bounds - bounds[0], raw
         data = LOWER[raw] if lower else raw
-        solid = ~SPACE[data]
+        solid = ~apart[data]
         first = np.zeros(len(data) + 1, bool)
         first[self.bounds] = True
         starts = solid.copy()

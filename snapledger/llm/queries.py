@@ -9,10 +9,13 @@ from snapledger.llm.language import language_digest
 from snapledger.llm.minhash import near_components
 from snapledger.llm.mixing import mix
 from snapledger.llm.packing import pack
+from snapledger.llm.ranked import ranked_search
 from snapledger.llm.secrets import secret_digest
 from snapledger.llm.substrings import substring_digest
+from snapledger.llm.tokenfiles import token_digest
 from snapledger.llm.toxicity import toxicity_digest
 from snapledger.llm.warc import warc_round_trip
+from snapledger.llm.whitening import whiten
 
 
 def op1_imatch(spark, folder):
@@ -55,9 +58,31 @@ def op10_secret_scans(spark, folder):
     return secret_digest(documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_imatch, op2_warc, op3_toxicity, op4_packing, op5_mixing, op6_near_dedup, op7_substring_dedup, op8_language, op9_exact_dedup, op10_secret_scans)}
+def op11_ranked_search(spark, folder):
+    return ranked_search(documents(spark, folder), documents(spark, folder, "benchmark"))
+
+
+def op12_token_files(spark, folder):
+    import public_tokenizers
+
+    return token_digest(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_whitening(spark, folder):
+    return whiten(documents(spark, folder, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_imatch, op2_warc, op3_toxicity, op4_packing, op5_mixing, op6_near_dedup, op7_substring_dedup, op8_language,
+        op9_exact_dedup, op10_secret_scans, op11_ranked_search, op12_token_files, op13_whitening,
+    )
+}
 
 _SPACE = r"[\x20\x09-\x0D]"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
     "op9_exact_dedup": rf"""
@@ -70,4 +95,22 @@ ORACLE_SQL = {
                    count(*) over (partition by text_sha256) as group_size
             from t)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from k""",
+    "op11_ranked_search": rf"""
+        with words as (select doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as term from documents),
+        held as (select doc_id, term, count(*) as tf from words group by all),
+        sizes as (select doc_id, sum(tf)::bigint as n from held group by doc_id),
+        total as (select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sizes),
+        weights as (
+            select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+            from held, total group by term, n_docs),
+        asked as (
+            select item_id, term, count(*) as times
+            from (select item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) as term from benchmark) group by all),
+        scores as (
+            select item_id, doc_id,
+                   sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+            from asked join weights using (term) join held using (term) join sizes using (doc_id), total
+            group by item_id, doc_id),
+        placed as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores where score > 0)
+        select item_id, rank::int as rank, doc_id, score from placed where rank <= 20""",
 }
