@@ -46,7 +46,7 @@ def spark_rows(df):
     return names, [dict(df.dtypes)[n] for n in names], rows
 
 
-TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+TYPES = {"int": "INTEGER", "string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
 def differences(df, con, sql):
