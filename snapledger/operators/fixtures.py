@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.labels import result_letter
 from snapledger.functions.numbers import round_half_away
-from snapledger.operators.ordering import GROUP_ROWS, Key, down, ordered, over_rows, row_numbers, up
+from snapledger.operators.ordering import Key, down, ordered, over_rows, row_numbers, up
 
 RECORD_COUNTS = ("won", "drawn", "lost", "goals_for", "goals_against", "goal_difference", "points")
 
@@ -62,8 +62,6 @@ def next_n_run(
     open_rows: str = "not finished",
     number: str = "upcoming_fixture_number",
     out: str = "avg_difficulty_next_5",
-    split: bool | None = None,
-    rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Number the open rows of a group and average `value` over each and the n - 1 after it.
 
@@ -77,8 +75,6 @@ def next_n_run(
         lambda w: {out: round_half_away(F.avg(value).over(w.rowsBetween(0, n - 1)), 2)},
         after=n - 1,
         number=number,
-        split=split,
-        rows=rows,
     )
     rest = sides.filter(~is_open).withColumns(
         {number: F.lit(None).cast("bigint"), out: F.lit(None).cast("double")}
@@ -86,14 +82,13 @@ def next_n_run(
     return run.unionByName(rest)
 
 
-def fixture_difficulty(fixtures: DataFrame, teams: DataFrame, rows: int = GROUP_ROWS) -> DataFrame:
+def fixture_difficulty(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
     """Every team's fixtures with its upcoming run and both team names."""
     run = next_n_run(
         team_fixtures(fixtures),
         ["load_date", "team_id"],
         [up("kickoff_time"), up("fixture_id")],
         "difficulty",
-        rows=rows,
     )
     key = team_key(teams)
     own = teams.select(*key, "team_name")
@@ -157,14 +152,12 @@ def standings(
     table: Sequence[str],
     order: Sequence[Key] = (down("points"), down("goal_difference"), down("goals_for"), up("team_name")),
     out: str = "position",
-    split: bool | None = None,
-    rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Position of each record in its table; the order must end in a column unique per table."""
-    return row_numbers(records, table, order, out, split, rows)
+    return row_numbers(records, table, order, out)
 
 
-def league_table(fixtures: DataFrame, teams: DataFrame, rows: int = GROUP_ROWS) -> DataFrame:
+def league_table(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
     """Standings of every snapshot with names and form, from finished fixtures."""
     results = team_results(fixtures)
     key = ["load_date", "team_id"]
@@ -176,7 +169,6 @@ def league_table(fixtures: DataFrame, teams: DataFrame, rows: int = GROUP_ROWS)
         named,
         ["load_date"],
         [down("points"), down("goal_difference"), down("goals_for"), up("team_name"), up("team_id")],
-        rows=rows,
     )
     return placed.join(form, key, "left").select(
         "load_date",

@@ -1,16 +1,20 @@
 """Ranks, row numbers and row frames inside groups of any size.
 
-A Spark window puts a whole group into one task. That is the right plan while every group fits
-a task, so each function measures the largest group first (one aggregate with map-side combine)
-and uses the plain window when it fits; a caller that knows the answer passes `split`. Larger
-groups take an exact second way: rows are range partitioned by (group, order), so a group is cut
-into ordered slices; each slice is numbered on its own and shifted by the size of the slices
-before it.
+A Spark window puts a whole group into one task. Here rows are range partitioned by (group, order) and stored, so that
+a large group is cut into ordered slices of about equal size while small groups share one. Every slice is worked on alone. Only a group
+that lies on the edge between two slices is in more than one, so what slices must know of each other is a
+small table, at most two rows for each slice:
+
+* row numbers and running sums are shifted by the rows and sums of the slices before;
+* ranks are too, and a value that runs on from the slice before keeps the rank it has there;
+* row frames reach into neighbouring slices through copies of the few rows beside the edge.
+
+There is one plan for every group size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -19,9 +23,8 @@ from pyspark.sql.window import Window, WindowSpec
 
 from snapledger.session import settle
 
-GROUP_ROWS = 1_000_000
-# Up to this k Spark limits groups in every task (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+#: Spark keeps only the first rows of a group in every task up to this many (spark.sql.optimizer.windowGroupLimitThreshold).
+MOST_PER_GROUP = 1000
 
 
 class Key(NamedTuple):
@@ -35,6 +38,11 @@ class Key(NamedTuple):
         column = F.col(self.name)
         return column.desc_nulls_last() if self.descending else column.asc_nulls_last()
 
+    @property
+    def reverse(self) -> Column:
+        column = F.col(self.name)
+        return column.asc_nulls_first() if self.descending else column.desc_nulls_first()
+
 
 def up(name: str) -> Key:
     return Key(name)
@@ -52,17 +60,6 @@ def ordered(group: Sequence[str], order: Sequence[Key]) -> WindowSpec:
     return Window.partitionBy(*group).orderBy(*sorts(order))
 
 
-def needs_split(df: DataFrame, group: Sequence[str], rows: int = GROUP_ROWS) -> bool:
-    """Whether any group has more than `rows` rows. Only one number reaches the driver.
-
-    A caller that ranks several subsets or left joins of one table measures that table once and
-    passes the answer on as `split`, so the measurement never repeats an expensive join.
-    """
-    sizes = df.groupBy(*group).agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0]
-    return (largest or 0) > rows
-
-
 def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
     """Equality of columns on two aliases, where NULL equals NULL."""
     condition = F.lit(True)
@@ -72,54 +69,57 @@ def null_safe(left: str, right: str, columns: Sequence[str]) -> Column:
 
 
 def _sliced(df: DataFrame, group: Sequence[str], order: Sequence[Key]) -> DataFrame:
-    """`df` with `_slice`: ordered slices of each group, frozen on shared storage."""
+    """`df` with `_slice`: ordered slices, frozen on shared storage. `order` must be unique for a group to be cut anywhere."""
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(slices, *[F.col(g) for g in group], *sorts(order))
     return settle(ranged.withColumn("_slice", F.spark_partition_id()), "slices")
 
 
-def _slice_starts(sliced: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
-    """Rows of the group before each slice, and in all of it. One row per group and slice."""
-    sizes = sliced.groupBy(*group, "_slice").agg(F.sum(weight).alias("_n"))
+def _portions(sliced: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The slices of groups that lie in several: rows here (`_n`), before (`_start`) and in all (`_size`), and the
+    number of the slice in its group (`_nth`). At most two rows for each slice: its first and its last group.
+    """
+    sizes = sliced.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
     whole = Window.partitionBy(*group)
-    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(
-        *group,
-        "_slice",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        F.sum("_n").over(whole).alias("_size"),
+    along = whole.orderBy("_slice")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumns(
+        {
+            "_nth": F.row_number().over(along),
+            "_start": F.coalesce(F.sum("_n").over(before), F.lit(0)),
+            "_size": F.sum("_n").over(whole),
+        }
     )
+    return placed.filter(F.col("_size") > F.col("_n"))
 
 
-def _with_starts(sliced: DataFrame, group: Sequence[str], weight: Column) -> DataFrame:
-    starts = _slice_starts(sliced, group, weight)
-    return (
-        sliced.alias("s")
-        .join(starts.alias("t"), null_safe("s", "t", [*group, "_slice"]))
-        .select("s.*", "t._start", "t._size")
-    )
+def _beside(sliced: DataFrame, portions: DataFrame, keys: Sequence[str], columns: Sequence[str], how: str = "left") -> DataFrame:
+    """`sliced` with `columns` of the portions, which are few enough to broadcast."""
+    joined = sliced.alias("s").join(F.broadcast(portions).alias("t"), null_safe("s", "t", keys), how)
+    return joined.select("s.*", *[f"t.{c}" for c in columns])
 
 
-def row_numbers(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[Key],
-    out: str,
-    split: bool | None = None,
-    rows: int = GROUP_ROWS,
-) -> DataFrame:
+def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Key], out: str) -> DataFrame:
     """1, 2, … inside each group. `order` must be unique within a group."""
-    if needs_split(df, group, rows) if split is None else split:
-        return _sliced_row_numbers(df, group, order, out)
-    return df.withColumn(out, F.row_number().over(ordered(group, order)).cast("bigint"))
+    sliced = _sliced(df, group, order)
+    placed = _beside(sliced, _portions(sliced, group), [*group, "_slice"], ["_start"])
+    local = F.row_number().over(ordered([*group, "_slice"], order))
+    return placed.withColumn(out, (F.coalesce("_start", F.lit(0)) + local).cast("bigint")).drop("_slice", "_start")
 
 
-def _sliced_row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[Key], out: str) -> DataFrame:
-    local = F.row_number().over(ordered([*group, "_slice"], order))
-    numbered = _with_starts(_sliced(df, group, order), group, F.lit(1))
-    return numbered.withColumn(out, (F.col("_start") + local).cast("bigint")).drop(
-        "_slice", "_start", "_size"
-    )
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Key], value: str, out: str) -> DataFrame:
+    """Sum of `value`, whole numbers, over the rows of the group before this one. Rows equal in `order` follow each other."""
+    sliced = _sliced(df, group, order)
+    here = [*group, "_slice"]
+    sums = sliced.groupBy(*here).agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    along = Window.partitionBy(*group).orderBy("_slice")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumns({"_nth": F.row_number().over(along), "_start": F.coalesce(F.sum("_sum").over(before), F.lit(0))})
+    # all but a group's first slice: at most one row for each slice
+    placed = _beside(sliced, starts.filter(F.col("_nth") > 1), here, ["_start"])
+    inside = ordered(here, order).rowsBetween(Window.unboundedPreceding, -1)
+    local = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return placed.withColumn(out, (F.coalesce("_start", F.lit(0)) + local).cast("bigint")).drop("_slice", "_start")
 
 
 def ranks(
@@ -127,45 +127,69 @@ def ranks(
     group: Sequence[str],
     signals: dict[str, Key],
     kind: str = "percent_rank",
-    split: bool | None = None,
-    rows: int = GROUP_ROWS,
+    eligible: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add one rank column per entry of `signals` (output name -> order key).
 
     `kind` is "rank" (1 + rows that come strictly before) or "percent_rank" (that, minus 1,
-    over the group size minus 1; 0 in a group of one).
-    """
-    if needs_split(df, group, rows) if split is None else split:
-        for out, key in signals.items():
-            df = _sliced_rank(df, group, key, out, kind)
-        return df
-    return df.withColumns({out: _plain_rank(group, key, kind) for out, key in signals.items()})
-
-
-def _plain_rank(group: Sequence[str], key: Key, kind: str) -> Column:
-    window = ordered(group, [key])
-    return F.rank().over(window).cast("bigint") if kind == "rank" else F.percent_rank().over(window)
-
-
-def _sliced_rank(df: DataFrame, group: Sequence[str], key: Key, out: str, kind: str) -> DataFrame:
-    """Rank distinct values by their row counts, then look each row's value up.
-
-    Equal values collapse before the shuffle, so one value held by many rows stays one row.
+    over the group size minus 1; 0 in a group of one). `eligible` may name the rows that take part in a signal; others
+    have NULL there. All signals are ranked in one pass: a row has an entry for each, and the first carries the
+    other columns.
     """
-    values = df.groupBy(*group, key.name).agg(F.count("*").alias("_w"))
-    placed = _with_starts(_sliced(values, group, [key]), group, F.col("_w"))
-    before = ordered([*group, "_slice"], [key]).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("_start") + F.coalesce(F.sum("_w").over(before), F.lit(0))
+    keys = [f"_k{i}" for i in range(len(signals))]
+    order = [Key(k, key.descending) for k, key in zip(keys, signals.values())]
+    types = {f.name: f.dataType for f in df.schema}
+    entries = []
+    for i, (out, key) in enumerate(signals.items()):
+        counted = F.coalesce((eligible or {}).get(out, F.lit(True)), F.lit(False))
+        values = [
+            (F.col(key.name) if i == j else F.lit(None).cast(types[other.name])).alias(keys[j])
+            for j, other in enumerate(signals.values())
+        ]
+        rest = F.struct(*[F.col(c) for c in df.columns])
+        entry = F.struct(
+            F.lit(i).alias("_signal"), counted.alias("_counted"), *values, F.when(F.lit(i == 0), rest).alias("_rest")
+        )
+        entries.append(entry if i == 0 else F.when(counted, entry))
+    # ids are given before rows are listed several times
+    listed = df.withColumn("_row", F.monotonically_increasing_id())
+    listed = listed.select(*group, "_row", F.explode(F.array_compact(F.array(*entries))).alias("_e")).select(*group, "_row", "_e.*")
+    apart = [*group, "_signal", "_counted"]
+    sliced = _sliced(listed, apart, [*order, up("_row")])
+    here = [*apart, "_slice"]
+    local, among = F.rank().over(ordered(here, order)), F.count("*").over(Window.partitionBy(*here))
+    edges = _edges(sliced, apart, order)
+    placed = _beside(sliced, edges, here, ["_start", "_size", "_first"]).withColumns({"_local": local, "_among": among})
+    rank = F.when(F.col("_local") == 1, F.coalesce("_first", F.lit(1))).otherwise(F.coalesce("_start", F.lit(0)) + F.col("_local"))
     if kind == "rank":
-        position = (ahead + 1).cast("bigint")
+        value = rank.cast("bigint")
     else:
-        position = F.when(F.col("_size") > 1, ahead / (F.col("_size") - 1)).otherwise(F.lit(0.0))
-    lookup = placed.select(*group, key.name, position.alias(out))
-    return (
-        df.alias("d")
-        .join(lookup.alias("v"), null_safe("d", "v", [*group, key.name]), "left")
-        .select("d.*", f"v.{out}")
+        size = F.coalesce("_size", "_among")
+        value = F.when(size > 1, (rank - 1) / (size - 1)).otherwise(F.lit(0.0))
+    valued = placed.select("_row", "_signal", "_rest", F.when(F.col("_counted"), value).alias("_value"))
+    if len(signals) == 1:
+        return valued.select("_rest.*", F.col("_value").alias(next(iter(signals))))
+    found = [F.max(F.when(F.col("_signal") == i, F.col("_value"))).alias(out) for i, out in enumerate(signals)]
+    whole = valued.groupBy("_row").agg(F.first("_rest", ignorenulls=True).alias("_rest"), *found)
+    return whole.select("_rest.*", *signals)
+
+
+def _edges(sliced: DataFrame, group: Sequence[str], order: Sequence[Key]) -> DataFrame:
+    """The portions with `_first`: the rank of a slice's first value, which may run on from slices before."""
+    here = [*group, "_slice"]
+    spanning = _beside(sliced, _portions(sliced, group), here, ["_start", "_size"], "inner")
+    ranked = spanning.withColumn("_local", F.rank().over(ordered(here, order)))
+    value = F.struct(*[F.col(key.name) for key in order])
+    ends = ranked.groupBy(*here, "_start", "_size").agg(
+        F.min_by(value, "_local").alias("_head"), F.max_by(value, "_local").alias("_tail"), F.max("_local").alias("_last")
     )
+    along = Window.partitionBy(*group).orderBy("_slice")
+    ends = ends.withColumn("_runs_on", F.coalesce(F.col("_head") == F.lag("_tail").over(along), F.lit(False)))
+    # the rank of the last value, unless it is the only one and runs on
+    own = F.when((F.col("_last") > 1) | ~F.col("_runs_on"), F.col("_start") + F.col("_last"))
+    ends = ends.withColumn("_tail_rank", F.last(own, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.when(F.col("_runs_on"), F.lag("_tail_rank").over(along)).otherwise(F.col("_start") + 1)
+    return ends.withColumn("_first", first).select(*here, "_start", "_size", "_first")
 
 
 def over_rows(
@@ -176,49 +200,65 @@ def over_rows(
     before: int = 0,
     after: int = 0,
     number: str | None = None,
-    split: bool | None = None,
-    rows: int = GROUP_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add window columns that look at most `before` rows back and `after` rows ahead.
 
-    `columns` receives the ordered window. A group too large for one task is cut into blocks of
-    consecutive row numbers; each block also receives copies of the neighbouring rows its frames
-    reach, which are dropped afterwards. `split=False` states that the grain already bounds the
-    group (one row per entity and date) and skips the measurement.
+    `columns` receives the ordered window; `order` must be unique within a group. A slice also receives copies of the rows of its
+    neighbours that its frames reach, which are dropped afterwards. `bounded` states that the grain already bounds the
+    group (one row per entity and date), so that it needs no slices.
     """
-    if not (needs_split(df, group, rows) if split is None else split):
+    if bounded:
         window = ordered(group, order)
         added = dict(columns(window))
         if number:
             added[number] = F.row_number().over(window).cast("bigint")
         return df.withColumns(added)
-    size = max(rows, before, after, 1)
-    numbered = _sliced_row_numbers(df, group, order, "_rn")
-    block = F.floor((F.col("_rn") - 1) / size)
-    offset = (F.col("_rn") - 1) % size
-    targets = F.array_compact(
-        F.array(
-            block,
-            F.when((offset < after) & (block > 0), block - 1),
-            F.when(offset >= size - before, block + 1),
-        )
-    )
-    blocks = numbered.withColumns({"_home": block, "_block": F.explode(targets)})
-    window = Window.partitionBy(*group, "_block").orderBy("_rn")
-    framed = blocks.withColumns(columns(window)).filter(F.col("_home") == F.col("_block"))
+    sliced = _sliced(df, group, order)
+    here = [*group, "_slice"]
+    portions = settle(_portions(sliced, group), "portions")
+    own = _beside(sliced, portions, here, ["_start"]).withColumn("_home", F.lit(True))
+    edge = _beside(sliced, portions, here, ["_nth", "_start", "_n"], "inner")
+    for reach, ahead in ((before, False), (after, True)):
+        if reach:
+            own = own.unionByName(_copies(edge, portions, group, order, reach, ahead).select(own.columns))
+    window = ordered(here, order)
+    added = dict(columns(window))
     if number:
-        framed = framed.withColumn(number, F.col("_rn"))
-    return framed.drop("_rn", "_home", "_block")
+        nth = F.count_if("_home").over(window.rowsBetween(Window.unboundedPreceding, 0))
+        added[number] = (F.coalesce("_start", F.lit(0)) + nth).cast("bigint")
+    return own.withColumns(added).filter("_home").drop("_slice", "_start", "_home")
+
+
+def _copies(
+    edge: DataFrame, portions: DataFrame, group: Sequence[str], order: Sequence[Key], reach: int, ahead: bool
+) -> DataFrame:
+    """Copies of rows for other slices of their group: the first rows of a slice for those before it, to be looked
+    at `ahead`, or the last ones for those after it. A slice may be shorter than the reach, so a copy may go further
+    than to the next one.
+    """
+    side = [key.sort if ahead else key.reverse for key in order]
+    place = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*side))
+    near = edge.withColumn("_place", place).filter(F.col("_place") <= reach)
+    # rows of the group up to this one, itself included
+    upto = F.col("_start") + (F.col("_place") if ahead else F.col("_n") - F.col("_place") + 1)
+    near = near.withColumns({"_upto": upto, "_step": F.explode(F.sequence(F.lit(1), F.lit(reach)))})
+    near = near.withColumn("_nth", F.col("_nth") + F.col("_step") * F.lit(-1 if ahead else 1))
+    targets = portions.select(*group, "_nth", F.col("_slice").alias("_to"), F.col("_start").alias("_from"), F.col("_n").alias("_rows"))
+    met = near.alias("s").join(F.broadcast(targets).alias("t"), null_safe("s", "t", [*group, "_nth"]))
+    gap = F.col("_upto") - F.col("_from") - F.col("_rows") if ahead else F.col("_from") - F.col("_upto") + 1
+    kept = met.filter(gap <= reach).select("s.*", "t._to")
+    return kept.drop("_slice").withColumnsRenamed({"_to": "_slice"}).withColumn("_home", F.lit(False))
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Key], k: int = 1) -> DataFrame:
     """First `k` rows of each group; `order` must be unique within a group.
 
-    Every task keeps `k` rows per group before the shuffle. Spark does so only up to
-    `GROUP_LIMIT`; a longer list is numbered like any group that may not fit a task.
+    Every task keeps `k` rows per group before the shuffle, which Spark does for lists up to MOST_PER_GROUP.
+    Number the rows with `row_numbers` for longer ones.
     """
-    if k > GROUP_LIMIT:
-        return row_numbers(df, group, order, "_place").filter(F.col("_place") <= k).drop("_place")
+    if k > MOST_PER_GROUP:
+        raise ValueError(f"lists per group have at most {MOST_PER_GROUP} rows, not {k}")
     place = F.row_number().over(ordered(group, order))
     return df.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 

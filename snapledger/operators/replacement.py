@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.operators.ordering import down, top_per_group, up
+from snapledger.operators.ordering import down, row_numbers, up
 
-def _node_tops(candidates: DataFrame, group: str, levels: int, width: int) -> DataFrame:
-    """The best `width` candidates of every price interval [i * 2^level, (i + 1) * 2^level)."""
-    nodes = F.array(
-        *[F.struct(F.lit(level).alias("level"), F.shiftright("price", level).alias("node")) for level in range(levels)]
-    )
-    placed = candidates.select(group, "item", "score", F.explode(nodes).alias("_at"))
-    flat = placed.select(group, "item", "score", "_at.level", "_at.node")
-    return top_per_group(flat, [group, "level", "node"], [down("score"), up("item")], width)
 
+def _intervals(price: Column, levels: int) -> Column:
+    """All price intervals [node * 2^level, (node + 1) * 2^level) that hold a price."""
+    return F.array(
+        *[F.struct(F.lit(level).alias("level"), F.shiftright(price, level).alias("node")) for level in range(levels)]
+    )
 
-def _budget_tops(budgets: DataFrame, tops: DataFrame, group: str, levels: int, width: int) -> DataFrame:
-    """The best `width` candidates each budget affords.
 
-    All prices up to a budget are the union of one interval per set bit of budget + 1.
-    """
-    end = F.col("budget") + 1
+def _cover(budget: Column, levels: int) -> Column:
+    """The intervals that make up all prices up to a budget: one for each set bit of budget + 1."""
+    end = budget + 1
     parts = [
         F.when(
             F.shiftright(end, level).bitwiseAND(F.lit(1)) == 1,
@@ -30,11 +25,25 @@ def _budget_tops(budgets: DataFrame, tops: DataFrame, group: str, levels: int, w
         )
         for level in range(levels)
     ]
-    probes = budgets.select(group, "budget", F.explode(F.array_compact(F.array(*parts))).alias("_at")).select(
-        group, "budget", "_at.level", "_at.node"
-    )
-    hits = probes.join(tops, [group, "level", "node"]).drop("level", "node")
-    return top_per_group(hits, [group, "budget"], [down("score"), up("item")], width)
+    return F.array_compact(F.array(*parts))
+
+
+def _asked_places(asked: DataFrame, held: DataFrame, candidates: DataFrame, group: str, owner: str) -> DataFrame:
+    """Candidates an owner may get from an interval: its best ones, one more than the owner holds there.
+
+    `asked` has distinct (owner, group, level, node), `held` the same for every candidate an owner holds. The intervals of
+    a level are disjoint, so an owner's lists have as many rows, over all intervals of a level, as it holds
+    candidates and asks for intervals: one heavy owner makes nobody else's lists longer.
+    """
+    at = [group, "level", "node"]
+    own = held.join(asked, [owner, *at], "left_semi").groupBy(owner, *at).agg(F.count("*").alias("n"))
+    wanted = asked.join(own, [owner, *at], "left").withColumn("length", F.coalesce("n", F.lit(0)) + 1).drop("n")
+    longest = wanted.groupBy(*at).agg(F.max("length").alias("longest"))
+    # only asked intervals are listed, each as far as anyone needs it
+    listed = row_numbers(candidates.join(longest, at), at, [down("score"), up("item")], "place")
+    listed = listed.filter(F.col("place") <= F.col("longest")).drop("longest", "price")
+    each = wanted.select(owner, *at, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("length"))).alias("place"))
+    return each.join(listed, [*at, "place"]).drop("place")
 
 
 def best_affordable(
@@ -46,10 +55,9 @@ def best_affordable(
     number from 0 on) and `score`; `owned` has `owner` and `item`. Ties go to the lowest item. The
     result adds `item` and `score`, NULL where nothing is affordable.
 
-    No row meets a whole group: the best few candidates are found once per distinct budget, from
-    at most log2(price) precomputed price intervals, and each distinct case of owner, group and
-    budget is answered once. The lists are one longer than any owner's holdings of a group, so the
-    answer is exact.
+    No row meets a whole group. The prices up to a budget are at most log2(price) intervals; the best candidate an
+    owner lacks is found once for each interval it asks for, and a case of owner, group and budget takes the best
+    of its intervals.
     """
     lowest, highest = candidates.agg(F.min("price"), F.max("price")).first()
     if highest is None:
@@ -57,21 +65,27 @@ def best_affordable(
     if lowest < 0:
         raise ValueError(f"prices count from 0, found {lowest}")
     levels = int(highest + 1).bit_length()
-    candidates = candidates.select(group, "item", F.col("price").cast("bigint").alias("price"), "score")
-    mine = owned.select(owner, "item").distinct().withColumn("_mine", F.lit(True))
-    asked = wanted.withColumn("_cap", F.least(F.col("budget").cast("bigint"), F.lit(int(highest))))
-    case = [owner, group, "budget"]
-    cases = asked.filter("_cap >= 0").select(owner, group, F.col("_cap").alias("budget")).distinct()
-    # one more than an owner holds of any group is always enough
-    held = mine.join(candidates.select(group, "item").distinct(), "item").groupBy(owner, group).agg(F.count("*").alias("n"))
-    width = 1 + (held.agg(F.max("n")).first()[0] or 0)
-    tops = _node_tops(candidates, group, levels, width)
-    lists = _budget_tops(cases.select(group, "budget").distinct(), tops, group, levels, width)
-    hits = cases.join(lists, [group, "budget"]).join(mine, [owner, "item"], "left").filter("_mine is null")
+    price = F.col("price").cast("bigint")
+    candidates = candidates.select(group, "item", price.alias("price"), "score")
+    placed = candidates.withColumn("_at", F.explode(_intervals(F.col("price"), levels))).select(
+        group, "item", "price", "score", "_at.level", "_at.node"
+    )
+    mine = owned.select(owner, "item").distinct()
+    budget = F.least(F.col("budget").cast("bigint"), F.lit(int(highest)))
+    asked = wanted.withColumn("_cap", budget)
+    cases = asked.filter("_cap >= 0").select(owner, group, "_cap").distinct()
+    probes = cases.withColumn("_at", F.explode(_cover(F.col("_cap"), levels))).select(
+        owner, group, "_cap", "_at.level", "_at.node"
+    )
+    at = [owner, group, "level", "node"]
+    held = mine.join(placed, "item").select(*at)
+    offers = _asked_places(probes.select(*at).distinct(), held, placed, group, owner)
+    lacking = offers.join(mine, [owner, "item"], "left_anti")
     # an unknown score comes after every known one
     place = F.struct(F.col("score").isNull().alias("unknown"), (-F.col("score")).alias("less"), F.col("item").alias("item"))
-    chosen = hits.groupBy(*case).agg(F.min(place).alias("best")).select(
-        owner, group, F.col("budget").alias("_cap"), F.col("best.item").alias("item"), (-F.col("best.less")).alias("score")
+    best = lacking.groupBy(*at).agg(F.min(place).alias("best"))
+    chosen = probes.join(best, at).groupBy(owner, group, "_cap").agg(F.min("best").alias("best")).select(
+        owner, group, "_cap", F.col("best.item").alias("item"), (-F.col("best.less")).alias("score")
     )
     joined = asked.join(chosen, [owner, group, "_cap"], "left")
     return joined.select(*wanted.columns, "item", "score")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from snapledger.functions import labels
 from snapledger.functions.numbers import per_90, price_in_millions, ratio, round_half_away
 from snapledger.operators.fixtures import team_key
-from snapledger.operators.ordering import GROUP_ROWS, Key, down, needs_split, ordered, ranks, up
+from snapledger.operators.ordering import Key, down, ranks, up
 from snapledger.operators.snapshots import points_per_million, price_trend, snapshot_delta
 
 MIN_RATED_MINUTES = 450
@@ -23,24 +23,9 @@ def percentile_signal(
     partition: Sequence[str],
     signals: dict[str, Key],
     eligible: Column | None = None,
-    split: bool | None = None,
-    rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Percent rank per partition; rows that are not eligible stay out of the population with NULL."""
-    if split is None:
-        split = needs_split(df, partition, rows)
-    if eligible is None:
-        return ranks(df, partition, signals, split=split)
-    flagged = df.withColumn("_eligible", F.coalesce(eligible, F.lit(False)))
-    if not split:
-        # The flag as one more window key keeps both kinds apart within the same shuffle.
-        keys = [*partition, "_eligible"]
-        ranked = {out: F.percent_rank().over(ordered(keys, [key])) for out, key in signals.items()}
-        chosen = {out: F.when(F.col("_eligible"), column) for out, column in ranked.items()}
-        return flagged.withColumns(chosen).drop("_eligible")
-    ranked = ranks(flagged.filter("_eligible"), partition, signals, split=split)
-    rest = flagged.filter("not _eligible").withColumns({out: F.lit(None).cast("double") for out in signals})
-    return ranked.unionByName(rest).drop("_eligible")
+    return ranks(df, partition, signals, eligible=None if eligible is None else dict.fromkeys(signals, eligible))
 
 
 def weighted_score(weights: dict[str, float], neutral: float = labels.NEUTRAL) -> Column:
@@ -57,12 +42,12 @@ def ordinal_trend(
     previous: dict[str, str],
     ranking: dict[str, int] | None = None,
     out: str = "trend",
-    split: bool | None = False,
+    bounded: bool = True,
 ) -> DataFrame:
     """Previous bucket (and other `previous` columns) and whether the bucket moved up or down."""
     ranked = df.withColumn("_rank", labels.ordinal(F.col(bucket), ranking))
     columns = {**previous, "_rank": "_prev_rank"}
-    with_prev = snapshot_delta(ranked, key, order, columns, split)
+    with_prev = snapshot_delta(ranked, key, order, columns, bounded)
     moved = labels.direction(F.col("_rank"), F.col("_prev_rank"), labels.BUCKET_TRENDS)
     return with_prev.withColumn(out, moved).drop("_rank", "_prev_rank")
 
@@ -88,30 +73,29 @@ def with_season_stats(
     )
 
 
-def with_threat(
-    df: DataFrame, keeper: str = "GKP", min_minutes: int = MIN_RATED_MINUTES, split: bool | None = None
-) -> DataFrame:
-    """Expected involvement per 90 and its percentile by position, of outfield players who played enough."""
+def threat(keeper: str = "GKP", min_minutes: int = MIN_RATED_MINUTES) -> tuple[Column, Column]:
+    """Whether a player is rated (outfield players who played enough), and their expected involvement per 90."""
     rated = (F.col("position_short_name") != keeper) & (F.col("rated_minutes") >= min_minutes)
-    rate = per_90(F.col("npxg") + F.col("xa"), F.col("rated_minutes"))
+    return rated, F.when(rated, per_90(F.col("npxg") + F.col("xa"), F.col("rated_minutes")))
+
+
+def with_threat(df: DataFrame, keeper: str = "GKP", min_minutes: int = MIN_RATED_MINUTES) -> DataFrame:
+    """Expected involvement per 90 and its percentile by position, of outfield players who played enough."""
+    rated, rate = threat(keeper, min_minutes)
     ranked = percentile_signal(
-        df.withColumn("_rate", F.when(rated, rate)),
-        ["load_date", "position_id"],
-        {"underlying_pctl": up("_rate")},
-        eligible=rated,
-        split=split,
+        df.withColumn("_rate", rate), ["load_date", "position_id"], {"underlying_pctl": up("_rate")}, eligible=rated
     )
     return ranked.withColumn("npxg_xa_per90", round_half_away(F.col("_rate"), 2)).drop(
         "_rate", "npxg", "xa", "rated_minutes"
     )
 
 
-def fixture_ease(difficulty: DataFrame, split: bool | None = None, rows: int = GROUP_ROWS) -> DataFrame:
+def fixture_ease(difficulty: DataFrame) -> DataFrame:
     """Each team's run from its next fixture and the percentile of its ease (hardest = 0)."""
     upcoming = difficulty.filter(F.col("upcoming_fixture_number") == 1).select(
         "load_date", "team_id", "avg_difficulty_next_5"
     )
-    return ranks(upcoming, ["load_date"], {"fixture_pctl": down("avg_difficulty_next_5")}, split=split, rows=rows)
+    return ranks(upcoming, ["load_date"], {"fixture_pctl": down("avg_difficulty_next_5")})
 
 
 def transfer_decision(
@@ -123,18 +107,13 @@ def transfer_decision(
     ease: DataFrame,
     key: str = "player_id",
     min_minutes: int = MIN_RATED_MINUTES,
-    split: bool | None = None,
-    rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The decision table: signals, score, recommendation and its change per player and snapshot.
 
     All player signals come from one pass over the snapshots: change since the previous one by
-    key, then every percentile by (load_date, position), then the trend by key. Removed players
+    key, then all percentiles by (load_date, position) at once, then the trend by key. Removed players
     count for the underlying percentile and for the history, not for the other signals.
     """
-    group = ["load_date", "position_id"]
-    if split is None:
-        split = needs_split(players, group, rows)
     used = players.select(
         "load_date", "season", "player_id", "player_code", "web_name", "team_id", "position_id", "now_cost",
         "total_points", "form", "selected_by_percent", "transfers_in_event", "transfers_out_event", "status",
@@ -150,17 +129,18 @@ def transfer_decision(
             ),
         }
     )
-    bridged = with_season_stats(moved, positions, mapping, season_stats)
-    if not split:
-        # One shuffle for both percentile steps, whose window keys differ.
-        bridged = bridged.repartition(*group)
-    kept = with_threat(bridged, min_minutes=min_minutes, split=split).filter(~F.col("removed"))
+    rated, rate = threat(min_minutes=min_minutes)
+    bridged = with_season_stats(moved, positions, mapping, season_stats).withColumn("_rate", rate)
     signals = {
         "value_pctl": up("points_per_million"),
         "form_pctl": up("form"),
         "momentum_pctl": up("net_transfers_event"),
+        "underlying_pctl": up("_rate"),
     }
-    ranked = percentile_signal(kept, group, signals, split=split)
+    kept = ~F.col("removed")
+    eligible = {**dict.fromkeys(signals, kept), "underlying_pctl": rated}
+    ranked = ranks(bridged, ["load_date", "position_id"], signals, eligible=eligible).filter(kept)
+    ranked = ranked.withColumn("npxg_xa_per90", round_half_away(F.col("_rate"), 2))
     scored = (
         ranked.join(ease, ["load_date", "team_id"], "left")
         .join(teams.select(*team_key(teams), "team_name"), team_key(teams), "left")
@@ -206,16 +186,12 @@ def transfer_decision(
     )
 
 
-def defensive_outlook(
-    players: DataFrame, table: DataFrame, ease: DataFrame, split: bool | None = None, rows: int = GROUP_ROWS
-) -> DataFrame:
+def defensive_outlook(players: DataFrame, table: DataFrame, ease: DataFrame) -> DataFrame:
     """Clean-sheet record of each team blended with the ease of its next fixtures.
 
     A team's clean sheets are the most any kept player of it has; teams that have not played
     are not ranked and count as neutral.
     """
-    if split is None:
-        split = needs_split(table, ["load_date"], rows)
     key = ["load_date", "team_id"]
     sheets = (
         players.filter(~F.col("removed"))
@@ -229,7 +205,6 @@ def defensive_outlook(
         ["load_date"],
         {"clean_sheet_pctl": up("_rate")},
         eligible=played,
-        split=split,
     )
     return rated.join(ease, key, "left").select(
         *key,

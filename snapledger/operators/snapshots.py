@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from snapledger.functions import labels
 from snapledger.functions.fields import Field, typed
 from snapledger.functions.numbers import ratio, round_half_away
-from snapledger.operators.ordering import GROUP_ROWS, Key, down, needs_split, over_rows, ranks, up
+from snapledger.operators.ordering import Key, down, over_rows, ranks, up
 
 
 def unnest_snapshot(
@@ -55,19 +55,48 @@ def latest_dimension(
     return latest_per_key(unnest_snapshot(raw, array_col, spec, [order]), keys, order)
 
 
+def of_partitions(partitions: Iterable[Row]) -> Column:
+    """Whether a row lies in one of some partitions, given as rows of partition values.
+
+    As a condition on partition columns alone it is answered from folder names: no other folder is opened.
+    """
+    rows = [tuple(p) for p in partitions]
+    if not rows:
+        return F.lit(False)
+
+    def place(values: Sequence[Column]) -> Column:
+        return F.concat_ws("/", *[F.coalesce(v.cast("string"), F.lit("\0")) for v in values])
+
+    names = next(iter(partitions)).__fields__
+    return place([F.col(n) for n in names]).isin(["/".join("\0" if v is None else str(v) for v in r) for r in rows])
+
+
+def newest_loads(raw: DataFrame, loads: DataFrame, group: Sequence[str], load_col: str = "load_date") -> DataFrame:
+    """Rows of each group's newest load of a table that is partitioned by the group and the load date.
+
+    `loads` has the table's partition values, from a listing. The newest of them, as few as there are groups of partitions,
+    become a partition filter, so the table is scanned once and only in the newest folders.
+    """
+    newest = loads.groupBy(*group).agg(F.max(load_col).alias(load_col)).collect()
+    return raw.filter(of_partitions(newest))
+
+
 def latest_load_per_group(raw: DataFrame, group: Sequence[str], load_col: str = "load_date") -> DataFrame:
-    """Rows of each group's newest load; older loads of the group are superseded."""
+    """Rows of each group's newest load; older loads of the group are superseded.
+
+    For tables that are not partitioned by these columns, or have many groups; see `newest_loads`.
+    """
     newest = raw.groupBy(*group).agg(F.max(load_col).alias(load_col))
     return raw.join(newest, [*group, load_col], "left_semi")
 
 
 def snapshot_delta(
-    df: DataFrame, key: Sequence[str], order: Sequence[Key], previous: dict[str, str], split: bool | None = False
+    df: DataFrame, key: Sequence[str], order: Sequence[Key], previous: dict[str, str], bounded: bool = True
 ) -> DataFrame:
     """Add the previous snapshot's values: `previous` maps a column to its output name.
 
-    A key has one row per load date, so a key's history is as long as the calendar and the
-    window needs no size check. Pass `split=None` to measure tables without that grain.
+    A key has one row per load date, so a key's history is as long as the calendar. Pass
+    `bounded=False` for tables without that grain.
     """
     return over_rows(
         df,
@@ -75,10 +104,26 @@ def snapshot_delta(
         order,
         lambda w: {out: F.lag(column).over(w) for column, out in previous.items()},
         before=1,
-        split=split,
+        bounded=bounded,
     )
 
 
+def latest_with_previous(
+    df: DataFrame, key: str, previous: dict[str, str], load_col: str = "load_date"
+) -> DataFrame:
+    """Rows of the newest snapshot with values of each key's own snapshot before it: `previous` maps a column to its output name.
+
+    Only the newest earlier row of a key in the newest snapshot is looked for, by an aggregate that is combined before the
+    shuffle, so no history is put in order.
+    """
+    newest = latest_value(df, load_col)
+    current = df.filter(F.col(load_col) == newest)
+    earlier = df.filter(F.col(load_col) < newest).join(current.select(key), key, "left_semi")
+    values = F.struct(*[F.col(c).alias(out) for c, out in previous.items()])
+    before = earlier.groupBy(key).agg(F.max_by(values, load_col).alias("_before"))
+    return current.join(before, key, "left").select(*[current[c] for c in df.columns], "_before.*")
+
+
 def price_trend(cost: Column, previous: Column) -> Column:
     return labels.direction(cost, previous, labels.PRICE_TRENDS)
 
@@ -156,11 +201,8 @@ def availability_risk(players: DataFrame) -> DataFrame:
     )
 
 
-def value_rank(players: DataFrame, split: bool | None = None, rows: int = GROUP_ROWS) -> DataFrame:
+def value_rank(players: DataFrame) -> DataFrame:
     """Points per million and its rank inside (load_date, position). The rounded ratio is ranked."""
-    group = ["load_date", "position_id"]
-    if split is None:
-        split = needs_split(players, group, rows)
     valued = players.filter(~F.col("removed")).select(
         "load_date",
         "player_id",
@@ -174,11 +216,4 @@ def value_rank(players: DataFrame, split: bool | None = None, rows: int = GROUP_
         "points_per_game",
         "minutes",
     )
-    return ranks(
-        valued,
-        group,
-        {"value_rank_in_position": down("points_per_million")},
-        kind="rank",
-        split=split,
-        rows=rows,
-    )
+    return ranks(valued, ["load_date", "position_id"], {"value_rank_in_position": down("points_per_million")}, kind="rank")

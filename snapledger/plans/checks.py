@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,39 @@ GRAINS = {
 SEED_KEYS = ("player_ud_id", "player_code")
 
 
+def table_checks(name: str) -> quality.TableChecks:
+    """All checks of one model that need no other."""
+    rows = {f"not_null_{name}_{column}": F.col(column).isNull() for column in NOT_NULL.get(name, ())}
+    for (table, column), values in ACCEPTED.items():
+        if table == name:
+            rows[f"accepted_values_{name}_{column}"] = ~F.col(column).isin(*values)
+    keys = {f"unique_{name}_{column}": [column] for column in UNIQUE.get(name, ())}
+    if name in GRAINS:
+        keys[f"grain_{name}"] = GRAINS[name]
+    balances = {"goals_balance": (["load_date"], "goals_for", "goals_against")} if name == "league_table" else {}
+    return quality.TableChecks(rows, keys, balances)
+
+
+def checked_tables() -> list[str]:
+    return sorted({*NOT_NULL, *UNIQUE, *GRAINS, *(name for name, _ in ACCEPTED)})
+
+
+def overrides_checks() -> quality.TableChecks:
+    return quality.TableChecks(
+        {f"not_null_overrides_{column}": F.col(column).isNull() for column in SEED_KEYS},
+        {f"unique_overrides_{column}": [column] for column in SEED_KEYS},
+        {},
+    )
+
+
+def all_checks(ctx: Context) -> DataFrame:
+    """Every test as its name and the number of violations: one scan of each table, and one for each comparison of two."""
+    found = [quality.run_checks(ctx.ref(name), table_checks(name)) for name in checked_tables()]
+    found.append(quality.run_checks(ctx.seed("player_map_overrides"), overrides_checks()))
+    found += [quality.violations(name, broken) for name, broken in comparisons(ctx)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def checks(ctx: Context) -> Iterator[tuple[str, DataFrame]]:
     """Every test as its name and the rows that break it."""
     for name, columns in NOT_NULL.items():
@@ -70,10 +104,15 @@ def checks(ctx: Context) -> Iterator[tuple[str, DataFrame]]:
     for column in SEED_KEYS:
         yield f"not_null_overrides_{column}", quality.not_null(overrides, column)
         yield f"unique_overrides_{column}", quality.unique(overrides, column)
-    matches, events = ctx.ref("matches"), ctx.ref("match_events")
-    yield "events_belong_to_matches", quality.relationships(events, "match_id", matches, "match_id")
     table = ctx.ref("league_table")
     yield "goals_balance", quality.balance(table, ["load_date"], "goals_for", "goals_against")
+    yield from comparisons(ctx)
+
+
+def comparisons(ctx: Context) -> Iterator[tuple[str, DataFrame]]:
+    """The tests that look at two tables."""
+    matches, events = ctx.ref("matches"), ctx.ref("match_events")
+    yield "events_belong_to_matches", quality.relationships(events, "match_id", matches, "match_id")
     goals = F.sum(F.col("home_goals") + F.col("away_goals"))
     yield "goal_events_match_scores", quality.totals_agree(
         events.filter("event_type = 'Goal'"), F.count("*"), matches, goals

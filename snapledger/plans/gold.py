@@ -27,14 +27,14 @@ def _current_players(ctx: Context) -> DataFrame:
     return current.select("player_id", "player_code", *[key.alias(name) for name, key in keys.items()])
 
 
-@model("silver", "table")
+@model("silver", "table", needs=["players", "match_players"])
 def player_map(ctx: Context) -> DataFrame:
     """Players of the match payloads matched to the current snapshot by name."""
     listed = ctx.ref("match_players").select("player_ws_id", name_key(F.col("player_name")).alias("name_key"))
     return match_ladder(listed, _current_players(ctx), "player_ws_id", "player_id", NAME_RUNGS)
 
 
-@model("silver", "table")
+@model("silver", "table", needs=["players", "season_players"])
 def season_player_map(ctx: Context) -> DataFrame:
     """Players of the season statistics matched by name, hand-verified pairs first."""
     usual = common_value(ctx.ref("season_players"), ["player_ud_id"], "player_name", "player_name")
@@ -45,37 +45,37 @@ def season_player_map(ctx: Context) -> DataFrame:
     return apply_overrides(ladder, overrides, current, "player_ud_id", "player_id", "player_code")
 
 
-@model("gold", "table")
+@model("gold", "table", needs=["players"])
 def price_momentum(ctx: Context) -> DataFrame:
     return snapshots.price_momentum(ctx.ref("players"))
 
 
-@model("gold", "table")
+@model("gold", "table", needs=["players"])
 def form_trend(ctx: Context) -> DataFrame:
     return snapshots.form_trend(ctx.ref("players"))
 
 
-@model("gold", "table")
+@model("gold", "table", needs=["players"])
 def availability_risk(ctx: Context) -> DataFrame:
     return snapshots.availability_risk(ctx.ref("players"))
 
 
-@model("gold", "table")
+@model("gold", "table", needs=["players"])
 def player_value(ctx: Context) -> DataFrame:
     return snapshots.value_rank(ctx.ref("players"))
 
 
-@model("gold", "table")
+@model("gold", "table", needs=["fixtures", "teams"])
 def fixture_difficulty(ctx: Context) -> DataFrame:
     return fixture_ops.fixture_difficulty(ctx.ref("fixtures"), ctx.ref("teams"))
 
 
-@model("gold", "table")
+@model("gold", "table", needs=["fixtures", "teams"])
 def league_table(ctx: Context) -> DataFrame:
     return fixture_ops.league_table(ctx.ref("fixtures"), ctx.ref("teams"))
 
 
-@model("gold", "table")
+@model("gold", "table", needs=["players", "positions", "teams", "season_player_map", "season_players", "fixture_difficulty"])
 def transfer_decision(ctx: Context) -> DataFrame:
     return scoring.transfer_decision(
         ctx.ref("players"),
@@ -87,7 +87,7 @@ def transfer_decision(ctx: Context) -> DataFrame:
     )
 
 
-@model("gold", "table")
+@model("gold", "table", needs=["players", "league_table", "fixture_difficulty"])
 def defensive_outlook(ctx: Context) -> DataFrame:
     ease = scoring.fixture_ease(ctx.ref("fixture_difficulty"))
     return scoring.defensive_outlook(ctx.ref("players"), ctx.ref("league_table"), ease)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.functions import labels
@@ -12,7 +12,7 @@ from snapledger.functions.fields import fields, pick, typed
 from snapledger.functions.numbers import round_half_away
 from snapledger.functions.text import contains_pattern, link, season_label
 from snapledger.operators.fixtures import team_key
-from snapledger.operators.ordering import down, sorts, top, top_per_group, up
+from snapledger.operators.ordering import down, row_numbers, sorts, top, top_per_group, up
 from snapledger.operators.replacement import best_affordable
 from snapledger.operators.snapshots import latest_snapshot, latest_value
 
@@ -71,6 +71,11 @@ def by_score(latest: DataFrame) -> DataFrame:
     return latest.orderBy(*sorts(_best()))
 
 
+def positioned(latest: DataFrame) -> DataFrame:
+    """The table with the place of each row in page order, which tells the order wherever the rows are stored."""
+    return row_numbers(latest, ["load_date"], _best(), "page_position")
+
+
 def top_pick(latest: DataFrame) -> DataFrame:
     return top(latest, _best())
 
@@ -277,6 +282,12 @@ def team_xg_table(team_matches: DataFrame, season: int | None = None) -> DataFra
     )
 
 
+def season_xg_table(spark: SparkSession, view: str, season: int) -> DataFrame:
+    """`team_xg_table` of one season of a published view; the name and the season are bound, not written into the text."""
+    chosen = spark.sql("select * from identifier(:view) where season = :season", {"view": view, "season": season})
+    return team_xg_table(chosen)
+
+
 def xg_table_by_points(team_matches: DataFrame, season: int | None = None) -> DataFrame:
     """`team_xg_table` in page order."""
     return team_xg_table(team_matches, season).orderBy(*sorts([down("points"), down("npxgd"), up("team_name")]))

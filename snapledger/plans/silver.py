@@ -9,7 +9,7 @@ from snapledger.functions.fields import Field, fields, pick, typed
 from snapledger.functions.numbers import ratio
 from snapledger.functions.text import blank_to_null, decode_apostrophe, id_from_file, score_side, season_start_year
 from snapledger.operators.matching import entity_names
-from snapledger.operators.snapshots import flat_snapshot, latest_dimension, latest_load_per_group, unnest_snapshot
+from snapledger.operators.snapshots import flat_snapshot, latest_dimension, unnest_snapshot
 from snapledger.plans.registry import Context, model
 
 SNAPSHOT = ("load_date", "season")
@@ -190,7 +190,7 @@ def match_players(ctx: Context) -> DataFrame:
 @model("silver", "view")
 def season_players(ctx: Context) -> DataFrame:
     """One row per season and player, newest load of the season only."""
-    newest = latest_load_per_group(ctx.source("season_players"), ["season"])
+    newest = ctx.newest("season_players", ["season"])
     return flat_snapshot(newest, SEASON_PLAYER_FIELDS, SNAPSHOT).withColumn(
         "player_name", decode_apostrophe(F.col("player_name"))
     )
@@ -199,14 +199,14 @@ def season_players(ctx: Context) -> DataFrame:
 @model("silver", "view")
 def season_matches(ctx: Context) -> DataFrame:
     """One row per season and match, newest load only; goals and xG are NULL until played."""
-    newest = latest_load_per_group(ctx.source("season_matches"), ["season"])
+    newest = ctx.newest("season_matches", ["season"])
     return flat_snapshot(newest, SEASON_MATCH_FIELDS, SNAPSHOT)
 
 
 @model("silver", "view")
 def season_team_matches(ctx: Context) -> DataFrame:
     """One row per season, team and match date, newest load only."""
-    newest = latest_load_per_group(ctx.source("season_teams"), ["season"])
+    newest = ctx.newest("season_teams", ["season"])
     exploded = newest.select(
         *SNAPSHOT,
         F.col("id").try_cast("int").alias("team_ud_id"),

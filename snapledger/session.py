@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
 _stored: dict[tuple[str, ...], DataFrame] = {}
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
 
 
 def build_session(app_name: str = "snapledger", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,6 +27,7 @@ def build_session(app_name: str = "snapledger", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.scheduler.mode": "FAIR",
         **conf,
     }
     for key, value in settings.items():
@@ -45,9 +49,29 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """Path of a not yet existing folder under the shared scratch folder."""
-    return os.path.join(scratch_dir(spark), "snapledger", spark.sparkContext.applicationId,
-                        f"{label}-{uuid.uuid4().hex}")
+    """Path of a not yet existing folder under the shared scratch folder, inside the folder that `owning` opened, if any."""
+    parent = _owner.get() or os.path.join(scratch_dir(spark), "snapledger", spark.sparkContext.applicationId)
+    return os.path.join(parent, f"{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def owning(spark: SparkSession, label: str) -> Iterator[str]:
+    """Everything stored inside goes to one folder, which is deleted at the end and nothing else is.
+
+    For steps whose results are written elsewhere inside: what is still lazy afterwards loses its input.
+    """
+    folder = new_folder(spark, label)
+    before = _owner.set(folder)
+    try:
+        yield folder
+    finally:
+        _owner.reset(before)
+        delete_folder(spark, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -77,6 +101,4 @@ def clear_scratch(spark: SparkSession) -> None:
     folder = os.path.join(scratch_dir(spark), "snapledger", spark.sparkContext.applicationId)
     for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
         del _stored[key]
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, folder)

@@ -105,6 +105,19 @@ def read_source(spark: SparkSession, root: str, name: str, feeds: dict[str, str]
     return finished(reader.load(entry.glob(root, feeds)), name)
 
 
+def listed_files(spark: SparkSession, glob: str, base: str) -> DataFrame:
+    """`filename`, `modified` and the partition columns of the files of a tree, from its listing: no file is opened."""
+    files = spark.read.format("binaryFile").option("basePath", base).load(glob)
+    names = [c for c in files.columns if c not in ("path", "modificationTime", "length", "content")]
+    return files.select(F.col("path").alias("filename"), F.col("modificationTime").alias("modified"), *names)
+
+
+def source_files(spark: SparkSession, root: str, name: str, feeds: dict[str, str] | None = None) -> DataFrame:
+    """The landed files of a source, from their listing."""
+    entry = source(name)
+    return listed_files(spark, entry.glob(root, feeds), entry.base(root, feeds))
+
+
 def read_seed(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Small CSV table with declared column types."""
     return spark.read.schema(schema).option("header", True).csv(path)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from snapledger.functions.fields import pick
 from snapledger.functions.text import required, season_from_deadline
 from snapledger.session import settle
-from snapledger.sources.catalog import configured, finished, read_source, source
+from snapledger.sources.catalog import configured, finished, listed_files, read_source, source
 
 PARTITION_COLUMNS = ("season", "load_date")
 # Blocks of a league payload.
@@ -61,9 +64,48 @@ def write_raw(df: DataFrame, path: str, overwrite: str = "dynamic") -> None:
     """Write or replace the partitions present in `df`; "static" replaces the whole table.
 
     Landing the same day twice gives the same table. The rebalance step merges small files and
-    cuts a large partition into several.
+    cuts a large partition into several. The table's schema grows with what is landed; see `table_schema`.
     """
+    spark = df.sparkSession
+    known = None if overwrite == "static" else table_schema(spark, path)
+    grown = df.schema if known is None else widened(known, df.schema)
     write_partitions(df.hint("rebalance", *PARTITION_COLUMNS), path, overwrite)
+    if grown != known:
+        # a record of its own for each growth: landings at the same time keep each other's columns
+        line = spark.createDataFrame([(grown.json(),)], "value string").coalesce(1)
+        line.write.mode("append").text(f"{path}/{SCHEMAS}")
+
+
+#: Folder beside a table's partitions that records its schemas; readers pass over names with an underscore.
+SCHEMAS = "_schemas"
+# Column types and those that hold all their values.
+WIDER = {
+    ("tinyint", "smallint"), ("tinyint", "int"), ("smallint", "int"), ("tinyint", "bigint"), ("smallint", "bigint"),
+    ("int", "bigint"), ("int", "double"), ("float", "double"), ("date", "timestamp_ntz"),
+}
+
+
+def widened(known: StructType, new: StructType) -> StructType:
+    """All columns of both schemas, those of the first one before others, in the wider type of the two."""
+    out = {f.name: f.dataType for f in known}
+    for field in new:
+        mine = out.setdefault(field.name, field.dataType)
+        if mine != field.dataType and (mine.simpleString(), field.dataType.simpleString()) in WIDER:
+            out[field.name] = field.dataType
+        elif mine != field.dataType and (field.dataType.simpleString(), mine.simpleString()) not in WIDER:
+            raise ValueError(f"column {field.name} is {mine.simpleString()}, landed as {field.dataType.simpleString()}")
+    return StructType([StructField(name, kind) for name, kind in out.items()])
+
+
+def table_schema(spark: SparkSession, path: str) -> StructType | None:
+    """The schema of a raw table: the union of all that was landed in it; None for a table without a record."""
+    records = f"{path}/{SCHEMAS}"
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(records)
+    if not store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store):
+        return None
+    # one line for each growth
+    lines = sorted((r["value"] for r in spark.read.text(records).collect()), key=len)
+    return reduce(widened, (StructType.fromJson(json.loads(line)) for line in lines))
 
 
 def write_partitions(df: DataFrame, path: str, overwrite: str = "dynamic") -> None:
@@ -82,8 +124,19 @@ def load_raw(
 
 
 def read_raw(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
-    """A landed raw table; its VARIANT columns are already parsed."""
-    return spark.read.parquet(f"{warehouse}/raw/{name}")
+    """A landed raw table; its VARIANT columns are already parsed.
+
+    Rows landed before a column was first seen have NULL there, and those landed with a narrower type are widened.
+    """
+    path = f"{warehouse}/raw/{name}"
+    schema = table_schema(spark, path)
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+
+
+def raw_loads(spark: SparkSession, warehouse: str, name: str) -> DataFrame:
+    """The partitions a raw table has, from its listing."""
+    path = f"{warehouse}/raw/{name}"
+    return listed_files(spark, f"{path}/season=*/load_date=*", path).select(*PARTITION_COLUMNS).distinct()
 
 
 def land_folder(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from snapledger.operators.snapshots import of_partitions
 from snapledger.session import settle
 from snapledger.sources.catalog import configured, finished, source
 from snapledger.sources.landing import PARTITION_COLUMNS, write_partitions, write_raw
@@ -31,29 +31,28 @@ def stream_source(
     return finished(reader.load(entry.glob(root, feeds)), name)
 
 
-def file_versions(rows: DataFrame) -> DataFrame:
-    """Files behind the rows of a source, each with the time it was last written."""
-    modified = F.col("_metadata.file_modification_time").alias("modified")
-    return rows.select("filename", modified, *PARTITION_COLUMNS).distinct()
-
-
 def land_new_files(
-    stream: DataFrame, read: Callable[[SparkSession], DataFrame], path: str, checkpoint: str
+    stream: DataFrame,
+    read: Callable[[SparkSession], DataFrame],
+    files: Callable[[SparkSession], DataFrame],
+    path: str,
+    checkpoint: str,
 ) -> None:
     """Land every partition that new or rewritten files have reached, then stop.
 
-    `read` gives the same source as a batch. A partition is always replaced whole, so a repeated micro-batch gives
-    the same table, a day landed again under new names supersedes the old one, and `write_raw` may write to the
-    table too. The stream knows a file by its path alone; files rewritten in place are found afterwards by the
-    modification times recorded at their last landing.
+    `read` gives the same source as a batch, and `files` its listing (`filename`, `modified` and the partition columns), which opens
+    no file. A partition is always replaced whole, so a repeated micro-batch gives the same table, a day landed again under new names
+    supersedes the old one, and `write_raw` may write to the table too. The stream knows a file by its path alone; files
+    rewritten in place are found afterwards by the modification times recorded at their last landing. Only the files of
+    the reached partitions are read; their number is bounded by the calendar.
     """
     record = f"{checkpoint}/landed_files"
 
     def replace(spark: SparkSession, touched: DataFrame) -> None:
-        touched = settle(touched.select(*PARTITION_COLUMNS).distinct(), "touched")
-        # recorded versions are read before the rows: a file written in between is landed again next time
-        versions = settle(file_versions(read(spark)).join(touched, [*PARTITION_COLUMNS], "left_semi"), "versions")
-        write_raw(read(spark).join(touched, [*PARTITION_COLUMNS], "left_semi"), path)
+        reached = touched.select(*PARTITION_COLUMNS).distinct().collect()
+        # recorded versions are listed before the rows are read: a file written in between is landed again next time
+        versions = settle(files(spark).filter(of_partitions(reached)), "versions")
+        write_raw(read(spark).filter(of_partitions(reached)), path)
         write_partitions(versions, record)
 
     query = (
@@ -67,7 +66,7 @@ def land_new_files(
     spark = stream.sparkSession
     spark.createDataFrame([], LANDED).write.mode("ignore").partitionBy(*PARTITION_COLUMNS).parquet(record)
     known = spark.read.schema(LANDED).parquet(record)
-    rewritten = file_versions(read(spark)).join(known, known.columns, "left_anti")
+    rewritten = files(spark).select(known.columns).join(known, known.columns, "left_anti")
     rewritten = settle(rewritten, "rewritten")
     if not rewritten.isEmpty():
         replace(spark, rewritten)

@@ -47,6 +47,34 @@ LADDER = f"""{SIDES},
 ladder as (
   select * from by_nation_balance union all select * from by_balance union all select * from by_number)"""
 
+# The first rung as both maps use it: ids that share an ambiguous value of it are out of the later rungs.
+GUARDED_LADDER = f"""{SIDES},
+shared as (
+  select nation_balance from (select nation_balance, count(*) as n from customers group by 1) a
+  join (select nation_balance, count(*) as m from suppliers group by 1) b using (nation_balance) where n > 1 or m > 1),
+{_rung_sql("nation_balance", [])},
+taken as (
+  select left_id, null::bigint as right_id from customers where nation_balance in (select nation_balance from shared)
+  union all select null::bigint, right_id from suppliers where nation_balance in (select nation_balance from shared)
+  union all select left_id, right_id from by_nation_balance),
+out_left as (select left_id from taken where left_id is not null),
+out_right as (select right_id from taken where right_id is not null),
+by_balance as (
+  select left_id, right_id, 'balance' as match_rule
+  from (select left_id, right_id, count(*) over (partition by left_id) as per_left,
+      count(*) over (partition by right_id) as per_right
+    from customers join suppliers using (balance)
+    where left_id not in (select left_id from out_left) and right_id not in (select right_id from out_right))
+  where per_left = 1 and per_right = 1),
+by_number as (
+  select left_id, right_id, 'number' as match_rule
+  from (select left_id, right_id, count(*) over (partition by left_id) as per_left,
+      count(*) over (partition by right_id) as per_right
+    from customers join suppliers using (number)
+    where left_id not in (select left_id from out_left union all select left_id from by_balance)
+      and right_id not in (select right_id from out_right union all select right_id from by_balance))
+  where per_left = 1 and per_right = 1)"""
+
 # The largest account of a nation on both sides stands for a hand-verified pair.
 OVERRIDES = f"""{LADDER},
 overrides as (
@@ -89,6 +117,13 @@ def _ladder(t: Tables) -> DataFrame:
     return matching.match_ladder(_customers(t), _suppliers(t), "left_id", "right_id", RUNGS)
 
 
+@query(f"with {GUARDED_LADDER} select * from by_nation_balance union all select * from by_balance union all select * from by_number")
+def match_ladder_ambiguous(t):
+    """The ladder with a first rung that takes ids with an ambiguous value out of the others."""
+    rungs = [RUNGS[0]._replace(takes_ambiguous=True), *RUNGS[1:]]
+    return matching.match_ladder(_customers(t), _suppliers(t), "left_id", "right_id", rungs)
+
+
 @query(f"with {LADDER} select * from ladder")
 def match_ladder(t):
     return _ladder(t)

@@ -13,12 +13,13 @@ from snapledger.plans import serving
 from snapledger.plans.registry import Context
 from snapledger.plans.silver import exported_events, match_headers
 from snapledger.session import new_folder
-from snapledger.sources.catalog import read_seed
+from snapledger.sources.catalog import listed_files, read_seed
 from snapledger.sources.landing import (
     land_folder,
     land_league_payloads,
     load_raw,
     payload_season,
+    raw_loads,
     read_raw,
     split_league_payload,
     write_raw,
@@ -303,11 +304,14 @@ def incremental_landing(t):
             F.col("_metadata.file_path").alias("filename"),
         )
 
-    table = f"{folder}/raw"
+    def files(spark) -> DataFrame:
+        return listed_files(spark, f"{folder}/events/season=*/load_date=*", f"{folder}/events")
+
+    table, mark = f"{folder}/raw", f"{folder}/checkpoint"
     for events in (t.events.withColumn("value", F.col("value") + 1), t.events, None):
         if events is not None:
             _write_event_files(events, folder)
-        land_new_files(opened(t.spark.readStream), lambda spark: opened(spark.read), table, f"{folder}/checkpoint")
+        land_new_files(opened(t.spark.readStream), lambda spark: opened(spark.read), files, table, mark)
     return _landed_summary(t.spark.read.parquet(table))
 
 
@@ -316,28 +320,52 @@ def incremental_landing(t):
   cast(max(o_custkey) as bigint) as home_team, true as has_file
 from orders group by 1, 2""")
 def raw_payloads(t):
-    """One payload file per month, landed by a full refresh, replayed, and read back as the raw table."""
+    """Payload files of a month's orders, landed by a full refresh, replayed, and read back as the raw table."""
     root, event = new_folder(t.spark, "payloads"), F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     month = F.to_date(F.date_trunc("month", "o_orderdate"))
-    payloads = t.orders.groupBy(F.year("o_orderdate").alias("season"), month.alias("load_date")).agg(
+    stamped = _in_files(t.orders.withColumns({"season": F.year("o_orderdate"), "load_date": month}), ["season", "load_date"])
+    payloads = stamped.groupBy("season", "load_date", "_file").agg(
         F.struct(F.max("o_custkey").alias("teamId"), F.lit("home").alias("name")).alias("home"),
         F.concat((F.count("*") % 7).cast("string"), F.lit(" : 1")).alias("ftScore"),
         F.collect_list(event).alias("events"),
     )
-    # a month is one row, so every file holds one object
-    payloads.write.partitionBy("season", "load_date").json(f"{root}/matchcentre/events")
+    _write_objects(payloads.drop("_file"), ["season", "load_date"], f"{root}/matchcentre/events")
     for _ in range(2):
         load_raw(t.spark, root, "match_payloads", root)
     raw = read_raw(t.spark, root, "match_payloads")
     ids = F.transform("events", lambda e: pick(e, "id", "bigint"))
-    return raw.select(
-        "season", "load_date", F.size("events").alias("events"),
-        F.aggregate(ids, F.lit(0).cast("bigint"), lambda total, i: total + i).alias("event_ids"),
-        score_side(F.col("ftScore"), 1).cast("bigint").alias("home_score"),
-        pick(F.col("home.teamId"), "$", "bigint").alias("home_team"), F.col("filename").endswith(".json").alias("has_file"),
+    total = F.aggregate(ids, F.lit(0).cast("bigint"), lambda total, i: total + i)
+    # each file scores its own rest of seven, which add up to that of the month
+    return raw.groupBy("season", "load_date").agg(
+        F.sum(F.size("events")).alias("events"),
+        F.sum(total).alias("event_ids"),
+        (F.sum(score_side(F.col("ftScore"), 1).cast("bigint")) % 7).alias("home_score"),
+        F.max(pick(F.col("home.teamId"), "$", "bigint")).alias("home_team"),
+        F.bool_and(F.col("filename").endswith(".json")).alias("has_file"),
     )
 
 
+#: Orders in one payload file, about.
+PER_FILE = 5_000
+
+
+def _in_files(orders: DataFrame, group: list[str]) -> DataFrame:
+    """Orders with `_file`: the payload file of their group they belong to, of a bounded size however large the group is."""
+    sizes = orders.groupBy(*group).agg(F.ceil(F.count("*") / PER_FILE).alias("_files"))
+    return orders.join(sizes, group).withColumn("_file", F.pmod(F.xxhash64("o_orderkey"), F.col("_files"))).drop("_files")
+
+
+def _write_objects(payloads: DataFrame, folders: list[str], path: str) -> None:
+    """One object per file, as sources deliver them."""
+    payloads.write.option("maxRecordsPerFile", 1).partitionBy(*folders).json(path)
+
+
+def _raw_context(t: Tables, warehouse: str) -> Context:
+    """Models over landed raw tables, whose partitions are known from their listing."""
+    spark = t.spark
+    return Context(spark, lambda name: read_raw(spark, warehouse, name), warehouse, loads=lambda name: raw_loads(spark, warehouse, name))
+
+
 @query("""with months as (
   select *, year(o_orderdate) as season, cast(date_trunc('month', o_orderdate) as date) as load_date from orders),
 kept as (
@@ -351,6 +379,22 @@ rows as (
 select block, season, cast(load_date as varchar) as load_date, id, label, value from rows""")
 def season_refresh(t):
     """Every order as a league payload of its month, landed in one call; the refresh models keep each year's newest month."""
+    ctx = _raw_context(t, _landed_league(t))
+    columns = {
+        "season_players": ("player_ud_id", "player_name", "xg"),
+        "season_matches": ("match_ud_id", "home_team_name", "home_xg"),
+        "season_team_matches": ("team_ud_id", "team_name", "ppda"),
+    }
+    whole = None
+    for model, df in ctx.build(*columns).items():
+        named = [F.col(c).alias(out) for c, out in zip(columns[model], ("id", "label", "value"))]
+        rows = df.select(F.lit(model).alias("block"), "season", "load_date", *named)
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
+
+
+def _landed_league(t: Tables) -> str:
+    """The warehouse in which every order is landed as a league payload of its month."""
     key, customer, date = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
 
     def text(column: Column, name: str) -> Column:
@@ -374,18 +418,52 @@ def season_refresh(t):
     )
     warehouse = new_folder(t.spark, "league")
     land_league_payloads(payloads, warehouse)
-    ctx = Context(t.spark, lambda source: read_raw(t.spark, warehouse, source), warehouse)
-    columns = {
-        "season_players": ("player_ud_id", "player_name", "xg"),
-        "season_matches": ("match_ud_id", "home_team_name", "home_xg"),
-        "season_team_matches": ("team_ud_id", "team_name", "ppda"),
-    }
-    whole = None
-    for model, df in ctx.build(*columns).items():
-        named = [F.col(c).alias(out) for c, out in zip(columns[model], ("id", "label", "value"))]
-        rows = df.select(F.lit(model).alias("block"), "season", "load_date", *named)
-        whole = rows if whole is None else whole.unionByName(rows)
-    return whole
+    return warehouse
+
+
+@query("""with months as (
+  select *, year(o_orderdate) as season, cast(date_trunc('month', o_orderdate) as date) as load_date from orders)
+select cast(season as bigint) as season, cast(load_date as varchar) as load_date, count(*) as n, cast(sum(o_orderkey) as bigint) as ids
+from months where (season, load_date) in (select (season, max(load_date)) from months group by season) group by 1, 2""")
+def published_views(t):
+    """Published models read by their names in another session: a view over landed rows, of each year's newest month."""
+    warehouse = _landed_league(t)
+    _raw_context(t, warehouse).publish("season_players")
+    other = t.spark.newSession()
+    return other.sql("""select cast(season as bigint) as season, load_date, count(*) as n, sum(player_ud_id) as ids
+        from silver.season_players group by season, load_date""")
+
+
+@query("""select year(o_orderdate) as season, cast(cast(o_orderdate as date) as varchar) as load_date, o_orderkey, o_orderstatus
+from orders where (year(o_orderdate), cast(date_trunc('month', o_orderdate) as date)) in
+  (select (year(o_orderdate), max(cast(date_trunc('month', o_orderdate) as date))) from orders group by year(o_orderdate))""")
+def newest_load_of_year(t):
+    """Orders landed by month; the newest month of each year, found from the listing and read as its folders only."""
+    warehouse = new_folder(t.spark, "loads")
+    month = F.to_date(F.date_trunc("month", "o_orderdate"))
+    dated = t.orders.select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("day"), F.year("o_orderdate").alias("season"), month.alias("load_date"))
+    write_raw(dated, f"{warehouse}/raw/orders")
+    newest = snapshots.newest_loads(read_raw(t.spark, warehouse, "orders"), raw_loads(t.spark, warehouse, "orders"), ["season"])
+    return newest.select("season", F.col("day").alias("load_date"), "o_orderkey", "o_orderstatus")
+
+
+@query("""select year(ts) as season, cast(cast(ts as date) as varchar) as load_date, count(*) as n,
+  cast(sum(event_id) as bigint) as ids, count(*) filter (day(ts) % 2 = 1 and props is not null) as with_props,
+  cast(sum(case when day(ts) % 2 = 1 then length(event_type) end) as bigint) as letters
+from events group by 1, 2""")
+def schema_growth(t):
+    """Events of even days, then of odd days with two more keys and a wider id: the table has the columns of both."""
+    warehouse = new_folder(t.spark, "growth")
+    stamped = t.events.withColumns({"season": F.year("ts"), "load_date": F.to_date("ts")})
+    odd = F.dayofmonth("ts") % 2 == 1
+    path = f"{warehouse}/raw/events"
+    write_raw(stamped.filter(~odd).select(F.col("event_id").cast("int").alias("event_id"), "season", "load_date"), path)
+    write_raw(stamped.filter(odd).select("props", F.col("event_id").cast("bigint").alias("event_id"), "event_type", "season", "load_date"), path)
+    raw = read_raw(t.spark, warehouse, "events")
+    return raw.groupBy("season", "load_date").agg(
+        F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count("props").alias("with_props"),
+        F.sum(F.length("event_type")).alias("letters"),
+    )
 
 
 @query("""select year(o_orderdate) as season, '2025-09-01' as load_date, count(*) as elements,
@@ -395,12 +473,12 @@ def folder_landing(t):
     """A folder of payload files, landed twice as one day with the payloads' own seasons, then as another under a given one."""
     folder, warehouse = new_folder(t.spark, "folder"), new_folder(t.spark, "landed")
     deadline = F.date_format(F.min("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("deadline_time")
-    payloads = t.orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+    stamped = _in_files(t.orders.withColumn("month", F.date_format("o_orderdate", "yyyy-MM")), ["month"])
+    payloads = stamped.groupBy("month", "_file").agg(
         F.collect_list(F.struct(F.col("o_orderkey").alias("id"))).alias("elements"),
         F.array(F.struct(deadline)).alias("events"),
     )
-    # a month is one row, so every file holds one object
-    payloads.write.partitionBy("month").json(folder)
+    _write_objects(payloads.drop("_file"), ["month"], folder)
     for day, season in (("2025-09-01", None), ("2025-09-01", None), ("2025-09-02", "2099")):
         land_folder(t.spark, folder, "bootstrap", warehouse, day, season)
     listed = read_raw(t.spark, warehouse, "bootstrap").select("season", "load_date", F.explode("elements").alias("e"))

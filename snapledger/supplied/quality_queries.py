@@ -78,3 +78,28 @@ def dq_reconcile(t):
     return quality.groups_agree(
         t.lineitem, F.count_distinct("l_orderkey"), t.lineitem.filter("l_linestatus = 'F'"), F.count("*"), ["l_returnflag"]
     )
+
+
+@query("""select 'unknown_flag' as check, count(*) as violations from lineitem where l_returnflag not in ('A', 'N')
+union all select 'no_discount', count(*) from lineitem where l_discount = 0
+union all select 'no_quantity', count(*) from lineitem where l_quantity is null
+union all select 'tax_above_discount', count(*) from lineitem where l_tax > l_discount
+union all select 'line_key', count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)
+union all select 'part', count(*) from (select 1 from lineitem where l_partkey is not null group by l_partkey having count(*) > 1)
+union all select 'supplier_of_order', count(*) from (select 1 from lineitem group by l_orderkey, l_suppkey having count(*) > 1)
+union all select 'lines_and_numbers', count(*) from (
+  select 1 from lineitem group by l_returnflag having sum(l_linenumber) <> sum(cast(l_quantity as bigint)))""")
+def dq_all_of_table(t):
+    """All checks of one table from one scan: broken rows, keys and a balance."""
+    lines = t.lineitem.withColumn("quantity", F.col("l_quantity").cast("bigint"))
+    checks = quality.TableChecks(
+        rows={
+            "unknown_flag": ~F.col("l_returnflag").isin("A", "N"),
+            "no_discount": F.col("l_discount") == 0,
+            "no_quantity": F.col("l_quantity").isNull(),
+            "tax_above_discount": F.col("l_tax") > F.col("l_discount"),
+        },
+        keys={"line_key": ["l_orderkey", "l_linenumber"], "part": ["l_partkey"], "supplier_of_order": ["l_orderkey", "l_suppkey"]},
+        balances={"lines_and_numbers": (["l_returnflag"], "l_linenumber", "quantity")},
+    )
+    return quality.run_checks(lines, checks)

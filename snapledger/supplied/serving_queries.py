@@ -57,6 +57,13 @@ def movers(t):
     return serving.movers(_latest(t)).select(*PICK, "recommendation_trend", "selected_by_percent")
 
 
+@query(f"""with {LATEST}
+select {PICK_SQL}, row_number() over (order by transfer_score desc, player_id) as page_position from latest""")
+def decision_order(t):
+    """Every newest decision with its place in page order."""
+    return serving.positioned(_latest(t)).select(*PICK, "page_position")
+
+
 @query(f"""with {LATEST}
 select {PICK_SQL}, position_short_name from (
   select *, row_number() over (partition by position_short_name order by transfer_score desc, player_id) as rn
@@ -321,7 +328,8 @@ def xg_team_table(t):
 def xg_season_table(t):
     """The table of one season, chosen by its parameter."""
     season = t.orders.agg(F.max(F.year("o_orderdate")) - 1).first()[0]
-    return serving.team_xg_table(_team_matches(t), season)
+    _team_matches(t).createOrReplaceTempView("team_matches")
+    return serving.season_xg_table(t.spark, "team_matches", season)
 
 
 @query(f"""with {LATEST}

@@ -1,4 +1,4 @@
-"""Time the ordered operators on one hot group, whole and split, and check that both agree.
+"""Time the ordered operators on one hot group, and check them against one window over the whole group.
 
     python -m tests.scale [rows]
 """
@@ -8,8 +8,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from snapledger.operators.fixtures import next_n_run
-from snapledger.operators.ordering import down, ranks, row_numbers, up
+from snapledger.operators.ordering import down, ordered, over_rows, ranks, row_numbers, up
 from snapledger.operators.snapshots import snapshot_delta
 from snapledger.session import build_session, settle
 
@@ -34,18 +33,34 @@ def main(rows=3_000_000):
         total = F.sum(F.xxhash64(*sorted(result.columns)).cast("decimal(38,0)"))
         return result.agg(F.count("*"), total).first()
 
+    def whole(out, column):
+        return lambda: df.withColumns(dict(zip(out, column)))
+
+    number, run, lag = [down("v"), up("id")], [up("v"), up("id")], ["g"]
     shapes = {
-        "percent_rank": lambda split: ranks(df, ["g"], {"p": up("v"), "q": down("difficulty")}, split=split),
-        "row_number": lambda split: row_numbers(df, ["g"], [down("v"), up("id")], "n", split=split),
-        "next_5": lambda split: next_n_run(df, ["g"], [up("v"), up("id")], "difficulty", open_rows="not done", split=split),
-        "delta": lambda split: snapshot_delta(df, ["g"], [up("v"), up("id")], {"v": "prev"}, split=split),
+        "percent_rank": (
+            lambda: ranks(df, ["g"], {"p": up("v"), "q": down("difficulty")}),
+            whole("pq", [F.percent_rank().over(ordered(["g"], [k])) for k in (up("v"), down("difficulty"))]),
+        ),
+        "row_number": (
+            lambda: row_numbers(df, ["g"], number, "n"),
+            whole("n", [F.row_number().over(ordered(["g"], number)).cast("bigint")]),
+        ),
+        "next_5": (
+            lambda: over_rows(df, ["g"], run, lambda w: {"a": F.avg("difficulty").over(w.rowsBetween(0, 4))}, after=4),
+            whole("a", [F.avg("difficulty").over(ordered(["g"], run).rowsBetween(0, 4))]),
+        ),
+        "delta": (
+            lambda: snapshot_delta(df, lag, run, {"v": "prev"}, bounded=False),
+            lambda: df.withColumn("prev", F.lag("v").over(ordered(lag, run))),
+        ),
     }
-    for name, shape in shapes.items():
+    for name, (sliced, one_window) in shapes.items():
         answers = []
-        for split in (False, True):
+        for label, shape in (("one window", one_window), ("slices", sliced)):
             start = time.time()
-            answers.append(digest(shape(split)))
-            print(f"{name:14} split={split!s:5} {time.time() - start:6.1f}s {answers[-1][0]} rows", flush=True)
+            answers.append(digest(shape()))
+            print(f"{name:14} {label:12} {time.time() - start:6.1f}s {answers[-1][0]} rows", flush=True)
         assert answers[0] == answers[1], name
     spark.stop()
 

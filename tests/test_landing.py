@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapledger import session
+from snapledger.operators import snapshots
 from snapledger.plans.registry import Context
 from snapledger.sources import catalog, landing
 from snapledger.streaming.landing import land_new_files, stream_source
@@ -109,8 +110,11 @@ def test_incremental_landing_equals_batch(spark, tmp_path):
     def read(session):
         return catalog.read_source(session, str(root), "bootstrap")
 
+    def files(session):
+        return catalog.source_files(session, str(root), "bootstrap")
+
     def land(**options):
-        land_new_files(stream_source(spark, str(root), "bootstrap", **options), read, table, mark)
+        land_new_files(stream_source(spark, str(root), "bootstrap", **options), read, files, table, mark)
 
     def dump(day, **changes):
         base = root / "game" / "season=2025" / f"load_date={day}"
@@ -138,6 +142,53 @@ def test_incremental_landing_equals_batch(spark, tmp_path):
     assert sorted(spark.read.parquet(table).inputFiles()) == before
 
 
+def test_listing_opens_no_file(spark, tmp_path):
+    for day in (tree.DAY1, tree.DAY2):
+        broken = tmp_path / f"game/season=2025/load_date={day}/fixtures.json"
+        broken.parent.mkdir(parents=True)
+        broken.write_text("[{ no json", encoding="utf-8")
+    listed = catalog.source_files(spark, str(tmp_path), "fixtures")
+    assert [str(r.load_date) for r in listed.orderBy("load_date").collect()] == [tree.DAY1, tree.DAY2]
+    assert "json" not in listed._jdf.queryExecution().executedPlan().toString().split("Location")[0].lower()
+
+
+def test_newest_loads_scan_their_folders_only(spark, tmp_path):
+    rows = [(2024, "2024-05-01", 1), (2024, "2024-06-01", 2), (2025, "2025-01-01", 3), (2025, "2025-02-01", 4), (2025, "2025-02-01", 5)]
+    df = spark.createDataFrame(rows, "season int, d string, id int").withColumn("load_date", F.to_date("d")).drop("d")
+    landing.write_raw(df, f"{tmp_path}/raw/things")
+    raw = landing.read_raw(spark, str(tmp_path), "things")
+    newest = snapshots.newest_loads(raw, landing.raw_loads(spark, str(tmp_path), "things"), ["season"])
+    assert sorted(r.id for r in newest.collect()) == [2, 4, 5]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "PartitionFilters: [concat_ws" in plan and "Join" not in plan
+    assert newest.select(F.input_file_name()).distinct().count() <= 3
+    assert snapshots.newest_loads(raw, landing.raw_loads(spark, str(tmp_path), "things").limit(0), ["season"]).count() == 0
+
+
+def test_partitions_without_a_value(spark):
+    df = spark.createDataFrame([(None, 1), (3, 2), (4, 3)], "season int, id int")
+    chosen = df.filter("id < 3").select("season").collect()
+    assert sorted(r.id for r in df.filter(snapshots.of_partitions(chosen)).collect()) == [1, 2]
+
+
+def test_schema_grows_with_what_is_landed(spark, tmp_path):
+    path = f"{tmp_path}/raw/grown"
+    day = lambda d: F.to_date(F.lit(d)).alias("load_date")
+    season = F.lit(2025).alias("season")
+    landing.write_raw(spark.range(2).select(F.col("id").cast("int").alias("id"), season, day("2025-01-01")), path)
+    assert landing.read_raw(spark, str(tmp_path), "grown").columns == ["id", "season", "load_date"]
+    landing.write_raw(spark.range(5, 7).select("id", F.lit("x").alias("note"), season, day("2025-01-02")), path)
+    landing.write_raw(spark.range(9, 10).select(F.col("id").cast("int").alias("id"), season, day("2025-01-03")), path)
+    read = landing.read_raw(spark, str(tmp_path), "grown")
+    assert dict(read.dtypes) == {"id": "bigint", "note": "string", "season": "int", "load_date": "date"}
+    assert sorted((r.id, r.note) for r in read.collect()) == [(0, None), (1, None), (5, "x"), (6, "x"), (9, None)]
+    with pytest.raises(ValueError, match="column note is string"):
+        landing.write_raw(spark.range(1).select("id", F.lit(1.5).alias("note"), season, day("2025-01-04")), path)
+    assert landing.read_raw(spark, str(tmp_path), "grown").count() == 5
+    landing.write_raw(spark.range(1).select("id", season, day("2025-01-04")), path, "static")
+    assert landing.read_raw(spark, str(tmp_path), "grown").columns == ["id", "season", "load_date"]
+
+
 def test_malformed_file_fails(spark, tmp_path):
     tree.dump(tmp_path / "game/season=2025/load_date=2025-09-01/fixtures.json", tree.fixture_list())
     broken = tmp_path / "game/season=2025/load_date=2025-09-02/fixtures.json"
@@ -151,7 +202,9 @@ def test_models_read_raw_tables(spark, ctx, landed, tmp_path):
     warehouse = str(tmp_path)
     for name in ("bootstrap", "fixtures", "match_payloads", "season_players", "season_teams"):
         landing.load_raw(spark, landed, name, warehouse)
-    raw = Context(spark, lambda name: landing.read_raw(spark, warehouse, name))
+    raw = Context(
+        spark, lambda name: landing.read_raw(spark, warehouse, name), loads=lambda name: landing.raw_loads(spark, warehouse, name)
+    )
     for name in ("players", "league_table", "matches", "match_players", "season_players", "season_team_matches"):
         assert sorted(map(str, raw.ref(name).collect())) == sorted(map(str, ctx.ref(name).collect()))
     assert raw.ref("match_events").count() == ctx.ref("match_events").count()

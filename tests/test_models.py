@@ -1,8 +1,11 @@
+import pytest
 import datetime as dt
+import threading
 
 from pyspark.sql import functions as F
 
-from snapledger.plans import checks
+from snapledger.operators.quality import TableChecks, observed, run_checks
+from snapledger.plans import checks, registry
 from snapledger.plans.registry import MODELS
 from tests.tree import DAY1, DAY2
 
@@ -169,12 +172,70 @@ def test_data_checks(ctx):
     assert len(broken) == 70
     failing = {k: v for k, v in broken.items() if v}
     assert failing == {}
+    assert {r.check: r.violations for r in checks.all_checks(ctx).collect()} == broken
+
+
+def test_checks_of_a_table_in_one_scan(spark):
+    df = spark.createDataFrame(
+        [(1, "a", 1, 5, 5), (1, "b", None, 3, 2), (2, "c", 1, 1, 1), (2, "c", 4, 1, 2), (None, None, 4, 1, 1)],
+        "d int, g string, k int, plus int, minus int",
+    )
+    wanted = TableChecks(
+        rows={"g_known": F.col("g").isNull(), "g_listed": ~F.col("g").isin("a", "b")},
+        keys={"k": ["k"], "dg": ["d", "g"], "d": ["d"]},
+        balances={"by_d": (["d"], "plus", "minus")},
+    )
+    found = run_checks(df, wanted)
+    assert {r.check: r.violations for r in found.collect()} == {"g_known": 1, "g_listed": 2, "k": 2, "dg": 1, "d": 2, "by_d": 2}
+    assert {r.violations for r in run_checks(df.limit(0), wanted).collect()} == {0}
+    plan = run_checks(df, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and plan.count("Exchange") == 2
+    seen_df, seen = observed(df, wanted)
+    seen_df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"g_known": 1, "g_listed": 2}
+
+
+def test_models_that_need_each_other_are_named(spark, monkeypatch):
+    added = {
+        name: registry.Model(name, "gold", "view", False, needs, lambda ctx: ctx.spark.range(1))
+        for name, needs in {"one": ("two",), "two": ("three",), "three": ("one",), "four": ("players",)}.items()
+    }
+    monkeypatch.setattr(registry, "MODELS", {**MODELS, **added})
+    with pytest.raises(ValueError, match="need each other: .*(one -> two|two -> three|three -> one)"):
+        registry.Context(spark, lambda name: None).build("one")
+
+
+def test_models_say_what_they_need(spark, monkeypatch):
+    model = registry.Model("eager", "gold", "view", False, (), lambda ctx: ctx.ref("players"))
+    monkeypatch.setattr(registry, "MODELS", {**MODELS, "eager": model})
+    with pytest.raises(ValueError, match="eager asks for players"):
+        registry.Context(spark, lambda name: None).build("eager")
+
+
+def test_independent_models_are_built_at_once(spark, monkeypatch):
+    """Each of two models waits for the other to have started."""
+    meeting = threading.Barrier(2, timeout=60)
+
+    def build(ctx):
+        meeting.wait()
+        return ctx.spark.range(3)
+
+    added = {n: registry.Model(n, "gold", "view", False, (), build) for n in ("left", "right")}
+    added["both"] = registry.Model("both", "gold", "view", False, ("left", "right"), lambda ctx: ctx.ref("left").union(ctx.ref("right")))
+    monkeypatch.setattr(registry, "MODELS", added)
+    ctx = registry.Context(spark, lambda name: None)
+    assert ctx.ref("both").count() == 6 and ctx.edges == {"both": ["left", "right"]}
+    assert list(registry.build_order("both").get_ready()) and set(registry.needed("both")) == {"left", "right", "both"}
 
 
 def test_publish(ctx, spark):
-    ctx.publish("players", "league_table")
-    assert spark.table("silver_players").count() == 25
-    assert spark.table("gold.league_table").count() == 6
+    ctx.publish("players", "positions", "league_table")
+    other = spark.newSession()
+    assert other.table("silver.players").count() == 25
+    assert other.table("silver.positions").count() == ctx.ref("positions").count()
+    assert other.table("gold.league_table").count() == 6
+    kinds = {t.name: t.tableType for t in other.catalog.listTables("silver")}
+    assert kinds["players"] == kinds["positions"] == "VIEW" and kinds["players_rows"] == "EXTERNAL"
 
 
 def test_published_tables_keep_their_folders(ctx, spark):
@@ -185,13 +246,18 @@ def test_published_tables_keep_their_folders(ctx, spark):
     assert "PartitionFilters: [isnotnull(load_date" in plan
 
 
-def test_split_groups_give_the_same_decisions(ctx):
+@pytest.mark.parametrize("slices", [1, 30])
+def test_decisions_are_the_same_in_any_number_of_slices(ctx, spark, slices):
     from snapledger.operators import scoring
 
     parts = [ctx.ref(n) for n in ("players", "positions", "teams", "season_player_map", "season_players")]
-    ease = scoring.fixture_ease(ctx.ref("fixture_difficulty"), split=True)
-    split = scoring.transfer_decision(*parts, ease, split=True)
-    assert sorted(map(str, split.collect())) == sorted(map(str, ctx.ref("transfer_decision").collect()))
-    args = ctx.ref("players"), ctx.ref("league_table"), ease
-    outlook = scoring.defensive_outlook(*args, split=True)
-    assert sorted(map(str, outlook.collect())) == sorted(map(str, ctx.ref("defensive_outlook").collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    try:
+        ease = scoring.fixture_ease(ctx.ref("fixture_difficulty"))
+        decisions = scoring.transfer_decision(*parts, ease)
+        outlook = scoring.defensive_outlook(ctx.ref("players"), ctx.ref("league_table"), ease)
+        assert sorted(map(str, decisions.collect())) == sorted(map(str, ctx.ref("transfer_decision").collect()))
+        assert sorted(map(str, outlook.collect())) == sorted(map(str, ctx.ref("defensive_outlook").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -1,4 +1,4 @@
-"""Split groups must give what one window over the whole group gives."""
+"""Groups that are cut into slices must give what one window over the whole group gives."""
 
 import random
 
@@ -8,9 +8,7 @@ from pyspark.sql.window import Window
 
 from snapledger.operators import ordering
 from snapledger.operators.fixtures import form_guide, next_n_run
-from snapledger.operators.ordering import down, over_rows, ranks, row_numbers, top_per_group, up
-
-SMALL = 7
+from snapledger.operators.ordering import down, ordered, over_rows, ranks, row_numbers, top_per_group, up
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +22,15 @@ def skewed(spark):
     return spark.createDataFrame(rows, "id int, g string, v double, done boolean").repartition(4)
 
 
+@pytest.fixture(params=[3, 29])
+def slices(spark, request):
+    """A few slices, or so many that they are shorter than frames and equal values fill several."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def same(left, right):
     key = lambda r: str(r)
     columns = sorted(left.columns)
@@ -33,46 +40,89 @@ def same(left, right):
 
 @pytest.mark.parametrize("kind", ["rank", "percent_rank"])
 @pytest.mark.parametrize("direction", [up, down])
-def test_ranks(skewed, kind, direction):
-    signals = {"r": direction("v"), "s": up("id")}
-    same(ranks(skewed, ["g"], signals, kind, rows=SMALL), ranks(skewed, ["g"], signals, kind))
-
-
-def test_null_ranks_last(spark):
+def test_ranks(skewed, slices, kind, direction):
+    signals = {"r": direction("v"), "s": up("id"), "d": down("done")}
+    window = {"rank": F.rank, "percent_rank": F.percent_rank}[kind]
+    expected = {out: window().over(ordered(["g"], [key])) for out, key in signals.items()}
+    if kind == "rank":
+        expected = {out: column.cast("bigint") for out, column in expected.items()}
+    same(ranks(skewed, ["g"], signals, kind), skewed.withColumns(expected))
+    same(ranks(skewed, ["g"], {"r": signals["r"]}, kind), skewed.withColumn("r", expected["r"]))
+
+
+@pytest.mark.parametrize("names", [["r"], ["r", "s"]])
+def test_eligible_rows(skewed, slices, names):
+    signals = {name: {"r": up("v"), "s": down("id")}[name] for name in names}
+    chosen = {"r": F.col("done"), "s": F.when(F.col("id") % 7 > 0, True)}
+    got = ranks(skewed, ["g"], signals, eligible={name: chosen[name] for name in names})
+    assert got.columns == [*skewed.columns, *names]
+    expected = skewed.withColumns({f"_{name}": F.coalesce(chosen[name], F.lit(False)) for name in names})
+    for name in names:
+        among = F.percent_rank().over(ordered(["g", f"_{name}"], [signals[name]]))
+        expected = expected.withColumn(name, F.when(F.col(f"_{name}"), among))
+    same(got, expected.select(got.columns))
+
+
+def test_one_value_fills_several_slices(spark, slices):
+    df = spark.range(300).select("id", F.when(F.col("id") < 20, F.lit(1)).when(F.col("id") < 280, F.lit(2)).otherwise(F.lit(3)).alias("v"), F.lit("x").alias("g"))
+    got = ranks(df, ["g"], {"r": up("v")}, "rank").select("v", "r").distinct().collect()
+    assert {(r.v, r.r) for r in got} == {(1, 1), (2, 21), (3, 281)}
+
+
+def test_null_ranks_last(spark, slices):
     df = spark.createDataFrame([(1, 2.0), (1, None), (1, 1.0)], "g int, v double")
-    for rows in (1, 100):
-        for direction in (up, down):
-            got = {r.v: r.p for r in ranks(df, ["g"], {"p": direction("v")}, rows=rows).collect()}
-            assert got[None] == 1.0
+    for direction in (up, down):
+        got = {r.v: r.p for r in ranks(df, ["g"], {"p": direction("v")}).collect()}
+        assert got[None] == 1.0
 
 
-def test_single_member_ranks_zero(spark):
+def test_single_member_ranks_zero(spark, slices):
     df = spark.createDataFrame([(1, 2.0), (2, 1.0), (2, 1.5)], "g int, v double")
-    assert {r.p for r in ranks(df, ["g"], {"p": up("v")}, rows=1).filter("g = 1").collect()} == {0.0}
+    assert {r.p for r in ranks(df, ["g"], {"p": up("v")}).filter("g = 1").collect()} == {0.0}
+
+
+def test_empty_table(skewed):
+    none = skewed.limit(0)
+    assert ranks(none, ["g"], {"p": up("v"), "q": up("id")}).count() == row_numbers(none, ["g"], [up("id")], "n").count() == 0
+    assert over_rows(none, ["g"], [up("id")], lambda w: {"x": F.lag("v").over(w)}, before=1, number="n").count() == 0
 
 
-def test_row_numbers(skewed):
+def test_row_numbers(skewed, slices):
     order = [down("v"), up("id")]
-    same(row_numbers(skewed, ["g"], order, "n", rows=SMALL), row_numbers(skewed, ["g"], order, "n"))
+    expected = skewed.withColumn("n", F.row_number().over(ordered(["g"], order)).cast("bigint"))
+    same(row_numbers(skewed, ["g"], order, "n"), expected)
 
 
-@pytest.mark.parametrize("rows", [1, 5, 60])
-def test_frames(skewed, rows):
+def test_running_sums(skewed, slices):
+    order = [down("v"), up("id")]
+    before = ordered(["g"], order).rowsBetween(Window.unboundedPreceding, -1)
+    expected = skewed.withColumn("n", F.coalesce(F.sum("id").over(before), F.lit(0)).cast("bigint"))
+    same(ordering.running_sums(skewed, ["g"], order, "id", "n"), expected)
+
+
+@pytest.mark.parametrize("number", [None, "n"])
+def test_frames(skewed, slices, number):
     def columns(w):
         return {
-            "ahead": F.avg("id").over(w.rowsBetween(0, 4)),
+            "ahead": F.avg("id").over(w.rowsBetween(0, 24)),
             "last": F.lag("id").over(w),
-            "third": F.lag("id", 3).over(w),
+            "tenth": F.lag("id", 10).over(w),
         }
 
     order = [up("v"), up("id")]
-    split = over_rows(skewed, ["g"], order, columns, before=3, after=4, number="n", rows=rows)
-    same(split, over_rows(skewed, ["g"], order, columns, before=3, after=4, number="n", split=False))
+    got = over_rows(skewed, ["g"], order, columns, before=10, after=24, number=number)
+    same(got, over_rows(skewed, ["g"], order, columns, before=10, after=24, number=number, bounded=True))
 
 
-def test_next_n_run(skewed):
-    args = (["g"], [up("v"), up("id")], "id", 5, "not done")
-    same(next_n_run(skewed, *args, rows=SMALL), next_n_run(skewed, *args))
+def test_next_n_run(skewed, slices):
+    order = [up("v"), up("id")]
+    window = ordered(["g"], order).rowsBetween(0, 4)
+    expected = skewed.filter("not done").withColumns({
+        "n": F.row_number().over(ordered(["g"], order)).cast("bigint"), "a": F.round(F.avg("id").over(window), 2)
+    })
+    got = next_n_run(skewed, ["g"], order, "id", 5, "not done", "n", "a")
+    same(got.filter("not done"), expected)
+    assert got.filter("done and n is null and a is null").count() == skewed.filter("done").count()
 
 
 def test_top_per_group_limits_before_the_shuffle(skewed):
@@ -84,11 +134,9 @@ def test_top_per_group_limits_before_the_shuffle(skewed):
     same(best, expected)
 
 
-def test_long_lists_per_group(skewed, monkeypatch):
-    order = [down("v"), up("id")]
-    expected = top_per_group(skewed, ["g"], order, 20)
-    monkeypatch.setattr(ordering, "GROUP_LIMIT", 10)
-    same(top_per_group(skewed, ["g"], order, 20), expected)
+def test_long_lists_are_refused(skewed):
+    with pytest.raises(ValueError, match="1000"):
+        top_per_group(skewed, ["g"], [up("id")], 1001)
 
 
 def test_form_guide(spark):
@@ -98,10 +146,6 @@ def test_form_guide(spark):
     assert got == {1: "L D W L D", 2: "W"}
 
 
-def test_needs_split(skewed):
-    assert not ordering.needs_split(skewed, ["g"], 400) and ordering.needs_split(skewed, ["g"], 399)
-
-
 def test_hot_group_spreads_over_slices(skewed):
     sliced = ordering._sliced(skewed, ["g"], [up("v"), up("id")])
     shares = [r["count"] for r in sliced.filter("g = 'hot'").groupBy("_slice").count().collect()]

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from snapledger.operators import replacement
 from snapledger.operators.replacement import best_affordable
 
 
@@ -34,6 +35,34 @@ def test_matches_brute_force(spark, seed):
     assert {r.row: (r.item, r.score) for r in got.collect()} == brute(wanted, candidates, owned)
 
 
+def test_one_heavy_owner_does_not_lengthen_the_lists_of_others(spark):
+    """3000 candidates, 400 cases; one owner of 1500 items adds rows of its own only."""
+    rng = random.Random(7)
+    candidates = [("a", i, rng.randint(0, 1000), float(rng.randint(0, 99))) for i in range(3000)]
+    wanted = [(i, "a", i % 40, rng.randint(0, 1000)) for i in range(400)]
+    light = {(o, rng.randrange(3000)) for o in range(1, 40) for _ in range(2)}
+    heavy = {(0, i) for i in rng.sample(range(3000), 1500)}
+    frames = lambda owned: (
+        spark.createDataFrame(wanted, CASE[0]), spark.createDataFrame(candidates, CASE[1]), spark.createDataFrame(sorted(owned), CASE[2]),
+    )
+    lengths = {}
+    kept = replacement._asked_places
+    for name, owned in (("light", light), ("heavy", light | heavy)):
+        def counted(*args):
+            offers = kept(*args)
+            lengths[name] = offers.count()  # noqa: B023
+            return offers
+
+        replacement._asked_places = counted
+        try:
+            got = best_affordable(*frames(owned), "g", "owner")
+        finally:
+            replacement._asked_places = kept
+        assert {r.row: (r.item, r.score) for r in got.collect()} == brute(wanted, candidates, owned)
+    # at most what the heavy owner holds, once for each of the ten levels of a price
+    assert lengths["heavy"] - lengths["light"] <= 1500 * 10
+
+
 def test_no_candidates(spark):
     got = best_affordable(
         spark.createDataFrame([(1, "a", 1, 5)], "row int, g string, owner int, budget int"),
