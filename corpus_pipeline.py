@@ -12,42 +12,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapledger.llm.common import documents, release
+from snapledger.llm.common import documents
 from snapledger.llm.exact import drop_exact
 from snapledger.llm.minhash import keep_near
 from snapledger.llm.mixing import mixed_documents
 from snapledger.llm.packing import pack
 from snapledger.llm.toxicity import drop_toxic
-from snapledger.session import new_folder
+from snapledger.session import delete_folder, new_folder, owning
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents predicted toxic."""
-    release(docs)
     return drop_toxic(docs, documents(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of texts that are equal apart from white space."""
-    release(docs)
     return drop_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest document of each component of near duplicates."""
-    release(docs)
     return keep_near(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat, cut or drop documents so that the sources meet their target weights."""
-    release(docs)
+    """Repeat or drop whole documents so that the sources meet their target weights."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bucket, batch and slot of every document."""
-    release(docs)
     return pack(docs)
 
 
@@ -58,10 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    docs = documents(spark, sf_dir)
+    """All stages over `documents`.
+
+    Each stage's output is written; what it stored on the way, and the output before it, go when it is. Nothing but this run's own
+    folders is deleted.
+    """
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         folder = new_folder(spark, f"corpus-stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
+        with owning(spark, f"corpus-stores-{name}"):
+            stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            delete_folder(spark, before)
+        before = folder
     return docs
