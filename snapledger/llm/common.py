@@ -1,4 +1,4 @@
-"""What several corpus operators share: stored steps, numbering over many tasks, words as hashes.
+"""What several corpus operators share: stored steps, and words as hashes.
 
 Text rules used throughout: a word is a run of bytes other than space, tab, line feed, vertical
 tab, form feed and carriage return; a null text counts as empty.
@@ -11,12 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger import session
 
-__all__ = ["settle", "release", "WORD", "word_count", "documents", "running_total", "Words", "chunks", "mix", "held_out"]
+__all__ = ["settle", "WORD", "word_count", "documents", "Words", "chunks", "mix", "held_out"]
 
 #: One word, as a regular expression; the class is every character but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,22 +28,6 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return session.settle(df, f"corpus-{label}")
 
 
-def release(docs: DataFrame) -> None:
-    """Delete what corpus operators have stored so far, but for what `docs` itself reads.
-
-    For use between steps whose results are written: anything still lazy besides `docs` loses its input.
-    """
-    spark = docs.sparkSession
-    needed = "\n".join(docs.inputFiles())
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(session.new_folder(spark, "x")).getParent()
-    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for entry in store.listStatus(folder) if store.exists(folder) else []:
-        name = entry.getPath().getName()
-        if name.startswith("corpus-") and f"/{name}/" not in needed:
-            store.delete(entry.getPath(), True)
-
-
 def documents(spark, folder: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -58,30 +42,6 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def running_total(df: DataFrame, group: str, value: str, order: list[str], slices: int, name: str) -> DataFrame:
-    """Add `name`: the sum of `value` over the rows of `group` before this one, in a shuffled order.
-
-    The order is by a hash of the `order` columns, so reruns agree. A group is cut by that hash
-    into `slices` parts which are summed apart and then shifted by the totals of the parts before
-    them, so no task holds a group. Rows that are equal in all of `order` follow each other.
-    """
-    spread = F.xxhash64(*order)
-    cut = df.withColumn("_spread", spread).withColumn("_slice", F.shiftrightunsigned("_spread", 1).cast("double"))
-    cut = cut.withColumn("_slice", F.floor(F.col("_slice") / F.lit(2.0**63) * slices).cast("int"))
-    totals = cut.groupBy(group, "_slice").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        F.col(group).alias("_g"), F.col("_slice").alias("_s"),
-        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"),
-    )
-    inside = Window.partitionBy(group, "_slice").orderBy("_spread", *order).rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("_before", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = cut.join(starts, (cut[group] == starts["_g"]) & (cut["_slice"] == starts["_s"]))
-    return joined.withColumn(name, F.col("_before") + F.col("_start")).drop(
-        "_spread", "_slice", "_before", "_g", "_s", "_start"
-    )
-
-
 # ---- words as 64-bit hashes, a whole batch of texts at a time ----
 
 SPACE = np.zeros(256, bool)

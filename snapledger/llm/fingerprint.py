@@ -2,12 +2,12 @@
 
 The lexicon holds the terms whose document frequency lies in a band, given as shares of all documents:
 very common terms say nothing and rare ones are typing errors and names that an edit removes. At
-level j the lexicon falls into CELLS * 4**j pseudo-random subsets, and every term belongs to one of them. A
-document uses two levels, chosen by how many lexicon terms it has, so that short and long texts both
-have a handful of terms per subset. Its distinct lexicon terms are sorted, and those of each subset
-hashed together; the hashes are the fingerprint, and each lexicon term of the text is in one of them per level.
-The likeness of two fingerprints is the share of equal hashes among the subsets that either has, at
-the levels that both use.
+level j the lexicon falls into CELLS * 4**j pseudo-random subsets, and every term belongs to one of them. The number of lexicon terms
+of a document chooses its level, so that short and long texts both have a few terms per subset. Its distinct
+lexicon terms are sorted, and those of each subset hashed together; the hashes are the fingerprint, and each lexicon
+term of the text is in one of them. The hash of a subset is the sum of its terms' hashes, so that the hashes of four
+subsets of a level give that of the one they form at the level above. The likeness of two fingerprints is the
+share of equal hashes among the subsets that either has, at the coarser of their levels.
 
 The lexicon travels to the tasks as one value. Its size is bounded whatever the corpus: a term in at least
 LEAST_SHARE of all documents takes that share of all (document, term) pairs, so there are at most
@@ -25,10 +25,10 @@ CELL_BITS = 4
 CELLS = 1 << CELL_BITS
 LEAST_SHARE, MOST_SHARE = 0.001, 0.1
 SEED = 71
-#: Deepest first level; a text with more terms than fit it has more of them per subset.
-DEEPEST = 10
-#: A hash of a fingerprint holds the level, the subset and CODE_BITS of the subset's own hash.
-LEVEL_BIT, CODE_BITS = 58, 32
+#: Deepest level; a text with more terms than fit it has more of them per subset.
+DEEPEST = 8
+#: A hash of a fingerprint has PRINT_BITS: the subset, and in what is left the sum of its terms.
+PRINT_BITS = 32
 #: Level of the one hash that stands for a text without lexicon terms.
 BARE = 31
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -66,65 +66,112 @@ def let(value: Column, use) -> Column:
 
 
 def level(count: Column) -> Column:
-    """The first of the two levels: `count` terms put two to eight into each subset at it."""
-    raw = F.floor(F.log(4.0, F.greatest(F.lit(1.0), count / (CELLS * 2))))
+    """The level at which `count` terms put one to four into each subset."""
+    raw = F.floor(F.log(4.0, F.greatest(F.lit(1.0), count / CELLS)))
     return F.least(F.greatest(F.lit(0), raw), F.lit(DEEPEST)).cast("int")
 
 
+def cell_bits(level: Column) -> Column:
+    return F.lit(CELL_BITS) + 2 * level
+
+
+def runs(items: Column, of, make) -> Column:
+    """`make(first, number of items, value)` for every run of neighbouring items with the same value of `of`."""
+    begins = F.filter(
+        F.transform(items, lambda x, i: F.when(~of(x).eqNullSafe(of(F.get(items, i - 1))), i)), lambda i: i.isNotNull()
+    )
+
+    def made(starts):
+        end = lambda nth: F.coalesce(F.get(starts, nth + 1), F.size(items))
+        return F.transform(starts, lambda first, nth: make(first, end(nth) - first, of(F.get(items, first))))
+
+    return let(begins, made)
+
+
+def total(items: Column, first: Column, count: Column, bits: Column) -> Column:
+    """Sum of some neighbouring items, of which the last `bits` bits count."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+    added = F.aggregate(F.slice(items, first + 1, count), F.lit(0).cast("bigint"), lambda sum_, x: (sum_ + x.bitwiseAND(mask)).bitwiseAND(mask))
+    return added
+
+
 def hashes(kept: Column, level: Column) -> Column:
-    """One number per used subset at a level: level, subset and CODE_BITS of the hash of its sorted terms.
+    """One number per used subset at a level: the subset and below it the sum of its terms' hashes.
 
-    The first bits of a term's hash choose its subset, so the terms of one are neighbours in `kept`, which is sorted.
+    The first bits of a term's hash choose its subset, so the terms of one are neighbours in `kept`, which is sorted as unsigned.
     """
-    cell = lambda t: F.call_function("shiftrightunsigned", t, F.lit(64 - CELL_BITS) - 2 * level)
-    begins = F.transform(kept, lambda t, i: F.when(~cell(t).eqNullSafe(cell(F.get(kept, i - 1))), i))
+    width = cell_bits(level)
+    rest = F.lit(PRINT_BITS) - width
+    cell = lambda t: F.call_function("shiftrightunsigned", t, F.lit(64) - width)
+
+    def hashed(first, count, subset):
+        return F.call_function("shiftleft", subset, rest) + total(kept, first, count, rest)
 
-    def codes(starts):
-        def code(start, nth):
-            inside = F.slice(kept, start + 1, F.coalesce(F.get(starts, nth + 1), F.size(kept)) - start)
-            own = F.xxhash64(inside).bitwiseAND(F.lit((1 << CODE_BITS) - 1).cast("bigint"))
-            return level.cast("bigint") * (1 << LEVEL_BIT) + cell(F.get(kept, start)) * (1 << CODE_BITS) + own
+    return runs(kept, cell, hashed)
 
-        return F.transform(starts, code)
 
-    return let(F.filter(begins, lambda i: i.isNotNull()), codes)
+def coarser(prints: Column, own: Column, to: Column, bits: Column) -> Column:
+    """A print of level `own` at level `to`, of whose sums the last `bits` bits count."""
+    rest = F.lit(PRINT_BITS) - cell_bits(own)
+    cell = lambda p: F.call_function("shiftright", p, rest + 2 * (own - to))
+
+    def merged(first, count, subset):
+        return F.call_function("shiftleft", subset, F.lit(PRINT_BITS)) + total(prints, first, count, bits)
+
+    return runs(prints, cell, merged)
 
 
 def fingerprint(text: Column, lexicon: Column) -> Column:
     """`level` and `print` (an array) of a text, given the lexicon as `placed`.
 
-    Every distinct term of the text meets the lexicon, and each one found there enters a subset at both levels.
+    Every distinct term of the text meets the lexicon, and each one found there enters a subset.
     """
+    # sorted as unsigned numbers, so that the subsets of one of a level above are neighbours too
+    flip = lambda t: t.bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))
+
     def known(found):
         held = lambda t: F.array_contains(F.get(lexicon, F.pmod(t, F.size(lexicon)).cast("int")), t)
-        return F.struct(F.sort_array(F.filter(found, held)).alias("kept"), F.xxhash64(F.sort_array(found)).alias("whole"))
+        kept = F.transform(F.sort_array(F.transform(F.filter(found, held), flip)), flip)
+        return F.struct(kept.alias("kept"), F.xxhash64(F.sort_array(found)).alias("whole"))
 
     def prints(kept, whole):
-        bare = F.array(F.lit(BARE).cast("bigint") * (1 << LEVEL_BIT) + whole.bitwiseAND(F.lit((1 << CODE_BITS) - 1).cast("bigint")))
-        both = lambda at: F.struct(at.alias("level"), F.concat(hashes(kept, at), hashes(kept, at + 1)).alias("print"))
-        return F.when(F.size(kept) == 0, F.struct(F.lit(BARE).alias("level"), bare.alias("print"))).otherwise(
-            let(level(F.size(kept)), both)
-        )
+        bare = F.array(whole.bitwiseAND(F.lit((1 << PRINT_BITS) - 1).cast("bigint")))
+        at = lambda own: F.struct(own.alias("level"), hashes(kept, own).alias("print"))
+        return F.when(F.size(kept) == 0, F.struct(F.lit(BARE).alias("level"), bare.alias("print"))).otherwise(let(level(F.size(kept)), at))
 
     return let(let(terms(text), known), lambda k: let(k["kept"], lambda kept: prints(kept, k["whole"])))
 
 
 def likeness(one: Column, one_level: Column, two: Column, two_level: Column) -> Column:
-    """Share of equal hashes among the subsets that either print has at the levels both use; 0 without any."""
-    low, high = F.greatest(one_level, two_level), F.least(one_level, two_level) + 1
-    common = lambda p: F.filter(p, lambda h: F.shiftright(h, LEVEL_BIT).between(low, high))
-    cells = lambda p: F.transform(common(p), lambda h: F.shiftright(h, CODE_BITS))
-    equal = F.size(F.array_intersect(common(one), common(two)))
-    either = F.size(F.array_union(cells(one), cells(two)))
-    return F.when(one == two, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(equal.cast("double"), either), F.lit(0.0)))
+    """Share of equal hashes among the subsets that either print has, at the coarser level of the two."""
+    to = F.least(one_level, two_level)
+    bits = F.lit(PRINT_BITS) - cell_bits(F.greatest(one_level, two_level))
+    cells = lambda p: F.transform(p, lambda h: F.shiftright(h, PRINT_BITS))
 
+    def compared(pair):
+        a, b = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
+        return F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(cells(a), cells(b)))
 
-def written(prints: Column) -> Column:
-    return F.array_join(F.transform(prints, F.hex), ".")
+    both = F.array(coarser(one, one_level, to, bits), coarser(two, two_level, to, bits))
+    bare = (one_level == BARE) | (two_level == BARE)
+    return F.when((one_level == two_level) & (one == two), F.lit(1.0)).when(bare, F.lit(0.0)).otherwise(let(both, compared))
+
+
+def written(level: Column, prints: Column) -> Column:
+    return F.concat(F.hex(level), F.lit("."), F.array_join(F.transform(prints, F.hex), "."))
+
+
+def packed(prints: Column) -> Column:
+    """Four bytes for a hash."""
+    return F.transform(prints, lambda p: (p - (1 << (PRINT_BITS - 1))).cast("int"))
+
+
+def unpacked(prints: Column) -> Column:
+    return F.transform(prints, lambda p: p.cast("bigint") + (1 << (PRINT_BITS - 1)))
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """Each row of `keys` (doc_id, k1, k2, chars, copies) with the row after it and the one before it, in a ring.
+    """Each row of `keys` (doc_id, k1, k2, chars) with the row after it and the one before it, in a ring.
 
     The order is descending doc_id, null last, then k1, k2. Ids are range partitioned and stored; each slice is
     linked alone and the ends of slices, one row per slice, are linked apart.
@@ -146,7 +193,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
     )
     joined = linked.join(ends, "slice")
     return joined.select(
-        "k1", "k2", "doc_id", "chars", "copies", F.coalesce("after", "next_head").alias("after"), F.coalesce("before", "last_tail").alias("before")
+        "k1", "k2", F.coalesce("after", "next_head").alias("after"), F.coalesce("before", "last_tail").alias("before")
     )
 
 
@@ -156,6 +203,9 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     The edited text replaces the last third by the first characters of the next document (descending doc_id, null
     last, then round to the first). Null texts are empty ones. Rows that repeat an id and a text are one document
     in that order and get equal results each; an empty table gives no rows.
+
+    Only a text's own print is stored and sent to its neighbour; the edited text's is made where both texts' parts meet, and
+    ends in the result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -164,37 +214,30 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     )
     words = lexicon(rows.select("text"))
     key = ["k1", "k2"]
-    keys = rows.groupBy("doc_id", *key, "chars").agg(F.count(F.lit(1)).alias("copies"))
-    ring = settle(neighbours(keys), "fingerprint-ring")
+    # the lexicon is asked for once, so that rows refer to it and do not carry it
+    known = placed(words)
+    own = rows.withColumn("_lexicon", known).withColumn("_f", fingerprint(F.col("text"), F.col("_lexicon")))
+    own = own.select("doc_id", *key, "chars", F.col("_f.level").alias("level"), packed(F.col("_f.print")).alias("print"))
+    own = settle(own.groupBy("doc_id", *key, "chars", "level").agg(F.first("print").alias("print")), "fingerprint-prints")
+    ring = settle(neighbours(own.select("doc_id", *key, "chars")), "fingerprint-ring")
+    following = own.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("level").alias("next_level"), F.col("print").alias("next_print"))
+    beside = ring.join(own.select(*key, "level", "print"), key).join(
+        following, (F.col("after.k1") == F.col("n1")) & (F.col("after.k2") == F.col("n2"))
+    )
+    mine, next_ = unpacked(F.col("print")), unpacked(F.col("next_print"))
+    beside = beside.select(*key, "before", "level", "print", likeness(mine, F.col("level"), next_, F.col("next_level")).alias("near_next"))
     # the texts travel once: both uses below ask for the same columns, so they share one exchange
-    met = rows.select(*key, "text").join(ring, key)
+    met = rows.select("doc_id", *key, "text", "chars").join(settle(beside, "fingerprint-beside"), key)
     third = F.floor(F.col("before.chars") / 3).cast("int")
     heads = met.select(F.col("before.k1").alias("k1"), F.col("before.k2").alias("k2"), F.left("text", third).alias("head"))
     heads = heads.groupBy(*key).agg(F.first("head").alias("head"))
     kept = F.col("chars") - F.floor(F.col("chars") / 3).cast("int")
     edited = F.concat(F.left(F.col("text"), kept), F.col("head"))
-    both = met.join(heads, key).withColumn("edited", edited).withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
-    # the lexicon is asked for once, so that rows refer to it and do not carry it
-    texts = F.array("text", "edited")
-    both = both.withColumn("_lexicon", placed(words))
-    both = both.withColumn("_prints", let(F.col("_lexicon"), lambda known: F.transform(texts, lambda t: fingerprint(t, known))))
-    one, two = F.get("_prints", F.lit(0)), F.get("_prints", F.lit(1))
-    rest = ["doc_id", "chars", "copies", "edited_sha256", "after"]
-    prints = both.select(
-        *key, *rest, one["level"].alias("level"), one["print"].alias("print"),
-        two["level"].alias("edited_level"), two["print"].alias("edited_print"),
-    )
-    facts = [*rest, "level", "print", "edited_level", "edited_print"]
-    pairs = prints.groupBy(*key).agg(*[F.first(c).alias(c) for c in facts])
-    pairs = settle(pairs, "fingerprint-pairs")
-    following = pairs.select(
-        F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("level").alias("next_level"), F.col("print").alias("next_print")
-    )
-    done = pairs.join(following, (F.col("after.k1") == F.col("n1")) & (F.col("after.k2") == F.col("n2")))
-    done = done.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
-    return done.select(
-        "doc_id", F.col("chars").cast("bigint").alias("n_chars"), F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
-        written(F.col("print")).alias("fingerprint"), written(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("level"), F.col("edited_print"), F.col("edited_level")).alias("near_edited"),
-        likeness(F.col("print"), F.col("level"), F.col("next_print"), F.col("next_level")).alias("near_next"),
+    both = met.join(heads, key).select("doc_id", "chars", "level", "print", "near_next", edited.alias("edited"))
+    both = both.withColumn("_lexicon", known).withColumn("_f", fingerprint(F.col("edited"), F.col("_lexicon"))).drop("_lexicon")
+    mine = unpacked(F.col("print"))
+    return both.select(
+        "doc_id", F.col("chars").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        written(F.col("level"), mine).alias("fingerprint"), written(F.col("_f.level"), F.col("_f.print")).alias("edited_fingerprint"),
+        likeness(mine, F.col("level"), F.col("_f.print"), F.col("_f.level")).alias("near_edited"), "near_next",
     )

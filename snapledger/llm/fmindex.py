@@ -1,7 +1,8 @@
 """A compressed full-text index over words: BWT in a wavelet matrix, searched backwards.
 
-One index holds the reference passages of one shard, a bounded number of words. All queries of the shard are
-searched together, one word of each per step.
+One index holds the passages of one shard, a bounded number of words, and the document of each. All queries of the shard are
+searched together, one word of each per step. The suffixes that begin with what is matched are an interval of the index, and the
+smallest document among them tells whether a document before the query's holds it.
 """
 
 from __future__ import annotations
@@ -72,10 +73,29 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         width *= 2
 
 
+class Least:
+    """Smallest value of any interval of an array, by tables of the smallest of 1, 2, 4, … neighbours."""
+
+    def __init__(self, values: np.ndarray):
+        self.tables = [values]
+        while 1 << len(self.tables) <= len(values):
+            last, step = self.tables[-1], 1 << (len(self.tables) - 1)
+            self.tables.append(np.minimum(last[:-step], last[step:]))
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Smallest of values[low:high], for intervals that are not empty."""
+        out = np.empty(len(low), self.tables[0].dtype)
+        size = np.frexp(high - low)[1] - 1
+        for k in np.unique(size):
+            at = np.flatnonzero(size == k)
+            out[at] = np.minimum(self.tables[k][low[at]], self.tables[k][high[at] - (1 << k)])
+        return out
+
+
 class WordIndex:
-    """Index of passages, each an array of word hashes."""
+    """Index of passages, each an array of word hashes, with the document of each."""
 
-    def __init__(self, words: np.ndarray, lengths: np.ndarray):
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, documents: np.ndarray):
         self.vocabulary, symbol = np.unique(words, return_inverse=True)
         # every passage is followed by a separator of its own, smaller than all words
         ends = np.cumsum(lengths + 1) - 1
@@ -86,7 +106,9 @@ class WordIndex:
         text[inside] = symbol + len(lengths)
         self.separators, self.size = len(lengths), len(text)
         alphabet = len(self.vocabulary) + len(lengths)
-        bwt = text[suffix_array(text) - 1]
+        order = suffix_array(text)
+        bwt = text[order - 1]
+        self.documents = Least(np.repeat(documents, lengths + 1)[order])
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=alphabet))])[:-1]
         self.matrix = WaveletMatrix(bwt, alphabet)
 
@@ -101,12 +123,14 @@ class WordIndex:
         both = self.smaller[np.tile(known, 2)] + self.matrix.rank(np.tile(known, 2), np.concatenate([low, high]))
         return np.where(symbol >= 0, both[:n], 0), np.where(symbol >= 0, both[n:], 0)
 
-    def matches(self, words: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, start, end) of stretches of at least `least` words that some passage holds.
+    def matches(
+        self, words: np.ndarray, lengths: np.ndarray, documents: np.ndarray, least: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, start, end) of stretches of at least `least` words that stand in a document before the query's.
 
-        Every such stretch lies in one that is reported. Each query is matched from its right end to the left as far
-        as it goes; where the match ends, at word i, longer matches over word i - 1 must end before i + least, so
-        the search goes on from there.
+        Every such stretch lies in one that is reported. Each query is matched from its right end to the left as long as
+        the smallest document with the match is smaller than the query's, which can only grow with the match. Where this ends, at
+        word i, longer matches over word i - 1 must end before i + least, so the search goes on from there.
         """
         symbol = self.symbols(words)
         start = np.concatenate([[0], np.cumsum(lengths)])[:-1].astype(np.int64)
@@ -123,6 +147,8 @@ class WordIndex:
         while len(query):
             nlow, nhigh = self.extend(symbol[at - 1], low, high)
             grown = nlow < nhigh
+            held = np.flatnonzero(grown)
+            grown[held] = self.documents.of(nlow[held], nhigh[held]) < documents[query[held]]
             at, low, high = np.where(grown, at - 1, at), np.where(grown, nlow, 0), np.where(grown, nhigh, self.size)
             stop = ~grown | (at == begin)
             hit = np.flatnonzero(stop & (end - at >= least))

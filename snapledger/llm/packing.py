@@ -1,29 +1,22 @@
 """Length buckets with the least padding, and token-budget batches inside each bucket.
 
 Batches pad every text to the limit of its bucket. The global histogram of lengths decides the limits:
-dynamic programming finds the boundaries for which the padding of all rows together is least. Lengths
-above FINE are rounded up to 12 significant bits for the histogram, one rule for every size, so it never
-has more than about FINE / 2 cells per power of two; it is the only thing that reaches the driver.
+dynamic programming finds the boundaries for which the padding of all rows together is least. The histogram is the only thing
+that reaches the driver: k different lengths take k * k / 2 tokens at least, so there are at most as many as the
+root of twice the corpus, some millions for 10**13 tokens.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import running_total, settle, word_count
+from snapledger.llm.common import settle, word_count
+from snapledger.operators.ordering import running_sums, up
 
 BUCKETS = 16
 TOKENS_PER_BATCH = 32_768
-FINE_BITS = 12
-ROWS_PER_SLICE = 4_096
-
-
-def cell(length: Column) -> Column:
-    """The length, rounded up to FINE_BITS significant bits."""
-    unit = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.length(F.bin(length)) - FINE_BITS))
-    return (F.ceil(length / unit) * unit).cast("bigint")
 
 
 def best_limits(lengths: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]:
@@ -36,22 +29,29 @@ def best_limits(lengths: np.ndarray, rows: np.ndarray, buckets: int) -> list[int
     if not n:
         return []
     seen = np.concatenate([[0.0], np.cumsum(rows, dtype=float)])
-    cost = lengths * seen[1:]  # one bucket for cells 0..j
+    cost = lengths * seen[1:]  # one bucket for lengths 0..j
     choice = []
     for _ in range(min(buckets, n) - 1):
         new, start = np.empty(n), np.empty(n, np.int64)
-        spans = [(0, n - 1, 0, n - 1)]
-        while spans:
-            low, high, first, last = spans.pop()
-            if low > high:
-                continue
+        before = np.concatenate([[0.0], cost[:-1]])
+        # spans of ends j with the starts to choose from; all spans of one depth are halved together
+        low, high, first, last = (np.array([x]) for x in (0, n - 1, 0, n - 1))
+        while len(low):
             mid = (low + high) // 2
-            begin = np.arange(first, min(last, mid) + 1)
-            before = np.where(begin > 0, cost[begin - 1], 0.0)
-            total = before + lengths[mid] * (seen[mid + 1] - seen[begin])
-            k = int(np.argmin(total))
-            new[mid], start[mid] = total[k], begin[k]
-            spans += [(low, mid - 1, first, int(begin[k])), (mid + 1, high, int(begin[k]), last)]
+            count = np.minimum(last, mid) - first + 1
+            offset = np.cumsum(count) - count
+            begin = np.repeat(first - offset, count) + np.arange(count.sum())
+            end = np.repeat(mid, count)
+            total = before[begin] + lengths[end] * (seen[end + 1] - seen[begin])
+            least = np.minimum.reduceat(total, offset)
+            found = np.flatnonzero(total == np.repeat(least, count))
+            best = begin[found[np.searchsorted(found, offset)]]
+            new[mid], start[mid] = least, best
+            left, right = low < mid, mid < high
+            low, high, first, last = (
+                np.concatenate(x)
+                for x in ((low[left], mid[right] + 1), (mid[left] - 1, high[right]), (first[left], best[right]), (best[left], last[right]))
+            )
         cost = new
         choice.append(start)
     limits, j = [], n - 1
@@ -66,9 +66,8 @@ def best_limits(lengths: np.ndarray, rows: np.ndarray, buckets: int) -> list[int
 
 
 def length_histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = lengths.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
-    table = table.orderBy("cell").toArrow()
-    return table.column("cell").to_numpy().astype(float), table.column("rows").to_numpy()
+    table = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows")).toArrow().sort_by("n_tokens")
+    return table.column("n_tokens").to_numpy().astype(float), table.column("rows").to_numpy()
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKENS_PER_BATCH) -> DataFrame:
@@ -88,13 +87,11 @@ def pack_lengths(lengths: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN
     """
     lengths = settle(lengths, "pack-lengths")
     limits = best_limits(*length_histogram(lengths), buckets)
-    total = lengths.count()
     table = F.array(*[F.lit(x).cast("bigint") for x in limits])
     bucket = F.size(F.filter(table, lambda x: x < F.col("n_tokens")))
     rows = lengths.withColumn("bucket", bucket).withColumn("bucket_limit", F.get(table, F.col("bucket")))
-    slices = max(1, -(-total // ROWS_PER_SLICE))
-    rows = rows.withColumn("_one", F.lit(1).cast("bigint"))
-    rows = running_total(rows, "bucket", "_one", ["doc_id", "n_tokens"], slices, "nth")
+    rows = rows.withColumns({"_one": F.lit(1).cast("bigint"), "_spread": F.xxhash64("doc_id", "n_tokens")})
+    rows = running_sums(rows, ["bucket"], [up("_spread"), up("doc_id"), up("n_tokens")], "_one", "nth")
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.col("bucket_limit"))))
     return rows.select(
         "doc_id", "n_tokens", F.col("bucket").cast("bigint").alias("bucket"), "bucket_limit",

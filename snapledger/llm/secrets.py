@@ -62,10 +62,14 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     found = [(0, *m.span(), value_id(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_VALUE]
     for kind, pattern in ((1, ACCESS), (2, HEX)):
         found += [(kind, *m.span(), value_id(m[0])) for m in pattern.finditer(text)]
-    base = [(a, b) for _, a, b, _ in found]
+    base = sorted((a, b) for _, a, b, _ in found)
+    nth, reached = 0, 0  # base spans that begin before the token ends, and how far they go
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        if random_looking(m[0]) and not any(x < b and a < y for x, y in base):
+        while nth < len(base) and base[nth][0] < b:
+            reached = max(reached, base[nth][1])
+            nth += 1
+        if reached <= a and random_looking(m[0]):
             found.append((3, a, b, value_id(m[0])))
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 

@@ -4,17 +4,16 @@
 2. Every window of 50 words has an anchor, its run of 16 words with the smallest hash. Anchors that only one
    class has cannot lie in a shared window. The stretches of text whose windows have shared anchors are
    cut out as regions; all later steps work on these.
-3. A window's reference is the smallest document that holds its hash. Neighbouring windows of a region with the
-   same reference form a span, and a copy of a whole text is one span that refers to the smallest copy. The
-   spans of the reference documents themselves are the passages to index: each stands there once,
-   however many documents repeat it.
-4. Passages are put into shards of bounded size. For each shard a compressed index (`fmindex.WordIndex`) is
-   built, and the spans that refer to it are streamed through: backward search gives their matching statistics,
-   and stretches of at least 50 matched words are reported. Equal spans are searched once, and a passage to which very
-   many spans refer is indexed in several shards, among which its spans are dealt.
+3. Windows whose hash only one document has are left out. What is left of a region falls into pieces, each the words of
+   neighbouring windows with one anchor. Equal windows have equal anchors, so pieces that share a window have the
+   same anchor. Equal pieces are kept once, with the smallest document that has them.
+4. Pieces are put into shards by their anchor (those of an anchor with very many windows by window too). For each
+   shard a compressed index (`fmindex.WordIndex`) of its pieces is built, and all of them are streamed through it: backward search
+   gives the stretches of at least 50 words for which the index holds a smaller document.
 5. The reported stretches are taken out of the documents.
 
-A document thus only meets the shards that hold its references, and work grows with the repeated text.
+A piece thus only meets the shard that can hold its windows, and work grows with the repeated text. Which words go, and
+on account of which documents, is decided by the index alone; the hashes before it only leave out what cannot repeat.
 """
 
 from __future__ import annotations
@@ -33,6 +32,8 @@ from snapledger.llm.fmindex import WordIndex
 WINDOW = 50
 ANCHOR = 16
 WORDS_PER_SHARD = 400_000
+#: Windows of one anchor that go to one shard together.
+WINDOWS_PER_PART = 4_096
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -130,41 +131,48 @@ def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(window, doc_id, region, at) of every window of the regions; `at` counts from the region's start."""
+    """(window, anchor, doc_id, region, at) of every window of the regions; `at` counts from the region's start."""
     for batch in chunks(batches, "text"):
         words = Words(batch.column("text"))
         windows = Windows(words)
         take = pa.array(windows.doc)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(windows.hashes().view(np.int64)), batch.column("doc_id").take(take), batch.column("region").take(take),
-             pa.array((windows.at - words.first[windows.doc]).astype(np.int32))], ["window", "doc_id", "region", "at"],
+            [pa.array(windows.hashes().view(np.int64)), pa.array(windows.anchor.view(np.int64)), batch.column("doc_id").take(take),
+             batch.column("region").take(take), pa.array((windows.at - words.first[windows.doc]).astype(np.int32))],
+            ["window", "anchor", "doc_id", "region", "at"],
         )
 
 
-def span_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut the spans out of their region: its words from `start` to `stop`."""
+def piece_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the pieces out of their region: its words from `start` to `stop`."""
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in ("text", "start", "stop")))
         texts = [b" ".join(text.encode().split()[start:stop]).decode() for text, start, stop in rows]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("doc_id"), batch.column("ref"), pc.add(batch.column("first"), batch.column("start")),
-             pa.array(texts, pa.string())], ["key", "doc_id", "ref", "start", "text"],
+            [*(batch.column(c) for c in ("key", "doc_id", "anchor", "part")), pc.add(batch.column("first"), batch.column("start")),
+             pa.array(texts, pa.string())], ["key", "doc_id", "anchor", "part", "start", "text"],
         )
 
 
 def searched(shard: pa.Table) -> pa.Table:
-    """Matched stretches (ref, span, low, high) of one shard's spans in the index of its passages."""
-    out = pa.schema([("ref", pa.int64()), ("span", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    """Stretches (piece, later, low, high) of one shard's pieces (piece, text, least, last, whole) that a smaller document holds.
+
+    A piece is asked for twice: as the smallest document that has it, and, `later`, as the others. A whole text is
+    asked for as the others only: its pieces are asked for by themselves.
+    """
+    out = pa.schema([("piece", pa.int64()), ("later", pa.bool_()), ("low", pa.int64()), ("high", pa.int64())])
     shard = shard.combine_chunks()
-    passages, queries = shard.filter(shard.column("indexed")), shard.filter(pc.invert(shard.column("indexed")))
-    if not passages.num_rows or not queries.num_rows:
-        return out.empty_table()
-    known = Words(pa.concat_arrays(passages.column("text").chunks))
-    index = WordIndex(known.hash, known.count)
-    asked = Words(pa.concat_arrays(queries.column("text").chunks))
-    query, low, high = index.matches(asked.hash, asked.count, WINDOW)
-    take = pa.array(query)
-    return pa.table([queries.column("ref").take(take), queries.column("span").take(take), pa.array(low), pa.array(high)], schema=out)
+    words = Words(pa.concat_arrays(shard.column("text").chunks))
+    least, last = (shard.column(c).to_numpy() for c in ("least", "last"))
+    whole = shard.column("whole").to_numpy(zero_copy_only=False).astype(bool)
+    index = WordIndex(words.hash, words.count, least)
+    asked = np.concatenate([np.flatnonzero(~whole), np.flatnonzero(last > least)])
+    later = np.arange(len(asked)) >= (~whole).sum()
+    count = words.count[asked]
+    place = np.repeat(words.first[asked] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    query, low, high = index.matches(words.hash[place], count, np.where(later, last[asked], least[asked]), WINDOW)
+    pieces = shard.column("piece").take(pa.array(asked[query]))
+    return pa.table([pieces, pa.array(later[query]), pa.array(low), pa.array(high)], schema=out)
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
@@ -173,7 +181,7 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     held = settle(named.mapInArrow(anchors, HELD), "substring-anchors")
     listed = held.filter("anchor is null").select("key", "doc_id", "same")
     classes = listed.groupBy("same").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.max("doc_id").alias("last"))
-    classes = settle(classes.select("same", F.col("rep.doc_id").alias("ref"), F.col("rep.key").alias("key"),
+    classes = settle(classes.select("same", "last", F.col("rep.doc_id").alias("least"), F.col("rep.key").alias("key"),
                                     (F.col("rep.doc_id") < F.col("last")).alias("copied")), "substring-classes")
     shared = held.filter("anchor is not null").groupBy("anchor").agg(F.min("same").alias("x"), F.max("same").alias("y"))
     shared = shared.filter("x < y").select("anchor")
@@ -182,42 +190,49 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     found = named.join(wanted, "key").select("key", "doc_id", "text", "copied", "shared").mapInArrow(regions, REGIONS)
     found = settle(found.withColumn("region", F.monotonically_increasing_id()), "substring-regions")
     parts = found.filter("not whole")
-    windows = parts.select("doc_id", "region", "text").mapInArrow(window_rows, "window bigint, doc_id bigint, region bigint, at int")
-    least = windows.groupBy("window").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("y")).filter("ref < y").select("window", "ref")
+    windows = parts.select("doc_id", "region", "text").mapInArrow(
+        window_rows, "window bigint, anchor bigint, doc_id bigint, region bigint, at int"
+    )
+    repeated = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"))
     # stored, so that the join below reads plain shuffles, of which Spark splits one with a hot window
-    least = settle(least, "substring-references")
-    met = windows.join(least, "window").select("region", "at", "ref")
-    # neighbouring windows with one reference are one span; a partition is at most one document long
-    nth = F.dense_rank().over(Window.partitionBy("region", "ref").orderBy("at"))
-    spans = met.withColumn("island", F.col("at") - nth).groupBy("region", "ref", "island").agg(
+    repeated = settle(repeated.filter("x < y").select("anchor", "window"), "substring-windows")
+    # an anchor with more windows than a shard holds is cut by window
+    loads = repeated.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / WINDOWS_PER_PART).alias("parts"))
+    split = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("window"), F.col("parts"))).otherwise(F.lit(0).cast("bigint"))
+    repeated = repeated.join(loads, "anchor").select("anchor", "window", split.alias("part"))
+    met = windows.join(repeated, ["anchor", "window"]).select("region", "anchor", "part", "at")
+    # neighbouring windows with one anchor are one piece; a partition is at most one document long
+    nth = F.dense_rank().over(Window.partitionBy("region", "anchor", "part").orderBy("at"))
+    pieces = met.withColumn("island", F.col("at") - nth).groupBy("region", "anchor", "part", "island").agg(
         F.min("at").alias("start"), (F.max("at") + WINDOW).alias("stop")
     )
-    texts = spans.join(parts.select("region", "key", "doc_id", "first", "text"), "region")
-    texts = texts.select("key", "doc_id", "ref", "start", "stop", "first", "text").mapInArrow(
-        span_texts, "key bigint, doc_id bigint, ref bigint, start bigint, text string"
+    texts = pieces.join(parts.select("region", "key", "doc_id", "first", "text"), "region")
+    texts = texts.select("key", "doc_id", "anchor", "part", "start", "stop", "first", "text").mapInArrow(
+        piece_texts, "key bigint, doc_id bigint, anchor bigint, part bigint, start bigint, text string"
+    )
+    texts = settle(texts.withColumn("piece", F.xxhash64("anchor", "part", "text")), "substring-pieces")
+    known = texts.groupBy("anchor", "part", "piece").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.first("text").alias("text"), F.lit(False).alias("whole")
+    )
+    copied = classes.filter("copied").select("key", "least", "last")
+    whole = found.filter("whole").select("key", "text").join(copied, "key").select(
+        F.xxhash64("text").alias("anchor"), F.lit(0).cast("bigint").alias("part"), F.xxhash64("text").alias("piece"),
+        "least", "last", "text", F.lit(True).alias("whole"),
     )
-    texts = settle(texts.withColumn("span", F.xxhash64("text")), "substring-spans")
-    whole = found.filter("whole").select(F.col("doc_id").alias("ref"), "text", F.xxhash64("text").alias("span"))
-    references = texts.filter("doc_id = ref").select("ref", "text").union(whole.select("ref", "text")).distinct()
-    queries = texts.filter("doc_id > ref").select("ref", "span", "text").union(whole.select("ref", "span", "text"))
-    queries = queries.groupBy("ref", "span").agg(F.first("text").alias("text"))
+    every = settle(known.unionByName(whole), "substring-known")
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    load = references.groupBy("ref").agg(F.sum(words).alias("held")).join(
-        queries.groupBy("ref").agg(F.sum(words).alias("asked")), "ref"
+    work = every.agg(F.coalesce(F.sum(words), F.lit(0)).alias("n")).first()["n"]
+    shard = F.pmod(F.xxhash64("anchor", "part"), F.lit(max(1, -(-work // WORDS_PER_SHARD))))
+    hits = every.select(shard.alias("shard"), "piece", "text", "least", "last", "whole").groupBy("shard").applyInArrow(
+        searched, "piece bigint, later boolean, low bigint, high bigint"
     )
-    load = settle(load.select("ref", F.ceil(F.col("asked") / WORDS_PER_SHARD).alias("copies"), "held", "asked"), "substring-load")
-    work = load.agg(F.coalesce(F.sum(F.col("held") * F.col("copies") + F.col("asked")), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-work // WORDS_PER_SHARD))
-    shard = F.pmod(F.xxhash64("ref", "copy"), F.lit(shards))
-    placed = references.join(load.select("ref", "copies"), "ref").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
-    dealt = queries.join(load.select("ref", "copies"), "ref").withColumn("copy", F.pmod("span", "copies"))
-    passage = placed.select(shard.alias("shard"), F.lit(True).alias("indexed"), "ref", F.lit(0).cast("bigint").alias("span"), "text")
-    asked = dealt.select(shard.alias("shard"), F.lit(False).alias("indexed"), "ref", "span", "text")
-    hits = passage.unionAll(asked).groupBy("shard").applyInArrow(searched, "ref bigint, span bigint, low bigint, high bigint")
     hits = settle(hits, "substring-hits")
-    copies = listed.join(classes.filter("copied").select("same", "ref"), "same").filter("doc_id > ref")
-    copies = copies.join(whole.select("ref", "span").distinct(), "ref").select("key", "ref", "span", F.lit(0).cast("bigint").alias("start"))
-    back = texts.filter("doc_id > ref").select("key", "ref", "span", "start").union(copies).join(hits, ["ref", "span"])
+    least = every.filter("not whole").select("piece", "least")
+    own = texts.join(least, "piece").select("key", "piece", (F.col("doc_id") > F.col("least")).alias("later"), "start")
+    copies = listed.join(classes.filter("copied").select("same", "least", F.col("key").alias("rep")), "same").filter("doc_id > least")
+    named_whole = found.filter("whole").select(F.col("key").alias("rep"), F.xxhash64("text").alias("piece"))
+    copies = copies.join(named_whole, "rep").select("key", "piece", F.lit(True).alias("later"), F.lit(0).cast("bigint").alias("start"))
+    back = own.unionByName(copies).join(hits, ["piece", "later"])
     return back.select("key", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
 
 

@@ -103,9 +103,10 @@ def maximal_segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, floa
     """All maximal-scoring segments, given the tokens that score above zero; the others score -DRIFT.
 
     Each candidate keeps the total before it and after it. A new one is joined to the nearest earlier
-    candidate that starts lower, as long as that one ends lower too.
+    candidate that starts lower, as long as that one ends lower too. Every candidate is linked to its nearest earlier one that
+    starts lower, and the search goes along the links, which makes the whole linear in the hits.
     """
-    found: list[tuple[int, int, float, float]] = []
+    found: list[tuple[int, int, float, float, int]] = []  # first, end, total before, total after, link
     total, reached = 0.0, 0
     for at, score in hits:
         total -= DRIFT * (at - reached)
@@ -113,16 +114,17 @@ def maximal_segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, floa
         total += score
         reached = at + 1
         right = total
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= right:
                 break
-            first, left = found[j][0], found[j][2]
+            first, left, before = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append((first, at + 1, left, right))
-    return [(a, b, right - left) for a, b, left, right in found]
+            j = before
+        found.append((first, at + 1, left, right, j))
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
 def evidence(length: int, segments: list[tuple[int, int, float]]) -> tuple[float, float, list[tuple[int, int, float]]]:

@@ -5,11 +5,14 @@ import collections
 import hashlib
 import itertools
 import re
+import struct
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -123,8 +126,68 @@ def test_every_lexicon_term_enters_the_fingerprint(spark):
     whole = prints.pop(-1)
     for r in prints.values():
         assert r["level"] == whole["level"]
-        gone = set(whole["print"]) - set(r["print"])
-        assert sorted(h >> fingerprint.LEVEL_BIT for h in gone) == [r["level"], r["level"] + 1]
+        assert len(set(whole["print"]) - set(r["print"])) == 1
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_print(found, known):
+    """Level and hashes of a text's distinct terms, given as unsigned numbers."""
+    kept = sorted(found & known)
+    if not kept:
+        signed = sorted(t - (1 << 64) if t >> 63 else t for t in found)
+        whole = 42
+        for t in signed:
+            whole = xxhash.xxh64(struct.pack("<q", t), seed=whole).intdigest()
+        return fingerprint.BARE, {None: whole & 0xFFFFFFFF}
+    level = 0
+    while level < fingerprint.DEEPEST and len(kept) / 16 >= 4 ** (level + 1):
+        level += 1
+    cells = {}
+    for t in kept:
+        cell = t >> (60 - 2 * level)
+        cells[cell] = cells.get(cell, 0) + t & (1 << (28 - 2 * level)) - 1
+    return level, cells
+
+
+def plain_likeness(one, two):
+    (a, x), (b, y) = one, two
+    if one == two:
+        return 1.0
+    if fingerprint.BARE in (a, b):
+        return 0.0
+    to, bits, folded = min(a, b), 28 - 2 * max(a, b), []
+    for level, cells in (one, two):
+        out = {}
+        for cell, code in cells.items():
+            out[cell >> 2 * (level - to)] = out.get(cell >> 2 * (level - to), 0) + code & (1 << bits) - 1
+        folded.append(out)
+    p, q = folded
+    return sum(p[c] == q.get(c) for c in p) / len(p.keys() | q.keys())
+
+
+def test_fingerprints_against_a_plain_program(spark):
+    """Short and long texts beside each other, so that likeness compares prints of different levels."""
+    rng = np.random.default_rng(3)
+    stock = [f"s{i}" for i in range(3000)]
+    rows = [(k, " ".join([*rng.choice(stock, int(n)), f"only{k}"])) for k, n in enumerate([5, 5000, 8, 300, 2500, 40, 4000, 3000, 0, 2, 700] * 2)]
+    rows += [(50, rows[1][1]), (51, rows[1][1] + " s1 s2"), (52, ""), (53, None)]
+    found = {r["doc_id"]: r for r in fingerprint.fingerprint_digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    hashed = lambda w: xxhash.xxh64(struct.pack("<i", fingerprint.SEED), seed=xxhash.xxh64(w.encode(), seed=42).intdigest()).intdigest()
+    terms = lambda t: {hashed(w) for w in re.findall(r"[a-z0-9]+", (t or "").lower())}
+    seen = collections.Counter(t for _, text in rows for t in terms(text))
+    low, high = max(2.0, fingerprint.LEAST_SHARE * len(rows)), fingerprint.MOST_SHARE * len(rows)
+    known = {t for t, n in seen.items() if low <= n <= max(high, low)}
+    assert known
+    texts = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for (i, text), (_, after) in zip(texts, texts[1:] + texts[:1]):
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        mine, other, next_ = (plain_print(terms(t), known) for t in (text, edited, after))
+        assert found[i]["near_edited"] == pytest.approx(plain_likeness(mine, other))
+        assert found[i]["near_next"] == pytest.approx(plain_likeness(mine, next_))
+    assert found[50]["fingerprint"] == found[1]["fingerprint"] != found[51]["fingerprint"]
 
 
 def test_warc_round_trip(spark):
@@ -219,14 +282,74 @@ def test_mix_meets_its_targets(spark, corpus):
         size[r["source"]] += r["size"]
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
-    expected = mixing.targets([(s, size[s]) for s in sorted(size)])
+    expected = plain_targets([size[s] for s in sorted(size)])
     assert [target[s] for s in sorted(size)] == pytest.approx(expected)
-    assert all(abs(taken[s] - target[s]) <= 1 for s in size)
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in size)
     assert sorted(map(tuple, mixing.mix(corpus).collect())) == sorted(map(tuple, mixing.mix(corpus.repartition(5)).collect()))
 
 
-def test_targets_stop_at_three_times():
-    assert mixing.targets([("a", 10), ("b", 100), ("c", 100)]) == pytest.approx([30, 120, 60])
+def plain_targets(sizes):
+    """Words wanted of each source, by raising the shared level step by step."""
+    weight = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
+    full = set()
+    while True:
+        free = [i for i in range(len(sizes)) if i not in full]
+        level = (sum(sizes) - sum(3 * sizes[i] for i in full)) / sum(weight[i] for i in free) if free else 0
+        more = {i for i in free if level * weight[i] > 3 * sizes[i]}
+        if not more:
+            return [3.0 * n if i in full else level * weight[i] for i, n in enumerate(sizes)]
+        full |= more
+
+
+@pytest.mark.parametrize("sizes", [[10, 100, 100], [1, 1, 5, 1000, 2, 3000, 7], [0, 0], [5], [3] * 7 + [10_000]])
+def test_targets_stop_at_three_times(spark, sizes):
+    table = spark.createDataFrame([(f"s{i:03}" if i else "n", n) for i, n in enumerate(sizes)], "name string, size bigint")
+    found = {r["name"]: r["target"] for r in mixing.targets(table).collect()}
+    in_order = sizes[1:] + sizes[:1]  # the null source is last
+    names = [f"s{i:03}" for i in range(1, len(sizes))] + ["n"]
+    assert [found[n] for n in names] == pytest.approx(plain_targets(in_order))
+
+
+def test_mix_follows_the_schedule(spark, corpus):
+    """Slots dealt one by one to the source in whose interval their point falls, against the schedule and what is taken."""
+    placed, planned = mixing.laid_out(corpus)
+    sources = {r["name"]: r for r in planned.collect()}
+    total = sum(s["slots"] for s in sources.values())
+    bits = round(total).bit_length()
+    order = [r["name"] for r in planned.orderBy(mixing.F.xxhash64("name"), "name").collect()]
+    edges = np.cumsum([round(sources[n]["slots"] / total * (1 << bits)) for n in order])
+    rank, dealt = collections.Counter(), []
+    for t in range(round(total)):
+        point = int(f"{t:0{bits}b}"[::-1], 2)
+        which = int(np.searchsorted(edges, point, side="right"))
+        if which < len(order):
+            name = order[which]
+            blocks = sources[name]["blocks"]
+            if rank[name] < 3 * blocks:
+                dealt.append((t, name, rank[name] % blocks, rank[name] // blocks))
+            rank[name] += 1
+    found = mixing.schedule(planned).select("slot", "name", "block", "round")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(dealt)
+    taken = collections.Counter()
+    for r in placed.collect():
+        step = sources[r["name"]]["block_words"]
+        for _, name, block, _ in dealt:
+            if name == r["name"]:
+                taken[r["doc_id"]] += max(0, min(r["begin"] + r["size"], (block + 1) * step) - max(r["begin"], block * step))
+    rows = {r["doc_id"]: r["taken"] for r in mixing.mix(corpus).collect()}
+    assert rows == {r["doc_id"]: taken[r["doc_id"]] for r in placed.collect()}
+    # the mixed sequence itself
+    slots = mixing.mixed_slots(corpus).collect()
+    assert sum(r["high"] - r["low"] for r in slots) == sum(rows.values())
+    assert {r["slot"] for r in slots} == {t for t, *_ in dealt}
+
+
+def test_the_schedule_decides_what_is_taken(spark, corpus, monkeypatch):
+    before = {r["doc_id"]: r["taken"] for r in mixing.mix(corpus).collect()}
+    kept = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda planned: kept(planned).filter("slot % 2 = 0"))
+    after = {r["doc_id"]: r["taken"] for r in mixing.mix(corpus).collect()}
+    assert 0.4 < sum(after.values()) / sum(before.values()) < 0.6
 
 
 def test_components(spark):
@@ -276,16 +399,94 @@ def test_repeats_against_all_windows(spark, texts):
     assert {r["doc_id"]: tuple(r)[1:] for r in query(spark, 7).collect()} == expected
 
 
-def test_word_index_finds_all_matches():
+def test_word_index_finds_what_smaller_documents_hold():
     rng = np.random.default_rng(1)
     for least in (2, 3, 5):
-        passages = [rng.integers(1, 5, n).astype(np.uint64) for n in (30, 7, 18)]
-        asked = [rng.integers(1, 6, n).astype(np.uint64) for n in (40, 3, 25, 0)]
-        index = fmindex.WordIndex(np.concatenate(passages), np.array([len(p) for p in passages]))
-        q, low, high = index.matches(np.concatenate(asked), np.array([len(a) for a in asked]), least)
+        passages = [rng.integers(1, 5, n).astype(np.uint64) for n in (30, 7, 18, 25)]
+        documents = np.array([5, 2, 9, 2])
+        asked = [*passages, *(rng.integers(1, 6, n).astype(np.uint64) for n in (40, 3, 0))]
+        own = np.array([*documents, 4, 7, 99])
+        index = fmindex.WordIndex(np.concatenate(passages), np.array([len(p) for p in passages]), documents)
+        q, low, high = index.matches(np.concatenate(asked), np.array([len(a) for a in asked]), own, least)
         got = {(i, k) for i, a, b in zip(q, low, high) for k in range(a, b - least + 1)}
-        held = {tuple(p[k : k + least]) for p in passages for k in range(len(p) - least + 1)}
-        assert got == {(i, k) for i, a in enumerate(asked) for k in range(len(a) - least + 1) if tuple(a[k : k + least]) in held}
+        held = {}
+        for p, d in zip(passages, documents):
+            for k in range(len(p) - least + 1):
+                held[tuple(p[k : k + least])] = min(d, held.get(tuple(p[k : k + least]), 99))
+        expected = {(i, k) for i, a in enumerate(asked) for k in range(len(a) - least + 1) if held.get(tuple(a[k : k + least]), 99) < own[i]}
+        assert got == expected
+
+
+def test_smallest_of_intervals():
+    values = np.random.default_rng(8).integers(0, 50, 37)
+    table = fmindex.Least(values)
+    low, high = np.array([(a, b) for a in range(37) for b in range(a + 1, 38)]).T
+    assert table.of(low, high).tolist() == [values[a:b].min() for a, b in zip(low, high)]
+
+
+def plain_repeats(rows):
+    """(doc_id, words, removed, digest of the rest) by a table of all windows of the rows (doc_id, text)."""
+    first, out = {}, []
+    for i, text in rows:
+        words = text.encode().split()
+        for k in range(len(words) - 49):
+            window = tuple(words[k : k + 50])
+            first[window] = min(i, first.get(window, i))
+    for i, text in rows:
+        words = text.encode().split()
+        covered = [False] * len(words)
+        for k in range(len(words) - 49):
+            if first[tuple(words[k : k + 50])] < i:
+                covered[k : k + 50] = [True] * 50
+        out.append((i, len(words), sum(covered), hashlib.sha256(b" ".join(w for w, c in zip(words, covered) if not c)).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("per_shard", "per_part"), [(400_000, 4096), (300, 4096), (300, 5)])
+def test_overlapping_passages(spark, monkeypatch, per_shard, per_part):
+    """Passages in many contexts, overlapping and in any order of ids, over few and many shards."""
+    monkeypatch.setattr(substrings, "WORDS_PER_SHARD", per_shard)
+    monkeypatch.setattr(substrings, "WINDOWS_PER_PART", per_part)
+    rng = np.random.default_rng(12)
+    stock = [f"w{i}" for i in rng.integers(0, 500, 400)]
+    rows = []
+    for i in rng.permutation(60).tolist():
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            a = int(rng.integers(0, 340))
+            parts += stock[a : a + int(rng.integers(30, 160))] + [f"own{i}x{k}" for k in range(rng.integers(0, 40))]
+        rows.append((i, " ".join(parts)))
+    rows += [(100, rows[0][1]), (-1, rows[1][1]), (101, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = sorted(tuple(r) for r in substrings.substring_digest(docs).collect())
+    assert found == plain_repeats(rows) and sum(r[2] > 0 for r in found) > 40
+
+
+def test_the_index_decides_what_goes(spark, monkeypatch):
+    """An index that reports nothing, or everything that is asked for, changes the result."""
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text + " one"), (2, text + " two")], "doc_id bigint, text string")
+    removed = lambda: {r["doc_id"]: r["n_removed"] for r in substrings.substring_digest(docs).collect()}
+    assert removed() == {1: 0, 2: 200}
+    all_of_it = lambda self, words, lengths, documents, least: (np.arange(len(lengths)), np.zeros(len(lengths), np.int64), lengths)
+    nothing = lambda self, *_: (np.empty(0, np.int64),) * 3
+    kept = substrings.searched
+
+    def with_matches(matches):
+        def searching(shard):
+            before = fmindex.WordIndex.matches
+            fmindex.WordIndex.matches = matches
+            try:
+                return kept(shard)
+            finally:
+                fmindex.WordIndex.matches = before
+
+        return searching
+
+    monkeypatch.setattr(substrings, "searched", with_matches(all_of_it))
+    assert removed() == {1: 200, 2: 200}
+    monkeypatch.setattr(substrings, "searched", with_matches(nothing))
+    assert removed() == {1: 0, 2: 0}
 
 
 def test_secret_spans(spark, texts):
@@ -339,22 +540,118 @@ def test_near_keeps_rows_without_or_with_repeated_ids(spark):
     assert places in ([0, 1, 4, 5, 6, 8, 9], [0, 2, 4, 5, 6, 8, 9])
 
 
-def test_mix_returns_each_row_as_often_as_taken(spark):
-    sized = [t + " more" * k for k, t in enumerate(LONE)]  # rows of equal ids and sizes follow each other in any order
-    rows = list(zip((1, 1, None, None, None, 7), sized, "aabbbc"))
+def test_mix_returns_whole_rows(spark):
+    rows = list(zip((1, 1, None, None, None, 7, 8), [*LONE, None], "aabbbcc"))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     counts = mixing.mix(docs, ("text",)).collect()
-    copies = collections.Counter({r["text"]: -(-r["taken"] // r["size"]) for r in counts if r["taken"]})
-    found = collections.Counter()
-    for r in mixing.mixed_documents(docs).collect():
-        found[next(t for t in sized if t.split()[:1] == r["text"].split()[:1])] += 1
-    assert found == copies
+    copies = {r["text"]: int(r["taken"] / r["size"] + 0.5) for r in counts if r["size"]}
+    found = collections.Counter(r["text"] for r in mixing.mixed_documents(docs).collect())
+    assert found == collections.Counter({t: n for t, n in copies.items() if n}) and sum(found.values()) > 3
+
+
+def test_pipeline_stages_against_plain_programs(spark, corpus, tmp_path):
+    """What each stage keeps of its own input; the stages run over each other's written results."""
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    docs, outputs = corpus, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, FOLDER).write.parquet(f"{tmp_path}/{k}")
+        outputs.append(docs := spark.read.parquet(f"{tmp_path}/{k}"))
+    clean, exact_, near, mixed, packed = ([r.asDict() for r in o.collect()] for o in outputs)
+    row = lambda r: tuple(r[c] for c in corpus.columns)
+    # toxicity: the rows predicted toxic go
+    toxic = {r["doc_id"] for r in toxicity.toxicity_digest(corpus, labels).collect() if r["predicted"]}
+    assert sorted(map(row, clean)) == sorted(tuple(r) for r in corpus.collect() if r["doc_id"] not in toxic)
+    # exact: the longest, then the smallest, of each group of texts equal but for white space
+    best = {}
+    for r in clean:
+        key = re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "")
+        if key not in best or (-len(r["text"] or ""), r["doc_id"]) < (-len(best[key]["text"] or ""), best[key]["doc_id"]):
+            best[key] = r
+    assert sorted(map(row, exact_)) == sorted(map(row, best.values()))
+    # near: one of each component, by comparing all pairs
+    sets = shingle_sets({r["doc_id"]: r["text"] or "" for r in exact_})
+    root = {i: i for i in sets}
 
+    def top(i):
+        return i if root[i] == i else top(root[i])
 
-def test_pipeline(spark):
-    """Every stage's decision against its operator's verdict on the same input."""
-    rows = entry.queries()["pipeline"](spark, FOLDER).collect()
-    assert rows and {"doc_id", "bucket", "batch", "slot"} <= set(rows[0].asDict())
+    for a, b in itertools.combinations(sorted(sets), 2):
+        shared = len(sets[a] & sets[b])
+        if shared and 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    assert sorted(map(row, near)) == sorted(row(r) for r in exact_ if top(r["doc_id"]) == r["doc_id"])
+    # mixing: whole rows, as often as the mix takes their words
+    times = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.mix(outputs[2]).collect() if r["size"]}
+    assert sorted(map(row, mixed)) == sorted(row(r) for r in near for _ in range(times.get(r["doc_id"], 0)))
+    # packing: every row has a place of its own in a batch that is long enough
+    assert sorted(r["doc_id"] for r in packed) == sorted(r["doc_id"] for r in mixed)
+    words = {r["doc_id"]: len((r["text"] or "").encode().split()) for r in mixed}
+    assert all(r["n_tokens"] == words[r["doc_id"]] <= r["bucket_limit"] for r in packed)
+    assert len({(r["bucket"], r["batch"], r["slot"]) for r in packed}) == len(packed)
+    padding = sum(r["bucket_limit"] - r["n_tokens"] for r in packed)
+    limits = packing.best_limits(*np.unique(sorted(float(r["n_tokens"]) for r in packed), return_counts=True), packing.BUCKETS)
+    assert padding == sum(min(x for x in limits if x >= r["n_tokens"]) - r["n_tokens"] for r in packed)
+
+
+def test_a_pipeline_run_leaves_other_queries_alone(spark):
+    pending = query(spark, 9)
+    rows = entry.queries()["pipeline"](spark, FOLDER)
+    assert pending.count() == 200 and {"doc_id", "bucket", "batch", "slot"} <= set(rows.columns) and rows.count()
+
+
+def test_many_hits_take_linear_time():
+    rng = np.random.default_rng(2)
+    took = []
+    for n in (20_000, 200_000):
+        hits = list(zip(np.cumsum(rng.integers(1, 9, n)).tolist(), rng.exponential(2.0, n).tolist()))
+        start = time.process_time()
+        toxicity.maximal_segments(hits)
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] and took[1] < 5
+
+
+def plain_segments(scores):
+    """All maximal segments by their definition: the best one, then those left and right of it."""
+    if not any(s > 0 for s in scores):
+        return []
+    total, a, b = max((sum(scores[i:j]), -i, j) for i, j in itertools.combinations(range(len(scores) + 1), 2))
+    a = -a
+    return plain_segments(scores[:a]) + [(a, b, total)] + [(x + b, y + b, s) for x, y, s in plain_segments(scores[b:])]
+
+
+def test_all_segments_by_definition():
+    rng = np.random.default_rng(15)
+    for _ in range(300):
+        scores = np.where(rng.random(16) < 0.4, np.round(rng.exponential(1.5, 16), 6) + 0.001, -toxicity.DRIFT)
+        got = toxicity.maximal_segments([(i, s) for i, s in enumerate(scores) if s > 0])
+        expected = plain_segments(scores.tolist())
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in expected]
+        assert [s for *_, s in got] == pytest.approx([s for *_, s in expected])
+
+
+def test_secrets_of_a_long_text():
+    """Tokens beside very many base spans, against a comparison of every token with every span."""
+    rng = np.random.default_rng(1)
+    parts = ["token=abcdef1", "AKIA" + "A1" * 10, "0123456789abcdef" * 2, "aB3dE5gH7jK9mN1pQ3sT5v", "word", "Password: aB3dE5gH7jK9mN1pQ3sT5w"]
+    text = " ".join(rng.choice(parts, 300))
+    found = secrets.candidates(text)
+    base = [(a, b) for k, a, b, _ in found if k < 3]
+    tokens = {(m.start(), m.end()) for m in secrets.TOKEN.finditer(text) if secrets.random_looking(m[0])}
+    assert {(a, b) for k, a, b, _ in found if k == 3} == {(a, b) for a, b in tokens if not any(x < b and a < y for x, y in base)}
+    start = time.process_time()
+    secrets.candidates(" ".join(["token=abcdef1", "aB3dE5gH7jK9mN1pQ3sT5v"] * 40_000))
+    assert time.process_time() - start < 20
+
+
+def test_warc_revisits_of_all_pages(spark):
+    """Type and reference of every supplied page, against a table of payloads."""
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}
+    first = {}
+    for i in sorted(pages):
+        first.setdefault(pages[i], i)
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in query(spark, 2).collect()}
+    assert found == {i: ("response", None) if first[t] == i else ("revisit", first[t]) for i, t in pages.items()}
 
 
 def test_words_follow_the_byte_rule():
