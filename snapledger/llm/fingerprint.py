@@ -76,16 +76,20 @@ def cell_bits(level: Column) -> Column:
 
 
 def runs(items: Column, of, make) -> Column:
-    """`make(first, number of items, value)` for every run of neighbouring items with the same value of `of`."""
-    begins = F.filter(
-        F.transform(items, lambda x, i: F.when(~of(x).eqNullSafe(of(F.get(items, i - 1))), i)), lambda i: i.isNotNull()
-    )
+    """`make(items, first, number of items, value)` for every run of neighbouring items with the same value of `of`."""
+
+    def found(items):
+        begins = F.filter(
+            F.transform(items, lambda x, i: F.when(~of(x).eqNullSafe(of(F.get(items, i - 1))), i)), lambda i: i.isNotNull()
+        )
 
-    def made(starts):
-        end = lambda nth: F.coalesce(F.get(starts, nth + 1), F.size(items))
-        return F.transform(starts, lambda first, nth: make(first, end(nth) - first, of(F.get(items, first))))
+        def made(starts):
+            end = lambda nth: F.coalesce(F.get(starts, nth + 1), F.size(items))
+            return F.transform(starts, lambda first, nth: make(items, first, end(nth) - first, of(F.get(items, first))))
 
-    return let(begins, made)
+        return let(begins, made)
+
+    return let(items, found)
 
 
 def total(items: Column, first: Column, count: Column, bits: Column) -> Column:
@@ -104,8 +108,8 @@ def hashes(kept: Column, level: Column) -> Column:
     rest = F.lit(PRINT_BITS) - width
     cell = lambda t: F.call_function("shiftrightunsigned", t, F.lit(64) - width)
 
-    def hashed(first, count, subset):
-        return F.call_function("shiftleft", subset, rest) + total(kept, first, count, rest)
+    def hashed(items, first, count, subset):
+        return F.call_function("shiftleft", subset, rest) + total(items, first, count, rest)
 
     return runs(kept, cell, hashed)
 
@@ -115,8 +119,8 @@ def coarser(prints: Column, own: Column, to: Column, bits: Column) -> Column:
     rest = F.lit(PRINT_BITS) - cell_bits(own)
     cell = lambda p: F.call_function("shiftright", p, rest + 2 * (own - to))
 
-    def merged(first, count, subset):
-        return F.call_function("shiftleft", subset, F.lit(PRINT_BITS)) + total(prints, first, count, bits)
+    def merged(items, first, count, subset):
+        return F.call_function("shiftleft", subset, F.lit(PRINT_BITS)) + total(items, first, count, bits)
 
     return runs(prints, cell, merged)
 
@@ -144,17 +148,23 @@ def fingerprint(text: Column, lexicon: Column) -> Column:
 
 def likeness(one: Column, one_level: Column, two: Column, two_level: Column) -> Column:
     """Share of equal hashes among the subsets that either print has, at the coarser level of the two."""
-    to = F.least(one_level, two_level)
-    bits = F.lit(PRINT_BITS) - cell_bits(F.greatest(one_level, two_level))
-    cells = lambda p: F.transform(p, lambda h: F.shiftright(h, PRINT_BITS))
+    def shared(one, two, rest):
+        cells = lambda p: F.transform(p, lambda h: F.call_function("shiftright", h, rest))
+        return F.size(F.array_intersect(one, two)).cast("double") / F.size(F.array_union(cells(one), cells(two)))
 
     def compared(pair):
-        a, b = F.get(pair, F.lit(0)), F.get(pair, F.lit(1))
-        return F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(cells(a), cells(b)))
-
-    both = F.array(coarser(one, one_level, to, bits), coarser(two, two_level, to, bits))
-    bare = (one_level == BARE) | (two_level == BARE)
-    return F.when((one_level == two_level) & (one == two), F.lit(1.0)).when(bare, F.lit(0.0)).otherwise(let(both, compared))
+        one, two = pair["one"], pair["two"]
+        to, deeper = F.least(one_level, two_level), F.greatest(one_level, two_level)
+        bits = F.lit(PRINT_BITS) - cell_bits(deeper)
+        both = F.struct(coarser(one, one_level, to, bits).alias("one"), coarser(two, two_level, to, bits).alias("two"))
+        return (
+            F.when((one_level == two_level) & (one == two), F.lit(1.0))
+            .when((one_level == BARE) | (two_level == BARE), F.lit(0.0))
+            .when(one_level == two_level, shared(one, two, F.lit(PRINT_BITS) - cell_bits(one_level)))
+            .otherwise(let(both, lambda folded: shared(folded["one"], folded["two"], F.lit(PRINT_BITS))))
+        )
+
+    return let(F.struct(one.alias("one"), two.alias("two")), compared)
 
 
 def written(level: Column, prints: Column) -> Column:

@@ -84,7 +84,50 @@ _SPACE = r"[\x20\x09-\x0D]"
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL = {
+    "op6_near_dedup": rf"""
+        with recursive lists as (select doc_id, {_WORDS.replace("text", _LOWER)} as words from documents),
+        sets as (
+            select distinct doc_id, unnest(list_transform(
+                generate_series(1, greatest(1, len(words) - 4)), lambda i: array_to_string(words[i:i + 4], ' '))) as shingle
+            from lists where len(words) > 0),
+        sizes as (select doc_id, count(*) as n from sets group by doc_id),
+        shared as (
+            select a.doc_id as a, b.doc_id as b, count(*) as n
+            from sets a join sets b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all),
+        links as (
+            select a, b from shared s join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+            where 100 * s.n >= 75 * (x.n + y.n - s.n)),
+        reached as (
+            select doc_id, doc_id as other from documents
+            union
+            select r.doc_id, l.b from reached r join links l on l.a = r.other),
+        components as (select doc_id, min(other) as component_id from reached group by doc_id)
+        select c.doc_id, coalesce(n, 0) as n_shingles, component_id, c.doc_id = component_id as kept
+        from components c left join sizes using (doc_id)""",
+    "op7_substring_dedup": rf"""
+        with lists as (select doc_id, {_WORDS} as words from documents),
+        places as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from lists),
+        keys as (
+            select doc_id, list_transform(
+                generate_series(1, len(words) - 49), lambda i: sha256(array_to_string(words[i:i + 49], ' '))) as k
+            from lists where len(words) >= 50),
+        windows as (select doc_id, unnest(k) as w, generate_subscripts(k, 1) as i from keys),
+        repeated as (
+            select doc_id, i from (select *, min(doc_id) over (partition by w) as least from windows) where least < doc_id),
+        marked as (
+            select p.doc_id, p.i, p.word,
+                   count(r.i) over (partition by p.doc_id order by p.i rows between 49 preceding and current row) as covers
+            from places p left join repeated r on r.doc_id = p.doc_id and r.i = p.i),
+        kept as (
+            select doc_id, count(*) filter (covers > 0) as n_removed,
+                   string_agg(word, ' ' order by i) filter (covers = 0) as kept_text
+            from marked group by doc_id)
+        select l.doc_id, len(words) as n_words, coalesce(n_removed, 0) as n_removed,
+               sha256(coalesce(kept_text, '')) as kept_sha256
+        from lists l left join kept using (doc_id)""",
     "op9_exact_dedup": rf"""
         with t as (
             select doc_id, length(coalesce(text, '')) as chars,
