@@ -63,13 +63,13 @@ def test_match_events_keep_duplicates(ctx):
 
 def test_match_players_take_the_usual_name(ctx):
     row = rows(ctx.ref("match_players"), "player_ws_id")
-    assert row[101].player_name == "David Raya" and row[101].n_squad_appearances == 3
-    assert row[102].player_name == "Ilkay Gundogan"
+    assert row[101].player_name == "Corin Vale" and row[101].n_squad_appearances == 3
+    assert row[102].player_name == "Ilmar Tuncag"
 
 
 def test_season_models_use_the_latest_load(ctx):
     players = rows(ctx.ref("season_players"), "player_ud_id")
-    assert len(players) == 8 and players[205].player_name == "Jake O'Brien"
+    assert len(players) == 8 and players[205].player_name == "Lorne O'Carrick"
     assert players[201].load_date == day(DAY2) and players[201].xg == 3.5
     matches = rows(ctx.ref("season_matches"), "match_ud_id")
     assert matches[302].is_result is False and matches[302].home_goals is None
@@ -131,7 +131,7 @@ def test_fixture_run(ctx):
     assert numbers == {5: 1, 6: 2, 7: 3, 8: 4, 9: 5, 10: 6, 4: 7}
     assert row[5, 1].avg_difficulty_next_5 == 3.4  # 2, 3, 3, 5, 4
     assert row[4, 1].avg_difficulty_next_5 == 5.0
-    assert row[5, 1].opponent_name == "Brighton" and row[5, 1].is_home
+    assert row[5, 1].opponent_name == "Brightwell" and row[5, 1].is_home
 
 
 def test_league_table(ctx):
@@ -153,7 +153,7 @@ def test_transfer_decision(ctx):
     assert first.npxg_xa_per90 == 0.4
     assert row[day(DAY1), 4].npxg_xa_per90 is None  # 449 minutes
     assert row[day(DAY2), 13].recommendation_trend == "no_prior_snapshot"
-    # Derby has no fixtures: neutral.
+    # Derwent has no fixtures: neutral.
     assert row[day(DAY1), 8].fixture_pctl is None
     assert first.price_m == 6.2
     expected = round(100 * (0.30 * 0.0 + 0.25 * 1.0 + 0.20 * 0.0 + 0.15 * 0.0 + 0.10 * 0.0), 1)

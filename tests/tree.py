@@ -11,7 +11,7 @@ POSITIONS = [
     {"id": 3, "singular_name": "Midfielder", "singular_name_short": "MID", "squad_min_play": 2, "squad_max_play": 5, "element_count": 300},
     {"id": 4, "singular_name": "Forward", "singular_name_short": "FWD", "squad_min_play": 1, "squad_max_play": 3, "element_count": 90},
 ]
-TEAMS = [(1, "Arsenal", "ARS", 3), (2, "Brighton", "BHA", 36), (3, "Chelsea", "CHE", 8), (4, "Derby", "DER", 24)]
+TEAMS = [(1, "Ashford", "ARS", 3), (2, "Brightwell", "BHA", 36), (3, "Chelmer", "CHE", 8), (4, "Derwent", "DER", 24)]
 
 
 def team(row):
@@ -43,16 +43,16 @@ def player(key, first, second, web, position, team_id, **more):
 def squad(day):
     late = day == DAY2
     rows = [
-        player(1, "David", "Raya Martin", "Raya", 1, 1),
-        player(2, "Ilkay", "Gündoğan", "Gündoğan", 3, 1, form=None, now_cost=62 + late, status="d",
+        player(1, "Corin", "Vale Tessier", "Vale", 1, 1),
+        player(2, "Ilmar", "Tünçağ", "Tünçağ", 3, 1, form=None, now_cost=62 + late, status="d",
                chance_of_playing_next_round=50, news="Knock", news_added="2025-08-30T10:00:07.250000Z"),
-        player(3, "Đorđe", "Petrović", "Petrović", 1, 2, status="i", chance_of_playing_next_round=75),
-        player(4, "Martin", "Ødegaard", "Ødegaard", 3, 1, status="i", chance_of_playing_next_round=0),
-        player(5, "Ferdi", "Kadıoğlu", "F.Kadıoğlu", 2, 2, status="d"),
-        player(6, "Jake", "O'Brien", "O'Brien", 2, 3, removed=None),
-        player(7, "Bruno Miguel", "Borges Fernandes", "B.Fernandes", 3, 3, status="n"),
-        player(8, "Alisson", "Ramses Becker", "Alisson", 2, 4, now_cost=0),
-        player(9, "Ben", "White", "White", 2, 1, status="u"),
+        player(3, "Đurađ", "Vesković", "Vesković", 1, 2, status="i", chance_of_playing_next_round=75),
+        player(4, "Mads", "Østvang", "Østvang", 3, 1, status="i", chance_of_playing_next_round=0),
+        player(5, "Sarp", "Yalıoğan", "S.Yalıoğan", 2, 2, status="d"),
+        player(6, "Lorne", "O'Carrick", "O'Carrick", 2, 3, removed=None),
+        player(7, "Telmo Aires", "Corvo Mendral", "T.Mendral", 3, 3, status="n"),
+        player(8, "Odrian", "Tavares Lumen", "Odrian", 2, 4, now_cost=0),
+        player(9, "Wes", "Garrow", "Garrow", 2, 1, status="u"),
         player(10, "Tom", "Smith Jones", "T.Smith", 4, 2, removed=True),
         player(11, "Tom", "Smith Brown", "Smith", 4, 4),
         player(12, "Tom", "Smith Green", "Smith", 4, 4),
@@ -112,43 +112,43 @@ def event(key, kind, outcome="Successful", **more):
 
 MATCHES = {
     501: match("2025-05-18", "2 : 0", 11, 12,
-               {"101": "David Raya", "102": "Ilkay Gundogan", "103": "Djordje Petrovic", "106": "Tom Smith"},
+               {"101": "Corin Vale", "102": "Ilmar Tuncag", "103": "Djuradj Veskovic", "106": "Tom Smith"},
                [event(1, "Goal"), event(2, "Goal"), event(2, "Pass", "Unsuccessful"), event(3, "Start", None, playerId=None)]),
     502: match("2025-08-16", "1 : 1", 12, 11,
-               {"101": "David Raya", "102": "İlkay Gündoğan", "104": "Bruno Fernandes", "105": "Alisson"},
+               {"101": "Corin Vale", "102": "İlmar Tünçağ", "104": "Telmo Mendral", "105": "Odrian"},
                [event(4, "Goal"), event(5, "Goal")]),
     503: match("2025-07-01", "0 : 0", 11, 13,
-               {"101": "D. Raya", "102": "Ilkay Gundogan", "106": "Tom Smith"}, [event(6, "Pass")]),
+               {"101": "C. Vale", "102": "Ilmar Tuncag", "106": "Tom Smith"}, [event(6, "Pass")]),
 }
 
 
 def season_player(key, name, minutes="900", xg="3.5", goals="4", **more):
-    base = {"id": str(key), "player_name": name, "team_title": "Arsenal,Chelsea", "position": "F M S", "games": "10",
+    base = {"id": str(key), "player_name": name, "team_title": "Ashford,Chelmer", "position": "F M S", "games": "10",
             "time": minutes, "goals": goals, "npg": "3", "assists": "2", "shots": "20", "key_passes": "11", "xG": xg,
             "npxG": "2.5", "xA": "1.5", "xGChain": "4.4", "xGBuildup": "1.1", "yellow_cards": "1", "red_cards": "0"}
     return {**base, **more}
 
 
 SEASON_PLAYERS = [
-    season_player(201, "David Raya"), season_player(202, "Ilkay Gundogan", xg="4.25"),
-    season_player(203, "Djordje Petrovic"), season_player(204, "Bruno Fernandes", minutes="1800", npxG="6.5"),
-    season_player(205, "Jake O&#039;Brien"), season_player(206, "Martin Ødegaard", minutes="449"),
-    season_player(207, "Ben White", xg="0.5", goals="0"), season_player(208, "Kadioglu Ferdi", xA="0.1"),
+    season_player(201, "Corin Vale"), season_player(202, "Ilmar Tuncag", xg="4.25"),
+    season_player(203, "Djuradj Veskovic"), season_player(204, "Telmo Mendral", minutes="1800", npxG="6.5"),
+    season_player(205, "Lorne O&#039;Carrick"), season_player(206, "Mads Østvang", minutes="449"),
+    season_player(207, "Wes Garrow", xg="0.5", goals="0"), season_player(208, "Yaliogan Sarp", xA="0.1"),
 ]
 LEAGUE = {
     "players": SEASON_PLAYERS,
     "dates": [
-        {"id": "301", "datetime": "2025-08-16 14:00:00", "isResult": True, "h": {"id": "83", "title": "Arsenal"},
-         "a": {"id": "87", "title": "Chelsea"}, "goals": {"h": "1", "a": "1"}, "xG": {"h": "1.5", "a": "0.9"}},
-        {"id": "302", "datetime": "2026-02-01 14:00:00", "isResult": False, "h": {"id": "87", "title": "Chelsea"},
-         "a": {"id": "83", "title": "Arsenal"}, "goals": {"h": None, "a": None}, "xG": {"h": None, "a": None}},
+        {"id": "301", "datetime": "2025-08-16 14:00:00", "isResult": True, "h": {"id": "83", "title": "Ashford"},
+         "a": {"id": "87", "title": "Chelmer"}, "goals": {"h": "1", "a": "1"}, "xG": {"h": "1.5", "a": "0.9"}},
+        {"id": "302", "datetime": "2026-02-01 14:00:00", "isResult": False, "h": {"id": "87", "title": "Chelmer"},
+         "a": {"id": "83", "title": "Ashford"}, "goals": {"h": None, "a": None}, "xG": {"h": None, "a": None}},
     ],
     "teams": {
-        "83": {"id": "83", "title": "Arsenal", "history": [
+        "83": {"id": "83", "title": "Ashford", "history": [
             {"date": "2025-08-16 14:00:00", "h_a": "h", "scored": 1, "missed": 1, "result": "d", "pts": 1, "xG": 1.5,
              "xGA": 0.9, "npxG": 1.5, "npxGA": 0.9, "npxGD": 0.6, "xpts": 1.8, "ppda": {"att": 200, "def": 25},
              "ppda_allowed": {"att": 90, "def": 0}, "deep": 7, "deep_allowed": 3}]},
-        "87": {"id": "87", "title": "Chelsea", "history": [
+        "87": {"id": "87", "title": "Chelmer", "history": [
             {"date": "2025-08-16 14:00:00", "h_a": "a", "scored": 1, "missed": 1, "result": "d", "pts": 1, "xG": 0.9,
              "xGA": 1.5, "npxG": 0.9, "npxGA": 1.5, "npxGD": -0.6, "xpts": 0.9, "ppda": {"att": 90, "def": 10},
              "ppda_allowed": {"att": 200, "def": 25}, "deep": 3, "deep_allowed": 7}]},
