@@ -231,13 +231,13 @@ def fingerprint_digest(docs: DataFrame) -> DataFrame:
     own = settle(own.groupBy("doc_id", *key, "chars", "level").agg(F.first("print").alias("print")), "fingerprint-prints")
     ring = settle(neighbours(own.select("doc_id", *key, "chars")), "fingerprint-ring")
     following = own.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("level").alias("next_level"), F.col("print").alias("next_print"))
-    beside = ring.join(own.select(*key, "level", "print"), key).join(
+    beside = ring.join(own, key).join(
         following, (F.col("after.k1") == F.col("n1")) & (F.col("after.k2") == F.col("n2"))
     )
     mine, next_ = unpacked(F.col("print")), unpacked(F.col("next_print"))
-    beside = beside.select(*key, "before", "level", "print", likeness(mine, F.col("level"), next_, F.col("next_level")).alias("near_next"))
+    beside = beside.select(*key, "doc_id", "chars", "before", "level", "print", likeness(mine, F.col("level"), next_, F.col("next_level")).alias("near_next"))
     # the texts travel once: both uses below ask for the same columns, so they share one exchange
-    met = rows.select("doc_id", *key, "text", "chars").join(settle(beside, "fingerprint-beside"), key)
+    met = rows.select(*key, "text").join(settle(beside, "fingerprint-beside"), key)
     third = F.floor(F.col("before.chars") / 3).cast("int")
     heads = met.select(F.col("before.k1").alias("k1"), F.col("before.k2").alias("k2"), F.left("text", third).alias("head"))
     heads = heads.groupBy(*key).agg(F.first("head").alias("head"))
