@@ -122,6 +122,20 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[Key], valu
     return placed.withColumn(out, (F.coalesce("_start", F.lit(0)) + local).cast("bigint")).drop("_slice", "_start")
 
 
+def running_min(df: DataFrame, group: Sequence[str], order: Sequence[Key], value: str, out: str) -> DataFrame:
+    """Smallest `value` of the rows of the group up to this one, NULLs aside. `order` must be unique within a group."""
+    sliced = _sliced(df, group, order)
+    here = [*group, "_slice"]
+    least = sliced.groupBy(*here).agg(F.min(value).alias("_least"))
+    along = Window.partitionBy(*group).orderBy("_slice")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    starts = least.withColumns({"_nth": F.row_number().over(along), "_start": F.min("_least").over(before)})
+    # all but a group's first slice: at most one row for each slice
+    placed = _beside(sliced, starts.filter(F.col("_nth") > 1), here, ["_start"])
+    inside = ordered(here, order).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumn(out, F.least("_start", F.min(value).over(inside))).drop("_slice", "_start")
+
+
 def ranks(
     df: DataFrame,
     group: Sequence[str],

@@ -248,7 +248,7 @@ def weak_link_replacement(t):
     banks = t.supplier.select(F.col("s_suppkey").alias("owner"), F.floor("s_acctbal").alias("bank"))
     returned = lines.filter("l_returnflag = 'R'").select("owner", "item").distinct()
     wanted = (
-        returned.join(parts.drop("score"), "item")
+        returned.join(parts.drop("score").hint("merge"), "item")
         .join(banks, "owner")
         .select("owner", F.col("item").alias("part"), "p_type", (F.col("price") + F.col("bank")).alias("budget"))
     )

@@ -100,6 +100,13 @@ def test_running_sums(skewed, slices):
     same(ordering.running_sums(skewed, ["g"], order, "id", "n"), expected)
 
 
+def test_running_min(skewed, slices):
+    order = [up("v"), up("id")]
+    kept = skewed.withColumn("x", F.when(F.col("id") % 3 == 0, F.struct((F.col("id") * 7919 % 1009).alias("a"), "id")))
+    inside = ordered(["g"], order).rowsBetween(Window.unboundedPreceding, 0)
+    same(ordering.running_min(kept, ["g"], order, "x", "n"), kept.withColumn("n", F.min("x").over(inside)))
+
+
 @pytest.mark.parametrize("number", [None, "n"])
 def test_frames(skewed, slices, number):
     def columns(w):

@@ -91,3 +91,33 @@ def test_negative_price_is_refused(spark):
     wanted, candidates, owned = (spark.createDataFrame([], c) for c in CASE)
     with pytest.raises(ValueError, match="prices"):
         best_affordable(wanted, spark.createDataFrame([("a", 1, -1, 1.0)], CASE[1]), owned, "g", "owner")
+
+
+def test_no_table_of_rows_is_broadcast(spark):
+    """Estimates come from compressed files and before rows are exploded, so however small they are they decide nothing."""
+    wanted = [(i, "ab"[i % 2], i % 5, 10 + i) for i in range(20)]
+    candidates = [("ab"[i % 2], i, i, float(i)) for i in range(40)]
+    frames = [
+        spark.createDataFrame(rows, schema) for rows, schema in zip((wanted, candidates, [(i % 5, i) for i in range(40)]), CASE)
+    ]
+    plan = best_affordable(*frames, "g", "owner")._jdf.queryExecution().executedPlan().toString()
+    # the one left is of `row_numbers`: at most two rows for each slice
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") >= 8
+
+
+def test_only_cases_whose_owner_holds_the_best_ask_for_intervals(spark):
+    wanted, candidates = [(i, "a", i, 50) for i in range(30)], [("a", i, i, float(i)) for i in range(60)]
+    owned, asked, kept = {(3, 50), (3, 49), (4, 7)}, [], replacement._best_lacking
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in zip((wanted, candidates, sorted(owned)), CASE)]
+
+    def seen(cases, *args):
+        asked.extend(tuple(r) for r in cases.collect())
+        return kept(cases, *args)
+
+    replacement._best_lacking = seen
+    try:
+        got = best_affordable(*frames, "g", "owner")
+    finally:
+        replacement._best_lacking = kept
+    assert {r.row: (r.item, r.score) for r in got.collect()} == brute(wanted, candidates, owned)
+    assert asked == [(3, "a", 50)]
