@@ -82,14 +82,19 @@ def next_n_run(
     return run.unionByName(rest)
 
 
-def fixture_difficulty(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
-    """Every team's fixtures with its upcoming run and both team names."""
-    run = next_n_run(
+def fixture_runs(fixtures: DataFrame) -> DataFrame:
+    """Every team's fixtures with its upcoming run."""
+    return next_n_run(
         team_fixtures(fixtures),
         ["load_date", "team_id"],
         [up("kickoff_time"), up("fixture_id")],
         "difficulty",
     )
+
+
+def fixture_difficulty(fixtures: DataFrame, teams: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Every team's fixtures with its upcoming run and both team names; `runs` may hold their `fixture_runs` already."""
+    run = fixture_runs(fixtures) if runs is None else runs
     key = team_key(teams)
     own = teams.select(*key, "team_name")
     opponent = own.withColumnsRenamed({"team_id": "opponent_team_id", "team_name": "opponent_name"})

@@ -142,17 +142,20 @@ def ranks(
     signals: dict[str, Key],
     kind: str = "percent_rank",
     eligible: Mapping[str, Column] | None = None,
+    by: str | None = None,
 ) -> DataFrame:
     """Add one rank column per entry of `signals` (output name -> order key).
 
     `kind` is "rank" (1 + rows that come strictly before) or "percent_rank" (that, minus 1,
     over the group size minus 1; 0 in a group of one). `eligible` may name the rows that take part in a signal; others
-    have NULL there. All signals are ranked in one pass: a row has an entry for each, and the first carries the
-    other columns.
+    have NULL there. All signals are ranked in one pass: a row has an entry for each. With several signals the entries hold
+    nothing else, and the stored rows meet their ranks once; they do so partitioned by the column `by`, if given, for a
+    window over it that follows. With one signal its entry carries the other columns.
     """
     keys = [f"_k{i}" for i in range(len(signals))]
     order = [Key(k, key.descending) for k, key in zip(keys, signals.values())]
     types = {f.name: f.dataType for f in df.schema}
+    single = len(signals) == 1
     entries = []
     for i, (out, key) in enumerate(signals.items()):
         counted = F.coalesce((eligible or {}).get(out, F.lit(True)), F.lit(False))
@@ -160,16 +163,17 @@ def ranks(
             (F.col(key.name) if i == j else F.lit(None).cast(types[other.name])).alias(keys[j])
             for j, other in enumerate(signals.values())
         ]
-        rest = F.struct(*[F.col(c) for c in df.columns])
-        entry = F.struct(
-            F.lit(i).alias("_signal"), counted.alias("_counted"), *values, F.when(F.lit(i == 0), rest).alias("_rest")
-        )
-        entries.append(entry if i == 0 else F.when(counted, entry))
+        rest = [F.struct(*[F.col(c) for c in df.columns]).alias("_rest")] if single else []
+        entry = F.struct(F.lit(i).alias("_signal"), counted.alias("_counted"), *values, *rest)
+        entries.append(entry if single else F.when(counted, entry))
     # ids are given before rows are listed several times
-    listed = df.withColumn("_row", F.monotonically_increasing_id())
-    listed = listed.select(*group, "_row", F.explode(F.array_compact(F.array(*entries))).alias("_e")).select(*group, "_row", "_e.*")
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    if not single:
+        rows = settle(rows, "ranked")
+    spread = [] if by is None or by in group else [by]
+    listed = rows.select(*group, *spread, "_row", F.explode(F.array_compact(F.array(*entries))).alias("_e"))
     apart = [*group, "_signal", "_counted"]
-    sliced = _sliced(listed, apart, [*order, up("_row")])
+    sliced = _sliced(listed.select(*group, *spread, "_row", "_e.*"), apart, [*order, up("_row")])
     here = [*apart, "_slice"]
     local, among = F.rank().over(ordered(here, order)), F.count("*").over(Window.partitionBy(*here))
     edges = _edges(sliced, apart, order)
@@ -180,12 +184,18 @@ def ranks(
     else:
         size = F.coalesce("_size", "_among")
         value = F.when(size > 1, (rank - 1) / (size - 1)).otherwise(F.lit(0.0))
-    valued = placed.select("_row", "_signal", "_rest", F.when(F.col("_counted"), value).alias("_value"))
-    if len(signals) == 1:
-        return valued.select("_rest.*", F.col("_value").alias(next(iter(signals))))
+    value = F.when(F.col("_counted"), value)
+    if single:
+        return placed.select("_rest.*", value.alias(next(iter(signals))))
+    whole = ["_row"] if by is None else [by, "_row"]
+    valued = placed.select(*whole, "_signal", value.alias("_value"))
+    rest = rows.select(*whole, F.struct(*[F.col(c) for c in df.columns]).alias("_rest"))
+    met = rest.unionByName(valued, allowMissingColumns=True)
+    met = met if by is None else met.repartition(by)
     found = [F.max(F.when(F.col("_signal") == i, F.col("_value"))).alias(out) for i, out in enumerate(signals)]
-    whole = valued.groupBy("_row").agg(F.first("_rest", ignorenulls=True).alias("_rest"), *found)
-    return whole.select("_rest.*", *signals)
+    told = met.groupBy(*whole).agg(F.first("_rest", ignorenulls=True).alias("_rest"), *found)
+    # the grouped column itself, which tells Spark how the rows lie
+    return told.select(*[F.col(c) if c == by else F.col("_rest")[c].alias(c) for c in df.columns], *signals)
 
 
 def _edges(sliced: DataFrame, group: Sequence[str], order: Sequence[Key]) -> DataFrame:

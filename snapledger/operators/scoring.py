@@ -138,8 +138,14 @@ def transfer_decision(
         "underlying_pctl": up("_rate"),
     }
     kept = ~F.col("removed")
-    eligible = {**dict.fromkeys(signals, kept), "underlying_pctl": rated}
-    ranked = ranks(bridged, ["load_date", "position_id"], signals, eligible=eligible).filter(kept)
+    eligible = {**dict.fromkeys(signals, kept), "underlying_pctl": F.col("_rated")}
+    # what follows needs; the other columns of the bridge would travel with every row
+    bridged = bridged.select(
+        "load_date", key, "web_name", "team_id", "position_id", "position_short_name", "now_cost", "total_points",
+        "points_per_million", "form", "price_trend", "net_transfers_event", "selected_by_percent", "availability_risk",
+        "news", "removed", "_rate", rated.alias("_rated"),
+    )
+    ranked = ranks(bridged, ["load_date", "position_id"], signals, eligible=eligible, by=key).filter(kept).drop("_rated")
     ranked = ranked.withColumn("npxg_xa_per90", round_half_away(F.col("_rate"), 2))
     scored = (
         ranked.join(ease, ["load_date", "team_id"], "left")

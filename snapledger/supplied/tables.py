@@ -139,7 +139,13 @@ class Tables:
             F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"),
             F.count("*").alias("lines"),
         )
-        orders = self.orders.join(
+        orders = self.orders.select(
+            "o_orderkey",
+            "o_custkey",
+            F.to_date("o_orderdate").alias("day"),
+            (F.col("o_orderpriority") != "4-NOT SPECIFIED").alias("dated"),
+            (F.col("o_orderstatus") != "O").alias("finished"),
+        ).join(
             self.customer.select("c_custkey", F.col("c_nationkey").alias("home_team_id")),
             F.col("o_custkey") == F.col("c_custkey"),
         )
@@ -147,18 +153,18 @@ class Tables:
             orders.join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
             .filter("home_team_id <> away_team_id")
             .select(
-                F.to_date(F.date_trunc("year", "o_orderdate")).alias("load_date"),
-                F.year("o_orderdate").alias("season"),
+                F.trunc("day", "year").alias("load_date"),
+                F.year("day").alias("season"),
                 F.col("o_orderkey").alias("fixture_id"),
-                F.month("o_orderdate").alias("gameweek"),
+                F.month("day").alias("gameweek"),
                 "home_team_id",
                 "away_team_id",
                 (F.col("quantity") % 5).alias("home_score"),
                 (F.col("lines") % 5).alias("away_score"),
                 (F.col("lines") % 5 + 1).alias("home_difficulty"),
                 (F.col("quantity") % 5 + 1).alias("away_difficulty"),
-                F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.to_date("o_orderdate")).alias("kickoff_time"),
-                (F.col("o_orderstatus") != "O").alias("finished"),
+                F.when(F.col("dated"), F.col("day")).alias("kickoff_time"),
+                "finished",
             )
         )
 

@@ -100,6 +100,16 @@ def test_running_sums(skewed, slices):
     same(ordering.running_sums(skewed, ["g"], order, "id", "n"), expected)
 
 
+def test_ranks_leave_rows_by_a_column(skewed, slices):
+    signals = {"a": up("v"), "b": down("id")}
+    got = ordering.ranks(skewed, ["g"], signals, by="id")
+    same(got, ordering.ranks(skewed, ["g"], signals))
+    numbered = got.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("v")))
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("REPARTITION_BY_COL")]
+    assert after.count("Exchange") == 1  # that one: none for the grouping, none for the window
+
+
 def test_running_min(skewed, slices):
     order = [up("v"), up("id")]
     kept = skewed.withColumn("x", F.when(F.col("id") % 3 == 0, F.struct((F.col("id") * 7919 % 1009).alias("a"), "id")))
