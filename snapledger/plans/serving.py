@@ -46,7 +46,8 @@ def latest_decisions(
     badge_template: str | None = None,
 ) -> DataFrame:
     """Newest decisions with display codes, verdict texts and optional image links."""
-    codes = players.select("load_date", "player_id", "player_code")
+    newest = F.col("load_date") == latest_value(decision, "load_date")
+    codes = players.select("load_date", "player_id", "player_code").filter(newest).hint("merge")
     badges = teams.select(*team_key(teams), "team_code")
     shown = (
         latest_snapshot(decision)
@@ -322,7 +323,7 @@ def defence_delta(xg_table: DataFrame) -> DataFrame:
 
 def squads(picks: DataFrame, latest: DataFrame) -> DataFrame:
     """Every manager's picks with the newest signals, role and slot. Unknown entries keep NULLs."""
-    signals = latest.withColumn("element", F.col("player_id"))
+    signals = latest.withColumn("element", F.col("player_id")).hint("merge")
     return picks.join(signals, "element", "left").withColumns(
         {
             "role": labels.squad_role(F.col("is_captain"), F.col("is_vice_captain")),
@@ -376,7 +377,7 @@ def weak_links(squad: DataFrame, banks: DataFrame, latest: DataFrame) -> DataFra
         return F.round(F.col(column) * 10).cast("bigint")
 
     weak = squad.filter(F.col("recommendation").isin("drop", "monitor") & F.col("player_id").isNotNull()).join(
-        banks.select("manager_id", "bank"), "manager_id"
+        banks.select("manager_id", "bank").hint("merge"), "manager_id"
     )
     wanted = weak.select(
         "manager_id",

@@ -217,10 +217,13 @@ affordable as (
   where not exists (select 1 from picks p where p.manager_id = w.manager_id and p.element = l.player_id))
 select w.*, item, score from weak w left join (select * from affordable where rn = 1) using (manager_id, player_id)""")
 def weak_links(t):
-    latest = _latest(t)
+    latest = settle(_latest(t), "latest")
     bank = F.floor(F.col("c_acctbal") / 1000)
     banks = t.customer.select(F.col("c_custkey").alias("manager_id"), bank.alias("bank"))
-    found = serving.weak_links(settle(_squads(t, latest), "squads"), banks, latest)
+    squad = _squads(t, latest).select(
+        "manager_id", "element", "player_id", "web_name", "position_short_name", "recommendation", "price_m"
+    )
+    found = serving.weak_links(settle(squad, "squads"), banks, latest)
     return found.select(
         "manager_id", "player_id", "web_name", "position_short_name", "recommendation", "budget",
         F.col("item").cast("bigint").alias("item"), "score",

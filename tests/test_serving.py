@@ -183,3 +183,42 @@ def test_leagues(spark):
     assert [(r.entry, r.total) for r in serving.own_standings(leagues, standings).collect()] == [(1, 30)]
     viewers = spark.createDataFrame([(5, 3)], "league_id bigint, viewer bigint")
     assert {r.entry: r.you for r in serving.league_views(standings, viewers).collect()} == {1: False, 3: True}
+
+
+def test_tables_of_rows_are_not_broadcast_for_squads(spark):
+    """Newest decisions and banks grow with the input, whatever their files weigh."""
+    picks = spark.createDataFrame([(1, 7, 1, True, False)], "manager_id int, element int, position int, is_captain boolean, is_vice_captain boolean")
+    shown = spark.createDataFrame(
+        [(7, "x", "DEF", "drop", 4.0, 50.0, "likely")],
+        "player_id int, web_name string, position_short_name string, recommendation string, price_m double, transfer_score double, availability_risk string",
+    )
+    banks = spark.createDataFrame([(1, 3)], "manager_id int, bank int")
+    squad = serving.squads(picks, shown)
+    assert "Broadcast" not in squad._jdf.queryExecution().executedPlan().toString()
+    plan = serving.weak_links(squad, banks, shown)._jdf.queryExecution().executedPlan().toString()
+    # the one left is of `row_numbers`: at most two rows for each slice
+    assert plan.count("BroadcastHashJoin") == 1
+
+
+def test_codes_of_old_snapshots_stay_behind(spark):
+    decision = spark.createDataFrame(
+        [("2024-01-02", 1, 1, "hold", "drop")], "load_date string, player_id int, team_id int, recommendation string, prev_recommendation string"
+    )
+    players = spark.createDataFrame([(d, 1, 9) for d in ("2024-01-01", "2024-01-02")], "load_date string, player_id int, player_code int")
+    teams = spark.createDataFrame([(1, 901)], "team_id int, team_code int")
+    shown = serving.latest_decisions(decision, players, teams)
+    assert [(r.player_code, r.team_code) for r in shown.collect()] == [(9, 901)]
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery") >= 2
+
+
+def test_difficulty_takes_runs_that_are_there(spark, monkeypatch):
+    from snapledger.operators import fixtures as ops
+
+    rows = [(2024, 2024, i, 1, i % 2 + 1, 3, i % 5 + 1, 2, i, False) for i in range(6)]
+    games = spark.createDataFrame(
+        rows, "load_date int, season int, fixture_id int, gameweek int, home_team_id int, away_team_id int, home_difficulty int, away_difficulty int, kickoff_time int, finished boolean",
+    )
+    teams = spark.createDataFrame([(i, f"T{i}") for i in (1, 2, 3)], "team_id int, team_name string")
+    expected, runs = ops.fixture_difficulty(games, teams).collect(), ops.fixture_runs(games)
+    monkeypatch.setattr(ops, "next_n_run", None)
+    assert sorted(ops.fixture_difficulty(games, teams, runs).collect()) == sorted(expected) and len(expected) == 12
