@@ -116,7 +116,7 @@ select {PICK_SQL}, opponent_name, is_home, difficulty
 from (select * from latest order by transfer_score desc, player_id limit 5) left join following using (team_id)""")
 def captain_picks(t):
     stored = Stored(t)
-    difficulty = settle(fixture_ops.fixture_difficulty(stored.fixtures, t.teams()), "difficulty")
+    difficulty = fixture_ops.fixture_difficulty(stored.fixtures, t.teams(), stored.runs)
     return serving.captain_picks(_latest(stored), difficulty).select(
         *PICK, "opponent_name", "is_home", "difficulty"
     )
